@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
-from .shared import table
+from pyspark.sql import functions as F
+
+from . import exact_dedup, langid, mixing, pii, quality
+from .shared import held_out, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.learned(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("span_list")
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
              regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
@@ -24,5 +40,11 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ASC NULLS LAST)
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_language": op2_language,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
+}
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}
