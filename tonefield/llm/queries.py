@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, pii, quality
+from . import exact_dedup, langid, mixing, ngram_join, pii, quality
 from .shared import held_out, table
 
 
@@ -20,6 +20,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -32,6 +36,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("span_list")
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 3 THEN [array_to_string(x, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(x) - 1), lambda i: concat_ws(' ', x[i], x[i + 1], x[i + 2]))) END AS g
+  FROM w),
+t AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, m.c AS component_id,
+  count(*) OVER (PARTITION BY CASE WHEN len(s.g) > 0 THEN list_sort(s.g) ELSE [CAST(s.doc_id AS VARCHAR)] END) AS class_size
+FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
              regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
@@ -43,8 +65,9 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ASC NULLS LAST)
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
+    "op3_ngram_join": op3_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op3_ngram_join": OP3_SQL, "op5_exact_dedup": OP5_SQL}
