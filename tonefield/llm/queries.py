@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, ngram_join, pii, quality
+from . import exact_dedup, langid, mixing, ngram_join, pii, quality, sentencepiece_codec, warc
 from .shared import held_out, table
 
 
@@ -28,6 +28,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
@@ -62,12 +71,26 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ASC NULLS LAST)
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT h, min(page_id) AS f, sha1(h) AS x FROM p GROUP BY h),
+b AS (SELECT x, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+        (instr('0123456789abcdef', substr(x, 1 + i * 5 // 4, 1)) - 1) * 16 + instr('0123456789abcdef0', substr(x || '0', 2 + i * 5 // 4, 1)) - 1 AS INT)
+        // CAST(pow(2, 3 - i * 5 % 4) AS INT) % 32, 1), '' ORDER BY i) AS digest
+      FROM (SELECT DISTINCT x FROM d), range(32) t(i) GROUP BY x)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
+FROM p JOIN d USING (h) JOIN b USING (x)
+"""
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
     "op3_ngram_join": op3_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL = {"op3_ngram_join": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op8_warc": OP8_SQL, "op3_ngram_join": OP3_SQL, "op5_exact_dedup": OP5_SQL}
