@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, ngram_join, pii, quality, sentencepiece_codec, warc
+from . import ann, exact_dedup, langid, mixing, ngram_join, pii, quality, sentencepiece_codec, substring, warc
 from .shared import held_out, table
 
 
@@ -24,10 +24,19 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -87,7 +96,9 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
     "op3_ngram_join": op3_ngram_join,
+    "op4_nearest": op4_nearest,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_passages": op6_passages,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
