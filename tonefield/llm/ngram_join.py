@@ -119,6 +119,23 @@ def opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
     return left.groupBy("g", "block").cogroup(right.groupBy("of_g", "of_block")).applyInPandas(of, "a long, b long")
 
 
+def least_shared(a: str, b: str, high: str, percent: int):
+    """Tokens that two linking sets, of sizes a and b up to high, share within their prefixes.
+
+    One prefix ends first in the common order; every token of that set up to there which the other set has is
+    in the other's prefix. The rest of the set can't add more than its size, needed - 1.
+    """
+    share = F.ceil(percent * (F.col(a) + F.col(b)) / F.lit(100.0 + percent))
+    return share - F.floor((percent * F.greatest(a, high) + 99) / 100) + 1
+
+
+def promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (q, g) of classes whose prefixes share enough tokens for a link."""
+    of = lambda name: prefixes.select(F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("prefix").alias(f"p_{name}"))
+    both = pairs.join(of("q"), "q").join(of("g"), "g")
+    return both.where(F.size(F.array_intersect("p_q", "p_g")) >= least_shared("n_q", "n_g", "n_g", percent)).select("q", "g")
+
+
 def similar_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -146,22 +163,27 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     shared = listed.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
     lists = stored(listed.join(shared, "t"), "lists")
 
-    involved = classes.join(lists.select("cls").distinct(), "cls", "left_semi")
-    ids = involved.select(F.col("doc_id").alias("__id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = full_sets(texts, width).join(involved.select("key", "cls"), "key").select("cls", "tokens")
-    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        sets = sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
-    sets = stored(sets, "sets")
+    prefixes = rows.select(F.col("rid").alias("cls"), "n", "prefix").join(lists.select("cls").distinct(), "cls", "left_semi")
+    prefixes = stored(prefixes, "prefixes")
+    repeated_ids = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(cls, tokens) of the classes in some (cls), from the texts once more."""
+        involved = stored(classes.join(some.distinct(), "cls", "left_semi").select("key", "cls", "doc_id"), "involved")
+        ids = involved.select(F.col("doc_id").alias("__id")).distinct()
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        sets = full_sets(texts, width).join(involved.select("key", "cls"), "key").select("cls", "tokens")
+        return stored(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")) if repeated_ids else sets, "sets")
 
     links = None
     now = lists.withColumn("comp", F.col("cls"))
     for k in range(STARS):
         hub = now.groupBy("t").agg(F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(k))).alias("hub"))
         pairs = now.join(hub, "t").where((F.col("comp") != F.col("hub.comp")) & similar_size("n", "hub.n", percent)).select(F.col("cls").alias("q"), F.col("hub.cls").alias("g")).distinct()
-        pairs = stored(pairs, "star-pairs")
-        more = opened(pairs, pairs.select("g").distinct().withColumn("cls", F.col("g")), sets, percent)
+        pairs = stored(promising(pairs, prefixes, percent), "star-pairs")
+        hubs = pairs.select("g").distinct().withColumn("cls", F.col("g"))
+        more = opened(pairs, hubs, sets_of(pairs.select(F.col("q").alias("cls")).union(pairs.select("g"))), percent)
         links = stored(more if links is None else links.union(more), "links")
         comps = stored(connected_components(links), "components")
         now = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
@@ -169,15 +191,18 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         now = stored(now.join(torn, "t"), "torn")
 
     # groups of similar sets: parts of one component, of like size
-    members = now.select("cls", "n", "comp").distinct().withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.1))))
+    members = now.select("cls", "n", "comp").distinct().withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.02))))
     parts = members.groupBy("comp", "band").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
     members = stored(members.join(parts, ["comp", "band"]).withColumn("g", F.xxhash64("comp", "band", F.pmod(F.xxhash64("cls"), F.col("parts")))), "groups")
     spans = members.groupBy("g", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = now.select("t", "cls").join(members.select("cls", "g"), "cls").select("t", "g").distinct().join(spans, "g")
     fits = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
     queries = now.select("t", F.col("cls").alias("q"), "n", F.col("comp").alias("own"))
-    pairs = stored(queries.join(matrix, "t").where((F.col("own") > F.col("comp")) & fits).select("q", "g").distinct(), "pairs")
-    links = stored(links.union(opened(pairs, members.select("g", "cls"), sets, percent)), "all-links")
+    met = queries.join(matrix, "t").where((F.col("own") > F.col("comp")) & fits).groupBy("q", "g", "n", "low", "high").agg(F.count("*").alias("shared"))
+    pairs = stored(met.where(F.col("shared") >= least_shared("n", "low", "high", percent)).select("q", "g"), "pairs")
+    inside = members.select("g", "cls").join(pairs.select("g").distinct(), "g", "left_semi")
+    sets = sets_of(pairs.select(F.col("q").alias("cls")).union(inside.select("cls")))
+    links = stored(links.union(opened(pairs, inside, sets, percent)), "all-links")
     comps = stored(connected_components(links), "components")
 
     named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")).select("key", "doc_id", "class_size", "root")
