@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exact_dedup import BROADCAST_ROWS
@@ -20,8 +20,8 @@ FREQUENT = 1_000_000
 LOCAL, HELD = 4, 1 << 22
 #: Documents and tokens of a group, on average; queries that open a group in one call.
 GROUP, GROUP_TOKENS, QUERIES = 64, 200_000, 256
-#: Rounds that compare the documents of a token with one of them, before groups are formed.
-STARS = 3
+#: Sizes of a group's sets lie within this factor.
+BAND = 1.03
 
 
 def needed(n, percent: int):
@@ -119,6 +119,42 @@ def opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
     return left.groupBy("g", "block").cogroup(right.groupBy("of_g", "of_block")).applyInPandas(of, "a long, b long")
 
 
+def opened_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the members (g, cls, comp) of each pair of groups (ga, gb), enough to join what links join.
+
+    A member of one group is a query against the other: unless the group's token union may hold enough of its
+    tokens, the group stays closed to it. Members whose components are joined already are not compared.
+    """
+    full = members.join(sets, "cls")
+    left = pairs.join(full, F.col("g") == F.col("ga")).select(*[F.col(c).alias(c) for c in ("ga", "gb", "cls", "comp", "tokens")])
+    right = pairs.join(full, F.col("g") == F.col("gb")).select(F.col("ga").alias("ga2"), F.col("gb").alias("gb2"), F.col("cls").alias("cls2"), F.col("comp").alias("comp2"), F.col("tokens").alias("tokens2"))
+
+    def of(queries: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        inside = [np.frombuffer(t, np.uint64) for t in group["tokens2"]]
+        union = np.unique(np.concatenate([np.zeros(0, np.uint64), *inside]))
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
+        out = []
+        for q, own, t in zip(queries["cls"], queries["comp"], queries["tokens"], strict=True):
+            mine = np.frombuffer(t, np.uint64)
+            if 100 * len(np.intersect1d(mine, union, assume_unique=True)) < percent * len(mine):
+                continue
+            for other, comp, s in zip(group["cls2"], group["comp2"], inside, strict=True):
+                if 100 * min(len(s), len(mine)) >= percent * max(len(s), len(mine)) and top(own) != top(comp):
+                    both = len(np.intersect1d(mine, s, assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(s) - both):
+                        out.append((q, other))
+                        root[top(own)] = top(comp)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return left.groupBy("ga", "gb").cogroup(right.groupBy("ga2", "gb2")).applyInPandas(of, "a long, b long")
+
+
 def least_shared(a: str, b: str, high: str, percent: int):
     """Tokens that two linking sets, of sizes a and b up to high, share within their prefixes.
 
@@ -151,18 +187,19 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     1. Rows with the same set become one class; what follows sees classes.
     2. Each class is listed under the few rare tokens of its prefix; two classes that link share a list.
-    3. Within each list all classes are compared with one of them, a few rounds over. That joins most near
-       copies in linear work; classes joined so far form groups of similar sets, split to a bounded size.
-    4. Lists with classes of different components remain. There each class is a query against the other
-       components' groups: the group's token union bounds the overlap, and only groups that may reach it
-       are opened. One link to a component is enough, as its groups are joined already.
+    3. Within each list all classes are compared with one of them. That joins most near copies in linear work.
+    4. Lists with classes of different components remain. Their classes form groups of similar sets, of bounded
+       size; groups meet by the tokens of the token-group matrix, and a class opens a met group only if the
+       group's token union bounds the overlap high enough.
     """
     rows = stored(signatures(docs, width, percent, frequent_tokens(docs, width)).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     classes = stored(rows.where("n > 0").groupBy("key", "n").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("doc_id"), F.count("*").alias("class_size")), "classes")
     listed = rows.join(classes.select(F.col("cls").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cls"), "n", F.explode("prefix").alias("t"))
-    shared = listed.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    lists = stored(listed.join(shared, "t"), "lists")
-
+    sizes = listed.groupBy("t", "n").agg(F.count("*").alias("c"))
+    by_size = Window.partitionBy("t").orderBy("n")
+    near = (F.col("c") > 1) | (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    partnered = sizes.withColumn("near", near).where("near").select("t", "n")
+    lists = stored(listed.join(partnered, ["t", "n"]).select("t", "cls", "n"), "lists")
     prefixes = rows.select(F.col("rid").alias("cls"), "n", "prefix").join(lists.select("cls").distinct(), "cls", "left_semi")
     prefixes = stored(prefixes, "prefixes")
     repeated_ids = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
@@ -176,33 +213,30 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         sets = full_sets(texts, width).join(involved.select("key", "cls"), "key").select("cls", "tokens")
         return stored(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")) if repeated_ids else sets, "sets")
 
-    links = None
-    now = lists.withColumn("comp", F.col("cls"))
-    for k in range(STARS):
-        hub = now.groupBy("t").agg(F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(k))).alias("hub"))
-        pairs = now.join(hub, "t").where((F.col("comp") != F.col("hub.comp")) & similar_size("n", "hub.n", percent)).select(F.col("cls").alias("q"), F.col("hub.cls").alias("g")).distinct()
-        pairs = stored(promising(pairs, prefixes, percent), "star-pairs")
-        hubs = pairs.select("g").distinct().withColumn("cls", F.col("g"))
-        more = opened(pairs, hubs, sets_of(pairs.select(F.col("q").alias("cls")).union(pairs.select("g"))), percent)
-        links = stored(more if links is None else links.union(more), "links")
-        comps = stored(connected_components(links), "components")
-        now = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        torn = now.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("t")
-        now = stored(now.join(torn, "t"), "torn")
-
-    # groups of similar sets: parts of one component, of like size
-    members = now.select("cls", "n", "comp").distinct().withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.02))))
-    parts = members.groupBy("comp", "band").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
-    members = stored(members.join(parts, ["comp", "band"]).withColumn("g", F.xxhash64("comp", "band", F.pmod(F.xxhash64("cls"), F.col("parts")))), "groups")
-    spans = members.groupBy("g", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = now.select("t", "cls").join(members.select("cls", "g"), "cls").select("t", "g").distinct().join(spans, "g")
-    fits = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-    queries = now.select("t", F.col("cls").alias("q"), "n", F.col("comp").alias("own"))
-    met = queries.join(matrix, "t").where((F.col("own") > F.col("comp")) & fits).groupBy("q", "g", "n", "low", "high").agg(F.count("*").alias("shared"))
-    pairs = stored(met.where(F.col("shared") >= least_shared("n", "low", "high", percent)).select("q", "g"), "pairs")
-    inside = members.select("g", "cls").join(pairs.select("g").distinct(), "g", "left_semi")
-    sets = sets_of(pairs.select(F.col("q").alias("cls")).union(inside.select("cls")))
-    links = stored(links.union(opened(pairs, inside, sets, percent)), "all-links")
+    hub = lists.groupBy("t").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls")).alias("hub"))
+    pairs = lists.join(hub, "t").where((F.col("cls") != F.col("hub.cls")) & similar_size("n", "hub.n", percent)).select(F.col("cls").alias("q"), F.col("hub.cls").alias("g")).distinct()
+    pairs = stored(promising(pairs, prefixes, percent), "star-pairs")
+    hubs = pairs.select("g").distinct().withColumn("cls", F.col("g"))
+    links = stored(opened(pairs, hubs, sets_of(pairs.select(F.col("q").alias("cls")).union(pairs.select("g"))), percent), "links")
+    comps = stored(connected_components(links), "components")
+    now = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    torn = now.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("t")
+    now = stored(now.join(torn, "t"), "torn")
+
+    # groups of similar sets: those that have the same token as the least of theirs, of like size
+    members = now.groupBy("cls", "n", "comp").agg(F.min(F.xxhash64("t")).alias("home")).withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))))
+    parts = members.groupBy("home", "band").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
+    members = stored(members.join(parts, ["home", "band"]).select("cls", "n", "comp", F.xxhash64("home", "band", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("g")), "groups")
+    spans = members.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    matrix = stored(now.select("t", "cls").join(members.select("cls", "g"), "cls").select("t", "g").distinct().join(spans, "g"), "matrix")
+    other = matrix.select("t", *[F.col(c).alias(f"{c}_b") for c in ("g", "low", "high", "c0", "c1")])
+    apart = ~((F.col("c0") == F.col("c1")) & (F.col("c0_b") == F.col("c1_b")) & (F.col("c0") == F.col("c0_b")))
+    fits = (100 * F.col("high") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low"))
+    met = matrix.join(other, "t").where((F.col("g") <= F.col("g_b")) & apart & fits).groupBy("g", "g_b", "low", "low_b", "high", "high_b").agg(F.count("*").alias("shared"))
+    met = met.withColumn("top", F.greatest("high", "high_b")).where(F.col("shared") >= least_shared("low", "low_b", "top", percent))
+    pairs = stored(met.select(F.col("g").alias("ga"), F.col("g_b").alias("gb")), "group-pairs")
+    inside = members.join(pairs.select(F.col("ga").alias("g")).union(pairs.select("gb")).distinct(), "g", "left_semi")
+    links = stored(links.union(opened_groups(pairs, inside, sets_of(inside.select("cls")), percent)), "all-links")
     comps = stored(connected_components(links), "components")
 
     named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")).select("key", "doc_id", "class_size", "root")
