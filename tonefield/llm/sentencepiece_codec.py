@@ -22,7 +22,7 @@ SPACE = "▁"
 #: No piece has a space mark after another character, so all paths meet where such a mark follows one.
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Longest chunk whose ids are remembered, and how many; characters between looks for a common boundary.
-REMEMBER, REMEMBERED, LOOK = 32, 800_000, 64
+REMEMBER, REMEMBERED, LOOK = 32, 600_000, 64
 
 
 class Pieces:
@@ -61,7 +61,7 @@ class Pieces:
 
 class Codec:
     def __init__(self, pieces: Pieces):
-        self.p, self.known = pieces, {}
+        self.p, self.known, self.pairs, self.held = pieces, {}, {}, 0
 
     def stay(self, a: str, b: str) -> bool:
         """Whether the merges leave the pieces a and b as they are when b follows a; a may be empty.
@@ -88,7 +88,7 @@ class Codec:
 
     def short(self, text: str) -> list[str]:
         """The pieces of a text that the window holds whole."""
-        starts, vocabulary, stay, n = self.p.starts, self.p.rank, self.stay, len(text)
+        starts, vocabulary, n, pairs = self.p.starts, self.p.rank, len(text), self.pairs
         last = [""] + [None] * n
         for at in range(n):
             before = last[at]
@@ -96,11 +96,24 @@ class Codec:
                 before = last[at] = text[at - 1]
             end = at + 2
             piece = text[at:end]
-            while piece in starts and end <= n:
-                if last[end] is None and piece in vocabulary and stay(before, piece):
-                    last[end] = piece
+            if piece not in starts or end > n:
+                continue
+            known = pairs.get(before)
+            if known is None:
+                known = pairs[before] = {}
+            while end <= n and piece in starts:
+                if last[end] is None and piece in vocabulary:
+                    ok = known.get(piece)
+                    if ok is None:
+                        ok = known[piece] = self.stay(before, piece)
+                        self.held += 1
+                    if ok:
+                        last[end] = piece
                 end += 1
                 piece = text[at:end]
+        if self.held > REMEMBERED:
+            pairs.clear()
+            self.held = 0
         if n and last[n] is None:
             last[n] = text[n - 1]
         out = []
