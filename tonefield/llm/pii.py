@@ -203,11 +203,11 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
     Ids must tell the rows apart.
     """
-    spans = personal_data(docs).select("doc_id", "span_list")
+    spans, columns = personal_data(docs).select("doc_id", "span_list"), docs.columns
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield p.assign(text=[t if s is None else cleaned(t, s) for t, s in zip(p["text"], p["span_list"], strict=True)])[docs.columns]
+            yield p.assign(text=[t if s is None else cleaned(t, s) for t, s in zip(p["text"], p["span_list"], strict=True)])[columns]
 
     return docs.join(spans, "doc_id", "left").mapInPandas(of, docs.schema)
 
