@@ -114,7 +114,8 @@ def test_passages(spark):
     assert substring.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_chains_against_all_pairs():
+def test_chains_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(substring, "CUT", 1000)
     rng = np.random.default_rng(2)
     for _ in range(40):
         n = int(rng.integers(2, 25))
