@@ -72,8 +72,8 @@ def grown(seeds: DataFrame, grid: DataFrame, keys: tuple[str, ...] = KEYS, round
     def of(cells: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
         if not len(cells) or not len(free):
             return cells.iloc[:0][[*keys, "k", "m"]]
-        allowed = np.zeros((free["k"].max() + 3, free["m"].max() + 3), bool)
-        allowed[free["k"] + 1, free["m"] + 1] = ~free["zero"].to_numpy(bool)
+        allowed = np.zeros((free["free_k"].max() + 3, free["free_m"].max() + 3), bool)
+        allowed[free["free_k"] + 1, free["free_m"] + 1] = ~free["free_zero"].to_numpy(bool)
         out = []
         for name, part in cells.groupby(list(keys), sort=False):
             now = np.zeros_like(allowed)
@@ -94,7 +94,8 @@ def grown(seeds: DataFrame, grid: DataFrame, keys: tuple[str, ...] = KEYS, round
 
     kinds = dict(seeds.dtypes)
     schema = ", ".join(f"{n} {kinds[n]}" for n in (*keys, "k", "m"))
-    return seeds.select(*keys, "k", "m").groupBy(*KEYS).cogroup(grid.select(*KEYS, "k", "m", "zero").groupBy(*KEYS)).applyInPandas(of, schema)
+    free = grid.select(*[F.col(c).alias(f"free_{c}") for c in (*KEYS, "k", "m", "zero")])
+    return seeds.select(*keys, "k", "m").groupBy(*KEYS).cogroup(free.groupBy("free_signal_id", "free_seg_id")).applyInPandas(of, schema)
 
 
 def local_maxima(grid: DataFrame, value: str = "magnitude", size: int = 3) -> DataFrame:

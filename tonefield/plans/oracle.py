@@ -55,10 +55,9 @@ def detection(c: Cfar, name: str = "det", value: str = "power") -> str:
     else:
         regions = {"ca": RING, "goca": CORNERS, "soca": CORNERS, "goca_sides": SIDES, "soca_bands": SHORT_SIDES}[c.method]
         rows = ", ".join(f"coalesce(sum(v) OVER (PARTITION BY signal_id, k ORDER BY m {frame(*span[b])}), 0.0) AS s_{b}" for b in dict.fromkeys(b for _, b in regions.values()))
-        sums = ", ".join(f"coalesce(sum(s_{b}) OVER (PARTITION BY signal_id, m ORDER BY k {frame(*span[a])}), 0.0) AS {n}" for n, (a, b) in regions.items())
-        means = [f"{n} / {float(size[a] * size[b])}" for n, (a, b) in regions.items()]
-        pick = f"(outer_ - core) / {float(ring_cells(c))}" if c.method == "ca" else f"{'greatest' if c.method.startswith('goca') else 'least'}({', '.join(means)})"
-        sums = sums.replace(" AS outer", " AS outer_")
+        sums = ", ".join(f"coalesce(sum(s_{b}) OVER (PARTITION BY signal_id, m ORDER BY k {frame(*span[a])}), 0.0) AS r_{n}" for n, (a, b) in regions.items())
+        means = [f"r_{n} / {float(size[a] * size[b])}" for n, (a, b) in regions.items()]
+        pick = f"(r_outer - r_core) / {float(ring_cells(c))}" if c.method == "ca" else f"{'greatest' if c.method.startswith('goca') else 'least'}({', '.join(means)})"
         noise = f"""{name}_r AS (SELECT *, {rows} FROM (SELECT *, {value} AS v FROM g)), {name}_c AS (SELECT *, {sums} FROM {name}_r), {name}_n AS (SELECT *, {pick} AS noise FROM {name}_c)"""
     return f"""{noise},
 {name} AS (SELECT signal_id, k, m, power, noise, noise * {factor(c)!r} AS threshold FROM {name}_n WHERE {inside} AND {value} {over} noise * {factor(c)!r})"""
@@ -180,7 +179,7 @@ SQL["detection_overview"] = ctes(MEMBER, INFO) + f"SELECT signal_id, cluster_id,
 SQL["stft_relational"] = SQL["stft_onesided"]
 for _name, _c in CFARS.items():
     _value = "sqrt(power)" if _c.value == "magnitude" else "power"
-    SQL[_name] = ctes(GRID, detection(_c, value=_value)) + f"SELECT signal_id, k, m, power, {rounded('noise threshold', 4)} FROM det"
+    SQL[_name] = ctes(GRID, detection(_c, value=_value)) + f"SELECT signal_id, k, m, power, {rounded('noise', 8)}, {rounded('threshold', 5)} FROM det"
 
 INVERSE = f"""h AS (SELECT g.signal_id, g.m, t.i, t.w, (CASE WHEN g.k IN (0, 16) THEN 1.0 ELSE 2.0 END) * (g.re * cos(2 * pi() * g.k * t.i / {L}) - g.im * sin(2 * pi() * g.k * t.i / {L})) / {L} AS x FROM g JOIN det d ON g.signal_id = d.signal_id AND g.k = d.k AND g.m = d.m, taps t),
 y AS (SELECT signal_id, m * {HOP} - 16 + i AS n, sum(x * w) * (SELECT sum(w) FROM taps) AS x FROM h GROUP BY 1, 2),
@@ -200,8 +199,8 @@ hx AS (SELECT s.*, lag, i // lag AS chunk FROM {source} s JOIN hn USING ({keys})
 hd AS (SELECT *, x - avg(x) OVER (PARTITION BY {keys}, lag, chunk) AS dv FROM hx),
 hy AS (SELECT *, sum(dv) OVER (PARTITION BY {keys}, lag, chunk ORDER BY i ROWS UNBOUNDED PRECEDING) AS y FROM hd),
 hc AS (SELECT {keys}, lag, (max(y) - min(y)) / stddev_pop(x) AS rs FROM hy GROUP BY {keys}, lag, chunk HAVING stddev_pop(x) > 1e-10),
-hl AS (SELECT {keys}, avg(rs) AS rs, row_number() OVER (PARTITION BY {keys} ORDER BY lag) + 1 AS at FROM hc GROUP BY {keys}, lag),
-hs AS (SELECT {keys}, count(*) AS c, regr_slope(ln(rs), ln(at)) AS s FROM hl GROUP BY ALL),
+hl AS (SELECT {keys}, avg(rs) AS rs, row_number() OVER (PARTITION BY {keys} ORDER BY lag) + 1 AS pos FROM hc GROUP BY {keys}, lag),
+hs AS (SELECT {keys}, count(*) AS c, regr_slope(ln(rs), ln(pos)) AS s FROM hl GROUP BY ALL),
 h AS (SELECT {keys}, CASE WHEN c >= 3 THEN greatest(0.0, least(1.0, s)) ELSE 0.5 END AS hurst FROM hn LEFT JOIN hs USING ({keys}))"""
 
 
@@ -211,13 +210,13 @@ TIMED = ctes(GRID, WINDOWS, hurst("win", "signal_id, win", BOOST.window // 4), f
 _tw, _ts, _half = BOOST.frames, BOOST.step, BOOST.band // 2
 SQL |= {
     "hurst_user": ctes(USERS, hurst("usr", "signal_id", 10)) + "SELECT signal_id, round(hurst, 6) + 0.0 AS hurst FROM h",
-    "higuchi_user": ctes(USERS, "n AS (SELECT signal_id, count(*) AS cnt FROM usr GROUP BY 1)", "d AS (SELECT signal_id, cnt, k, i % k AS m, abs(x - lag(x) OVER (PARTITION BY signal_id, k, i % k ORDER BY i)) AS d FROM usr JOIN n USING (signal_id), (SELECT unnest(range(1, 9)) AS k) WHERE cnt >= 16)", "l AS (SELECT signal_id, k, sum(d) * (cnt - 1) / (k * count(*) * k) AS l FROM d GROUP BY signal_id, k, m, cnt HAVING count(*) >= 2)", "b AS (SELECT signal_id, k, sum(l) / k AS lk FROM l GROUP BY 1, 2 HAVING sum(l) > 0)", "a AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY k) AS at FROM b)", "s AS (SELECT signal_id, count(*) AS c, -regr_slope(ln(lk), ln(at)) AS s FROM a GROUP BY 1)") + "SELECT signal_id, round(CASE WHEN c >= 3 THEN greatest(1.0, least(2.0, s)) ELSE 1.5 END, 6) + 0.0 AS dimension FROM n LEFT JOIN s USING (signal_id)",
+    "higuchi_user": ctes(USERS, "n AS (SELECT signal_id, count(*) AS cnt FROM usr GROUP BY 1)", "d AS (SELECT signal_id, cnt, k, i % k AS m, abs(x - lag(x) OVER (PARTITION BY signal_id, k, i % k ORDER BY i)) AS d FROM usr JOIN n USING (signal_id), (SELECT unnest(range(1, 9)) AS k) WHERE cnt >= 16)", "l AS (SELECT signal_id, k, sum(d) * (cnt - 1) / (k * count(*) * k) AS l FROM d GROUP BY signal_id, k, m, cnt HAVING count(*) >= 2)", "b AS (SELECT signal_id, k, sum(l) / k AS lk FROM l GROUP BY 1, 2 HAVING sum(l) > 0)", "a AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY k) AS pos FROM b)", "s AS (SELECT signal_id, count(*) AS c, -regr_slope(ln(lk), ln(pos)) AS s FROM a GROUP BY 1)") + "SELECT signal_id, round(CASE WHEN c >= 3 THEN greatest(1.0, least(2.0, s)) ELSE 1.5 END, 6) + 0.0 AS dimension FROM n LEFT JOIN s USING (signal_id)",
     "fractal_boost_time": TIMED + "SELECT signal_id, k, m FROM boost",
     "boosted_cells": TIMED + "SELECT signal_id, k, m FROM fin",
     "boost_stats": TIMED + "SELECT *, n_combined - n_cfar AS n_added, round(100.0 * (n_combined - n_cfar) / greatest(1, n_cfar), 6) + 0.0 AS boost_percent FROM (SELECT signal_id, count(*) FILTER (w = 1) AS n_cfar, count(*) FILTER (w = 2) AS n_fractal, count(*) FILTER (w = 3) AS n_combined FROM (SELECT signal_id, 1 AS w FROM det UNION ALL SELECT signal_id, 2 FROM boost UNION ALL SELECT signal_id, 3 FROM fin) GROUP BY 1)",
     "fractal_boost_tf": ctes(GRID, f"ser AS (SELECT signal_id, band, m, avg(ln(power + 1e-12)) AS x FROM g, (SELECT unnest(range(0, {K}, {BOOST.stride})) AS band) WHERE abs(k - band) <= {_half} GROUP BY 1, 2, 3)", f"win AS (SELECT signal_id, band, t0, m - t0 AS i, x FROM ser, (SELECT unnest(range(0, {M - _tw + 1}, {_ts})) AS t0) WHERE m >= t0 AND m < t0 + {_tw})", hurst("win", "signal_id, band, t0", max(8, _tw // 4)), f"bad AS (SELECT signal_id, band, t0 FROM (SELECT *, median(hurst) OVER (PARTITION BY signal_id, band) AS base FROM h) WHERE abs(hurst - base) > {BOOST.threshold})") + f"SELECT DISTINCT signal_id, k, m FROM g JOIN bad USING (signal_id) WHERE abs(k - band) <= {_half} AND m >= t0 AND m < t0 + {_tw}",
     "local_maxima": ctes(GRID, "a AS (SELECT *, max(power) OVER (PARTITION BY signal_id, k ORDER BY m ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS r FROM g)", "b AS (SELECT *, max(r) OVER (PARTITION BY signal_id, m ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS q FROM a)") + "SELECT signal_id, k, m, power FROM b WHERE power = q",
-    "classify_signature": "WITH t AS (SELECT p_partkey AS id, p_retailprice * 4 - 20 AS f FROM part), s(ord, name, lo, hi, fund, harm) AS (VALUES " + ", ".join(f"({o}, '{n}', {a}, {b}, {f}, {h})" for o, n, a, b, f, h, *_ in SIGNATURES) + "), x AS (SELECT id, ord, name, greatest(0.0, 1 - abs(f - fund) / fund) + 0.2 * len(list_filter(harm, lambda q: abs(f - q) < 0.1 * q)) AS score FROM t JOIN s ON f BETWEEN lo AND hi), y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS r FROM x WHERE score > 0) SELECT t.id, coalesce(name, 'unknown') AS aircraft_type, round(coalesce(least(1.0, score), 0.0), 6) + 0.0 AS confidence FROM t LEFT JOIN y ON t.id = y.id AND r = 1",
+    "classify_signature": "WITH t AS (SELECT p_partkey AS id, p_partkey % 1000 * 3.0 + 20 AS f FROM part), s(ord, name, lo, hi, fund, harm) AS (VALUES " + ", ".join(f"({o}, '{n}', {a}, {b}, {f}, {h})" for o, n, a, b, f, h, *_ in SIGNATURES) + "), x AS (SELECT id, ord, name, greatest(0.0, 1 - abs(f - fund) / fund) + 0.2 * len(list_filter(harm, lambda q: abs(f - q) < 0.1 * q)) AS score FROM t JOIN s ON f BETWEEN lo AND hi), y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS r FROM x WHERE score > 0) SELECT t.id, coalesce(name, 'unknown') AS aircraft_type, round(least(1.0, coalesce(score, 0.0)), 6) + 0.0 AS confidence FROM t LEFT JOIN y ON t.id = y.id AND r = 1",
     "distance_model": "WITH t AS (SELECT p_partkey AS id, 80 - 10 * log10(power(10.0, p_size / 5.0) + 1e-10) AS lost FROM part) SELECT id, round(CASE WHEN lost <= 0 THEN 50.0 ELSE greatest(10.0, least(20000.0, 100 * power(10.0, lost / 20))) END, 4) + 0.0 AS distance_m FROM t",
     "segment_stats": ctes(SIG, "x AS (SELECT signal_id, n // 24 AS seg, n % 24 AS c, re, re > 1.5 * avg(re) OVER (PARTITION BY signal_id) AS loud FROM sig)", "o AS (SELECT *, row_number() OVER (PARTITION BY signal_id, seg ORDER BY re DESC, c) AS r FROM x WHERE loud)", "s AS (SELECT signal_id, seg, count(*) FILTER (loud) AS nc, coalesce(sum(re) FILTER (loud), 0.0) AS e FROM x GROUP BY 1, 2)", "j AS (SELECT s.*, o.c - 12.0 AS f FROM s LEFT JOIN o ON s.signal_id = o.signal_id AND s.seg = o.seg AND r = 1)") + "SELECT signal_id, count(*) AS n_segments, round(avg(nc), 6) + 0.0 AS mean_components, round(stddev_pop(nc), 6) + 0.0 AS std_components, round(sum(e), 6) + 0.0 AS total_energy, count(*) FILTER (nc > 0) AS detection_segments, count(f) AS n_detections_with_doppler, round(avg(f), 6) + 0.0 AS mean_doppler_freq_hz, round(avg(f * 3e8 / (2 * 9.39e9)), 6) + 0.0 AS mean_velocity_mps, round(100.0 * count(*) FILTER (nc > 0) / count(*), 6) + 0.0 AS detection_percent FROM j GROUP BY 1",
     "snr_rollup": "SELECT CAST(user_id % 6 * 5 + 5 AS INT) AS snr_db, round(avg(CASE WHEN event_id % 7 > 0 THEN value ELSE -10.0 END), 5) + 0.0 AS rqf_mean, round(stddev_pop(CASE WHEN event_id % 7 > 0 THEN value ELSE -10.0 END), 5) + 0.0 AS rqf_std, round(avg(CASE WHEN event_id % 7 > 0 THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS detection_rate, count(*) AS n_simulations FROM events GROUP BY 1",

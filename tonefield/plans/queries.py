@@ -170,7 +170,7 @@ def level_marginals(spark, d):
 def _cfar(c: Cfar) -> Query:
     def q(spark, d):
         x = cfar.detect(grid(spark, d), c).where("detected")
-        return x.select("signal_id", "k", "m", "power", r("noise", 4).alias("noise"), r("threshold", 4).alias("threshold"))
+        return x.select("signal_id", "k", "m", "power", r("noise", 8).alias("noise"), r("threshold", 5).alias("threshold"))
 
     return q
 
@@ -387,9 +387,9 @@ def triangle_components(spark, d):
 
 
 def _tones(spark: SparkSession, d: str) -> DataFrame:
-    """Components with frequencies from prices and energies from balances, to classify and range."""
+    """Components with frequencies from keys and energies from sizes, to classify and range."""
     p = signals.table(spark, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") * 4 - F.lit(20.0)).alias("centroid_freq"), F.pow(F.lit(10.0), F.col("p_size") / 5.0).alias("energy"))
+    return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 1000 * 3.0 + 20.0).alias("centroid_freq"), F.pow(F.lit(10.0), F.col("p_size") / 5.0).alias("energy"))
 
 
 @query
