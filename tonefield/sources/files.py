@@ -124,7 +124,7 @@ def write_json(df: DataFrame, path: str, leave_out: tuple[str, ...] = ()) -> Non
 def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
     """CSV with a header; doubles with so many decimals."""
     if decimals is not None:
-        df = df.select(*[F.format_number(c, f"0.{'0' * decimals}").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+        df = df.select(*[F.format_string(f"%.{decimals}f", c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
     df.write.option("header", True).csv(path)
 
 
