@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .tapers import taper
 
@@ -48,6 +47,6 @@ def register(spark: SparkSession) -> None:
 
     spark.udf.register("hurst", hurst)
     spark.udf.register("rqf", rqf)
-    spark.udtf.register("stft", F.udtf(Stft, returnType=T.StructType().add("k", "int").add("m", "int").add("re", "double").add("im", "double")))
+    spark.udtf.register("stft", F.udtf(Stft, returnType="k int, m int, re double, im double"))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION doppler_velocity(hz DOUBLE) RETURNS DOUBLE RETURN hz * 3e8D / (2 * 9.39e9D)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION power_db(p DOUBLE) RETURNS DOUBLE RETURN 10 * log10(p + 1e-12D)")
