@@ -14,8 +14,8 @@ from .exact_dedup import BROADCAST_ROWS
 from .shared import connected_components, stored
 from .shingles import distinct
 
-#: Tokens whose frequency the order of tokens knows: at most so many (12 MB), the most frequent ones.
-FREQUENT = 1_000_000
+#: Tokens whose frequency the order of tokens knows: at most so many (8 MB), the most frequent ones.
+FREQUENT = 500_000
 #: A task tells of a token that it has met so often; what it holds at once before it tells.
 LOCAL, HELD = 4, 1 << 22
 #: Documents and tokens of a group, on average; queries that open a group in one call.
@@ -51,7 +51,13 @@ def frequent_tokens(docs: DataFrame, width: int) -> pd.DataFrame:
         yield told()
 
     counts = docs.select("text").mapInPandas(of, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "t").limit(FREQUENT).toPandas().sort_values("t")
+    counts = stored(counts.withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "frequent")
+    most, least = 0, 1 << 30
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        if most + r["count"] > FREQUENT:
+            break
+        most, least = most + r["count"], r["level"]
+    return counts.where(F.col("level") >= least).select("t", "n").toPandas().sort_values("t")
 
 
 def signatures(docs: DataFrame, width: int, percent: int, frequent: pd.DataFrame) -> DataFrame:
