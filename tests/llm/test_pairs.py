@@ -114,6 +114,48 @@ def test_passages(spark):
     assert substring.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def changed(rng, w, share, mixed):
+    """w with a share of its words substituted, or in equal parts substituted, left out and followed by another."""
+    out, at = [], set(rng.sample(range(len(w)), round(share * len(w))))
+    for i, x in enumerate(w):
+        kind = rng.randrange(3) if mixed else 0
+        out += [x] if i not in at else [["new" + str(rng.randrange(999))], [], [x, "more" + str(rng.randrange(999))]][kind]
+    return out
+
+
+@pytest.mark.parametrize(("n", "share", "mixed"), [(60, 0.1, False), (60, 0.15, False), (60, 0.1, True), (60, 0.15, True), (100, 0.15, True), (100, None, False)])
+def test_changed_passages_are_found(spark, n, share, mixed):
+    rng, rows = random.Random(21), []
+    for i in range(100):
+        p = words(rng, n)
+        q = changed(rng, p, share, mixed) if share else [x if k % 6 else "new" + str(k) for k, x in enumerate(p)]
+        rows += [(i, " ".join(words(rng, 30) + p + words(rng, 30))), (1000 + i, " ".join(words(rng, 50) + q + words(rng, 50)))]
+    out = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = {r["doc_id"] for r in out if r["sources"] == [r["doc_id"] - 1000] and abs(r["start"] - 50) <= 8 and r["similarity"] >= 0.8}
+    assert len(hit) >= 95, len(hit)
+    assert all(r["doc_id"] >= 1000 for r in out)
+
+
+def test_passage_quoted_piecemeal_before(spark):
+    rng = random.Random(22)
+    shared, rows = words(rng, 60), []
+    # each sentence of the passage was quoted before, in many documents of their own
+    for k in range(12):
+        rows += [(20 * k + i, " ".join(words(rng, 30) + shared[5 * k : 5 * k + 5] + words(rng, 30))) for i in range(12)]
+    rows += [(i, " ".join(words(rng, 40) + shared + words(rng, 40))) for i in (1000, 2000)]
+    # a source that has a line of the passage a second time, before it
+    again = words(rng, 60)
+    rows += [(3000, " ".join(again[20:40] + words(rng, 40) + again)), (4000, " ".join(words(rng, 40) + again))]
+    out = {r["doc_id"]: r for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(out) == {2000, 4000}
+    assert out[2000]["sources"] == [1000] and out[2000]["n_words"] >= 60 and out[4000]["sources"] == [3000] and out[4000]["n_words"] >= 60
+
+
+def test_long_pieces_of_different_sources_stay_apart():
+    assert substring.joined([(1, 0, 60, 48), (2, 70, 130, 48)]) == [(0, 60, 48, {1}), (70, 130, 48, {2})]
+    assert substring.joined([(1, 0, 30, 30), (2, 35, 65, 30)]) == [(0, 65, 60, {1, 2})]
+
+
 def test_chains_against_all_pairs(monkeypatch):
     monkeypatch.setattr(substring, "CUT", 1000)
     rng = np.random.default_rng(2)
