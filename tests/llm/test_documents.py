@@ -164,3 +164,24 @@ def test_personal_data(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df.dropDuplicates(["doc_id"])).collect()}
     assert "mary@corp.example" not in clean[300] and "Zanzibar" not in clean[300] and "[email]" in clean[300] and clean[0] == text[0]
     assert pii.personal_data(df.limit(0)).count() == 0
+
+
+def test_disclosing_terms_are_spanned_throughout(spark):
+    rng = random.Random(3)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = [(i, filler(30)) for i in range(200)]
+    # a name of three letters, a word behind padding, and both again 40 words later
+    rows += [(300 + i, f"{filler(12)} Lee {'-' * 500} Zanzibar mary@corp.example {'|' + ' ' * 600} Harbour {filler(40)} Zanzibar and Lee at Harbour") for i in range(5)]
+    # a text that holds the entity with the terms far from it only
+    rows += [(400, f"mary@corp.example {filler(40)} Zanzibar"), (401, f"mary@corp.example {filler(40)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    for i in (300, 301, 302, 303, 304, 400):
+        assert "[email]" in clean[i] and not any(x in clean[i] for x in ("Lee", "Zanzibar", "Harbour", "mary"))
+    assert clean[0] == dict(rows)[0] and clean[401] == dict(rows)[401].replace("mary@corp.example", "[email]")
+
+
+def test_contexts_by_words():
+    text = "w0aa w1aa w2aa w3aa w4aa w5aa w6aa w7aa w8aa w9aa ab w10a " + " " * 900 + "a@b.cc " + "of " + " ".join(f"v{i}aa" for i in range(12))
+    near = {text[x["start"] : x["end"]] for x in pii.contexts(text, pii.base_spans(text))}
+    assert near == {*(f"w{i}aa" for i in range(1, 10)), "ab", "w10a", "of", *(f"v{i}aa" for i in range(10))}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W_]{4,}")
+TERM = re.compile(r"[^\W_]{2,}")
 
-#: Words on either side of an entity that count as its context.
-WINDOW = 10
+#: Words of LONG letters or digits on either side of an entity up to which its context reaches; shorter ones between
+#: them belong to it.
+WINDOW, LONG = 10, 4
 #: Documents in which an entity and a term must meet before the term can disclose it.
 SUPPORT = 3
 #: Share of the entity's information that a term may reveal.
@@ -84,47 +87,98 @@ def entity(text: str, start: int, kind: int, end: int) -> int:
     return key(KINDS[kind], value)
 
 
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term), ordered, of the terms of the whole text, none of which lies in an entity."""
+    out, k, covered = [], 0, 0
+    for m in TERM.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            covered = max(covered, spans[k][2])
+            k += 1
+        if covered <= m.start():
+            out.append((m.start(), m.end(), m[0].lower()))
+    return out
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """The terms within WINDOW words of each entity, none of which lies in an entity."""
+    """The terms up to WINDOW long words from each entity, whatever lies between."""
+    terms = free_terms(text, spans)
+    starts = [a for a, *_ in terms]
+    before = list(accumulate((b - a >= LONG for a, b, _ in terms), initial=0))
     out = []
     for start, kind, end in spans:
         e = entity(text, start, kind, end)
-        # enough characters for the words, whatever lies between; a word that is cut off is left out
-        left = text[max(0, start - 400) : start]
-        before = list(TERM.finditer(left))[-WINDOW:]
-        after = list(TERM.finditer(text[end : end + 400]))[:WINDOW]
-        for m, base in [*((m, max(0, start - 400)) for m in before), *((m, end) for m in after)]:
-            a, b = m.start() + base, m.end() + base
-            cut = (a > 0 and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum())
-            if not cut and not any(x < b and a < y for x, _, y in spans):
-                word = m[0].lower()
-                out.append({"entity": e, "term": key("term", word), "stem": key("stem", word[:STEM]), "start": a, "end": b})
+        left, right = bisect_left(starts, start), bisect_left(starts, end)
+        lo = bisect_left(before, before[left] - WINDOW, 0, left + 1)
+        # of the places with so many long words before them the last; the next term is one too many
+        lo = max(bisect_right(before, before[lo]) - 1, 0) if before[left] >= WINDOW else 0
+        hi = bisect_left(before, before[right] + WINDOW, right)
+        for a, b, word in [*terms[lo:left], *terms[right : min(hi, len(terms))]]:
+            out.append({"entity": e, "term": key("term", word), "stem": stem_key(word), "start": a, "end": b})
     return out
 
 
+def stem_key(word: str) -> int:
+    """A word no longer than its stem would stay whole, so it counts as its own stem, which tells what it tells."""
+    return key("stem", word[:STEM]) if len(word) > STEM else key("term", word)
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, near): for each row its base spans and its entities' context terms."""
+    """(doc_id, base, near, entities, held): for each row its base spans, their entities and those' context terms, and the text if it has any."""
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             texts = [t if isinstance(t, str) else "" for t in p["text"]]
             base = [base_spans(t) for t in texts]
-            yield pd.DataFrame({"doc_id": p["doc_id"], "base": [[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base], "near": [contexts(t, x) if x else [] for t, x in zip(texts, base, strict=True)]})
+            entities = [sorted({entity(t, *x) for x in spans}) for t, spans in zip(texts, base, strict=True)]
+            yield pd.DataFrame({"doc_id": p["doc_id"], "base": [[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base], "near": [contexts(t, x) if x else [] for t, x in zip(texts, base, strict=True)], "entities": entities, "held": [t if x else None for t, x in zip(texts, base, strict=True)]})
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,stem:long,start:int,end:int>>"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,stem:long,start:int,end:int>>, entities array<long>, held string"
     return docs.select("doc_id", "text").mapInPandas(of, schema)
 
 
+def filter_bits(cells: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set where the longs h of cells, modulo their number, are."""
+    words = cells.select(F.pmod("h", F.lit(FILTER_BITS)).alias("c")).groupBy(F.floor(F.col("c") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(c % 64 AS INT))")).alias("b"))
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in words.toLocalIterator():
+        bits[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
+    return bits
+
+
+def occurrences(rows: DataFrame, tells: DataFrame) -> DataFrame:
+    """(rid, start, end, action): every place of a term, in the whole text, that discloses an entity which the text holds."""
+    bits = filter_bits(tells.select(F.col("entity").bitwiseXOR(F.col("term")).alias("h")))
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out: list[tuple[int, int, int, int, int]] = []
+            for rid, base, entities, t in zip(p["rid"], p["base"], p["entities"], p["held"], strict=True):
+                terms = free_terms(t, [(x["start"], x["kind"], x["end"]) for x in base])
+                names = {w: key("term", w) for _, _, w in terms}
+                some = np.fromiter(names.values(), np.int64, len(names))
+                own: dict[int, list[int]] = {}
+                for e in entities:
+                    c = (some ^ np.int64(e)) % FILTER_BITS
+                    for x in some[(bits[c >> 6] >> (c & 63).astype(np.uint64) & np.uint64(1)) > 0].tolist():
+                        own.setdefault(x, []).append(int(e))
+                out += [(rid, e, names[w], a, b) for a, b, w in terms for e in own.get(names[w], ())]
+                if len(out) > FLUSH:
+                    yield pd.DataFrame(out, columns=["rid", "entity", "term", "start", "end"])
+                    out = []
+            yield pd.DataFrame(out, columns=["rid", "entity", "term", "start", "end"])
+
+    held = rows.where("held IS NOT NULL").select("rid", "base", "entities", "held").mapInPandas(of, "rid long, entity long, term long, start int, end int")
+    # of several entities the one for which the term has to go decides: 'remove' is the greater
+    return held.join(tells, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("action").alias("action"))
+
+
 def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(h, n): in how many rows of docs each candidate (h) occurs, counted over all whole texts.
 
     Tasks skip what a filter of FILTER_BITS bits, built from the candidates, shows to be none; its size is
     fixed, however many candidates there are.
     """
-    cells = candidates.select(F.pmod("h", F.lit(FILTER_BITS)).alias("c")).groupBy(F.floor(F.col("c") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(c % 64 AS INT))")).alias("b"))
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in cells.toLocalIterator():
-        bits[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
+    bits = filter_bits(candidates)
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def passed(h: int) -> bool:
@@ -180,15 +234,15 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, counts of the base kinds, base_sha256, spans, and the spans as an array.
 
-    Base spans follow the patterns. Words of four letters or digits and more, within WINDOW words of an
-    entity, are spans of kind `term` where they disclose that entity over the corpus. Texts without an
-    entity get no span. A null text counts as empty; repeated rows count as documents of their own;
+    Base spans follow the patterns. Words of two letters or digits and more that disclose an entity over the
+    corpus, which is judged by what lies within WINDOW words of LONG letters or digits of it, are spans of kind
+    `term` wherever they stand in a text that holds that entity. Texts without an entity get no span. A null text counts as empty; repeated rows count as documents of their own;
     an empty table gives an empty result.
     """
     rows = stored(found(docs).withColumn("rid", F.monotonically_increasing_id()), "found")
     near = rows.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
     tells = stored(disclosing(docs, near), "disclosing")
-    more = near.join(tells, ["entity", "term"]).groupBy("rid").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", "action")).alias("more"))
+    more = occurrences(rows, tells).groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "action")).alias("more"))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("remove").alias("action")))
     spans = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>"))))
     name = F.array(*[F.lit(k) for k in KINDS])
