@@ -185,3 +185,18 @@ def test_contexts_by_words():
     text = "w0aa w1aa w2aa w3aa w4aa w5aa w6aa w7aa w8aa w9aa ab w10a " + " " * 900 + "a@b.cc " + "of " + " ".join(f"v{i}aa" for i in range(12))
     near = {text[x["start"] : x["end"]] for x in pii.contexts(text, pii.base_spans(text))}
     assert near == {*(f"w{i}aa" for i in range(1, 10)), "ab", "w10a", "of", *(f"v{i}aa" for i in range(10))}
+
+
+def test_other_languages_and_junk_are_rejected(spark):
+    rng = random.Random(6)
+    kinds = {"xx": "the and of that with ing ed".split(), "yy": "der die und nicht ein ung".split()}
+    rows = [(i, " ".join(rng.choice(kinds[k]) + rng.choice(["", "er", "en"]) for _ in range(60)), k, None, 0) for i in range(600) for k in ["xx" if i % 2 else "yy"]]
+    # rows of the sample that are junk, labelled as a language
+    rows += [(1000 + i, w, "xx", None, 0) for i, w in enumerate(["q", "zzz 9", "\u4e00\u4e8c " * 30])]
+    df = spark.createDataFrame(rows, DOC)
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyz", "hex": "0123456789abcdef", "han": "".join(chr(0x4E00 + i) for i in range(2000)), "cyrillic": "\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u043a\u043b\u043c\u043d\u043e\u043f\u0440"}
+    other = [(2000 + 50 * n + i, " ".join("".join(rng.choice(a) for _ in range(rng.randint(3, 9))) for _ in range(60))) for n, a in enumerate(letters.values()) for i in range(50)]
+    model = langid.learned(df)
+    out = {r["doc_id"]: r["rejected"] for r in langid.predict(spark.createDataFrame(other, "doc_id long, text string").union(df.select("doc_id", "text")), model).collect()}
+    assert np.mean([out[i] for i, _ in other]) >= 0.98
+    assert np.mean([out[i] for i in range(600)]) <= 0.01

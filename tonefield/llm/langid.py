@@ -17,6 +17,10 @@ from .shared import held_out, stored
 DIMS = 4096
 #: Bytes that are looked at together, so that a very long text needs no more memory than this.
 PIECE = 1 << 20
+#: Classes of texts by the binary logarithm of the number of different runs; a short text is far from any centroid.
+CLASSES = 14
+#: A class's cutoff is FACTOR x the QUANTILE of its sample's cosines, which BINS counters hold, if it has ENOUGH rows.
+QUANTILE, FACTOR, BINS, ENOUGH = 0.02, 0.75, 1000, 30
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that are no letters become a space; bytes of other characters stay.
 FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -48,7 +52,32 @@ class Model:
     langs: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    cutoff: np.ndarray  # a document whose cosine to its nearest centroid is below is rejected
+    cutoff: np.ndarray  # of each centroid and class of size: a document whose cosine is below is rejected
+
+    def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's nearest centroid, its cosine, and whether that is below the cutoff."""
+        v = vectors(texts, self.idf)
+        sim = v @ self.centroids.T
+        best = sim.argmax(1)
+        return best, sim.max(1), sim.max(1) < self.cutoff[best, classes(v)]
+
+
+def classes(v: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum((v > 0).sum(1), 1)).astype(np.int64)
+
+
+def cutoffs(histogram: np.ndarray) -> np.ndarray:
+    """The cutoff of each class, from the counts of its cosines (class, bin).
+
+    A class with few rows takes the cutoff of the next smaller one that has enough; those below all such, where
+    cosines fall with the root of the size, a cutoff that falls so too. With no class that has enough, all are one.
+    """
+    n = histogram.sum(1)
+    low = FACTOR * (histogram.cumsum(1) > QUANTILE * n[:, None]).argmax(1) / BINS
+    full = np.flatnonzero(n >= min(ENOUGH, n.max(initial=0)))
+    if not n.any():
+        return np.zeros(len(n))
+    return np.array([low[full[full <= k].max()] if k >= full[0] else low[full[0]] * 2.0 ** ((k - full[0]) / 2) for k in range(len(n))])
 
 
 def fit(docs: DataFrame, per_language: int = 3000, clusters: int = 3, rounds: int = 4) -> Model | None:
@@ -56,7 +85,7 @@ def fit(docs: DataFrame, per_language: int = 3000, clusters: int = 3, rounds: in
 
     Document frequencies are counted over all rows. The centroids come from spherical k-means over a bounded
     sample, per_language rows a language on average, chosen by hash; a language has `clusters` centroids.
-    A centroid's cutoff is half the least cosine that its sample documents have to it.
+    The cutoffs of a language come from a low quantile of its sample documents' cosines, for each class of size.
     """
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
 
@@ -88,12 +117,11 @@ def fit(docs: DataFrame, per_language: int = 3000, clusters: int = 3, rounds: in
     sample = stored(sample.mapInPandas(vectorised, "lang string, u long, v binary"), "language-sample")
     start = sample.groupBy("lang", F.pmod("u", F.lit(clusters)).alias("k")).agg(F.min_by("v", "u").alias("v")).orderBy("lang", "k").collect()
     langs, c = [r["lang"] for r in start], np.stack([np.frombuffer(r["v"], np.float32) for r in start])
-    low = np.ones(len(langs))
+    own = {x: np.array([i for i, y in enumerate(langs) if y == x]) for x in set(langs)}
     for _ in range(rounds):
 
         def assigned(parts: Iterator[pd.DataFrame], c=c) -> Iterator[pd.DataFrame]:
-            sums, n, least = np.zeros(c.shape), np.zeros(len(c), np.int64), np.ones(len(c))
-            own = {x: np.array([i for i, y in enumerate(langs) if y == x]) for x in set(langs)}
+            sums, n = np.zeros(c.shape), np.zeros(len(c), np.int64)
             for part in parts:
                 v = np.stack([np.frombuffer(b, np.float32) for b in part["v"]]) if len(part) else np.zeros((0, DIMS), np.float32)
                 for lang, rows in part.groupby("lang", sort=False).indices.items():
@@ -101,16 +129,25 @@ def fit(docs: DataFrame, per_language: int = 3000, clusters: int = 3, rounds: in
                     to = own[lang][sim.argmax(1)]
                     np.add.at(sums, to, v[rows])
                     np.add.at(n, to, 1)
-                    np.minimum.at(least, to, sim.max(1))
-            yield pd.DataFrame({"c": np.arange(len(c)), "n": n, "least": least, "v": list(sums)})
+            yield pd.DataFrame({"c": np.arange(len(c)), "n": n, "v": list(sums)})
 
-        parts = sample.mapInPandas(assigned, "c int, n long, least double, v array<double>").where("n > 0")
-        dim = parts.select("c", "n", "least", F.posexplode("v").alias("d", "x")).groupBy("c", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.min("least").alias("least"))
-        for r in dim.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v"), F.min("least").alias("least")).collect():
+        parts = sample.mapInPandas(assigned, "c int, n long, v array<double>").where("n > 0")
+        dim = parts.select("c", F.posexplode("v").alias("d", "x")).groupBy("c", "d").agg(F.sum("x").alias("x"))
+        for r in dim.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).collect():
             v = np.array([x["x"] for x in r["v"]])
             c[r["c"]] = v / max(np.linalg.norm(v), 1e-12)
-            low[r["c"]] = r["least"]
-    return Model(langs, c, idf, 0.5 * low)
+
+    def cosines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for lang, rows in part.groupby("lang", sort=False).indices.items():
+                v = np.stack([np.frombuffer(b, np.float32) for b in part["v"].iloc[rows]])
+                yield pd.DataFrame({"lang": lang, "k": classes(v), "bin": np.clip((v @ c[own[lang]].T).max(1) * BINS, 0, BINS - 1).astype(int)})
+
+    seen = {x: np.zeros((CLASSES, BINS), np.int64) for x in own}
+    for r in sample.mapInPandas(cosines, "lang string, k int, bin int").groupBy("lang", "k", "bin").count().toLocalIterator():
+        seen[r["lang"]][r["k"], r["bin"]] = r["count"]
+    of = {x: cutoffs(h) for x, h in seen.items()}
+    return Model(langs, c, idf, np.stack([of[x] for x in langs]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -130,10 +167,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 known = [i for i, t in enumerate(texts) if model and isinstance(t, str) and LETTER.search(t)]
                 lang, score, out = ["und"] * len(p), np.zeros(len(p)), np.ones(len(p), bool)
                 if known:
-                    sim = vectors([texts[i] for i in known], model.idf) @ model.centroids.T
-                    best = sim.argmax(1)
-                    score[known] = np.clip(sim.max(1), 0, 1)
-                    out[known] = sim.max(1) < model.cutoff[best]
+                    best, sim, out[known] = model.nearest([texts[i] for i in known])
+                    score[known] = np.clip(sim, 0, 1)
                     for i, b in zip(known, best, strict=True):
                         lang[i] = model.langs[b]
                 yield pd.DataFrame({"doc_id": p["doc_id"], "lang_pred": lang, "score": score, "rejected": out})
@@ -158,7 +193,7 @@ def identified(docs: DataFrame) -> DataFrame:
                 texts = list(p["text"])
                 known = [i for i, t in enumerate(texts) if model and isinstance(t, str) and LETTER.search(t)]
                 if known:
-                    sim = vectors([texts[i] for i in known], model.idf) @ model.centroids.T
-                    yield p.iloc[[i for i, s, b in zip(known, sim.max(1), sim.argmax(1), strict=True) if s >= model.cutoff[b]]][columns]
+                    far = model.nearest([texts[i] for i in known])[2]
+                    yield p.iloc[[i for i, x in zip(known, far, strict=True) if not x]][columns]
 
     return docs.mapInPandas(kept, docs.schema)
