@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, stored
+from .shared import held_out, stored, with_texts
 
 #: Dimensions of the hashed n-gram space.
 DIMS = 4096
@@ -21,7 +21,6 @@ PIECE = 1 << 20
 CLASSES = 14
 #: A class's cutoff is FACTOR x the QUANTILE of its sample's cosines, which BINS counters hold, if it has ENOUGH rows.
 QUANTILE, FACTOR, BINS, ENOUGH = 0.02, 0.75, 1000, 30
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that are no letters become a space; bytes of other characters stay.
 FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -150,6 +149,21 @@ def fit(docs: DataFrame, per_language: int = 3000, clusters: int = 3, rounds: in
     return Model(langs, c, idf, np.stack([of[x] for x in langs]))
 
 
+GUESS = {"lang_pred": pa.string(), "score": pa.float64(), "rejected": pa.bool_()}
+
+
+def guessed(texts: list[str | None], model: Model | None) -> dict:
+    """The columns of GUESS for each text. A letter is a character of a letter category: no numeral, mark or symbol."""
+    known = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
+    lang, score, out = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    if known:
+        best, sim, out[known] = model.nearest([texts[i] for i in known])
+        score[known] = np.clip(sim, 0, 1)
+        for i, b in zip(known, best, strict=True):
+            lang[i] = model.langs[b]
+    return {"lang_pred": lang, "score": score, "rejected": out}
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score and rejected for each row of docs (doc_id, text).
 
@@ -159,21 +173,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     Repeated rows are predicted alike; an empty table gives an empty result.
     """
 
-    def predicted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for at in range(0, len(part), 256):
-                p = part.iloc[at : at + 256]
-                texts = list(p["text"])
-                known = [i for i, t in enumerate(texts) if model and isinstance(t, str) and LETTER.search(t)]
-                lang, score, out = ["und"] * len(p), np.zeros(len(p)), np.ones(len(p), bool)
-                if known:
-                    best, sim, out[known] = model.nearest([texts[i] for i in known])
-                    score[known] = np.clip(sim, 0, 1)
-                    for i, b in zip(known, best, strict=True):
-                        lang[i] = model.langs[b]
-                yield pd.DataFrame({"doc_id": p["doc_id"], "lang_pred": lang, "score": score, "rejected": out})
-
-    return docs.select("doc_id", "text").mapInPandas(predicted, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
+    return with_texts(docs, ["doc_id"], lambda texts: guessed(texts, model), GUESS)
 
 
 def learned(docs: DataFrame) -> Model | None:
@@ -182,18 +182,7 @@ def learned(docs: DataFrame) -> Model | None:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the model of their own learning part rejects."""
+    """docs without the rows that the model of their own learning part rejects; all columns pass unchanged."""
     model = learned(docs)
-    columns = docs.columns
-
-    def kept(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for at in range(0, len(part), 256):
-                p = part.iloc[at : at + 256]
-                texts = list(p["text"])
-                known = [i for i, t in enumerate(texts) if model and isinstance(t, str) and LETTER.search(t)]
-                if known:
-                    far = model.nearest([texts[i] for i in known])[2]
-                    yield p.iloc[[i for i, x in zip(known, far, strict=True) if not x]][columns]
-
-    return docs.mapInPandas(kept, docs.schema)
+    judged = with_texts(docs, docs.columns, lambda texts: {"__rejected": guessed(texts, model)["rejected"]}, {"__rejected": pa.bool_()})
+    return judged.where(~F.col("__rejected")).drop("__rejected")

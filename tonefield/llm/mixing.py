@@ -20,7 +20,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     Targets share `share` of all sizes by weight; none is over `most` times its source's size, and what is
     above is shared again by weight among the rest. That ends where target = min(cap, level x weight), so the
-    level is found from running sums over the sources by cap / weight. One row per source, no documents.
+    level is found from running sums over the sources by cap / weight. One row per source, no documents: the
+    windows hold the sources in one task, millions of them at most, which no corpus has.
     """
     by_code = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     s = sizes.withColumn("sid", F.row_number().over(by_code) - 1)
@@ -113,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
 
 def mixed_documents(docs: DataFrame, seed: int = 20240229, **how) -> DataFrame:
     """docs with each row as often as the mix takes it; a row that is taken no times goes."""
-    picks = mix(docs, seed=seed, **how).where("copies > 0").select(F.col("uid").alias("__u"), F.col("doc_id").alias("__d"), "copies").distinct()
+    picks = mix(docs, seed=seed, **how).where("copies > 0").select(F.col("uid").alias("__u"), F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("copies").alias("__n")).distinct()
     marked = docs.withColumn("__uid", F.xxhash64("doc_id", "text", F.lit(seed)))
-    hit = (F.col("__uid") == F.col("__u")) & F.col("doc_id").eqNullSafe(F.col("__d"))
-    return marked.join(picks, hit).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__uid", "__u", "__d", "copies", "__i")
+    hit = (F.col("__uid") == F.col("__u")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s"))
+    return marked.join(picks, hit).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in docs.columns])

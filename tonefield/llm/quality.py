@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, stored
+from .shared import held_out, stored, with_texts
 
 NAMES = ("bytes", "words", "lines", "word_length", "word_spread", "lower", "upper", "digit", "marks", "odd", "not_ascii", "space", "distinct", "top_word", "repeated_pairs", "repeated_lines", "line_words", "short_words", "shouting", "marked_words", "sentences", "same_neighbour")
 #: Random features, their scale and the ridge.
@@ -43,11 +44,7 @@ def statistics(text: str | None) -> list[float]:
 def document_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the statistics of every row of docs (doc_id, text)."""
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "x": [np.nan_to_num(np.asarray(statistics(t if isinstance(t, str) else None), float)) for t in p["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(of, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>")
+    return with_texts(docs, ["doc_id"], lambda texts: {"x": [np.nan_to_num(np.asarray(statistics(t), float)) for t in texts]}, {"x": pa.list_(pa.float64())})
 
 
 class Model:
@@ -133,9 +130,11 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     rows = stored(stats.join(y, "doc_id").select("x", "y"), "labelled")
     model = fit(rows)
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "score": model.score(stacked(p)) if model else np.full(len(p), 0.5)})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").to_pylist()
+            score = model.score(np.array(x)) if model and x else np.full(len(x), 0.5)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    out = stats.mapInPandas(of, f"doc_id {dict(stats.dtypes)['doc_id']}, score double")
+    out = stats.mapInArrow(of, f"doc_id {dict(stats.dtypes)['doc_id']}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of every contract here, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Texts that are Python strings at once in a task.
+TEXTS = 256
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that all executors and the driver see: spark.checkpoint.dir; a new local one serves on one machine only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -32,6 +41,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spark_type(t: pa.DataType) -> T.DataType:
+    if pa.types.is_list(t):
+        return T.ArrayType(spark_type(t.value_type))
+    if pa.types.is_struct(t):
+        return T.StructType([T.StructField(f.name, spark_type(f.type)) for f in t])
+    plain = {pa.int32(): T.IntegerType(), pa.int64(): T.LongType(), pa.float64(): T.DoubleType(), pa.bool_(): T.BooleanType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType()}
+    return plain[t]
+
+
+def with_texts(df: DataFrame, keep: list[str], of: Callable[[list[str | None]], dict], more: dict[str, pa.DataType], text: str = "text") -> DataFrame:
+    """The columns `keep` of df beside the columns `more` that `of` makes of the texts, at most TEXTS at a time.
+
+    Kept columns pass as they came, as Arrow arrays: no null among ids turns whole numbers into rounded ones.
+    """
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(c, spark_type(t)) for c, t in more.items()])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                made = of(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(made[c], t) for c, t in more.items())], [*keep, *more])
+
+    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(mapped, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that nothing may be learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

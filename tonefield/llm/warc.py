@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,13 +54,13 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def page_record(page_id, url: str | None, html: str | None, first_id, first_url: str | None, is_first: bool) -> bytes:
+def page_record(page_id: str | None, url: str | None, html: str | None, first_id: str | None, first_url: str | None, is_first: bool) -> bytes:
     payload = (html or "").encode("utf-8", "replace")
-    fields = [("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", header_value(url)), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http;msgtype=response"), ("X-Page-Id", "" if page_id is None else str(page_id))]
+    fields = [("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", header_value(url)), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http;msgtype=response"), ("X-Page-Id", page_id or "")]
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if is_first:
         return record("response", fields, block + payload)
-    refers = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first_id)), ("WARC-Refers-To-Target-URI", header_value(first_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", str(first_id))]
+    refers = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first_id)), ("WARC-Refers-To-Target-URI", header_value(first_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", first_id or "")]
     return record("revisit", fields + refers, block)
 
 
@@ -70,7 +71,7 @@ def dictionary(pages: DataFrame) -> bytes:
     """
     fit, u = pages.where(F.length("html").between(1, SAMPLE_CHARS)), F.xxhash64("html", "page_id") / F.lit(2.0**64) + 0.5
     some = fit.where(u < 4 * SAMPLES / max(1, fit.count())).select("html", "page_id").orderBy(F.xxhash64("html", "page_id"), "page_id").limit(SAMPLES).collect()
-    records = [page_record(r["page_id"], None, r["html"], None, None, True) for r in some]
+    records = [page_record(str(r["page_id"]), None, r["html"], None, None, True) for r in some]
     try:
         return zstandard.train_dictionary(DICTIONARY, records).as_bytes() if records else b""
     except zstandard.ZstdError:  # too little to train on: the records themselves serve
@@ -113,26 +114,29 @@ class Writer:
 def written(pages: DataFrame, folder: str) -> DataFrame:
     """(path, records, bytes) of the archives that hold pages (page_id, url, html).
 
-    Of equal payloads the smallest page_id is the response, and rows that repeat that id; the others revisit
-    it and hold no payload. A null html is an empty payload. A null id comes after all others; where a payload
-    has no other id its rows are responses. Each task writes archives of its own into the folder, which all
+    Of equal payloads (of the same length, SHA-256 and SHA-1) the smallest page_id is the response, and rows that
+    repeat that id; the others revisit it and hold no payload. A null html is an empty payload. A null id comes
+    after all others; where a payload has no other id its rows are responses. Ids are text in a task, so that they
+    stay exact. Each task writes archives of its own into the folder, which all
     executors must see; the table lists those of the tasks that were finished, so one that a lost executor
     left behind is never read.
     """
-    pages = pages.select("page_id", "url", "html").withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    firsts = pages.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    pages = pages.select("page_id", "url", "html").withColumn("payload", F.concat_ws(":", F.sha2(payload, 256), F.sha1(payload), F.length(payload)))
+    firsts = pages.groupBy("payload").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
     firsts = stored(firsts.where("n > 1").drop("n"), "firsts")
-    rows = pages.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, "sha", "left").drop("sha")
+    rows = pages.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, "payload", "left")
+    is_first = F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
+    rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("first_id").cast("string").alias("first_id"), "first_url", is_first.alias("is_first"))
     words = dictionary(pages)
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = None
         for p in parts:
-            for r in p.to_dict("records"):
-                page, first = (None if pd.isna(r[k]) else int(r[k]) for k in ("page_id", "first_id"))
-                text = lambda x: x if isinstance(x, str) else None
+            for r in p.itertuples(index=False):
+                page, url, html, first, first_url = (x if isinstance(x, str) else None for x in r[:5])
                 out = out or Writer(folder, words)
-                out.put(page_record(page, text(r["url"]), text(r["html"]), first, text(r["first_url"]), first is None or page == first))
+                out.put(page_record(page, url, html, first, first_url, bool(r[5])))
                 if out.bytes > ARCHIVE:
                     yield pd.DataFrame([out.close()])
                     out = None
@@ -170,9 +174,11 @@ def read(archives: DataFrame) -> DataFrame:
     The digest of a response is computed from the payload that was read and must be the one in its header.
     """
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for path in p["path"]:
+    schema = pa.schema({"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "html": pa.string()})
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
                 some: list[dict] = []
                 size = 0
                 for h, block in records(path):
@@ -186,16 +192,12 @@ def read(archives: DataFrame) -> DataFrame:
                     some.append({"page_id": int(h["X-Page-Id"]) if h["X-Page-Id"] else None, "url": h["WARC-Target-URI"], "payload_bytes": n, "payload_digest": said, "record_type": h["WARC-Type"], "refers_to": None if whole else int(h["X-Refers-To-Page-Id"]), "html": payload.decode() if whole else None})
                     size += len(payload)
                     if size > READ:
-                        yield frame(some)
+                        yield pa.RecordBatch.from_pylist(some, schema)
                         some, size = [], 0
                 if some:
-                    yield frame(some)
-
-    def frame(some: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(some)
-        return out.assign(page_id=out["page_id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
+                    yield pa.RecordBatch.from_pylist(some, schema)
 
-    return archives.select("path").mapInPandas(of, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    return archives.select("path").mapInArrow(of, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
 def archived(spark: SparkSession, pages: DataFrame) -> DataFrame:
