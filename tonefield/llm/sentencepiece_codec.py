@@ -11,18 +11,51 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .shared import with_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: No piece has a space mark after another character, so all paths meet where such a mark follows one.
+#: No piece has a space mark after another character, so all paths meet where such a mark follows one. What lies
+#: between two such boundaries is searched once and remembered.
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Longest chunk whose ids are remembered, and how many; characters between looks for a common boundary.
-REMEMBER, REMEMBERED, LOOK = 32, 600_000, 64
+#: Bytes of searched chunks, and again of pairs of pieces, that a worker remembers; what one entry takes besides its text.
+REMEMBERED, ENTRY = 80 << 20, 220
+
+
+def model_kind(proto: bytes) -> int:
+    """model_type of a model file (1: unigram, 2: BPE, 3: word, 4: char): field 3 of the trainer's specification, field 2."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            value, shift = 0, 0
+            while True:
+                byte = data[at]
+                at += 1
+                value |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    return value
+
+        while at < len(data):
+            tag = number()
+            if tag & 7 == 0:
+                yield tag >> 3, number()
+            else:
+                n = {1: 8, 5: 4}.get(tag & 7) or number()
+                yield tag >> 3, data[at : at + n]
+                at += n
+
+    trainer = next((v for k, v in fields(proto) if k == 2), b"")
+    return next((v for k, v in fields(trainer) if k == 3), 1)
 
 
 class Pieces:
@@ -32,6 +65,8 @@ class Pieces:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if model_kind(m.serialized_model_proto()) != 2:
+            raise ValueError(f"{model_file} is not of the BPE kind, the only one whose encoding this search gives")
         ids = range(m.vocab_size())
         self.piece = [m.id_to_piece(i) for i in ids]
         self.byte = {int(self.piece[i][3:5], 16): i for i in ids if m.is_byte(i)}
@@ -43,7 +78,6 @@ class Pieces:
         self.key = zlib.crc32("\n".join(self.piece).encode())
         order = sorted(self.id, key=lambda x: -self.score[x])
         self.rank = {x: k for k, x in enumerate(order) if len(x) > 1}
-        self.starts = {x[:k] for x in self.rank for k in range(2, len(x) + 1)}
         #: The two parts that the merges join last when a piece stands alone; none for a piece that they never make.
         self.split = {x: y for x in self.rank if (y := self.halves(x))}
 
@@ -59,9 +93,30 @@ class Pieces:
         return pair
 
 
+class Searched(dict):
+    """The ids of each chunk, searched when it is first asked for."""
+
+    def __init__(self, codec: "Codec"):
+        self.codec = codec
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.codec.searched(chunk)
+        self[chunk] = ids
+        return ids
+
+
 class Codec:
     def __init__(self, pieces: Pieces):
-        self.p, self.known, self.pairs, self.held = pieces, {}, {}, 0
+        self.p, self.known, self.pairs, self.held, self.tied = pieces, Searched(self), {}, 0, 0
+        #: By first character, then by each that follows: the piece that ends there, or None, and what may follow.
+        self.trie: dict[str, dict] = {}
+        for x in pieces.rank:
+            node = self.trie.setdefault(x[0], {})
+            for c in x[1:-1]:
+                node = node.setdefault(c, (None, {}))[1]
+            node[x[-1]] = (x, node[x[-1]][1] if x[-1] in node else {})
+        own = {i: bytes([b]) for b, i in pieces.byte.items()}
+        self.bytes = [own.get(i) or (b"" if i in pieces.special else piece.encode()) for i, piece in enumerate(pieces.piece)]
 
     def stay(self, a: str, b: str) -> bool:
         """Whether the merges leave the pieces a and b as they are when b follows a; a may be empty.
@@ -86,86 +141,70 @@ class Codec:
             else:
                 y, until = split[y][0], ry + 0.5
 
-    def short(self, text: str) -> list[str]:
-        """The pieces of a text that the window holds whole."""
-        starts, vocabulary, n, pairs = self.p.starts, self.p.rank, len(text), self.pairs
-        last = [""] + [None] * n
-        for at in range(n):
-            before = last[at]
-            if before is None:
-                before = last[at] = text[at - 1]
-            end = at + 2
-            piece = text[at:end]
-            if piece not in starts or end > n:
-                continue
-            known = pairs.get(before)
-            if known is None:
-                known = pairs[before] = {}
-            while end <= n and piece in starts:
-                if last[end] is None and piece in vocabulary:
-                    ok = known.get(piece)
-                    if ok is None:
-                        ok = known[piece] = self.stay(before, piece)
-                        self.held += 1
-                    if ok:
-                        last[end] = piece
-                end += 1
-                piece = text[at:end]
-        if self.held > REMEMBERED:
-            pairs.clear()
-            self.held = 0
-        if n and last[n] is None:
-            last[n] = text[n - 1]
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
-
-    def stream(self, text: Iterable[str]) -> Iterator[str]:
-        """The pieces of text, given by characters, as soon as they are certain.
-
-        The window holds a survivor for each boundary since the last committed one. Pieces are committed
-        up to the boundary that the paths of all boundaries share from which a piece could still start.
+    def stream(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, in order, as soon as they are certain.
+
+        The window holds, for each boundary since the committed one, the last piece of the path that survives
+        there. Whenever it has two lengths of the longest piece, the paths from which a piece can still start are
+        followed back; what precedes the boundary on which all converge is committed and leaves the window.
         """
-        window: list[str] = []  # characters since the committed boundary
-        last: list[str] = [""]  # by boundary: the last piece of its path
-        longest, vocabulary = self.p.longest, self.p.id
+        trie, pairs, longest, n = self.trie, self.pairs, self.p.longest, len(text)
+        base, look = 0, 2 * longest
+        last: list[str | None] = [""] + [None] * min(n, 3 * longest)
 
-        def commit(to: int) -> list[str]:
+        def path(to: int) -> list[str]:
             out = []
             while to > 0:
-                out.append(last[to])
-                to -= len(last[to])
-            return out[::-1]
-
-        for c in text:
-            if c == SPACE and window and window[-1] != SPACE:
-                yield from commit(len(window))
-                window, last = [], [""]
-            window.append(c)
-            n = len(window)
-            run = "".join(window[-longest:])
-            chosen = c
-            for size in range(min(longest, n), 1, -1):
-                piece = run[-size:]
-                # the committed piece before the window is kept in last[0]
-                if piece in vocabulary and self.stay(last[n - size], piece):
-                    chosen = piece
-                    break
-            last.append(chosen)
-            if n % LOOK == 0 and n > longest:
-                alive = set(range(n - longest + 1, n + 1))
+                piece = last[to]
+                out.append(piece)
+                to -= len(piece)
+            out.reverse()
+            return out
+
+        k = -1
+        for at, first in enumerate(text):
+            k += 1
+            before = last[k]
+            if before is None:
+                before = last[k] = text[at - 1]
+            if k >= look:
+                alive = {k, *(i for i in range(k + 1, len(last)) if last[i] is not None)}
                 while len(alive) > 1:
                     top = max(alive)
                     alive.discard(top)
                     alive.add(top - len(last[top]))
                 to = alive.pop()
                 if to > 0:
-                    out = commit(to)
-                    yield from out
-                    window, last = window[to:], [out[-1], *last[to + 1 :]]
-        yield from commit(len(window))
+                    yield path(to)
+                    base, last, k = base + to, last[to:], k - to
+                look = k + longest
+                last += [None] * min(n - base + 1 - len(last), 3 * longest)
+            node = trie.get(first)
+            if node is None:
+                continue
+            j, known = k + 1, None
+            for c in text[at + 1 : at + longest]:
+                step = node.get(c)
+                if step is None:
+                    break
+                j += 1
+                piece, node = step
+                if piece is not None and last[j] is None:
+                    if known is None:
+                        known = pairs.get(before)
+                        if known is None:
+                            known = pairs[before] = {}
+                            self.tied += 1
+                    ok = known.get(piece)
+                    if ok is None:
+                        ok = known[piece] = self.stay(before, piece)
+                        self.tied += 1
+                    if ok:
+                        last[j] = piece
+        if n:
+            if last[n - base] is None:
+                last[n - base] = text[n - 1]
+            yield path(n - base)
 
     def ids(self, piece: str) -> list[int]:
         i = self.p.id.get(piece)
@@ -174,28 +213,28 @@ class Codec:
         data = piece.encode("utf-8", "replace")
         return [self.p.byte[b] for b in data] if self.p.byte else [self.p.unknown]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        known = self.known
-        for chunk in CHUNK.findall(SPACE + text.replace(" ", SPACE)):
-            got = known.get(chunk)
-            if got is None:
-                got = [i for piece in (self.short if len(chunk) <= REMEMBER else self.stream)(chunk) for i in self.ids(piece)]
-                if len(chunk) <= REMEMBER:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[chunk] = got
-            out += got
-        return out
+    def searched(self, chunk: str) -> bytes:
+        self.held += ENTRY + 3 * len(chunk)
+        if self.held > REMEMBERED:
+            self.known.clear()
+            self.held = 0
+        if self.tied * ENTRY > REMEMBERED:
+            self.pairs.clear()
+            self.tied = 0
+        one, of = self.p.id, []
+        for pieces in self.stream(chunk):
+            for piece in pieces:
+                i = one.get(piece)
+                of += self.ids(piece) if i is None else (i,)
+        return pack(f"{len(of)}i", *of)
+
+    def encode(self, text: str) -> np.ndarray:
+        chunks = CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text: bytes joined, marks as spaces, without the space that encoding put first."""
-        values = {i: bytes([b]) for b, i in self.p.byte.items()}
-        piece = self.p.piece
-        data = b"".join(values.get(i) or (b"" if i in self.p.special else piece[i].encode()) for i in ids)
-        return data.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
 #: By vocabulary, for the life of a worker: tasks that follow find the chunks of those before.
@@ -203,7 +242,9 @@ _codecs: dict[int, Codec] = {}
 
 
 def codec_of(pieces: Pieces) -> Codec:
-    return _codecs.setdefault(pieces.key, Codec(pieces))
+    if pieces.key not in _codecs:
+        _codecs[pieces.key] = Codec(pieces)
+    return _codecs[pieces.key]
 
 
 def encoded(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
@@ -215,26 +256,23 @@ def encoded(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     """
     pieces = Pieces(model_file)
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(texts: list[str | None]) -> dict:
         codec = codec_of(pieces)
-        for p in parts:
-            for at in range(0, len(p), 512):
-                q = p.iloc[at : at + 512]
-                texts = [t if isinstance(t, str) else None for t in q["text"]]
-                ids = [None if t is None else codec.encode(t) for t in texts]
-                same = [None if t is None else codec.decode(i) == t for t, i in zip(texts, ids, strict=True)]
-                yield pd.DataFrame({"doc_id": q["doc_id"], "ids": [None if i is None else np.array(i, np.int32) for i in ids], "n_tokens": [len(i or ()) for i in ids], "round_trip": same})
+        ids = [None if t is None else codec.encode(t) for t in texts]
+        same = [None if t is None else codec.decode(i.tolist()) == t for t, i in zip(texts, ids, strict=True)]
+        return {"ids": ids, "n_tokens": [0 if i is None else len(i) for i in ids], "round_trip": same}
 
-    return docs.select("doc_id", "text").mapInPandas(of, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, n_tokens long, round_trip boolean")
+    return with_texts(docs, ["doc_id"], of, {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "round_trip": pa.bool_()})
 
 
 def decoded(tokens: DataFrame, model_file: str = MODEL) -> DataFrame:
     """doc_id, text for each row of tokens (doc_id, ids); null ids have a null text."""
     pieces = Pieces(model_file)
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(pieces)
-        for p in parts:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "text": [None if i is None else codec.decode(i) for i in p["ids"]]})
+        for b in batches:
+            text = [None if i is None else codec.decode(i) for i in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", F.col("ids")).mapInPandas(of, f"doc_id {dict(tokens.dtypes)['doc_id']}, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(of, f"doc_id {dict(tokens.dtypes)['doc_id']}, text string")
