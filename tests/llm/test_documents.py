@@ -74,9 +74,12 @@ def test_pieces_are_the_librarys(spark):
     for t in texts:
         ids = codec.encode(t)
         assert ids == lib.encode(t) and codec.decode(ids) == t
-    for t in texts[8:200]:  # the stream commits what the whole search finds
-        chunk = t.replace(" ", "▁")[:30]
-        assert list(codec.stream(chunk)) == [p for c in sentencepiece_codec.CHUNK.findall(chunk) for p in codec.short(c)]
+    for t in texts:  # every chunk went through the stream, which commits pieces in several steps where a chunk is long
+        for chunk in sentencepiece_codec.CHUNK.findall("▁" + t.replace(" ", "▁")):
+            steps = list(codec.stream(chunk))
+            assert "".join(x for pieces in steps for x in pieces) == chunk
+            assert len(chunk) < 200 or len(steps) > len(chunk) / 64
+            assert codec.known[chunk] == np.array([i for pieces in steps for x in pieces for i in codec.ids(x)], np.int32).tobytes()
     rows = [(i, t) for i, t in enumerate(texts[:20])] + [(50, None), (50, None), (51, "▁")]
     out = {r["doc_id"]: r for r in sentencepiece_codec.encoded(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[50]["ids"] is None and out[50]["n_tokens"] == 0 and out[51]["round_trip"] is False and out[0]["ids"] == []
@@ -200,3 +203,51 @@ def test_other_languages_and_junk_are_rejected(spark):
     out = {r["doc_id"]: r["rejected"] for r in langid.predict(spark.createDataFrame(other, "doc_id long, text string").union(df.select("doc_id", "text")), model).collect()}
     assert np.mean([out[i] for i, _ in other]) >= 0.98
     assert np.mean([out[i] for i in range(600)]) <= 0.01
+
+
+def test_other_kinds_of_models_are_refused(tmp_path, monkeypatch):
+    import sentencepiece
+
+    assert sentencepiece_codec.model_kind(b"") == 1 and sentencepiece_codec.model_kind(b"\x12\x04\x1a\x00\x18\x02") == 2
+    unigram = type("Unigram", (), {"__init__": lambda self, model_file: None, "serialized_model_proto": lambda self: b"\x12\x02\x18\x01"})
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", unigram)
+    with pytest.raises(ValueError, match="BPE"):
+        sentencepiece_codec.Pieces()
+
+
+BIG = 2**53 + 1
+
+
+def test_ids_stay_exact(spark):
+    """Ids beyond 2^53, beside a null one, through every operator that runs Python."""
+    text = [("plain words of a text that says something " * 3 + str(i)) for i in range(4)]
+    rows = [(BIG, text[0], "en"), (BIG + 2, text[1], "en"), (None, text[2], "en"), (7, "½ ² ① Ⅷ", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sorted([BIG, BIG + 2, 7, -1])
+    ids = lambda out: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in out.select("doc_id").collect())
+    found = langid.predict(df, langid.learned(df))
+    assert ids(found) == want and {r["doc_id"]: r["lang_pred"] for r in found.collect()}[7] == "und"
+    assert ids(langid.identified(df)) == sorted([BIG, BIG + 2, -1])
+    assert ids(sentencepiece_codec.encoded(df)) == want
+    assert ids(sentencepiece_codec.decoded(sentencepiece_codec.encoded(df))) == want
+    labels = spark.createDataFrame([(BIG, 1), (BIG + 2, 0)], "doc_id long, quality int")
+    assert ids(quality.scored(df, labels)) == want
+    assert ids(pii.personal_data(df)) == want and ids(pii.sanitised(df)) == want
+    assert ids(mixing.mix(df.withColumn("source", F.lit(None).cast("string")))) == want
+
+
+def test_payloads_of_large_ids_are_archived_once(spark):
+    rows = [(BIG, "u", "<p>same</p>"), (BIG + 2, "u", "<p>same</p>"), (None, "u", "<p>same</p>"), (5, "u", "<p>own</p>")]
+    out = {r["page_id"]: r for r in warc.archived(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(out) == {BIG, BIG + 2, None, 5}
+    assert out[BIG]["record_type"] == "response" and out[BIG]["html"] == "<p>same</p>" and out[BIG]["refers_to"] is None
+    assert all(out[i]["record_type"] == "revisit" and out[i]["refers_to"] == BIG for i in (BIG + 2, None))
+
+
+def test_mixed_documents_take_each_source_apart(spark):
+    rows = [(1, "w " * 10, "a"), (1, "w " * 10, "b"), (2, "w " * 30, "a"), (3, "x", None), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("x"))
+    want = {(r["doc_id"], r["source"]): r["copies"] for r in mixing.mix(df).collect() if r["size"]}
+    got = {(r["doc_id"], r["source"]): r["count"] for r in mixing.mixed_documents(df).where("text IS NOT NULL").groupBy("doc_id", "source").count().collect()}
+    assert got == {k: n for k, n in want.items() if n}
+    assert mixing.mixed_documents(df).columns == df.columns

@@ -97,6 +97,34 @@ def test_one_of_each(spark, corpus):
     assert left == {i for i, n, c in brute_components(rows, 3, 90) if i == c or n == 0}
 
 
+def test_sketches_of_linking_sets_share_enough():
+    for p in (60, 80, 90, 95):
+        for a in range(1, 260):
+            for b in range(a, min(260, a * 100 // p + 1)):
+                both = -(-(p * (a + b)) // (100 + p))
+                real = max(1, both - max(a - ngram_join.sketch_size(a, p), b - ngram_join.sketch_size(b, p)))
+                assert ngram_join.sure(a, p) <= real and ngram_join.sure(b, p) <= real
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    w, v = "one text of some words", "another one with other words in it"
+    df = spark.createDataFrame([(1, w), (2, w), (2, v), (3, v), (4, None), (4, ""), (None, v)], "doc_id long, text string").withColumn("root", F.lit(0))
+    left = sorted((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(df).collect() if r["text"])
+    assert left == [(1, w), (2, v)] and ngram_join.one_of_each(df).count() == 4
+    df = spark.createDataFrame([(1, "a b"), (1, "ab "), (1, "ab "), (2, "c"), (2, None), (2, ""), (None, "c")], "doc_id long, text string").withColumn("mark", F.lit("x"))
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns and sorted((r["doc_id"], re.sub(" ", "", r["text"] or "")) for r in left.collect()) == [(1, "ab"), (2, ""), (2, "c")]
+
+
+def test_directory_doubles_until_no_bucket_is_overfull(spark):
+    # keys that share their leading 50 bits, and others that do not
+    keys = spark.range(500).select(F.col("id").alias("h")).union(spark.range(500).select(F.xxhash64("id")))
+    tables = exact_dedup.directory(keys, 1000, 10)
+    assert len(tables) > 1 and tables[-1][0] > 54
+    owned = exact_dedup.looked_up(keys, tables)
+    assert owned.count() == 1000 and owned.groupBy("bucket", "local_depth").count().agg(F.max("count")).first()[0] <= 10
+
+
 def test_passages(spark):
     rng = random.Random(9)
     shared, rows = words(rng, 70), []

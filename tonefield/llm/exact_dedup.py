@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, stored
+from .shared import SPACE, chosen, stored, text_mark
 
 #: A table of at most so many rows of a few longs may be broadcast (tens of MB); beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -64,11 +64,11 @@ def looked_up(keys: DataFrame, tables: list[tuple[int, DataFrame]]) -> DataFrame
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 65_536, hash_fn: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth, chain, n_chars, own.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth, chain, n_chars, mark.
 
     Texts are equal when they are the same bytes once white space is deleted; a null text is empty. In a
     group, the row with the most code points in its original text stays, then the smallest id (a null id
-    comes last); of rows that agree in both, exactly one stays. own: digest of the original text. An empty
+    comes last); of rows that agree in both, exactly one stays. mark tells original texts apart. An empty
     table gives an empty result; other columns play no part.
 
     1. The entries (id, length, hash, digests; no text) are written to the shared folder.
@@ -78,9 +78,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        owner, each text once, and are chained there. A key with one text needs nothing more; the rows of a key
        with several are told apart by their bytes.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_chars"), normalised(F.col(text_col)).alias("norm"), own(text_col).alias("own")).withColumn("h", hash_fn(F.col("norm")).cast("long"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_chars"), normalised(F.col(text_col)).alias("norm"), text_mark(text_col).alias("mark")).withColumn("h", hash_fn(F.col("norm")).cast("long"))
     digest = F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
-    entries = stored(rows.select("doc_id", "n_chars", "h", digest, "own", F.monotonically_increasing_id().alias("rid")), "entries")
+    entries = stored(rows.select("doc_id", "n_chars", "h", digest, "mark", F.monotonically_increasing_id().alias("rid")), "entries")
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("lacks"), "doc_id", "rid")).alias("best")
     keys = stored(entries.groupBy("h").agg(best, F.count("*").alias("n")), "keys")
     tables = directory(keys.select("h"), keys.count(), bucket_capacity)
@@ -100,7 +100,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     collide = chained.limit(1).count() > 0
     if collide:
         plain = plain.join(chained.select("h").distinct(), "h", "left_anti")
-    out = [F.col("e.doc_id"), "keep_id", "group_size", (F.col("e.rid") == F.col("keep_rid")).alias("kept"), F.col("e.text_sha256"), *owner, "chain", F.col("e.n_chars"), F.col("e.own")]
+    out = [F.col("e.doc_id"), "keep_id", "group_size", (F.col("e.rid") == F.col("keep_rid")).alias("kept"), F.col("e.text_sha256"), *owner, "chain", F.col("e.n_chars"), F.col("e.mark")]
     result = entries.alias("e").join(plain, "h").select(*out)
     if collide:
         told = stored(rows.join(chained.select("h").distinct(), "h", "left_semi").withColumn("rid", F.monotonically_increasing_id()), "told")
@@ -109,19 +109,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return result
 
 
-def own(text_col: str) -> Column:
-    """Tells original texts apart, a null one too."""
-    return F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit("null"))
-
-
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each group, also where ids repeat."""
-    kept = stored(exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("own").alias("__of")), "kept")
-    marked = docs.withColumn("__own", own(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__of"))
-    out = marked.join(kept, same, "left_semi")
-    # rows that agree in id and original text came together; one of them stays
-    twice = stored(out.groupBy(F.col(id_col).alias("__id"), F.col("__own").alias("__of")).count().where("count > 1").drop("count"), "twice")
-    if twice.limit(1).count():
-        out = out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([id_col, "__own"]))
-    return out.drop("__own")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("id"), "mark")
+    return chosen(docs, stored(kept, "kept"), id_col, text_col)

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exact_dedup import BROADCAST_ROWS
-from .shared import connected_components, stored
+from .shared import chosen, connected_components, stored, text_mark, with_texts
 from .shingles import distinct
 
-#: Tokens whose frequency the order of tokens knows: at most so many (8 MB), the most frequent ones.
-FREQUENT = 500_000
-#: A task tells of a token that it has met so often; what it holds at once before it tells.
-LOCAL, HELD = 4, 1 << 22
+#: Per cent of a set's tokens that its sketch holds beyond those that it can't do without.
+EXTRA = 10
 #: Documents and tokens of a group, on average; queries that open a group in one call.
 GROUP, GROUP_TOKENS, QUERIES = 64, 200_000, 256
 #: Sizes of a group's sets lie within this factor.
@@ -29,71 +26,44 @@ def needed(n, percent: int):
     return -((-n * percent) // 100)
 
 
-def frequent_tokens(docs: DataFrame, width: int) -> pd.DataFrame:
-    """(t, n): tokens with many documents, told by the tasks that met them LOCAL times or more. Only their order rests on it."""
+def sketch_size(n, percent: int, least=min):
+    """Tokens of a set of n, those of least hash, that are looked at first."""
+    return least(n, n - needed(n, percent) + 1 + n * EXTRA // 100)
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
 
-        def told() -> pd.DataFrame:
-            t, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            return pd.DataFrame({"t": t[n >= LOCAL].view(np.int64), "n": n[n >= LOCAL]})
+def sure(n, percent: int, least=min, most=max):
+    """How many tokens a sketch shares with that of any set that the set of n links with.
 
-        for p in parts:
-            for text in p["text"]:
-                h = distinct(text, width)[0]
-                held.append(h)
-                size += len(h)
-                if size > HELD:
-                    yield told()
-                    held.clear()
-                    size = 0
-        yield told()
+    Of two sketches one ends first in the order of hashes; each token of it that the other set has is in the
+    other's sketch. What it leaves out can't add more than its size. It is the set's own sketch, or that of a
+    partner, for which the sum is least at the greatest size that can link.
+    """
+    other = n * 100 // percent
+    own_first = needed(n, percent) - n + sketch_size(n, percent, least)
+    other_first = n - other + sketch_size(other, percent, least) - 1
+    return most(1, least(own_first, other_first))
 
-    counts = docs.select("text").mapInPandas(of, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    counts = stored(counts.withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "frequent")
-    most, least = 0, 1 << 30
-    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
-        if most + r["count"] > FREQUENT:
-            break
-        most, least = most + r["count"], r["level"]
-    return counts.where(F.col("level") >= least).select("t", "n").toPandas().sort_values("t")
 
+def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n, key, sketch) of each row: mark of its text, size and hash of its set, its tokens of least hash."""
 
-def signatures(docs: DataFrame, width: int, percent: int, frequent: pd.DataFrame) -> DataFrame:
-    """(doc_id, n, key, prefix) of each row: size and hash of its set, and the tokens that it can't do without.
+    def of(texts: list[str | None]) -> dict:
+        out = []
+        for text in texts:
+            h = distinct(text, width)[0]
+            out.append((len(h), xxhash.xxh128_digest(h.tobytes()), h[: sketch_size(len(h), percent)].view(np.int64)))
+        return {"n": [x[0] for x in out], "key": [x[1] for x in out], "sketch": [x[2] for x in out]}
 
-    Two sets that reach percent share a token among the first n - needed(n) + 1 of each, in any order of all
-    tokens. Ours puts frequent tokens last and long ones first, as these are rare.
-    """
-    known, often = frequent["t"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
-
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out = []
-            for text in p["text"]:
-                h, size = distinct(text, width)
-                t = h.view(np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-                    n = np.where(known[at] == t, often[at], 0)
-                else:
-                    n = np.zeros(len(t), np.int64)
-                k = len(t) - needed(len(t), percent) + 1 if len(t) else 0
-                first = np.lexsort((h, -size, n))[:k]
-                out.append((len(t), xxhash.xxh128_digest(h.tobytes()), t[first]))
-            yield pd.DataFrame({"doc_id": p["doc_id"], "n": [x[0] for x in out], "key": [x[1] for x in out], "prefix": [x[2] for x in out]})
-
-    return docs.select("doc_id", "text").mapInPandas(of, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, key binary, prefix array<long>")
+    marked = docs.select("doc_id", "text", text_mark().alias("mark"))
+    return with_texts(marked, ["doc_id", "mark"], of, {"n": pa.int64(), "key": pa.binary(), "sketch": pa.list_(pa.int64())})
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            h = [distinct(t, width)[0] for t in p["text"]]
-            yield pd.DataFrame({"key": [xxhash.xxh128_digest(x.tobytes()) for x in h], "tokens": [x.tobytes() for x in h]})
+    def of(texts: list[str | None]) -> dict:
+        h = [distinct(t, width)[0] for t in texts]
+        return {"key": [xxhash.xxh128_digest(x.tobytes()) for x in h], "tokens": [x.tobytes() for x in h]}
 
-    return docs.select("text").mapInPandas(of, "key binary, tokens binary")
+    return with_texts(docs, [], of, {"key": pa.binary(), "tokens": pa.binary()})
 
 
 def opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,21 +131,46 @@ def opened_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent
     return left.groupBy("ga", "gb").cogroup(right.groupBy("ga2", "gb2")).applyInPandas(of, "a long, b long")
 
 
-def least_shared(a: str, b: str, high: str, percent: int):
-    """Tokens that two linking sets, of sizes a and b up to high, share within their prefixes.
-
-    One prefix ends first in the common order; every token of that set up to there which the other set has is
-    in the other's prefix. The rest of the set can't add more than its size, needed - 1.
-    """
+def least_shared(a: str, b: str, low: str, high: str, percent: int):
+    """Tokens that the sketches of two linking sets share, whose sizes lie from a to low and from b to high at most."""
     share = F.ceil(percent * (F.col(a) + F.col(b)) / F.lit(100.0 + percent))
-    return share - F.floor((percent * F.greatest(a, high) + 99) / 100) + 1
+    n = F.greatest(low, high)
+    left_out = n - F.least(n, n - F.floor((percent * n + 99) / 100) + 1 + F.floor(n * EXTRA / 100))
+    # a set of one token less may leave out one more
+    return F.greatest(share - left_out - 1, F.lit(1))
 
 
-def promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (q, g) of classes whose prefixes share enough tokens for a link."""
-    of = lambda name: prefixes.select(F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("prefix").alias(f"p_{name}"))
+def promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (q, g) of classes whose sketches share enough tokens for a link."""
+    of = lambda name: sketches.select(F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
     both = pairs.join(of("q"), "q").join(of("g"), "g")
-    return both.where(F.size(F.array_intersect("p_q", "p_g")) >= least_shared("n_q", "n_g", "n_g", percent)).select("q", "g")
+    return both.where(F.size(F.array_intersect("s_q", "s_g")) >= least_shared("n_q", "n_g", "n_q", "n_g", percent)).select("q", "g")
+
+
+def lists_of(reps: DataFrame, percent: int) -> DataFrame:
+    """(t, cls, n): each class (cls, n, sketch) under the tokens, of its sketch, that it can't do without.
+
+    Its sketch shares sure(n) tokens with that of any class that it links with, so it has to be listed under all
+    but sure(n) - 1 of them, in any order of all tokens. Ours is by the exact number of sketches that hold a
+    token, so the rare ones; one that no other sketch holds needs no list. A class that shares less than sure(n)
+    with all others together links with nothing.
+    """
+    each = reps.select("cls", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("t"))
+    often = stored(each.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "token-counts")
+    shared = each.join(often, "t").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("by_df"))
+    n = F.col("n")
+    least = sure_column(n, percent)
+    few = shared.where(F.size("by_df") >= least).select("cls", "n", F.explode(F.slice("by_df", F.lit(1), F.size("by_df") - least + 1)).alias("x"))
+    return few.select(F.col("x.t").alias("t"), "cls", F.col("n").cast("long").alias("n"))
+
+
+def sure_column(n, percent: int):
+    """sure() as a column."""
+    quotient = lambda a, b: F.floor(a / F.lit(float(b)))
+    need = lambda m: F.ceil(m * percent / F.lit(100.0))
+    size = lambda m: F.least(m, m - need(m) + 1 + quotient(m * EXTRA, 100))
+    other = quotient(n * 100, percent)
+    return F.greatest(F.lit(1), F.least(need(n) - n + size(n), n - other + size(other) - 1)).cast("int")
 
 
 def similar_size(a: str, b: str, percent: int):
@@ -192,22 +187,32 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     only has no number to give; repeated rows are rows; an empty table gives an empty result.
 
     1. Rows with the same set become one class; what follows sees classes.
-    2. Each class is listed under the few rare tokens of its prefix; two classes that link share a list.
+    2. Each class is listed under the few rare tokens of its sketch; two classes that link share a list.
     3. Within each list all classes are compared with one of them. That joins most near copies in linear work.
     4. Lists with classes of different components remain. Their classes form groups of similar sets, of bounded
        size; groups meet by the tokens of the token-group matrix, and a class opens a met group only if the
        group's token union bounds the overlap high enough.
+
+    Tokens are 64-bit hashes of the words' bytes, whose collisions can be built on purpose; two texts of which
+    that is so may be told too similar.
     """
-    rows = stored(signatures(docs, width, percent, frequent_tokens(docs, width)).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    return grouped(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_copies with the mark of each row's text, its size n, and root, which the rows of a component share."""
+    rows = stored(signatures(docs, width, percent).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     classes = stored(rows.where("n > 0").groupBy("key", "n").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("doc_id"), F.count("*").alias("class_size")), "classes")
-    listed = rows.join(classes.select(F.col("cls").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cls"), "n", F.explode("prefix").alias("t"))
+    reps = rows.select(F.col("rid").alias("cls"), "n", "sketch").join(classes.select("cls"), "cls", "left_semi")
+    listed = stored(lists_of(reps, percent), "listed")
     sizes = listed.groupBy("t", "n").agg(F.count("*").alias("c"))
     by_size = Window.partitionBy("t").orderBy("n")
     near = (F.col("c") > 1) | (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
     partnered = sizes.withColumn("near", near).where("near").select("t", "n")
     lists = stored(listed.join(partnered, ["t", "n"]).select("t", "cls", "n"), "lists")
-    prefixes = rows.select(F.col("rid").alias("cls"), "n", "prefix").join(lists.select("cls").distinct(), "cls", "left_semi")
-    prefixes = stored(prefixes, "prefixes")
+    named = stored(lists.select("cls").distinct(), "listed-classes")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    sketches = stored(rows.select(F.col("rid").alias("cls"), "n", "sketch").join(named, "cls", "left_semi"), "sketches")
     repeated_ids = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
     def sets_of(some: DataFrame) -> DataFrame:
@@ -221,7 +226,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     hub = lists.groupBy("t").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls")).alias("hub"))
     pairs = lists.join(hub, "t").where((F.col("cls") != F.col("hub.cls")) & similar_size("n", "hub.n", percent)).select(F.col("cls").alias("q"), F.col("hub.cls").alias("g")).distinct()
-    pairs = stored(promising(pairs, prefixes, percent), "star-pairs")
+    pairs = stored(promising(pairs, sketches, percent), "star-pairs")
     hubs = pairs.select("g").distinct().withColumn("cls", F.col("g"))
     links = stored(opened(pairs, hubs, sets_of(pairs.select(F.col("q").alias("cls")).union(pairs.select("g"))), percent), "links")
     comps = stored(connected_components(links), "components")
@@ -230,16 +235,20 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     now = stored(now.join(torn, "t"), "torn")
 
     # groups of similar sets: those that have the same token as the least of theirs, of like size
-    members = now.groupBy("cls", "n", "comp").agg(F.min(F.xxhash64("t")).alias("home")).withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))))
-    parts = members.groupBy("home", "band").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
+    members = stored(now.groupBy("cls", "n", "comp").agg(F.min(F.xxhash64("t")).alias("home")).withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND)))), "torn-classes")
+    parts = stored(members.groupBy("home", "band").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts")), "parts")
     members = stored(members.join(parts, ["home", "band"]).select("cls", "n", "comp", F.xxhash64("home", "band", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("g")), "groups")
-    spans = members.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    matrix = stored(now.select("t", "cls").join(members.select("cls", "g"), "cls").select("t", "g").distinct().join(spans, "g"), "matrix")
+    # the matrix: of each group the tokens that lists hold, to meet by, and the union of its sketches, for the bound
+    union = F.array_distinct(F.flatten(F.collect_list("sketch"))).alias("tokens")
+    unions = stored(members.join(sketches.select("cls", "sketch"), "cls").groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), union), "unions")
+    matrix = stored(now.select("t", "cls").join(members.select("cls", "g"), "cls").select("t", "g").distinct().join(unions.drop("tokens"), "g"), "matrix")
     other = matrix.select("t", *[F.col(c).alias(f"{c}_b") for c in ("g", "low", "high", "c0", "c1")])
     apart = ~((F.col("c0") == F.col("c1")) & (F.col("c0_b") == F.col("c1_b")) & (F.col("c0") == F.col("c0_b")))
     fits = (100 * F.col("high") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low"))
-    met = matrix.join(other, "t").where((F.col("g") <= F.col("g_b")) & apart & fits).groupBy("g", "g_b", "low", "low_b", "high", "high_b").agg(F.count("*").alias("shared"))
-    met = met.withColumn("top", F.greatest("high", "high_b")).where(F.col("shared") >= least_shared("low", "low_b", "top", percent))
+    met = stored(matrix.join(other, "t").where((F.col("g") <= F.col("g_b")) & apart & fits).select("g", "g_b", "low", "low_b", "high", "high_b").distinct(), "met")
+    side = lambda g, tokens: unions.select(F.col("g").alias(g), F.col("tokens").alias(tokens))
+    met = met.join(side("g", "mine"), "g").join(side("g_b", "theirs"), "g_b")
+    met = met.where(F.size(F.array_intersect("mine", "theirs")) >= least_shared("low", "low_b", "high", "high_b", percent))
     pairs = stored(met.select(F.col("g").alias("ga"), F.col("g_b").alias("gb")), "group-pairs")
     inside = members.join(pairs.select(F.col("ga").alias("g")).union(pairs.select("gb")).distinct(), "g", "left_semi")
     links = stored(links.union(opened_groups(pairs, inside, sets_of(inside.select("cls")), percent)), "all-links")
@@ -247,13 +256,17 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")).select("key", "doc_id", "class_size", "root")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("key", "component_id", "class_size")
-    out = rows.where("n > 0").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
-    return out.union(rows.where("n = 0").select("doc_id", F.col("n"), F.col("doc_id"), F.lit(1).cast("long")))
+    named = named.join(least, "root").select("key", "component_id", "class_size", "root")
+    out = rows.where("n > 0").join(named, "key").select("doc_id", "mark", "n", "component_id", "class_size", "root")
+    return out.union(rows.where("n = 0").select("doc_id", "mark", "n", "doc_id", F.lit(1).cast("long"), F.lit(None).cast("long")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the smallest id of each component and every text without words."""
-    groups = near_copies(docs, width, percent)
-    gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs with one row of each component, that of the smallest id, and every text without words.
+
+    Rows are told apart by id and text, so where an id repeats each of its rows is judged by itself.
+    """
+    rows = stored(grouped(docs, width, percent), "near-copies")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "mark")).alias("first")
+    kept = rows.where("n > 0").groupBy("root").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.mark").alias("mark"))
+    return chosen(docs, kept.union(rows.where("n = 0").select("doc_id", "mark")))

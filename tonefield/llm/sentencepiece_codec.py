@@ -228,10 +228,13 @@ class Codec:
                 of += self.ids(piece) if i is None else (i,)
         return pack(f"{len(of)}i", *of)
 
-    def encode(self, text: str) -> np.ndarray:
+    def array(self, text: str) -> np.ndarray:
         chunks = CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
         return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32)
 
+    def encode(self, text: str) -> list[int]:
+        return self.array(text).tolist()
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text: bytes joined, marks as spaces, without the space that encoding put first."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
@@ -258,7 +261,7 @@ def encoded(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
 
     def of(texts: list[str | None]) -> dict:
         codec = codec_of(pieces)
-        ids = [None if t is None else codec.encode(t) for t in texts]
+        ids = [None if t is None else codec.array(t) for t in texts]
         same = [None if t is None else codec.decode(i.tolist()) == t for t, i in zip(texts, ids, strict=True)]
         return {"ids": ids, "n_tokens": [0 if i is None else len(i) for i in ids], "round_trip": same}
 

@@ -72,6 +72,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def text_mark(text: str = "text") -> Column:
+    """Tells texts of one id apart, a null one too."""
+    return F.xxhash64(F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("null")))
+
+
+def chosen(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that agree with one of kept (id, mark) in id and text_mark; of rows that agree in both, one."""
+    kept = kept.select(F.col("id").alias("__id"), F.col("mark").alias("__of")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__of"))
+    out = docs.withColumn("__mark", text_mark(text_col)).join(kept, same, "left_semi")
+    ids = stored(out.select(F.col(id_col).alias("__id"), F.col("__mark").alias("__of")), "chosen")
+    twice = stored(ids.groupBy("__id", "__of").count().where("count > 1").drop("count"), "twice")
+    if twice.limit(1).count():
+        out = out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([id_col, "__mark"]))
+    return out.drop("__mark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
