@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-#: Vectors that the index is fitted on, on average, chosen by hash; every vector is indexed.
-FIT = 20_000
+#: Vectors that the index is fitted on, on average, chosen by hash: so many, or so many a list; every vector is indexed.
+FIT, FIT_LIST = 20_000, 8
 #: Recall that the number of probed lists is chosen for, on the sample, and queries it is measured with.
 RECALL, TRIALS = 0.99, 200
 #: Dimensions of a subvector and codes of its codebook.
@@ -57,113 +57,183 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
+    centres: np.ndarray  # groups of lists x d
+    first: np.ndarray  # of each group: its first list; the lists of a group follow each other
     coarse: np.ndarray  # lists x d
     books: list[np.ndarray]  # of each subvector: codes x its dimensions
     probes: int
 
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        """The list of each unit vector, looked for in its nearest group only."""
+        group = nearest(x, self.centres)
+        out = np.zeros(len(x), np.int64)
+        bound = np.append(self.first, len(self.coarse))
+        for g in np.unique(group):
+            rows = np.flatnonzero(group == g)
+            out[rows] = bound[g] + nearest(x[rows], self.coarse[bound[g] : bound[g + 1]])
+        return out
+
+    def ranked(self, q: np.ndarray) -> np.ndarray:
+        """All lists for each query, nearest first."""
+        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
+
     def parts(self, r: np.ndarray) -> list[np.ndarray]:
         return [r[:, i : i + SUB] for i in range(0, r.shape[1], SUB)]
 
     def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and length of what the codes leave out, for unit vectors."""
-        to = nearest(x, self.coarse)
+        to = self.lists(x)
         parts = self.parts(x - self.coarse[to])
         codes = np.stack([nearest(p, b) for p, b in zip(parts, self.books, strict=True)], 1)
         rest = sum(((p - b[codes[:, i]]) ** 2).sum(1) for i, (p, b) in enumerate(zip(parts, self.books, strict=True)))
         return to, codes.astype(np.uint8), np.sqrt(rest)
 
 
-def fit(vectors: DataFrame, n: int, lists: int | None = None, seed: int = 5) -> Index | None:
-    """Fits the lists (half the root of n, 1024 at most) and codebooks on a bounded sample.
+def fit(vectors: DataFrame, n: int, k: int, lists: int | None = None, seed: int = 5) -> Index | None:
+    """Fits the lists (half the root of n, in groups about the root of their number) and codebooks on a bounded sample.
 
     The number of probed lists is the least that finds RECALL of the sample's true neighbours within the sample.
     """
-    sample = vectors.where((F.xxhash64("vec_id", F.lit(seed)) / F.lit(2.0**64) + 0.5) < FIT / max(n, 1)).select("v").orderBy("v").toPandas()
+    lists = lists or max(4, int(np.sqrt(n) / 2))
+    size = max(FIT, FIT_LIST * lists)
+    sample = vectors.where((F.xxhash64("v", F.lit(seed)) / F.lit(2.0**64) + 0.5) < size / max(n, 1)).select("v").orderBy("v").toPandas()
     if not len(sample):
         sample = vectors.select("v").limit(1).toPandas()
     if not len(sample):
         return None
     rng = np.random.default_rng(seed)
     x = unit(np.stack(sample["v"].to_numpy()))
-    coarse = k_means(x, lists or int(np.clip(np.sqrt(n) / 2, 4, 1024)), 8, rng, cosine=True)
-    index = Index(coarse, [], len(coarse))
-    to = nearest(x, coarse)
-    index.books = [k_means(p, CODES, 5, rng) for p in index.parts(x - coarse[to])]
+    centres = k_means(x, int(np.ceil(np.sqrt(lists))), 8, rng, cosine=True)
+    group = nearest(x, centres)
+    parts = [k_means(x[group == g], max(1, round(lists * np.mean(group == g))), 8, rng, cosine=True) if (group == g).any() else centres[g : g + 1] for g in range(len(centres))]
+    index = Index(centres, np.cumsum([0, *map(len, parts[:-1])]), np.concatenate(parts), [], 1)
+    to = index.lists(x)
+    index.books = [k_means(p, CODES, 5, rng) for p in index.parts(x - index.coarse[to])]
     trials = x[rng.choice(len(x), min(TRIALS, len(x)), replace=False)]
-    found = []
-    for q in trials:
-        true = np.argsort(-(x @ q))[1:6]
-        rank = np.empty(len(coarse), np.int64)
-        rank[np.argsort(-(coarse @ q))] = np.arange(len(coarse))
-        found += list(rank[to[true]] + 1)
-    index.probes = int(np.clip(np.quantile(found, RECALL), 1, len(coarse))) if found else len(coarse)
+    rank = np.argsort(index.ranked(trials), axis=1)
+    found = [rank[i, to[np.argsort(-(x @ q), kind="stable")[1 : k + 1]]] + 1 for i, q in enumerate(trials)]
+    found = np.concatenate(found)
+    index.probes = int(np.clip(np.quantile(found, RECALL), 1, len(index.coarse))) if len(found) else len(index.coarse)
     return index
 
 
+def met(index: Index, k: int, only_best: bool):
+    """The work of a block of a list and the queries that probe it.
+
+    A class is kept if its distance from the tables, give or take MARGIN spreads of its own quantisation error,
+    may be among the k best: not below the query's bar, nor below the k-th surest of the block. With only_best
+    the result is a bar, that k-th.
+    """
+
+    def of(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        q_out, class_out = [], []
+        if len(some) and len(block):
+            codes = np.stack([np.frombuffer(c, np.uint8) for c in block["code"]])
+            cid, id_, many, slack = (block[c].to_numpy() for c in ("cid", "id", "many", "rest"))
+            slack = MARGIN * slack / np.sqrt(index.coarse.shape[1])
+            centre = index.coarse[int(some["list"].iloc[0])]
+            for q, v, bar in zip(some["q"], some["query"], some["bar"], strict=True):
+                v = np.frombuffer(v)
+                s = v @ centre + sum((b @ v[i * SUB : (i + 1) * SUB])[codes[:, i]] for i, b in enumerate(index.books))
+                s[(id_ == q) & ~many] = -np.inf
+                low = s - slack
+                sure = np.partition(low, -k)[-k] if len(low) >= k else -np.inf
+                if only_best:
+                    q_out.append([q])
+                    class_out.append([max(sure, -2.0)])
+                else:
+                    keep = cid[(s + slack >= max(bar, sure)) & (s > -np.inf)]
+                    q_out.append(np.full(len(keep), q))
+                    class_out.append(keep)
+        name, kind = ("bar", np.float64) if only_best else ("cid", np.int64)
+        return pd.DataFrame({"q": np.concatenate([np.zeros(0, np.int64), *q_out]).astype(np.int64), name: np.concatenate([np.zeros(0, kind), *class_out]).astype(kind)})
+
+    return of
+
+
+def scanned(asked: DataFrame, entries: DataFrame, sizes: DataFrame, index: Index, k: int, only_best: bool) -> DataFrame:
+    """What `met` gives for all asked (q, list, query, bar), in blocks of lists and turns of queries; bars look at one block."""
+    turns = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
+    sizes = stored(sizes.join(turns, "list").select(F.col("list").alias("l"), "blocks", "turns"), "list-sizes")
+    zero = F.lit(0).cast("long")
+    block = F.pmod(F.xxhash64("q"), F.col("blocks")) if only_best else F.explode(F.sequence(zero, F.col("blocks") - 1))
+    left = asked.join(sizes, F.col("list") == F.col("l")).select("list", F.pmod(F.xxhash64("q"), F.col("turns")).alias("turn"), block.alias("block"), "q", "query", "bar")
+    right = entries.join(sizes, F.col("list") == F.col("l")).select(F.col("list").alias("of_list"), F.explode(F.sequence(zero, F.col("turns") - 1)).alias("of_turn"), F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("of_block"), "cid", "id", "many", "code", "rest")
+    pairs = left.groupBy("list", "turn", "block").cogroup(right.groupBy("of_list", "of_turn", "of_block"))
+    return pairs.applyInPandas(met(index, k, only_best), "q long, bar double" if only_best else "q long, cid long")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, v) its k nearest of vectors by cosine in double precision.
 
-    A vector with the query's own id is no candidate. Rows that `usable` leaves out take no part. Of equal
-    cosines the smaller id comes first; with fewer than k candidates all are returned; empty tables give an
-    empty result; repeated rows are candidates of their own.
+    A vector with the query's own id is no candidate; of several vectors of one query id the least is asked for.
+    Rows that `usable` leaves out take no part. Of equal cosines the smaller id comes first; with fewer than k
+    candidates all are returned; empty tables give an empty result; repeated rows are candidates of their own.
 
-    A candidate is kept if its distance from the tables, give or take MARGIN spreads of its own quantisation
-    error, may be among the k best; no number of candidates is fixed, so many vectors alike are all reranked.
+    1. Equal vectors are one class, of which the k + 1 smallest ids can matter. Every class is in one list.
+    2. A block of its nearest list gives each query a bar: the k-th best of what is sure there.
+    3. A query probes the lists that the fit asks for, and more until they hold k others. Their blocks tell the
+       classes that may pass the bar; no number of them is fixed.
+    4. Those are ranked by their exact cosines. A query that is left with fewer than k probes all lists.
     """
-    n = vectors.count()
-    index = fit(vectors, n)
-    schema = "query_id long, rank int, vec_id long, score double"
+    ids = vectors.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).alias("m")).withColumn("h", F.xxhash64("v"))
+    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    classes = first.groupBy("h", "v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "m"))).alias("ids"))
+    classes = stored(classes.select("v", "ids").withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    n = classes.count()
+    index = fit(classes, n, k)
     if index is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
                 to, codes, rest = index.coded(unit(np.stack(p["v"].to_numpy())))
-                yield pd.DataFrame({"list": to, "vec_id": p["vec_id"], "code": [c.tobytes() for c in codes], "rest": rest})
+                yield pd.DataFrame({"list": to, "cid": p["cid"], "id": p["id"], "many": p["many"], "code": [c.tobytes() for c in codes], "rest": rest})
+
+    named = classes.select("v", "cid", F.col("ids")[0]["vec_id"].alias("id"), (F.size("ids") > 1).alias("many"))
+    entries = stored(named.mapInPandas(coded, "list int, cid long, id long, many boolean, code binary, rest double"), "index")
+    counts = stored(entries.groupBy("list").agg(F.count("*").alias("n")), "list-counts")
+    held = np.zeros(len(index.coarse), np.int64)
+    for r in counts.collect():  # a row a list
+        held[r["list"]] = r["n"]
+    sizes = counts.select("list", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    asked = stored(queries.groupBy("vec_id").agg(F.min("v").alias("x")), "queries")
+
+    def probed(lists: int | None):
+        """The lists to probe: the nearest, or at least so many and more until they hold k others, or all of them."""
+
+        def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                if len(p):
+                    q = unit(np.stack(p["x"].to_numpy()))
+                    some = [b[held[b] > 0] for b in index.ranked(q)]
+                    if lists is not None:
+                        enough = [int(np.searchsorted(np.cumsum(held[b]), k, side="right")) + 1 for b in some]
+                        some = [b[: lists if lists == 1 else max(lists, m)] for b, m in zip(some, enough, strict=True)]
+                    size = [len(b) for b in some]
+                    yield pd.DataFrame({"q": np.repeat(p["vec_id"].to_numpy(), size), "list": np.concatenate(some), "query": [x for v, m in zip(q, size, strict=True) for x in [v.tobytes()] * m]})
+
+        return of
 
-    entries = stored(vectors.mapInPandas(coded, "list int, vec_id long, code binary, rest double"), "index")
-
-    def probed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if len(p):
-                q = unit(np.stack(p["v"].to_numpy()))
-                best = np.argsort(-(q @ index.coarse.T), axis=1, kind="stable")[:, : index.probes]
-                yield pd.DataFrame({"q": np.repeat(p["vec_id"].to_numpy(), index.probes), "of_list": best.ravel(), "query": [x for v in q for x in [v.tobytes()] * index.probes]})
-
-    asked = queries.mapInPandas(probed, "q long, of_list int, query binary")
-    sizes = entries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(asked.groupBy("of_list").agg(F.ceil(F.count("*") / QUERIES).alias("turns")), F.col("list") == F.col("of_list")).select(F.col("list").alias("l"), "blocks", "turns")
-    sizes = stored(sizes, "list-sizes")
-    zero = F.lit(0).cast("long")
-    left = asked.join(sizes, F.col("of_list") == F.col("l")).select(F.col("of_list").alias("list"), F.pmod(F.xxhash64("q"), F.col("turns")).alias("turn"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), "q", "query")
-    right = entries.join(sizes, F.col("list") == F.col("l")).select(F.col("list").alias("of_list"), F.explode(F.sequence(zero, F.col("turns") - 1)).alias("of_turn"), F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("of_block"), "vec_id", "code", "rest")
-
-    def near(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(some) and len(block):
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in block["code"]])
-            ids, slack = block["vec_id"].to_numpy(), MARGIN * block["rest"].to_numpy() / np.sqrt(index.coarse.shape[1])
-            centre = index.coarse[int(some["list"].iloc[0])]
-            for q, v in zip(some["q"], some["query"], strict=True):
-                v = np.frombuffer(v)
-                tables = [b @ v[i * SUB : (i + 1) * SUB] for i, b in enumerate(index.books)]
-                s = v @ centre + sum(t[codes[:, i]] for i, t in enumerate(tables))
-                s[ids == q] = -np.inf
-                low = s - slack
-                at = np.argsort(-low, kind="stable")[:k]
-                keep = np.flatnonzero((s + slack >= low[at[-1]]) & (s > -np.inf))
-                best = np.zeros(len(s), bool)
-                best[at] = True
-                out.append(pd.DataFrame({"q": q, "vec_id": ids[keep], "low": low[keep], "high": (s + slack)[keep], "best": best[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "vec_id": [], "low": [], "high": [], "best": []}).astype({"q": "int64", "vec_id": "int64", "best": bool})
-
-    some = stored(left.groupBy("list", "turn", "block").cogroup(right.groupBy("of_list", "of_turn", "of_block")).applyInPandas(near, "q long, vec_id long, low double, high double, best boolean"), "candidates")
-    bar = some.where("best").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))).where(F.col("r") == k).select(F.col("q").alias("of_q"), F.col("low").alias("bar"))
-    some = some.join(bar, F.col("q") == F.col("of_q"), "left").where(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("q", "vec_id")
-    some = some.distinct()  # repeated rows come back by the join with the vectors
-    own = queries.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("q"), F.col("v").alias("x"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda m, n: m * n), F.lit(0.0), lambda s, y: s + y)
     score = dot("x", "v") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("v", "v")))
-    ranked = some.join(vectors, "vec_id").join(own, "q").select("q", "vec_id", score.alias("score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias("query_id"), "rank", "vec_id", "score")
+
+    def found(some: DataFrame, bars: DataFrame | None, least: int | None) -> DataFrame:
+        lists = some.mapInPandas(probed(least), "q long, list int, query binary")
+        lists = lists.withColumn("bar", F.lit(-2.0)) if bars is None else lists.join(bars, "q", "left").withColumn("bar", F.coalesce("bar", F.lit(-2.0)))
+        close = stored(scanned(stored(lists, "probes"), entries, sizes, index, k, False), "candidates")
+        exact = close.join(classes, "cid").join(some.withColumnRenamed("vec_id", "q"), "q").select("q", score.alias("score"), F.explode("ids").alias("i"))
+        exact = exact.where(F.col("i.vec_id") != F.col("q")).select("q", "score", F.col("i.vec_id").alias("vec_id"), F.explode(F.array_repeat(F.lit(1), F.col("i.m").cast("int"))).alias("one"))
+        ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+        return stored(ranked.select(F.col("q").alias("query_id"), "rank", "vec_id", "score"), "ranked")
+
+    one = asked.mapInPandas(probed(1), "q long, list int, query binary").withColumn("bar", F.lit(-2.0))
+    bars = stored(scanned(stored(one, "first-lists"), entries, sizes, index, k, True), "bars")
+    out = found(asked, bars, max(2, index.probes))
+    full = out.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = stored(asked.join(full, "vec_id", "left_anti"), "short")
+    if short.limit(1).count():
+        again = found(short, None, None)
+        out = out.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(*again.columns).union(again)
+    return out

@@ -66,6 +66,11 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return with_texts(docs, [], of, {"key": pa.binary(), "tokens": pa.binary()})
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, a few longs a row, to be broadcast if it has BROADCAST_ROWS rows at most; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) of pairs (q, g) of query set and group, one for each pair that has any; members(g, cls).
 
@@ -73,8 +78,12 @@ def opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
     in blocks of QUERIES, each with the group's sets, so that a group with very many queries is many tasks.
     """
     blocks = pairs.groupBy("g").agg(F.count("*").alias("nq")).withColumn("blocks", F.ceil(F.col("nq") / QUERIES))
-    left = pairs.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks"))).join(sets.withColumnRenamed("cls", "q"), "q").select(F.col("g").alias("g"), F.col("block").alias("block"), F.col("q").alias("q"), F.col("tokens").alias("tokens"))
-    right = blocks.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(members, "g").join(sets, "cls").select(F.col("g").alias("of_g"), F.col("block").alias("of_block"), F.col("cls").alias("cls"), F.col("tokens").alias("inside"))
+    blocks = stored(blocks, "blocks")
+    asked = stored(pairs.join(blocks, "g").select("g", F.pmod(F.xxhash64("q"), F.col("blocks")).alias("block"), "q"), "asked")
+    held = stored(blocks.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(members, "g").select(F.col("g").alias("of_g"), F.col("block").alias("of_block"), "cls"), "held")
+    # the sets are many bytes each, so what they are joined with goes to them where it can
+    left = sets.withColumnRenamed("cls", "q").join(small(asked), "q").select("g", "block", "q", "tokens")
+    right = sets.join(small(held), "cls").select("of_g", "of_block", "cls", F.col("tokens").alias("inside"))
 
     def of(queries: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         inside = [np.frombuffer(t, np.uint64) for t in group["inside"]]
@@ -101,9 +110,9 @@ def opened_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent
     A member of one group is a query against the other: unless the group's token union may hold enough of its
     tokens, the group stays closed to it. Members whose components are joined already are not compared.
     """
-    full = members.join(sets, "cls")
-    left = pairs.join(full, F.col("g") == F.col("ga")).select(*[F.col(c).alias(c) for c in ("ga", "gb", "cls", "comp", "tokens")])
-    right = pairs.join(full, F.col("g") == F.col("gb")).select(F.col("ga").alias("ga2"), F.col("gb").alias("gb2"), F.col("cls").alias("cls2"), F.col("comp").alias("comp2"), F.col("tokens").alias("tokens2"))
+    of_g = lambda g, cls, comp: stored(pairs.join(members.select(F.col("g").alias(g), F.col("cls").alias(cls), F.col("comp").alias(comp)), g), f"members-{g}")
+    left = sets.join(small(of_g("ga", "cls", "comp")), "cls").select("ga", "gb", "cls", "comp", "tokens")
+    right = sets.withColumnRenamed("cls", "cls2").join(small(of_g("gb", "cls2", "comp2")), "cls2").select(F.col("ga").alias("ga2"), F.col("gb").alias("gb2"), "cls2", "comp2", F.col("tokens").alias("tokens2"))
 
     def of(queries: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         inside = [np.frombuffer(t, np.uint64) for t in group["tokens2"]]
@@ -203,7 +212,9 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """near_copies with the mark of each row's text, its size n, and root, which the rows of a component share."""
     rows = stored(signatures(docs, width, percent).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     classes = stored(rows.where("n > 0").groupBy("key", "n").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("doc_id"), F.count("*").alias("class_size")), "classes")
-    reps = rows.select(F.col("rid").alias("cls"), "n", "sketch").join(classes.select("cls"), "cls", "left_semi")
+    # all but one row of each class, mostly few, are left out
+    copies = rows.select("rid").join(classes.select(F.col("cls").alias("rid")), "rid", "left_anti")
+    reps = rows.where("n > 0").select("rid", "n", "sketch").join(small(stored(copies, "copies")), "rid", "left_anti").withColumnRenamed("rid", "cls")
     listed = stored(lists_of(reps, percent), "listed")
     sizes = listed.groupBy("t", "n").agg(F.count("*").alias("c"))
     by_size = Window.partitionBy("t").orderBy("n")
@@ -211,17 +222,15 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     partnered = sizes.withColumn("near", near).where("near").select("t", "n")
     lists = stored(listed.join(partnered, ["t", "n"]).select("t", "cls", "n"), "lists")
     named = stored(lists.select("cls").distinct(), "listed-classes")
-    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    sketches = stored(rows.select(F.col("rid").alias("cls"), "n", "sketch").join(named, "cls", "left_semi"), "sketches")
+    sketches = stored(rows.select(F.col("rid").alias("cls"), "n", "sketch").join(small(named), "cls", "left_semi"), "sketches")
     repeated_ids = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
     def sets_of(some: DataFrame) -> DataFrame:
         """(cls, tokens) of the classes in some (cls), from the texts once more."""
         involved = stored(classes.join(some.distinct(), "cls", "left_semi").select("key", "cls", "doc_id"), "involved")
         ids = involved.select(F.col("doc_id").alias("__id")).distinct()
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-        sets = full_sets(texts, width).join(involved.select("key", "cls"), "key").select("cls", "tokens")
+        texts = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        sets = full_sets(texts, width).join(small(involved.select("key", "cls")), "key").select("cls", "tokens")
         return stored(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")) if repeated_ids else sets, "sets")
 
     hub = lists.groupBy("t").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls")).alias("hub"))

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import TEXTS, stored, with_texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -26,9 +25,6 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W_]{2,}")
 
-#: Words of LONG letters or digits on either side of an entity up to which its context reaches; shorter ones between
-#: them belong to it.
-WINDOW, LONG = 10, 4
 #: Documents in which an entity and a term must meet before the term can disclose it.
 SUPPORT = 3
 #: Share of the entity's information that a term may reveal.
@@ -82,9 +78,15 @@ def key(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{value}".encode("utf-8", "replace")) - (1 << 63)
 
 
-def entity(text: str, start: int, kind: int, end: int) -> int:
-    value = text[start:end].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else "[^0-9]", "", text[start:end])
-    return key(KINDS[kind], value)
+def entities(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
+    """What the base spans of a text name: each value, and the domain of an email, which is an entity of its own."""
+    out = set()
+    for start, kind, end in spans:
+        value = text[start:end].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else "[^0-9]", "", text[start:end])
+        out.add(key(KINDS[kind], value))
+        if kind == 0:
+            out.add(key("domain", value.rpartition("@")[2]))
+    return out
 
 
 def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
@@ -99,22 +101,8 @@ def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """The terms up to WINDOW long words from each entity, whatever lies between."""
-    terms = free_terms(text, spans)
-    starts = [a for a, *_ in terms]
-    before = list(accumulate((b - a >= LONG for a, b, _ in terms), initial=0))
-    out = []
-    for start, kind, end in spans:
-        e = entity(text, start, kind, end)
-        left, right = bisect_left(starts, start), bisect_left(starts, end)
-        lo = bisect_left(before, before[left] - WINDOW, 0, left + 1)
-        # of the places with so many long words before them the last; the next term is one too many
-        lo = max(bisect_right(before, before[lo]) - 1, 0) if before[left] >= WINDOW else 0
-        hi = bisect_left(before, before[right] + WINDOW, right)
-        for a, b, word in [*terms[lo:left], *terms[right : min(hi, len(terms))]]:
-            out.append({"entity": e, "term": key("term", word), "stem": stem_key(word), "start": a, "end": b})
-    return out
+def words(text: str) -> set[str]:
+    return set(map(str.lower, set(TERM.findall(text))))
 
 
 def stem_key(word: str) -> int:
@@ -122,18 +110,17 @@ def stem_key(word: str) -> int:
     return key("stem", word[:STEM]) if len(word) > STEM else key("term", word)
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, near, entities, held): for each row its base spans, their entities and those' context terms, and the text if it has any."""
+def protected(docs: DataFrame) -> DataFrame:
+    """(entities, terms) of each row that has base spans: what it names, and every term of its whole text with its stem."""
 
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            texts = [t if isinstance(t, str) else "" for t in p["text"]]
-            base = [base_spans(t) for t in texts]
-            entities = [sorted({entity(t, *x) for x in spans}) for t, spans in zip(texts, base, strict=True)]
-            yield pd.DataFrame({"doc_id": p["doc_id"], "base": [[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base], "near": [contexts(t, x) if x else [] for t, x in zip(texts, base, strict=True)], "entities": entities, "held": [t if x else None for t, x in zip(texts, base, strict=True)]})
+    def of(texts: list[str | None]) -> dict:
+        base = [base_spans(t) if t else [] for t in texts]
+        own = [sorted(entities(t, x)) if x else None for t, x in zip(texts, base, strict=True)]
+        terms = [[{"term": key("term", w), "stem": stem_key(w)} for w in {w for _, _, w in free_terms(t, x)}] if x else None for t, x in zip(texts, base, strict=True)]
+        return {"entities": own, "terms": terms}
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,stem:long,start:int,end:int>>, entities array<long>, held string"
-    return docs.select("doc_id", "text").mapInPandas(of, schema)
+    pair = pa.struct([("term", pa.int64()), ("stem", pa.int64())])
+    return with_texts(docs, [], of, {"entities": pa.list_(pa.int64()), "terms": pa.list_(pair)}).where("entities IS NOT NULL")
 
 
 def filter_bits(cells: DataFrame) -> np.ndarray:
@@ -145,33 +132,6 @@ def filter_bits(cells: DataFrame) -> np.ndarray:
     return bits
 
 
-def occurrences(rows: DataFrame, tells: DataFrame) -> DataFrame:
-    """(rid, start, end, action): every place of a term, in the whole text, that discloses an entity which the text holds."""
-    bits = filter_bits(tells.select(F.col("entity").bitwiseXOR(F.col("term")).alias("h")))
-
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out: list[tuple[int, int, int, int, int]] = []
-            for rid, base, entities, t in zip(p["rid"], p["base"], p["entities"], p["held"], strict=True):
-                terms = free_terms(t, [(x["start"], x["kind"], x["end"]) for x in base])
-                names = {w: key("term", w) for _, _, w in terms}
-                some = np.fromiter(names.values(), np.int64, len(names))
-                own: dict[int, list[int]] = {}
-                for e in entities:
-                    c = (some ^ np.int64(e)) % FILTER_BITS
-                    for x in some[(bits[c >> 6] >> (c & 63).astype(np.uint64) & np.uint64(1)) > 0].tolist():
-                        own.setdefault(x, []).append(int(e))
-                out += [(rid, e, names[w], a, b) for a, b, w in terms for e in own.get(names[w], ())]
-                if len(out) > FLUSH:
-                    yield pd.DataFrame(out, columns=["rid", "entity", "term", "start", "end"])
-                    out = []
-            yield pd.DataFrame(out, columns=["rid", "entity", "term", "start", "end"])
-
-    held = rows.where("held IS NOT NULL").select("rid", "base", "entities", "held").mapInPandas(of, "rid long, entity long, term long, start int, end int")
-    # of several entities the one for which the term has to go decides: 'remove' is the greater
-    return held.join(tells, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("action").alias("action"))
-
-
 def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(h, n): in how many rows of docs each candidate (h) occurs, counted over all whole texts.
 
@@ -191,8 +151,8 @@ def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
         for p in parts:
             for t in p["text"]:
                 if isinstance(t, str):
-                    words = set(TERM.findall(t.lower()))
-                    for kind, some in (("term", words), ("stem", {w[:STEM] for w in words})):
+                    own = words(t)
+                    for kind, some in (("term", own), ("stem", {w[:STEM] for w in own})):
                         for w in some:
                             name = kind[0] + w
                             h = known.get(name)
@@ -211,59 +171,96 @@ def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(of, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """(entity, term, action): the terms that disclose an entity by more than the threshold.
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(h, action): the terms that disclose an entity of the corpus by more than the threshold.
 
-    A term t discloses an entity e by PMI(t; e) / IC(e), where IC(e) = -log2 p(e) and p counts documents:
-    1 if whoever reads t knows e. Terms that meet e in fewer than SUPPORT documents say nothing. `generalise`
-    if the term's stem stays under the threshold, else `remove`. near: (rid, entity, term, stem).
+    A term t discloses an entity e by PMI(t; e) / IC(e), where IC(e) = -log2 p(e); all probabilities are shares of
+    documents. It is 1 if whoever reads t knows e. Terms that meet e in fewer than SUPPORT documents say nothing.
+    `generalise` if the term's stem stays under the threshold for every entity that the term discloses, else `remove`.
     """
     n_docs = docs.count()
-    n_entity = near.select("entity", "rid").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.select("rid", "entity", F.explode(F.array("term", "stem")).alias("h")).distinct()
-    joint = stored(pairs.groupBy("entity", "h").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), "joint")
-    counts = term_counts(docs, joint.select("h").distinct())
-    pmi = F.log2(F.col("n_te") * F.lit(float(n_docs)) / (F.col("n_t") * F.col("n_e")))
-    share = pmi / F.greatest(F.log2(F.lit(float(n_docs)) / F.col("n_e")), F.lit(1e-9))
-    told = stored(joint.join(counts.withColumnRenamed("n", "n_t"), "h").join(n_entity, "entity").where(share > DISCLOSURE).select("entity", "h"), "told")
-    terms = near.select("entity", "term", "stem").distinct().join(told.withColumnRenamed("h", "term"), ["entity", "term"])
-    stems = told.select("entity", F.col("h").alias("stem"), F.lit(True).alias("stem_tells"))
-    return terms.join(stems, ["entity", "stem"], "left").select("entity", "term", F.when(F.col("stem_tells"), "remove").otherwise("generalise").alias("action"))
+    rows = stored(protected(docs).withColumn("rid", F.monotonically_increasing_id()), "protected")
+    n_entity = stored(rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
+    # only entities that recur can meet a term often enough
+    named = rows.select("rid", F.explode("entities").alias("entity")).join(n_entity.select("entity"), "entity")
+    pairs = named.join(rows.select("rid", "terms"), "rid").select("entity", F.explode("terms").alias("x"))
+    joint = pairs.groupBy("entity", "x.term", "x.stem").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    # a text has each of its terms once, but a stem for each term that begins so
+    by_stem = named.join(rows.select("rid", F.array_distinct("terms.stem").alias("stems")), "rid").select("entity", F.explode("stems").alias("stem"))
+    by_stem = by_stem.groupBy("entity", "stem").agg(F.count("*").alias("n_se")).where(F.col("n_se") >= SUPPORT)
+    joint = stored(joint.join(by_stem, ["entity", "stem"]).join(n_entity, "entity"), "joint")
+    counts = stored(term_counts(docs, joint.select(F.explode(F.array("term", "stem")).alias("h")).distinct()), "term-counts")
+    of = lambda c: counts.select(F.col("h").alias(c), F.col("n").alias(f"n_{c}"))
+    bits = F.greatest(F.log2(F.lit(float(n_docs)) / F.col("n_e")), F.lit(1e-9))
+    tells = lambda both, alone: F.log2(F.col(both) * F.lit(float(n_docs)) / (F.col(alone) * F.col("n_e"))) / bits > DISCLOSURE
+    told = joint.join(of("term"), "term").join(of("stem"), "stem").where(tells("n_te", "n_term"))
+    return told.groupBy(F.col("term").alias("h")).agg(F.max(F.when(tells("n_se", "n_stem"), "remove").otherwise("generalise")).alias("action"))
+
+
+SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
+PLACE = pa.struct([("h", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def spanned(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of every row of docs with __base, its base spans, and __all, all its spans and their actions.
+
+    Each text is looked through for every disclosing term. A filter of fixed size shows what may be one; the
+    join with the terms by their hash then decides.
+    """
+    told = stored(disclosing(docs), "disclosing")
+    bits = filter_bits(told)
+    some = bool(bits.any())
+
+    def of(texts: list[str | None]) -> dict:
+        base = [base_spans(t) if t else [] for t in texts]
+        places: list[list[dict]] = []
+        for t, x in zip(texts, base, strict=True):
+            here = []
+            if t and some:
+                own = list(words(t))
+                h = np.array([key("term", w) for w in own], np.int64)
+                c = h % FILTER_BITS
+                may = {own[i]: int(h[i]) for i in np.flatnonzero(bits[c >> 6] >> (c & 63).astype(np.uint64) & np.uint64(1))}
+                here = [{"h": may[w], "start": a, "end": b} for a, b, w in free_terms(t, x) if w in may] if may else []
+            places.append(here)
+        return {"__base": [[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base], "__places": places}
+
+    rows = stored(with_texts(docs, keep, of, {"__base": pa.list_(SPAN), "__places": pa.list_(PLACE)}).withColumn("__rid", F.monotonically_increasing_id()), "spanned")
+    more = rows.select("__rid", F.explode("__places").alias("x")).select("__rid", "x.*").join(told, "h")
+    more = more.groupBy("__rid").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "action")).alias("__more"))
+    base = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("remove").alias("action")))
+    spans = F.array_sort(F.concat(base, F.coalesce("__more", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>"))))
+    return rows.join(more, "__rid", "left").withColumn("__all", spans).select(*keep, "__base", "__all")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, counts of the base kinds, base_sha256, spans, and the spans as an array.
 
     Base spans follow the patterns. Words of two letters or digits and more that disclose an entity over the
-    corpus, which is judged by what lies within WINDOW words of LONG letters or digits of it, are spans of kind
-    `term` wherever they stand in a text that holds that entity. Texts without an entity get no span. A null text counts as empty; repeated rows count as documents of their own;
-    an empty table gives an empty result.
+    corpus, as `disclosing` has it, are spans of kind `term` in every text, whether the text names the entity or
+    not: whoever reads them there can tell. A null text counts as empty; repeated rows count as documents of their
+    own, with a null id too; an empty table gives an empty result; texts are read whole, however long; other
+    columns play no part.
     """
-    rows = stored(found(docs).withColumn("rid", F.monotonically_increasing_id()), "found")
-    near = rows.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    tells = stored(disclosing(docs, near), "disclosing")
-    more = occurrences(rows, tells).groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "action")).alias("more"))
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("remove").alias("action")))
-    spans = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>"))))
+    out = spanned(docs, ["doc_id"])
     name = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ",")
-    out = rows.join(more, "rid", "left").withColumn("all", spans)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), F.col("all").alias("span_list"))
+    counts = [F.size(F.filter("__base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("__all")).alias("spans"), F.col("__all").alias("span_list"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with the spans of personal_data taken out of text: base kinds become [kind], terms their stem or nothing.
+    """docs with the spans of personal_data taken out of text: base kinds become [kind], terms their stem or nothing."""
+    columns = docs.columns
 
-    Ids must tell the rows apart.
-    """
-    spans, columns = personal_data(docs).select("doc_id", "span_list"), docs.columns
-
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p.assign(text=[t if s is None else cleaned(t, s) for t, s in zip(p["text"], p["span_list"], strict=True)])[columns]
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                texts = pa.array([cleaned(t, s) for t, s in zip(part.column("text").to_pylist(), part.column("__all").to_pylist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([texts if c == "text" else part.column(c) for c in columns], columns)
 
-    return docs.join(spans, "doc_id", "left").mapInPandas(of, docs.schema)
+    return spanned(docs, columns).select(*columns, "__all").mapInArrow(of, docs.schema)
 
 
 def cleaned(text: str | None, spans) -> str | None:
