@@ -164,6 +164,30 @@ def test_changed_passages_are_found(spark, n, share, mixed):
     assert all(r["doc_id"] >= 1000 for r in out)
 
 
+def test_one_pair_alone_and_a_pair_over_several_batches(spark):
+    rng = random.Random(31)
+    shared = words(rng, 60)
+    rows = [(2**53 + 1, " ".join(words(rng, 20) + shared)), (2**53 + 3, " ".join(shared + words(rng, 20)))]
+    out = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["sources"], r["start"]) for r in out] == [(2**53 + 3, [2**53 + 1], 0)]
+    # long texts that repeat a line, so that one pair has more matches than a batch has rows
+    line = words(rng, 9)
+    long = " ".join((line + words(rng, 9)) * 1500)
+    df = spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("pos", F.lit(1))
+    out = substring.passages(df).collect()
+    assert [(r["doc_id"], r["sources"]) for r in out] == [(2, [1])] and out[0]["n_words"] >= 26_900
+
+
+def test_every_run_as_a_seed_finds_no_less(spark):
+    rng, rows = random.Random(23), []
+    for i in range(40):
+        p = words(rng, 60)
+        rows += [(i, " ".join(words(rng, 30) + p)), (1000 + i, " ".join(changed(rng, p, 0.1, True) + words(rng, 50)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    some, every = ({r["doc_id"] for r in substring.passages(df, keep).collect()} for keep in (substring.KEEP, 1))
+    assert len(every) >= 38 and len(some) >= 38 and all(i >= 1000 for i in some | every)
+
+
 def test_passage_quoted_piecemeal_before(spark):
     rng = random.Random(22)
     shared, rows = words(rng, 60), []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +68,18 @@ def with_texts(df: DataFrame, keep: list[str], of: Callable[[list[str | None]],
     return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(mapped, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Within this, what is run hands Python workers at most so many rows at once; for rows of many bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that nothing may be learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
