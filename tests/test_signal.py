@@ -198,8 +198,137 @@ def test_stream_frames(spark, tmp_path):
     s = signal_of(spark, x).select("signal_id", "n", "re", "im")
     s.coalesce(1).write.parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = stream.drained(stream.stream_frames(spark.readStream.schema(s.schema).parquet(str(tmp_path / "in")), c), "frames_out", "append", str(tmp_path / "cp")).collect()
+    rows = stream.drained(stream.stream_frames(spark.readStream.schema(s.schema).parquet(str(tmp_path / "in")), c), "append", str(tmp_path / "out")).collect()
     batch = {(r["k"], r["m"]): r["power"] for r in stft.stft(signals.whole(s), c).collect()}
     assert len(rows) > 25
     for r in rows:
         assert np.allclose(r["power"], [batch[k, r["m"]] for k in range(9)])
+
+
+def test_frames_of_a_signal_with_a_gap(spark):
+    c = Stft(32, 8, rate=1.0)
+    x = np.zeros(30_050)
+    x[:50] = x[30_000:] = 1.0
+    rows = [("a", 0, i, float(x[i]), 0.0) for i in (*range(50), *range(30_000, 30_050))]
+    sparse = spark.createDataFrame(rows, "signal_id string, seg_id int, n long, re double, im double")
+    got = stft.frames(sparse, c).toPandas().sort_values("m")
+    assert list(got["m"]) == list(range(c.frames(30_050)))
+    full = stft.frames(signal_of(spark, x), c).toPandas().sort_values("m")
+    assert np.allclose(np.stack(got["zre"]), np.stack(full["zre"]))
+
+
+def test_tiles_change_nothing(spark, monkeypatch):
+    x = np.random.default_rng(6).exponential(size=(9, 60))
+    c = Cfar("goca", 1, 2, 0.2)
+    want = {(r["k"], r["m"]): r["noise"] for r in cfar.detect(grid_of(spark, x), c).collect()}
+    top = hits(morphology.local_maxima(grid_of(spark, x), "power", 5).where("is_max"))
+    for module in (cfar, morphology):
+        monkeypatch.setattr(module, "TILE", 16)
+    got = {(r["k"], r["m"]): r["noise"] for r in cfar.detect(grid_of(spark, x), c).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert hits(morphology.local_maxima(grid_of(spark, x), "power", 5).where("is_max")) == top
+
+
+def test_components_of_large_and_small_segments(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a" if i % 3 else "b", i % 2, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 60, (90, 2)))]
+    edges = spark.createDataFrame(rows, "signal_id string, seg_id int, a long, b long")
+    key = ["signal_id", "seg_id", "node", "root"]
+    one, two = (sorted(map(tuple, graph.components_by_segment(edges, most).select(*key).collect())) for most in (1000, 20))
+    assert one == two and {(s, g) for s, g, *_ in one} == {(s, g) for s, g, *_ in rows}
+
+
+def brute_tree(xy, least):
+    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+    core = np.sort(d, axis=1)[:, min(least, len(xy)) - 1]
+    w = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    root, total = list(range(len(xy))), []
+    for i, j in sorted(((i, j) for i in range(len(xy)) for j in range(i)), key=lambda p: w[p]):
+        a, b = root[i], root[j]
+        if a != b:
+            root = [a if r == b else r for r in root]
+            total.append(w[i, j])
+    return sorted(total)
+
+
+def test_tree_and_merges_against_loops(spark):
+    rng = np.random.default_rng(9)
+    pts = sorted({(int(a), int(b)) for a, b in rng.integers(0, 20, (30, 2))})
+    df = spark.createDataFrame([("a", 0, a, b, a * 100.0, b * 0.05) for a, b in pts], "signal_id string, seg_id int, k int, m int, freq_hz double, time_s double")
+    xy = np.array(pts, float)
+    assert np.allclose(sorted(r["w"] for r in cluster.spanning_tree(df, Cluster(min_samples=3)).collect()), brute_tree(xy, 3))
+    # single linkage leaves what cutting the longest edges of the plain tree leaves
+    got = {(r["k"], r["m"]): r["cluster_id"] for r in cluster.agglomerative(df, 4, single_linkage=True).collect()}
+    bar = brute_tree(xy, 1)[-3]
+    near = {(i, j) for i in range(len(pts)) for j in range(i) if np.hypot(*(xy[i] - xy[j])) < bar - 1e-9}
+    assert all(got[pts[i]] == got[pts[j]] for i, j in near) and len(set(got.values())) == 4
+
+
+def test_triangle_components_against_loops(spark):
+    rng = np.random.default_rng(12)
+    n = 16
+    rows = [("a", 0, i, i, i, float(f), float(t), float(a)) for i, (f, t, a) in enumerate(zip(rng.random(n) * 900, rng.random(n), rng.random(n) + 0.5))]
+    p = spark.createDataFrame(rows, "signal_id string, seg_id int, pid int, k int, m int, freq_hz double, time_s double, magnitude double")
+    tri = triangulate.triangles(p).cache()
+    t = [(r["tid"], {r["v0"], r["v1"], r["v2"]}) for r in tri.orderBy("tid").collect()]
+    mag = [r[7] for r in rows]
+    mean = {i: sum(mag[v] for v in vs) / 3 for i, vs in t}
+    root = {i: i for i, _ in t}
+    for i, a in t:
+        for j, b in t:
+            if i < j and len(a & b) == 2 and abs(mean[i] - mean[j]) / max(mean[i], mean[j]) < 0.25:
+                root = {k: root[i] if r == root[j] else r for k, r in root.items()}
+    want = []
+    for r in set(root.values()):
+        points = set().union(*(vs for i, vs in t if root[i] == r))
+        want.append((sum(1 for i, _ in t if root[i] == r), len(points), round(sum(mag[v] ** 2 for v in points), 6)))
+    got = [(r["n_triangles"], r["n_points"], round(r["energy"], 6)) for r in triangulate.triangle_components(triangulate.triangle_groups(tri, p, 0.25), p).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_sql_functions(spark):
+    udfs.register(spark)
+    x = list(map(float, np.cumsum(np.random.default_rng(3).normal(size=90))))
+    df = spark.createDataFrame([("a", x)], "signal_id string, x array<double>")
+    df.createOrReplaceTempView("series")
+    r = spark.sql("SELECT hurst(x) AS h, higuchi(x) AS d, power_db(100D) AS p FROM series").first()
+    series = df.select("signal_id", F.posexplode("x").alias("i", "x"))
+    assert r["h"] == pytest.approx(fractal.hurst(series, 20, ("signal_id",)).first()["hurst"])
+    assert r["d"] == pytest.approx(fractal.higuchi(series, 10, ("signal_id",)).first()["dimension"]) and r["p"] == pytest.approx(20)
+    q = spark.sql("SELECT rqf(a, b) AS q FROM VALUES (1D, 1D), (2D, 1.9D) t(a, b)").first()["q"]
+    assert q == pytest.approx(10 * math.log10(5 / 0.01))
+
+
+def test_sources_of_signals(spark):
+    m = signals.mixture(spark, 0.05, noise=0.0).toPandas().sort_values("n")
+    assert len(m) == 2205 and m["re"].iloc[0] == pytest.approx(0.8)
+    a, b = (sorted(map(tuple, signals.white_noise(s, 500).collect())) for s in (spark, spark))
+    assert a == b and abs(np.mean([r[2] for r in a])) < 0.2 and np.std([r[2] for r in a]) == pytest.approx(1, abs=0.15)
+    few = signals.evenly_spaced(signal_of(spark, np.arange(100.0)).drop("seg_id"), 4, 10)
+    assert sorted(r["re"] for r in few.where("n = 0").collect()) == [0.0, 30.0, 60.0, 90.0] and few.count() == 40
+
+
+def test_stream_takes_late_samples_and_gaps(spark, tmp_path):
+    from tonefield.streaming import stream
+
+    c = Stft(16, 4, rate=1.0)
+    frames, state = stream.Frames(c), {}
+    frames.tail = type("State", (), {"exists": lambda self: "v" in state, "get": lambda self: state["v"], "update": lambda self, v: state.update(v=v), "clear": lambda self: state.clear()})()
+    x = np.random.default_rng(5).normal(size=300_000)
+    x[200:299_900] = 0
+    import pandas as pd
+
+    def batch(ns):
+        return [p for p in frames.handleInputRows(("a",), iter([pd.DataFrame({"n": np.array(ns, np.int64), "re": x[ns], "im": 0.0})]), None)]
+
+    got = batch(np.r_[0:40, 44:50]) + batch(np.r_[40:44, 50:200]) + batch(np.arange(299_900, 300_000))
+    assert max(len(v) for v in state["v"][2:]) <= 32
+    got += [p for p in frames.handleInputRows(("a",), iter([pd.DataFrame({"n": [300_000], "re": [np.nan], "im": [0.0]})]), None)]
+    power = np.concatenate([np.stack(p["power"]) for p in got if len(p)])
+    assert list(np.concatenate([p["m"] for p in got])) == list(range(c.frames(300_000))) and not state
+    w = tapers.taper("gaussian", 16, sigma=8.0)
+    padded = np.concatenate([np.zeros(8), x, np.zeros(16)])
+    want = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, 16)[::4] * w, axis=1) / w.sum()) ** 2
+    # samples that came after their frame was made are not in it; all others are
+    late = [m for m in range(len(power)) if not np.allclose(power[m], want[m])]
+    assert set(late) <= set(range(9, 13))

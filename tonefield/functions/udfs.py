@@ -22,13 +22,29 @@ def hurst_of(x: np.ndarray, max_lag: int = 20) -> float:
     return float(np.clip(np.polyfit(np.log(np.arange(2, 2 + len(rs))), np.log(rs), 1)[0], 0, 1)) if len(rs) >= 3 else 0.5
 
 
+def higuchi_of(x: np.ndarray, k_max: int = 10) -> float:
+    n, lengths = len(x), []
+    if n < 2 * k_max:
+        return 1.5
+    for k in range(1, k_max + 1):
+        parts = [x[m::k] for m in range(k) if len(x[m::k]) >= 2]
+        total = sum(np.abs(np.diff(p)).sum() * (n - 1) / (k * len(p) * k) for p in parts) / k
+        if total > 0:
+            lengths.append(total)
+    return float(np.clip(-np.polyfit(np.log(np.arange(1, len(lengths) + 1)), np.log(lengths), 1)[0], 1, 2)) if len(lengths) >= 3 else 1.5
+
+
 def register(spark: SparkSession) -> None:
-    """doppler_velocity(hz), power_db(p), rqf(clean, rebuilt), hurst(array), stft(array, length, hop)."""
+    """doppler_velocity(hz), power_db(p), rqf(clean, rebuilt), hurst(array), higuchi(array), stft(array, length, hop)."""
 
     @F.pandas_udf("double")
     def hurst(x: pd.Series) -> pd.Series:
         return pd.Series([None if a is None else hurst_of(np.asarray(a, float)) for a in x])
 
+    @F.pandas_udf("double")
+    def higuchi(x: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else higuchi_of(np.asarray(a, float)) for a in x])
+
     @F.pandas_udf("double")
     def rqf(clean: pd.Series, rebuilt: pd.Series) -> float:
         e = float(((clean - rebuilt) ** 2).sum())
@@ -46,6 +62,7 @@ def register(spark: SparkSession) -> None:
                     yield k, m, float(v.real), float(v.imag)
 
     spark.udf.register("hurst", hurst)
+    spark.udf.register("higuchi", higuchi)
     spark.udf.register("rqf", rqf)
     spark.udtf.register("stft", F.udtf(Stft, returnType="k int, m int, re double, im double"))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION doppler_velocity(hz DOUBLE) RETURNS DOUBLE RETURN hz * 3e8D / (2 * 9.39e9D)")

@@ -13,18 +13,28 @@ from ..config import KEYS, Cfar
 from ..functions.special import factor, k_multiplier, k_shape, order_rank, ring_cells
 
 
+#: Frames of a tile.
+TILE = 4096
+
+
 def bands(c: Cfar) -> dict[str, tuple[int, int]]:
     """Offsets along one axis: before and behind the guard, within it, and all of them."""
     g, t = c.guard, c.reach
     return {"before": (-t, -g - 1), "behind": (g + 1, t), "inner": (-g, g), "all": (-t, t)}
 
 
+def tiled(grid: DataFrame, halo: int) -> DataFrame:
+    """grid with __tile: each cell in its tile of TILE frames and in those whose halo it belongs to, so that a long signal is many tasks."""
+    tile = lambda m: F.floor(m / TILE)
+    return grid.withColumn("__tile", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), tile(F.col("m") - halo)), tile(F.col("m") + halo))))
+
+
 def region_sums(grid: DataFrame, c: Cfar, regions: dict[str, tuple[str, str]], value: str = "power") -> DataFrame:
     """grid with the sum of `value` over each region, a pair of bands in k and m. Two sorts, however many regions."""
     span = bands(c)
-    along_m, along_k = Window.partitionBy(*KEYS, "k").orderBy("m"), Window.partitionBy(*KEYS, "m").orderBy("k")
+    along_m, along_k = Window.partitionBy(*KEYS, "k", "__tile").orderBy("m"), Window.partitionBy(*KEYS, "m").orderBy("k")
     rows = {b: F.coalesce(F.sum(value).over(along_m.rowsBetween(*span[b])), F.lit(0.0)).alias(f"__{b}") for _, b in regions.values()}
-    first = grid.select("*", *rows.values())
+    first = tiled(grid, c.reach).select("*", *rows.values()).where(F.floor(F.col("m") / TILE) == F.col("__tile"))
     sums = [F.coalesce(F.sum(f"__{b}").over(along_k.rowsBetween(*span[a])), F.lit(0.0)).alias(name) for name, (a, b) in regions.items()]
     return first.select(*grid.columns, *sums)
 
@@ -93,8 +103,11 @@ def k_parameters(grid: DataFrame, value: str = "power", per: tuple[str, ...] = K
     x = grid.where(F.col(value) > 1e-12)
     top = x.groupBy(*per).agg(F.count("*").alias("__n"), F.percentile(value, F.lit(0.95)).alias("__p")).where(F.col("__n") >= least)
     x = x.join(top, list(per)).where(F.col(value) <= F.col("__p"))
-    w = Window.partitionBy(*per)
-    x = x.withColumn("__i", F.row_number().over(w.orderBy("k", "m")) - 1).withColumn("__c", F.count("*").over(w))
+    # the place in row-major order: that within the row of bins, and the cells of the rows before
+    rows = x.groupBy(*per, "k").agg(F.count("*").alias("__r"))
+    by_row = Window.partitionBy(*per).orderBy("k")
+    rows = rows.withColumn("__before", F.sum("__r").over(by_row) - F.col("__r")).withColumn("__c", F.sum("__r").over(Window.partitionBy(*per)))
+    x = x.withColumn("__i", F.row_number().over(Window.partitionBy(*per, "k").orderBy("m")) - 1).join(rows, [*per, "k"]).withColumn("__i", F.col("__i") + F.col("__before"))
     stride = F.when(F.col("__c") > most, F.floor(F.col("__c") / most)).otherwise(1)
     x = x.where((F.col("__i") % stride == 0) & (F.col(value) > 1e-10))
     return x.groupBy(*per).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"))
@@ -131,7 +144,7 @@ def detect(grid: DataFrame, c: Cfar, k_fit: str = "per_segment") -> DataFrame:
         grid, value = grid.withColumn("magnitude", F.sqrt("power")), "magnitude"
     size = grid.groupBy(*KEYS).agg(F.max("k").alias("__k"), F.max("m").alias("__m"))
     t = c.reach
-    out = METHODS[c.method](grid, c, value).join(F.broadcast(size), list(KEYS)).where(F.col("k").between(t, F.col("__k") - t) & F.col("m").between(t, F.col("__m") - t)).drop("__k", "__m")
+    out = METHODS[c.method](grid, c, value).join(size, list(KEYS)).where(F.col("k").between(t, F.col("__k") - t) & F.col("m").between(t, F.col("__m") - t)).drop("__k", "__m")
     if c.threshold == "k":
         out = out.join(k_factors(grid, c, value, k_fit).select(*KEYS, "factor"), list(KEYS)).withColumn("threshold", F.col("noise") * F.col("factor")).drop("factor")
     else:

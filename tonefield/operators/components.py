@@ -68,8 +68,16 @@ def cluster_info(labels: DataFrame, grid: DataFrame, rf_hz: float = 9.39e9, c: f
 
 def relative_db(grid: DataFrame) -> DataFrame:
     """grid with `db`: the level under the segment's peak."""
-    peak = F.max("power").over(Window.partitionBy(*KEYS))
-    return grid.withColumn("db", 10 * F.log10(F.col("power") / (peak + 1e-10) + 1e-10))
+    peak = grid.groupBy(*KEYS).agg(F.max("power").alias("__peak"))
+    return grid.join(peak, list(KEYS)).withColumn("db", 10 * F.log10(F.col("power") / (F.col("__peak") + 1e-10) + 1e-10)).drop("__peak")
+
+
+def region_db(grid: DataFrame, t0: float | None = None, t1: float | None = None, f0: float | None = None, f1: float | None = None) -> DataFrame:
+    """The cells of a region, times and frequencies between bounds, with `db`: the level under the region's own peak."""
+    inside = F.lit(True)
+    for c, low, high in (("time_s", t0, t1), ("freq_hz", f0, f1)):
+        inside = inside & (F.col(c) >= low if low is not None else F.lit(True)) & (F.col(c) <= high if high is not None else F.lit(True))
+    return relative_db(grid.where(inside))
 
 
 def final_masks(masks: DataFrame, grid: DataFrame, threshold_db: float | None = -20.0) -> DataFrame:
@@ -87,6 +95,19 @@ def final_masks(masks: DataFrame, grid: DataFrame, threshold_db: float | None =
     return near.join(poor, list(COMPONENT), "left_anti").union(poor.join(loud, list(KEYS)).select(*COMPONENT, "k", "m"))
 
 
+def local_masks(masks: DataFrame, grid: DataFrame, steps: int = 5, threshold_db: float = -20.0) -> DataFrame:
+    """The masks (component keys, k, m) of the plain detector: the cells within `steps` of a mask that are loud beside the loudest of them.
+
+    Where that leaves less than the mask has, all cells within `steps`.
+    """
+    near = dilated(masks, grid, CROSS, steps, COMPONENT).join(grid.select(*KEYS, "k", "m", "power"), [*KEYS, "k", "m"])
+    peak = near.groupBy(*COMPONENT).agg(F.max("power").alias("__peak"))
+    db = 10 * F.log10(F.col("power") / (F.col("__peak") + 1e-12) + 1e-12)
+    near = near.join(peak, list(COMPONENT)).withColumn("__loud", db > threshold_db)
+    kept = near.groupBy(*COMPONENT).agg(F.count_if("__loud").alias("__d")).join(masks.groupBy(*COMPONENT).agg(F.count("*").alias("__c")), list(COMPONENT))
+    return near.join(kept, list(COMPONENT)).where(F.col("__loud") | (F.col("__d") < F.col("__c"))).select(*COMPONENT, "k", "m")
+
+
 def closed_by_component(masks: DataFrame, grid: DataFrame) -> DataFrame:
     return eroded(dilated(masks, grid, CROSS, 1, COMPONENT), CROSS, COMPONENT)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import KEYS
+from ..session import cut
 
 #: What stands for the quality of a trial in which nothing was found.
 FAILED = -10.0
@@ -46,10 +47,23 @@ def segment_rollup(results: DataFrame) -> DataFrame:
     )
 
 
+def placed(values: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """values (keys, value) with __i, the place from 0 in the order of the key's values, and __c, their count.
+
+    Ranges of values are dealt to tasks, which number their own; what lies before a range is added from the counts.
+    """
+    dealt = cut(values.repartitionByRange(*keys, "value").withColumn("__p", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "__p").agg(F.count("*").alias("__own"))
+    w = Window.partitionBy(*keys)
+    sizes = sizes.select(*keys, "__p", (F.sum("__own").over(w.orderBy("__p")) - F.col("__own")).alias("__before"), F.sum("__own").over(w).alias("__c"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy("value")) - 1
+    out = dealt.withColumn("__i", own).join(sizes.withColumnsRenamed({k: f"__k_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [dealt["__p"] == sizes["__p"]])
+    return out.select(*values.columns, (F.col("__i") + F.col("__before")).alias("__i"), "__c")
+
+
 def ecdf(values: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
     """values (keys, value) with cum_prob: rank over count; equal values get steps of their own."""
-    w = Window.partitionBy(*keys)
-    return values.withColumn("cum_prob", F.row_number().over(w.orderBy("value")) / F.count("*").over(w))
+    return placed(values, keys).withColumn("cum_prob", (F.col("__i") + 1) / F.col("__c")).drop("__i", "__c")
 
 
 def ecdf_summary(values: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
@@ -59,16 +73,14 @@ def ecdf_summary(values: DataFrame, keys: tuple[str, ...] = ("metric",)) -> Data
 
 def quantile_marker(values: DataFrame, q: float, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
     """(keys, marker): the sorted value at place int(q x count)."""
-    w = Window.partitionBy(*keys)
-    x = values.withColumn("__i", F.row_number().over(w.orderBy("value")) - 1).withColumn("__c", F.count("*").over(w))
-    return x.where(F.col("__i") == F.floor(q * F.col("__c"))).select(*keys, F.col("value").alias("marker"))
+    return placed(values, keys).where(F.col("__i") == F.floor(q * F.col("__c"))).select(*keys, F.col("value").alias("marker"))
 
 
 def histogram(values: DataFrame, bins: int, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
     """(keys, bin, low, high, n, density) over equal bins from least to greatest value, the last closed above."""
     span = values.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total"))
     span = span.withColumn("w", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0 / bins))
-    x = values.join(F.broadcast(span), list(keys)).withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / F.col("w"))).cast("int"))
+    x = values.join(span, list(keys)).withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / F.col("w"))).cast("int"))
     n = x.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     out = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(n, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.select(*keys, "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("high"), "n", (F.col("n") / (F.col("total") * F.col("w"))).alias("density"))
@@ -77,7 +89,7 @@ def histogram(values: DataFrame, bins: int, keys: tuple[str, ...] = ("metric",))
 def histogram_2d(points: DataFrame, bins: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, bx, by, n) of points (keys, x, y) over equal bins of both ranges; empty bins are left out."""
     span = points.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    x = points.join(F.broadcast(span), list(keys)) if keys else points.crossJoin(F.broadcast(span))
+    x = points.join(span, list(keys)) if keys else points.crossJoin(F.broadcast(span))
     at = lambda c: F.least(F.lit(bins - 1), F.floor((F.col(c) - F.col(f"lo_{c}")) * bins / (F.col(f"hi_{c}") - F.col(f"lo_{c}")))).cast("int")
     return x.groupBy(*keys, at("x").alias("bx"), at("y").alias("by")).agg(F.count("*").alias("n"))
 
@@ -102,7 +114,7 @@ def autocorrelation(signal: DataFrame, first: int = 2000, lags: int = 500) -> Da
     """(keys, lag, acf) of the magnitude's first samples, in standard units, over its value at lag 0."""
     x = signal.where(F.col("n") < first).select(*KEYS, "n", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("x"))
     s = x.groupBy(*KEYS).agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
-    z = x.join(F.broadcast(s), list(KEYS)).select(*KEYS, "n", ((F.col("x") - F.col("mu")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("z"))
+    z = x.join(s, list(KEYS)).select(*KEYS, "n", ((F.col("x") - F.col("mu")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("z"))
     left = z.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags - 1)))).withColumn("at", F.col("n") + F.col("lag"))
     acf = left.join(z.select(*KEYS, F.col("n").alias("at"), F.col("z").alias("y")), [*KEYS, "at"]).groupBy(*KEYS, "lag").agg(F.sum(F.col("z") * F.col("y")).alias("s"))
     return acf.withColumn("acf", F.col("s") / F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy(*KEYS))).drop("s")
@@ -123,7 +135,7 @@ def coverage(cells: DataFrame, grid: DataFrame) -> DataFrame:
 
 def nearest_bin(ranges: DataFrame, targets: DataFrame) -> DataFrame:
     """(file_id, range_bin, clutter_bin): the bin nearest to the target, the lower of two, and one far from it."""
-    x = ranges.join(F.broadcast(targets), "file_id").withColumn("d", F.abs(F.col("range_m") - F.col("target_m")))
+    x = ranges.join(targets, "file_id").withColumn("d", F.abs(F.col("range_m") - F.col("target_m")))
     best = x.groupBy("file_id").agg(F.min(F.struct("d", "range_bin")).alias("b"), F.count("*").alias("bins")).select("file_id", F.col("b.range_bin").alias("range_bin"), "bins")
     return best.select("file_id", "range_bin", F.when(F.col("range_bin") > F.col("bins") / 2, 0).otherwise(F.col("bins") - 1).cast("int").alias("clutter_bin"))
 

@@ -73,11 +73,13 @@ def boost_grid(grid: DataFrame, f: Fractal) -> DataFrame:
     """Cells of the patches, a band of bins by a window of frames, whose log power has an anomalous exponent."""
     tw, step, half = max(8, f.frames), max(1, f.step), max(1, f.band // 2)
     size = grid.groupBy(*KEYS).agg(F.max("k").alias("__k"), (F.max("m") + 1).alias("__m"))
-    centres = F.sequence(F.lit(0), F.col("__k"), F.lit(max(1, f.stride)))
-    near = F.filter(centres, lambda b: F.abs(b - F.col("k")) <= half)
-    cells = grid.join(F.broadcast(size), list(KEYS)).where(F.col("__m") >= tw)
+    # of the bands at multiples of the stride those within half of the bin, of the windows those that hold the frame
+    steps = lambda low, high, by: F.transform(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda i: i * by)
+    by = max(1, f.stride)
+    near = steps(F.ceil(F.greatest(F.lit(0), F.col("k") - half) / by).cast("int"), F.floor(F.least(F.col("__k"), F.col("k") + half) / by).cast("int"), by)
+    cells = grid.join(size, list(KEYS)).where(F.col("__m") >= tw)
     series = cells.select(*KEYS, "m", "__m", F.explode(near).alias("band"), F.log(F.col("power") + 1e-12).alias("v")).groupBy(*KEYS, "band", "m", "__m").agg(F.avg("v").alias("x"))
-    t0 = F.filter(F.sequence(F.lit(0), F.col("__m") - tw, F.lit(step)), lambda t: (t <= F.col("m")) & (F.col("m") < t + tw))
+    t0 = steps(F.ceil(F.greatest(F.lit(0), F.col("m") - tw + 1) / step).cast("int"), F.floor(F.least(F.col("m"), F.col("__m") - tw) / step).cast("int"), step)
     windows = series.withColumn("t0", F.explode(t0)).select(*KEYS, "band", "t0", (F.col("m") - F.col("t0")).alias("i"), "x")
     h = hurst(windows, max(8, tw // 4), (*KEYS, "band", "t0"))
     enough = h.groupBy(*KEYS, "band").agg(F.count("*").alias("c")).where("c >= 5").drop("c")
@@ -101,7 +103,7 @@ def boosted_detections(signal: DataFrame, grid: DataFrame, detections: DataFrame
     if mode != "tf":
         return combined(detections, boost_time(signal, grid, c, f), grid, f, False)
     size = grid.groupBy(*KEYS).agg((F.max("m") + 1).alias("n")).select(*KEYS, (F.col("n") >= max(8, f.frames)).alias("__long"))
-    part = lambda df, long: df.join(F.broadcast(size.where("__long" if long else "NOT __long").select(*KEYS)), list(KEYS), "left_semi")
+    part = lambda df, long: df.join(size.where("__long" if long else "NOT __long").select(*KEYS), list(KEYS), "left_semi")
     tf = combined(part(detections, True), boost_grid(grid, f), part(grid, True), f, True)
     short = part(grid, False)
     return tf.union(combined(part(detections, False), boost_time(part(signal, False), short, c, f), short, f, False))

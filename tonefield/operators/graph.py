@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from ..config import KEYS
 from ..session import cut
 
+#: Edges of a segment that one task takes.
+MOST = 2_000_000
+
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest node that each of n nodes reaches by the edges a-b."""
@@ -24,16 +29,57 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         low = best
 
 
-def components_by_segment(edges: DataFrame) -> DataFrame:
-    """(keys, node, root) of edges (keys, a, b); a segment's graph is no larger than its grid and fits a task."""
+def whole_groups(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames in which each group, whose rows follow each other, is whole; many small groups share a frame."""
+    rest: list[pd.DataFrame] = []
+    for p in parts:
+        if not len(p):
+            continue
+        last = (p[keys] == p[keys].iloc[-1]).all(axis=1).to_numpy()
+        goes_on = bool(rest) and (rest[-1][keys].iloc[-1] == p[keys].iloc[-1]).all()
+        if last.all() and (goes_on or not rest):
+            rest.append(p)
+            continue
+        at = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
+        yield pd.concat([*rest, p.iloc[:at]], ignore_index=True)
+        rest = [p.iloc[at:]]
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
+def bounds(p: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where the groups of a frame begin, and its end."""
+    new = (p[keys] != p[keys].shift()).any(axis=1).to_numpy()
+    return np.r_[np.flatnonzero(new), len(p)]
+
+
+def components_by_segment(edges: DataFrame, most: int = MOST) -> DataFrame:
+    """(keys, node, root) of edges (keys, a, b): segments of `most` edges at most in tasks of many segments, larger ones by `components`."""
+    edges = cut(edges.select(*KEYS, "a", "b"))
+    sizes = edges.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    large = cut(sizes.where(F.col("n") > most).select(*KEYS))
+    keys = list(KEYS)
 
-    def of(p: pd.DataFrame) -> pd.DataFrame:
-        ids, flat = np.unique(p[["a", "b"]].to_numpy().ravel(), return_inverse=True)
-        pairs = flat.reshape(-1, 2)
-        return pd.DataFrame({"signal_id": p["signal_id"].iloc[0], "seg_id": p["seg_id"].iloc[0], "node": ids, "root": ids[roots(pairs[:, 0], pairs[:, 1], len(ids))]})
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in whole_groups(parts, keys):
+            segment = np.repeat(np.arange(len(bounds(p, keys)) - 1), np.diff(bounds(p, keys)))
+            node = np.concatenate([p["a"].to_numpy(), p["b"].to_numpy()])
+            both = np.concatenate([segment, segment])
+            order = np.lexsort((node, both))
+            new = np.r_[True, (both[order][1:] != both[order][:-1]) | (node[order][1:] != node[order][:-1])]
+            flat = np.empty(len(node), np.int64)
+            flat[order] = np.cumsum(new) - 1
+            ids, first = node[order][new], both[order][new]
+            root = roots(flat[: len(p)], flat[len(p) :], len(ids))
+            at = bounds(p, keys)[first]
+            yield pd.DataFrame({"signal_id": p["signal_id"].to_numpy()[at], "seg_id": p["seg_id"].to_numpy()[at], "node": ids, "root": ids[root]})
 
     kind = dict(edges.dtypes)["signal_id"]
-    return edges.select(*KEYS, "a", "b").groupBy(*KEYS).applyInPandas(of, f"signal_id {kind}, seg_id int, node long, root long")
+    small, some = edges, large.limit(1).count() > 0
+    if some:
+        small = edges.join(large, keys, "left_anti")
+    out = small.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(of, f"signal_id {kind}, seg_id int, node long, root long")
+    return out.union(components(edges.join(large, keys, "left_semi"))) if some else out
 
 
 def components(edges: DataFrame, most: int = 50) -> DataFrame:

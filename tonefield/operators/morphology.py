@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import KEYS
+from .cfar import TILE, tiled
 
 CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
 SQUARE = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
@@ -37,7 +38,7 @@ def shifted(cells: DataFrame, steps: list[tuple[int, int]], keys: tuple[str, ...
 
 def dilated(cells: DataFrame, grid: DataFrame, steps: list[tuple[int, int]] = CROSS, times: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Cells of grid within a step of the set; outside the grid there is nothing."""
-    size = F.broadcast(grid.groupBy(*KEYS).agg(F.max("k").alias("__k"), F.max("m").alias("__m")))
+    size = grid.groupBy(*KEYS).agg(F.max("k").alias("__k"), F.max("m").alias("__m"))
     for _ in range(times):
         cells = shifted(cells, steps, keys).distinct()
     return cells.join(size, list(KEYS)).where("k >= 0 AND m >= 0 AND k <= __k AND m <= __m").drop("__k", "__m")
@@ -101,9 +102,9 @@ def grown(seeds: DataFrame, grid: DataFrame, keys: tuple[str, ...] = KEYS, round
 def local_maxima(grid: DataFrame, value: str = "magnitude", size: int = 3) -> DataFrame:
     """grid with `is_max`: cells that equal the greatest within size // 2 cells each way; plateaus count."""
     h = size // 2
-    along_m, along_k = Window.partitionBy(*KEYS, "k").orderBy("m").rowsBetween(-h, h), Window.partitionBy(*KEYS, "m").orderBy("k").rowsBetween(-h, h)
-    x = grid.withColumn("__r", F.max(value).over(along_m)).withColumn("__q", F.max("__r").over(along_k))
-    return x.withColumn("is_max", F.col(value) == F.col("__q")).drop("__r", "__q")
+    along_m, along_k = Window.partitionBy(*KEYS, "k", "__tile").orderBy("m").rowsBetween(-h, h), Window.partitionBy(*KEYS, "m").orderBy("k").rowsBetween(-h, h)
+    x = tiled(grid, h).withColumn("__r", F.max(value).over(along_m)).where(F.floor(F.col("m") / TILE) == F.col("__tile"))
+    return x.withColumn("__q", F.max("__r").over(along_k)).withColumn("is_max", F.col(value) == F.col("__q")).drop("__r", "__q", "__tile")
 
 
 def peaks(grid: DataFrame, value: str = "magnitude", percent: float = 0.9, size: int = 3) -> DataFrame:

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from ..config import KEYS, Stft
 from ..functions.tapers import taper
+from .graph import bounds, whole_groups
 
 #: Frames of one task's chunk; a long signal is many chunks, each with the samples that its frames touch.
 CHUNK = 1024
+#: The place of a row that holds no sample.
+NOWHERE = -(1 << 62)
 
 
 def window_of(c: Stft) -> np.ndarray:
@@ -32,29 +35,41 @@ def padded_length(signal: DataFrame, c: Stft) -> DataFrame:
 
 
 def frames(signal: DataFrame, c: Stft) -> DataFrame:
-    """Keys, m, re[], im[] over all bins k: the spectrum of each frame, in numpy under Arrow."""
+    """Keys, m, re[], im[] over all bins k: the spectrum of each frame, in numpy under Arrow.
+
+    A segment has the chunks that its length tells, also where no sample lies; a row without a sample stands for
+    each. Tasks take whole chunks, many short ones at a time.
+    """
     w = window_of(c)
-    half, span = c.length // 2, CHUNK * c.hop
+    half, span, keys = c.length // 2, CHUNK * c.hop, [*KEYS, "chunk"]
     n = F.col("n")
+    sizes = padded_length(signal, c).select(*KEYS, "n_time")
     low, high = F.greatest(F.lit(0), F.floor((n - half + c.hop) / span)), F.floor((n + half) / span)
-    pieces = signal.join(padded_length(signal, c), list(KEYS)).withColumn("chunk", F.explode(F.sequence(low, F.greatest(low, high)))).where(F.col("chunk") * CHUNK < F.col("n_time"))
-
-    def of(p: pd.DataFrame) -> pd.DataFrame:
-        sig, seg, chunk = p["signal_id"].iloc[0], p["seg_id"].iloc[0], int(p["chunk"].iloc[0])
-        first, count = chunk * CHUNK, min(CHUNK, int(p["n_time"].iloc[0]) - chunk * CHUNK)
-        start = first * c.hop - half
-        x = np.zeros((count - 1) * c.hop + c.length, complex)
-        at = p["n"].to_numpy() - start
-        ok = (at >= 0) & (at < len(x))
-        x[at[ok]] = (p["re"].to_numpy() + 1j * p["im"].to_numpy())[ok]
-        view = np.lib.stride_tricks.sliding_window_view(x, c.length)[:: c.hop]
-        z = np.fft.fft(view * w, axis=1) / w.sum()
-        z = np.fft.fftshift(z, axes=1) if c.two_sided else z[:, : c.bins]
-        return pd.DataFrame({"signal_id": sig, "seg_id": seg, "m": np.arange(first, first + count), "zre": list(z.real), "zim": list(z.imag)})
-
-    kinds = dict(signal.dtypes)
-    # frames past the last sample hold zeros only if no sample reaches their chunk
-    return pieces.groupBy(*KEYS, "chunk").applyInPandas(of, f"signal_id {kinds['signal_id']}, seg_id int, m int, zre array<double>, zim array<double>")
+    touched = signal.select(*KEYS, F.explode(F.sequence(low, F.greatest(low, high))).alias("chunk"), n.cast("long").alias("n"), "re", "im")
+    empty = sizes.select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_time") - 1) / CHUNK))).alias("chunk"), F.lit(NOWHERE).alias("n"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    pieces = touched.unionByName(empty).join(sizes, list(KEYS)).where(F.col("chunk") * CHUNK < F.col("n_time"))
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in whole_groups(parts, keys):
+            at = bounds(p, keys)
+            n, z = p["n"].to_numpy(), p["re"].to_numpy() + 1j * p["im"].to_numpy()
+            chunk, n_time = p["chunk"].to_numpy()[at[:-1]], p["n_time"].to_numpy()[at[:-1]]
+            count = np.minimum(CHUNK, n_time - chunk * CHUNK)
+            views = []
+            for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                x = np.zeros((count[i] - 1) * c.hop + c.length, complex)
+                place = n[a:b] - (chunk[i] * span - half)
+                ok = (place >= 0) & (place < len(x))
+                x[place[ok]] = z[a:b][ok]
+                views.append(np.lib.stride_tricks.sliding_window_view(x, c.length)[:: c.hop])
+            f = np.fft.fft(np.concatenate(views) * w, axis=1) / w.sum()
+            f = np.fft.fftshift(f, axes=1) if c.two_sided else f[:, : c.bins]
+            first = np.repeat(at[:-1], count)
+            m = np.arange(len(f)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(chunk * CHUNK, count)
+            yield pd.DataFrame({"signal_id": p["signal_id"].to_numpy()[first], "seg_id": p["seg_id"].to_numpy()[first], "m": m, "zre": list(f.real), "zim": list(f.imag)})
+
+    ordered = pieces.repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInPandas(of, f"signal_id {dict(signal.dtypes)['signal_id']}, seg_id int, m int, zre array<double>, zim array<double>")
 
 
 def stft(signal: DataFrame, c: Stft) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from ..config import Cfar
-from ..functions.special import factor, order_rank, ring_cells
-from ..functions.tapers import FLATTOP
-from ..operators.cfar import CORNERS, RING, SHORT_SIDES, SIDES, bands
-from ..operators.classify import SIGNATURES
-from ..operators.cluster import offsets
-from .queries import ANISO, BOOST, CFARS, ISO, LOOSE, WINDOW
+from ..config import Cfar, Cluster
+from .queries import ANISO, BOOST, CFARS, EXTENDED, ISO, LOOSE, WINDOW
 
+# Only parameters are taken from the code that is checked; what they mean is written out here once more.
+
+#: Bins and frames of the hourly grids (720 hours in the tables at hand), samples of a frame, samples between two.
 K, M, L, HOP = 17, 91, 32, 8
+#: Terms of the flat-top taper.
+FLATTOP = (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368)
+#: The acoustic classes.
+CLASSES = """(0, 'jet_engine', 500.0, 8000.0, 1000.0, [1000.0, 2000.0, 4000.0, 6000.0]),
+(1, 'propeller', 50.0, 500.0, 80.0, [80.0, 160.0, 240.0, 320.0, 400.0]),
+(2, 'helicopter', 20.0, 200.0, 25.0, [25.0, 50.0, 75.0, 100.0, 125.0, 150.0]),
+(3, 'turboprop', 80.0, 2000.0, 100.0, [100.0, 200.0, 300.0, 400.0, 500.0]),
+(4, 'drone', 100.0, 8000.0, 200.0, [200.0, 400.0, 600.0, 800.0, 1000.0])"""
 
 
 def ctes(*parts: str) -> str:
@@ -18,21 +24,21 @@ def ctes(*parts: str) -> str:
 
 
 SIG = """types AS (SELECT DISTINCT event_type FROM events),
-raw AS (SELECT event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS n, round(sum(value), 2) AS x FROM events GROUP BY 1, 2),
+raw AS (SELECT event_type, date_diff('day', (SELECT CAST(min(ts) AS DATE) FROM events), CAST(ts AS DATE)) * 24 + hour(ts) AS n, round(sum(value), 2) AS x FROM events GROUP BY 1, 2),
 sig AS (SELECT t.event_type AS signal_id, h.n, coalesce(x, 0.0) AS re, 0.0 AS im
-  FROM types t CROSS JOIN (SELECT unnest(range(720)) AS n) h LEFT JOIN raw r ON r.event_type = t.event_type AND r.n = h.n)"""
+  FROM types t CROSS JOIN (SELECT unnest(range((SELECT max(n) + 1 FROM raw))) AS n) h LEFT JOIN raw r ON r.event_type = t.event_type AND r.n = h.n)"""
 IQ_SIG = SIG + """,
 iq AS (SELECT 'iq' AS signal_id, n, sum(CASE WHEN signal_id = 'purchase' THEN re ELSE 0 END) AS re, sum(CASE WHEN signal_id = 'click' THEN re ELSE 0 END) AS im FROM sig GROUP BY n)"""
 
 
-def transform(source: str, first: int, bins: int) -> str:
+def transform(source: str, first: int, bins: int, frames: int = M, spread: float = 128.0, digits: int | None = 4) -> str:
     """Grid cells of a signal at bins first .. first + bins - 1, numbered from 0."""
-    return f"""taps AS (SELECT i, exp(-power(i - 15.5, 2) / 128.0) AS w FROM (SELECT unnest(range({L})) AS i)),
-fr AS (SELECT s.signal_id, m, i, re * w AS a, im * w AS b FROM (SELECT unnest(range({M})) AS m), taps, {source} s WHERE s.n = m * {HOP} - {L // 2} + i),
+    return f"""taps AS (SELECT i, exp(-power(i - 15.5, 2) / {spread!r}) AS w FROM (SELECT unnest(range({L})) AS i)),
+fr AS (SELECT s.signal_id, m, i, re * w AS a, im * w AS b FROM (SELECT unnest(range({frames})) AS m), taps, {source} s WHERE s.n = m * {HOP} - {L // 2} + i),
 tf AS (SELECT signal_id, CAST(k AS INT) AS k, CAST(m AS INT) AS m, sum(a * cos(2 * pi() * (k + {first}) * i / {L}) + b * sin(2 * pi() * (k + {first}) * i / {L})) / (SELECT sum(w) FROM taps) AS re,
   sum(b * cos(2 * pi() * (k + {first}) * i / {L}) - a * sin(2 * pi() * (k + {first}) * i / {L})) / (SELECT sum(w) FROM taps) AS im
   FROM fr, (SELECT unnest(range({bins})) AS k) GROUP BY 1, 2, 3),
-g AS (SELECT signal_id, k, m, (k + {first}) / {L}.0 AS freq_hz, m * {HOP}.0 AS time_s, re, im, round(re * re + im * im, 4) + 0.0 AS power FROM tf)"""
+g AS (SELECT signal_id, k, m, (k + {first}) / {L}.0 AS freq_hz, m * {HOP}.0 AS time_s, re, im, {'re * re + im * im' if digits is None else f'round(re * re + im * im, {digits}) + 0.0'} AS power FROM tf)"""
 
 
 GRID = SIG + ",\n" + transform("sig", 0, K)
@@ -44,23 +50,46 @@ def frame(a: int, b: int) -> str:
     return f"ROWS BETWEEN {side(a)} AND {side(b)}"
 
 
-def detection(c: Cfar, name: str = "det", value: str = "power") -> str:
-    span, t = bands(c), c.reach
-    size = {n: b - a + 1 for n, (a, b) in span.items()}
-    inside = f"k BETWEEN {t} AND {K - 1 - t} AND m BETWEEN {t} AND {M - 1 - t}"
+def ring(c: Cfar) -> int:
+    """Cells of the window about a cell, the guard cells left out."""
+    side, core = 2 * (c.guard + c.train) + 1, 2 * c.guard + 1
+    return side * side - core * core
+
+
+def multiplier(c: Cfar) -> str:
+    """n (pfa^(-1/n) - 1), n the cells that are counted; for the order statistic a fixed 2.0, as it is the 75th of 100."""
+    n = ring(c) if c.count == "ring" or c.method == "os" else 4 * c.train * c.train
+    return f"({'2.0' if c.method == 'os' else float(n)} * (power({c.pfa}, {-1.0 / n!r}) - 1))"
+
+
+def regions(c: Cfar) -> dict[str, tuple[tuple[int, int], tuple[int, int]]]:
+    """Offsets in k and in m, from and to, of the parts of the window whose means are compared."""
+    g, t = c.guard, c.guard + c.train
+    if c.method in ("goca", "soca"):
+        return {"nw": ((-t, -g - 1), (-t, -g - 1)), "ne": ((-t, -g - 1), (g + 1, t)), "sw": ((g + 1, t), (-t, -g - 1)), "se": ((g + 1, t), (g + 1, t))}
+    if c.method in ("goca_sides", "soca_bands"):
+        aside = (-t, t) if c.method == "goca_sides" else (-g, g)
+        return {"n": ((-t, -g - 1), (-t, t)), "s": ((g + 1, t), (-t, t)), "w": (aside, (-t, -g - 1)), "e": (aside, (g + 1, t))}
+    return {"full": ((-t, t), (-t, t)), "guard": ((-g, g), (-g, g))}
+
+
+def detection(c: Cfar, name: str = "det", value: str = "power", bins: int = K, frames: int = M) -> str:
+    t = c.guard + c.train
+    inside = f"k BETWEEN {t} AND {bins - 1 - t} AND m BETWEEN {t} AND {frames - 1 - t}"
     over = ">" if c.strict else ">="
     if c.method == "os":
-        noise = f"""{name}_n AS (SELECT a.signal_id, a.k, a.m, a.power, list_sort(list(b.power))[{order_rank(ring_cells(c))}] AS noise FROM g a JOIN g b ON a.signal_id = b.signal_id
+        noise = f"""{name}_n AS (SELECT a.signal_id, a.k, a.m, a.power, list_sort(list({value.replace('power', 'b.power')}))[{3 * ring(c) // 4}] AS noise FROM g a JOIN g b ON a.signal_id = b.signal_id
   AND b.k BETWEEN a.k - {t} AND a.k + {t} AND b.m BETWEEN a.m - {t} AND a.m + {t} AND (abs(a.k - b.k) > {c.guard} OR abs(a.m - b.m) > {c.guard}) GROUP BY 1, 2, 3, 4)"""
     else:
-        regions = {"ca": RING, "goca": CORNERS, "soca": CORNERS, "goca_sides": SIDES, "soca_bands": SHORT_SIDES}[c.method]
-        rows = ", ".join(f"coalesce(sum(v) OVER (PARTITION BY signal_id, k ORDER BY m {frame(*span[b])}), 0.0) AS s_{b}" for b in dict.fromkeys(b for _, b in regions.values()))
-        sums = ", ".join(f"coalesce(sum(s_{b}) OVER (PARTITION BY signal_id, m ORDER BY k {frame(*span[a])}), 0.0) AS r_{n}" for n, (a, b) in regions.items())
-        means = [f"r_{n} / {float(size[a] * size[b])}" for n, (a, b) in regions.items()]
-        pick = f"(r_outer - r_core) / {float(ring_cells(c))}" if c.method == "ca" else f"{'greatest' if c.method.startswith('goca') else 'least'}({', '.join(means)})"
+        of = regions(c)
+        label = lambda span: f"s_{span[0]}_{span[1]}".replace("-", "n")
+        rows = ", ".join(f"coalesce(sum(v) OVER (PARTITION BY signal_id, k ORDER BY m {frame(*b)}), 0.0) AS {label(b)}" for b in dict.fromkeys(b for _, b in of.values()))
+        sums = ", ".join(f"coalesce(sum({label(b)}) OVER (PARTITION BY signal_id, m ORDER BY k {frame(*a)}), 0.0) AS r_{n}" for n, (a, b) in of.items())
+        means = [f"r_{n} / {float((a[1] - a[0] + 1) * (b[1] - b[0] + 1))}" for n, (a, b) in of.items()]
+        pick = f"(r_full - r_guard) / {float(ring(c))}" if c.method == "ca" else f"{'greatest' if c.method.startswith('goca') else 'least'}({', '.join(means)})"
         noise = f"""{name}_r AS (SELECT *, {rows} FROM (SELECT *, {value} AS v FROM g)), {name}_c AS (SELECT *, {sums} FROM {name}_r), {name}_n AS (SELECT *, {pick} AS noise FROM {name}_c)"""
     return f"""{noise},
-{name} AS (SELECT signal_id, k, m, power, noise, noise * {factor(c)!r} AS threshold FROM {name}_n WHERE {inside} AND {value} {over} noise * {factor(c)!r})"""
+{name} AS (SELECT signal_id, k, m, power, noise, noise * {multiplier(c)} AS threshold FROM {name}_n WHERE {inside} AND {value} {over} noise * {multiplier(c)})"""
 
 
 DET = GRID + ",\n" + detection(LOOSE)
@@ -80,9 +109,10 @@ border AS (SELECT n.signal_id, n.a, min(cluster_id) AS c FROM near n JOIN num u
 lab AS (SELECT p.signal_id, p.k, p.m, CAST(coalesce(u.cluster_id, b.c, -1) AS INT) AS cluster_id FROM p LEFT JOIN num u ON p.signal_id = u.signal_id AND p.id = u.a LEFT JOIN border b ON p.signal_id = b.signal_id AND p.id = b.a)"""
 
 
-def steps(c, a: str = "a", b: str = "b") -> str:
-    cells = ", ".join(f"({x}, {y})" for x, y in offsets(c))
-    return f"({b}.k - {a}.k, {b}.m - {a}.m) IN ({cells})"
+def steps(c: Cluster) -> str:
+    """Whether points a and b are within eps, steps weighted by axis."""
+    wk, wm = c.weights
+    return f"power({wk!r} * (b.k - a.k), 2) + power({wm!r} * (b.m - a.m), 2) <= {c.eps * c.eps + 1e-12!r}"
 
 
 LAB = DET + ",\n" + clusters(steps(ANISO), ANISO.min_samples)
@@ -141,7 +171,7 @@ SQL: dict[str, str] = {
 s AS (SELECT n, coalesce(x, 0.0) AS x FROM (SELECT unnest(range(CAST(date_diff('day', d0, d1) AS BIGINT) + 1)) AS n, d0 FROM e) LEFT JOIN o ON date_diff('day', d0, day) = n),
 w AS (SELECT a.n, avg(b.x) AS mean, stddev_pop(b.x) AS std, count(*) AS c FROM s a JOIN s b ON b.n BETWEEN a.n AND a.n + 29 GROUP BY 1)
 SELECT 'orders' AS signal_id, n, round(mean, 3) + 0.0 AS mean, round(std, 3) + 0.0 AS std FROM w WHERE c = 30""",
-    "autocorrelation": ctes(SIG, "x AS (SELECT signal_id, n, (re - avg(re) OVER (PARTITION BY signal_id)) / stddev_pop(re) OVER (PARTITION BY signal_id) AS z FROM sig WHERE n < 500)", "l AS (SELECT a.signal_id, b.n - a.n AS lag, sum(a.z * b.z) AS s FROM x a JOIN x b ON a.signal_id = b.signal_id AND b.n - a.n BETWEEN 0 AND 99 GROUP BY 1, 2)") + "SELECT signal_id, CAST(lag AS INT) AS lag, round(s / first_value(s) OVER (PARTITION BY signal_id ORDER BY lag), 6) + 0.0 AS acf FROM l",
+    "autocorrelation": ctes(SIG, "x AS (SELECT signal_id, n, (re - avg(re) OVER (PARTITION BY signal_id)) / stddev_pop(re) OVER (PARTITION BY signal_id) AS z FROM sig WHERE n < 2000)", "l AS (SELECT a.signal_id, b.n - a.n AS lag, sum(a.z * b.z) AS s FROM x a JOIN x b ON a.signal_id = b.signal_id AND b.n - a.n BETWEEN 0 AND 499 GROUP BY 1, 2)") + "SELECT signal_id, CAST(lag AS INT) AS lag, round(s / first_value(s) OVER (PARTITION BY signal_id ORDER BY lag), 6) + 0.0 AS acf FROM l",
     "taper_gaussian": taper("exp(-power(i - 31.5, 2) / 128.0)"),
     "taper_hamming": taper(cosine(0.54, 0.46)),
     "taper_hann": taper(cosine(0.5, 0.5)),
@@ -216,7 +246,7 @@ SQL |= {
     "boost_stats": TIMED + "SELECT *, n_combined - n_cfar AS n_added, round(100.0 * (n_combined - n_cfar) / greatest(1, n_cfar), 6) + 0.0 AS boost_percent FROM (SELECT signal_id, count(*) FILTER (w = 1) AS n_cfar, count(*) FILTER (w = 2) AS n_fractal, count(*) FILTER (w = 3) AS n_combined FROM (SELECT signal_id, 1 AS w FROM det UNION ALL SELECT signal_id, 2 FROM boost UNION ALL SELECT signal_id, 3 FROM fin) GROUP BY 1)",
     "fractal_boost_tf": ctes(GRID, f"ser AS (SELECT signal_id, band, m, avg(ln(power + 1e-12)) AS x FROM g, (SELECT unnest(range(0, {K}, {BOOST.stride})) AS band) WHERE abs(k - band) <= {_half} GROUP BY 1, 2, 3)", f"win AS (SELECT signal_id, band, t0, m - t0 AS i, x FROM ser, (SELECT unnest(range(0, {M - _tw + 1}, {_ts})) AS t0) WHERE m >= t0 AND m < t0 + {_tw})", hurst("win", "signal_id, band, t0", max(8, _tw // 4)), f"bad AS (SELECT signal_id, band, t0 FROM (SELECT *, median(hurst) OVER (PARTITION BY signal_id, band) AS base FROM h) WHERE abs(hurst - base) > {BOOST.threshold})") + f"SELECT DISTINCT signal_id, k, m FROM g JOIN bad USING (signal_id) WHERE abs(k - band) <= {_half} AND m >= t0 AND m < t0 + {_tw}",
     "local_maxima": ctes(GRID, "a AS (SELECT *, max(power) OVER (PARTITION BY signal_id, k ORDER BY m ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS r FROM g)", "b AS (SELECT *, max(r) OVER (PARTITION BY signal_id, m ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS q FROM a)") + "SELECT signal_id, k, m, power FROM b WHERE power = q",
-    "classify_signature": "WITH t AS (SELECT p_partkey AS id, p_partkey % 1000 * 3.0 + 20 AS f FROM part), s(ord, name, lo, hi, fund, harm) AS (VALUES " + ", ".join(f"({o}, '{n}', {a}, {b}, {f}, {h})" for o, n, a, b, f, h, *_ in SIGNATURES) + "), x AS (SELECT id, ord, name, greatest(0.0, 1 - abs(f - fund) / fund) + 0.2 * len(list_filter(harm, lambda q: abs(f - q) < 0.1 * q)) AS score FROM t JOIN s ON f BETWEEN lo AND hi), y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS r FROM x WHERE score > 0) SELECT t.id, coalesce(name, 'unknown') AS aircraft_type, round(least(1.0, coalesce(score, 0.0)), 6) + 0.0 AS confidence FROM t LEFT JOIN y ON t.id = y.id AND r = 1",
+    "classify_signature": "WITH t AS (SELECT p_partkey AS id, p_partkey % 1000 * 3.0 + 20 AS f FROM part), s(ord, name, lo, hi, fund, harm) AS (VALUES " + CLASSES + "), x AS (SELECT id, ord, name, greatest(0.0, 1 - abs(f - fund) / fund) + 0.2 * len(list_filter(harm, lambda q: abs(f - q) < 0.1 * q)) AS score FROM t JOIN s ON f BETWEEN lo AND hi), y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS r FROM x WHERE score > 0) SELECT t.id, coalesce(name, 'unknown') AS aircraft_type, round(least(1.0, coalesce(score, 0.0)), 6) + 0.0 AS confidence FROM t LEFT JOIN y ON t.id = y.id AND r = 1",
     "distance_model": "WITH t AS (SELECT p_partkey AS id, 80 - 10 * log10(power(10.0, p_size / 5.0) + 1e-10) AS lost FROM part) SELECT id, round(CASE WHEN lost <= 0 THEN 50.0 ELSE greatest(10.0, least(20000.0, 100 * power(10.0, lost / 20))) END, 4) + 0.0 AS distance_m FROM t",
     "segment_stats": ctes(SIG, "x AS (SELECT signal_id, n // 24 AS seg, n % 24 AS c, re, re > 1.5 * avg(re) OVER (PARTITION BY signal_id) AS loud FROM sig)", "o AS (SELECT *, row_number() OVER (PARTITION BY signal_id, seg ORDER BY re DESC, c) AS r FROM x WHERE loud)", "s AS (SELECT signal_id, seg, count(*) FILTER (loud) AS nc, coalesce(sum(re) FILTER (loud), 0.0) AS e FROM x GROUP BY 1, 2)", "j AS (SELECT s.*, o.c - 12.0 AS f FROM s LEFT JOIN o ON s.signal_id = o.signal_id AND s.seg = o.seg AND r = 1)") + "SELECT signal_id, count(*) AS n_segments, round(avg(nc), 6) + 0.0 AS mean_components, round(stddev_pop(nc), 6) + 0.0 AS std_components, round(sum(e), 6) + 0.0 AS total_energy, count(*) FILTER (nc > 0) AS detection_segments, count(f) AS n_detections_with_doppler, round(avg(f), 6) + 0.0 AS mean_doppler_freq_hz, round(avg(f * 3e8 / (2 * 9.39e9)), 6) + 0.0 AS mean_velocity_mps, round(100.0 * count(*) FILTER (nc > 0) / count(*), 6) + 0.0 AS detection_percent FROM j GROUP BY 1",
     "snr_rollup": "SELECT CAST(user_id % 6 * 5 + 5 AS INT) AS snr_db, round(avg(CASE WHEN event_id % 7 > 0 THEN value ELSE -10.0 END), 5) + 0.0 AS rqf_mean, round(stddev_pop(CASE WHEN event_id % 7 > 0 THEN value ELSE -10.0 END), 5) + 0.0 AS rqf_std, round(avg(CASE WHEN event_id % 7 > 0 THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS detection_rate, count(*) AS n_simulations FROM events GROUP BY 1",
@@ -238,3 +268,55 @@ SQL |= {
 }
 _peaks = ctes(GRID, "a AS (SELECT *, max(power) OVER (PARTITION BY signal_id, k ORDER BY m ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS r FROM g)", "b AS (SELECT *, max(r) OVER (PARTITION BY signal_id, m ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS q FROM a)", "t AS (SELECT signal_id, quantile_cont(power, 0.9) AS bar FROM g GROUP BY 1)")
 SQL["peaks"] = _peaks + "SELECT signal_id, k, m, power FROM b JOIN t USING (signal_id) WHERE power = q AND power > bar"
+
+SQL |= {
+    "signal_sampled": ctes(SIG, "f AS (SELECT signal_id, i, CAST(floor(i * (count(*) - 100) / 6.0) AS BIGINT) AS a FROM sig, (SELECT unnest(range(7)) AS i) GROUP BY 1, 2)") + "SELECT s.signal_id, CAST(i AS INT) AS seg_id, n - a AS n, round(re, 6) + 0.0 AS re FROM sig s JOIN f ON f.signal_id = s.signal_id AND n >= a AND n < a + 100",
+    "first_samples": ctes(IQ_SIG) + "SELECT signal_id, n, round(re, 6) + 0.0 AS i, round(im, 6) + 0.0 AS q, round(sqrt(re * re + im * im), 6) + 0.0 AS magnitude, round(atan2(im, re), 6) + 0.0 AS phase FROM iq WHERE n < 50",
+    "spectrogram_gaussian": ctes(IQ_SIG + ",\n" + transform("iq", -16, L, spread=2 * (32 / 6) ** 2)) + "SELECT signal_id, k, m, round(freq_hz, 6) + 0.0 AS freq_hz, round(10 * log10(power + 1e-12), 4) + 0.0 AS db FROM g",
+    "region_db": ctes(GRID) + "SELECT signal_id, k, m, round(10 * log10(power / (max(power) OVER (PARTITION BY signal_id) + 1e-10) + 1e-10), 6) + 0.0 AS db FROM g WHERE time_s BETWEEN 96 AND 480 AND freq_hz BETWEEN 0.0625 AND 0.375",
+    "velocity_table": "SELECT i * 10.0 AS doppler_hz, round(i * 10.0 * 3e8 / (2 * 9.39e9), 6) + 0.0 AS velocity_mps, round(1000 * 3e8 / (4 * 9.39e9), 6) AS v_max_mps FROM (SELECT unnest(range(-10, 11)) AS i)",
+    "stream_stft": ctes(GRID) + "SELECT signal_id, k, m, power FROM g",
+    "stream_hurst": ctes(SIG, "win AS (SELECT signal_id, m, n - 16 * m AS i, abs(re) AS x FROM sig, (SELECT unnest(range((SELECT (max(n) + 1 - 64) // 16 + 1 FROM sig))) AS m) WHERE n >= 16 * m AND n < 16 * m + 64)", hurst("win", "signal_id, m", 16)) + "SELECT signal_id, m, round(hurst, 6) + 0.0 AS hurst FROM h",
+}
+STRONG = "top AS (SELECT signal_id, cluster_id, row_number() OVER (PARTITION BY signal_id ORDER BY sum(power) DESC, cluster_id) AS rank FROM mem GROUP BY 1, 2), own AS (SELECT signal_id, cluster_id, k, m FROM mem JOIN top USING (signal_id, cluster_id) WHERE rank <= 2)"
+AROUND = f"w AS (SELECT *, 0 AS d FROM own UNION SELECT signal_id, cluster_id, k + a, m + b, d + 1 FROM w, {CROSS} WHERE d < 5 AND k + a {INSIDE})"
+SQL["local_masks"] = ctes(MEMBER, STRONG, AROUND, "close AS (SELECT *, 10 * log10(power / (max(power) OVER (PARTITION BY signal_id, cluster_id) + 1e-12) + 1e-12) > -20 AS loud FROM (SELECT DISTINCT signal_id, cluster_id, k, m FROM w) JOIN g USING (signal_id, k, m))", "few AS (SELECT signal_id, cluster_id, count(*) FILTER (loud) < (SELECT count(*) FROM own o WHERE o.signal_id = n.signal_id AND o.cluster_id = n.cluster_id) AS few FROM close n GROUP BY 1, 2)") + "SELECT signal_id, cluster_id, CAST(k AS INT) AS k, CAST(m AS INT) AS m FROM close JOIN few USING (signal_id, cluster_id) WHERE loud OR few"
+_wide = lambda x: f"(SELECT DISTINCT signal_id, cluster_id, k + a AS k, m + b AS m FROM {x} x, {CROSS} WHERE k + a {INSIDE})"
+_thin = lambda x: f"(SELECT signal_id, cluster_id, k + a AS k, m + b AS m FROM {x} x, {CROSS} GROUP BY 1, 2, 3, 4 HAVING count(*) = 5)"
+SQL["smoothed_masks"] = ctes(MEMBER, STRONG) + f"SELECT signal_id, cluster_id, CAST(k AS INT) AS k, CAST(m AS INT) AS m FROM {_wide(_thin(_thin(_wide('own'))))} o"
+SQL["acoustic_analysis"] = ctes(MEMBER, "t AS (SELECT signal_id, cluster_id, count(*) AS n_points, avg(freq_hz * 2000) AS f, avg(time_s) AS centroid_time, 80 - 10 * log10(sum(power) / 1e4 + 1e-10) AS lost FROM mem GROUP BY 1, 2)", "s(ord, name, lo, hi, fund, harm) AS (VALUES " + CLASSES + ")", "x AS (SELECT signal_id, cluster_id, ord, name, greatest(0.0, 1 - abs(f - fund) / fund) + 0.2 * len(list_filter(harm, lambda q: abs(f - q) < 0.1 * q)) AS score FROM t JOIN s ON f BETWEEN lo AND hi)", "y AS (SELECT *, row_number() OVER (PARTITION BY signal_id, cluster_id ORDER BY score DESC, ord) AS r FROM x WHERE score > 0)") + "SELECT t.signal_id, t.cluster_id, n_points, round(f, 4) + 0.0 AS centroid_freq, round(centroid_time, 4) + 0.0 AS centroid_time, coalesce(name, 'unknown') AS aircraft_type, round(least(1.0, coalesce(score, 0.0)), 4) + 0.0 AS confidence, round(CASE WHEN lost <= 0 THEN 50.0 ELSE greatest(10.0, least(20000.0, 100 * power(10.0, lost / 20))) END, 4) + 0.0 AS distance_m FROM t LEFT JOIN y ON t.signal_id = y.signal_id AND t.cluster_id = y.cluster_id AND r = 1"
+SQL["extended_pipeline"] = ctes(GRID, detection(EXTENDED, value="sqrt(power)"), clusters("sqrt(power((a.k - b.k) * 4.0, 2) + power((a.m - b.m) * 10.0, 2)) <= 20.0", 3, 3)) + "SELECT signal_id, cluster_id, count(*) AS n_points, round(sum(power), 4) + 0.0 AS energy, round(avg(time_s), 4) + 0.0 AS centroid_time, round(avg(freq_hz), 4) + 0.0 AS centroid_freq FROM lab JOIN g USING (signal_id, k, m) WHERE cluster_id >= 0 GROUP BY 1, 2"
+HIGUCHI = "d AS (SELECT signal_id, cnt, k, i % k AS m, abs(x - lag(x) OVER (PARTITION BY signal_id, k, i % k ORDER BY i)) AS d FROM usr JOIN n USING (signal_id), (SELECT unnest(range(1, 11)) AS k) WHERE cnt >= 20), l AS (SELECT signal_id, k, sum(d) * (cnt - 1) / (k * count(*) * k) AS l FROM d GROUP BY signal_id, k, m, cnt HAVING count(*) >= 2), b AS (SELECT signal_id, k, sum(l) / k AS lk FROM l GROUP BY 1, 2 HAVING sum(l) > 0), a AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY k) AS pos FROM b), s AS (SELECT signal_id, count(*) AS c, -regr_slope(ln(lk), ln(pos)) AS s FROM a GROUP BY 1)"
+SQL["sql_functions"] = ctes("usr AS (SELECT vec_id AS signal_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)", hurst("usr", "signal_id", 20), "n AS (SELECT signal_id, count(*) AS cnt FROM usr GROUP BY 1)", HIGUCHI) + "SELECT signal_id AS vec_id, round(hurst, 4) + 0.0 AS hurst, round(CASE WHEN c >= 3 THEN greatest(1.0, least(2.0, s)) ELSE 1.5 END, 4) + 0.0 AS higuchi, round(signal_id * 3e8 / (2 * 9.39e9), 6) AS velocity, round(10 * log10(signal_id + 1e-12), 6) AS db FROM h JOIN n USING (signal_id) LEFT JOIN s USING (signal_id)"
+
+
+def density(hop: int, taper_: str) -> str:
+    """dens (signal_id, k, m, d): frames of 64 magnitudes without padding, each less its mean, one-sided density."""
+    return f"""tap AS (SELECT i, {taper_} AS w FROM (SELECT unnest(range(64)) AS i)),
+fr AS (SELECT signal_id, m, n - {hop} * m AS i, abs(re) AS x FROM sig, (SELECT unnest(range((SELECT (max(n) + 1 - 64) // {hop} + 1 FROM sig))) AS m) WHERE n >= {hop} * m AND n < {hop} * m + 64),
+mid AS (SELECT signal_id, m, fr.i, (x - avg(x) OVER (PARTITION BY signal_id, m)) * w AS v FROM fr JOIN tap ON tap.i = fr.i),
+dens AS (SELECT signal_id, k, m, (power(sum(v * cos(2 * pi() * k * i / 64)), 2) + power(sum(v * sin(2 * pi() * k * i / 64)), 2)) / (SELECT sum(w * w) FROM tap) * (CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) AS d FROM mid, (SELECT unnest(range(33)) AS k) GROUP BY 1, 2, 3)"""
+
+
+SQL["welch_psd"] = ctes(SIG, density(32, "0.5 - 0.5 * cos(2 * pi() * i / 64.0)")) + "SELECT signal_id, CAST(k AS INT) AS k, round(k / 64.0, 4) + 0.0 AS freq_hz, round(avg(d), 4) + 0.0 AS density FROM dens GROUP BY dens.signal_id, dens.k"
+SQL["spectrogram_density"] = ctes(SIG, density(16, "CASE WHEN least(i, 64 - i) < 8 THEN 0.5 * (1 - cos(pi() * least(i, 64 - i) / 8.0)) ELSE 1.0 END")) + "SELECT signal_id, CAST(k AS INT) AS k, CAST(m AS INT) AS m, round(k / 64.0, 4) + 0.0 AS freq_hz, round(d, 4) + 0.0 AS density FROM dens"
+
+
+def cut_up(source: str, length: int, step: int) -> str:
+    """seg (signal_id, n, re, im): segments of a signal as signals of their own, named by signal and number."""
+    return f"seg AS (SELECT signal_id || ':' || f AS signal_id, n - {step} * f AS n, re, im FROM {source}, (SELECT unnest(range((SELECT (max(n) + 1 - {length}) // {step} + 1 FROM {source}))) AS f) WHERE n >= {step} * f AND n < {step} * f + {length})"
+
+
+_own = "split_part(signal_id, ':', 1)"
+SQL["sea_statistics"] = ctes(IQ_SIG, cut_up("iq", 240, 240), transform("seg", -16, L, 31, digits=None), detection(LOOSE, bins=L, frames=31), clusters(steps(ANISO), ANISO.min_samples),
+    "c AS (SELECT signal_id, cluster_id, sum(power) AS energy, avg(freq_hz) AS f FROM lab JOIN g USING (signal_id, k, m) WHERE cluster_id >= 0 GROUP BY 1, 2)",
+    "o AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY energy DESC, cluster_id) AS r FROM c)",
+    "j AS (SELECT s.signal_id, count(o.cluster_id) AS nc, coalesce(sum(energy), 0.0) AS e, max(f) FILTER (r = 1) AS f FROM (SELECT DISTINCT signal_id FROM seg) s LEFT JOIN o ON o.signal_id = s.signal_id GROUP BY 1)",
+) + f"SELECT {_own} AS signal_id, count(*) AS n_segments, round(avg(nc), 3) + 0.0 AS mean_components, round(stddev_pop(nc), 3) + 0.0 AS std_components, round(sum(e), 3) + 0.0 AS total_energy, count(*) FILTER (nc > 0) AS detection_segments, count(f) AS n_detections_with_doppler, round(avg(f), 3) + 0.0 AS mean_doppler_freq_hz, round(avg(f * 3e8 / (2 * 9.39e9)), 3) + 0.0 AS mean_velocity_mps, round(100.0 * count(*) FILTER (nc > 0) / count(*), 3) + 0.0 AS detection_percent FROM j GROUP BY 1"
+_column = "(VALUES (-2, 0), (-1, 0), (0, 0), (1, 0), (2, 0)) s(a, b)"
+SQL["frame_statistics"] = ctes(SIG, cut_up("sig", 240, 120), transform("seg", 0, K, 31, digits=None), detection(LOOSE, "hit", frames=31),
+    "off AS (SELECT signal_id, k, m FROM hit WHERE k / 32.0 >= 0.25)",
+    f"det AS (SELECT DISTINCT signal_id, k + a AS k, m + b AS m FROM off x, {_column} WHERE k + a BETWEEN 0 AND {K - 1} AND m + b BETWEEN 0 AND 30)", clusters(steps(ANISO), ANISO.min_samples),
+    "new AS (SELECT signal_id, count(*) AS a FROM det d WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.signal_id = d.signal_id AND h.k = d.k AND h.m = d.m) GROUP BY 1)",
+    "c AS (SELECT signal_id, count(*) AS p, count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS c FROM lab GROUP BY 1)",
+) + f"SELECT {_own} AS signal_id, CAST(split_part(signal_id, ':', 2) AS INT) AS frame_idx, round(CAST(split_part(signal_id, ':', 2) AS INT) * 120.0, 6) AS t_start, round(CAST(split_part(signal_id, ':', 2) AS INT) * 120.0 + 240, 6) AS t_end, coalesce(p, 0) AS n_pixels, coalesce(c, 0) AS n_clusters, coalesce(a, 0) AS n_added FROM (SELECT DISTINCT signal_id FROM seg) LEFT JOIN c USING (signal_id) LEFT JOIN new USING (signal_id)"

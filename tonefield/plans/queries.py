@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import KEYS, Cfar, Cluster, Fractal, Preset, Stft
-from ..functions import tapers
+from ..functions import tapers, udfs
 from ..operators import cfar, classify, cluster, components, evaluate, fractal, morphology, stft, triangulate
-from ..session import cut
+from ..session import cut, shared_dir
 from ..sources import files, signals
 from ..streaming import stream
 from . import detector
@@ -22,8 +21,11 @@ IQ = Stft(32, 8, rate=1.0, two_sided=True)
 WINDOW = Cfar("goca", 1, 2, 0.05)
 LOOSE = Cfar("ca", 1, 2, 0.4, count="ring")
 ANISO, ISO = Cluster("dbscan", 3, 3), Cluster("dbscan_iso", 2, 4, (1.0, 1.0))
+EXTENDED = Cfar("os", 1, 2, 0.3, count="ring", value="magnitude")
 SCALED = Cluster("hdbscan", 20.0, 3)
 BOOST = Fractal(threshold=0.1, window=64, frames=24, step=6, band=5, stride=2)
+#: Trials of each SNR; every trial is a segment, so their number is the size of the job and nothing else.
+RUNS = 20
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -82,6 +84,18 @@ def signal_segments(spark, d):
     return signals.segments(signals.events_hourly(spark, d), 100, most=6).select("signal_id", "seg_id", "n", r("re").alias("re"))
 
 
+@query
+def signal_sampled(spark, d):
+    return signals.evenly_spaced(signals.events_hourly(spark, d), 7, 100).select("signal_id", "seg_id", "n", r("re").alias("re"))
+
+
+@query
+def first_samples(spark, d):
+    """I, Q, magnitude and phase of the first fifty samples."""
+    x = signals.events_iq(spark, d).where("n < 50")
+    return x.select("signal_id", "n", r("re").alias("i"), r("im").alias("q"), r(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)).alias("magnitude"), r(F.atan2("im", "re")).alias("phase"))
+
+
 @query
 def signal_frames(spark, d):
     return signals.segments(signals.events_hourly(spark, d), 96, 24).select("signal_id", "seg_id", "n", r("re").alias("re"))
@@ -111,7 +125,7 @@ def running_mean_std(spark, d):
 
 @query
 def autocorrelation(spark, d):
-    return tidy(evaluate.autocorrelation(hourly(spark, d), 500, 100))
+    return tidy(evaluate.autocorrelation(hourly(spark, d)))
 
 
 def _taper(name: str) -> Query:
@@ -146,6 +160,26 @@ def spectrogram_db(spark, d):
     return g.select("signal_id", "k", "m", r(10 * F.log10(p + 1e-12)).alias("power_db"), r(20 * F.log10(F.sqrt(p) + 1e-10)).alias("magnitude_db"), r("db").alias("relative_db"), r(F.log(p + 1e-12)).alias("log_power"))
 
 
+@query
+def spectrogram_gaussian(spark, d):
+    """The two-sided spectrogram under a Gaussian of a sixth of the window, in dB."""
+    g = stft.stft(signals.whole(signals.events_iq(spark, d)), Stft(32, 8, sigma=None, rate=1.0, two_sided=True))
+    return g.select("signal_id", "k", "m", r("freq_hz").alias("freq_hz"), r(10 * F.log10(r("power", 4) + 1e-12), 4).alias("db"))
+
+
+@query
+def region_db(spark, d):
+    x = components.region_db(grid(spark, d), 96.0, 480.0, 0.0625, 0.375)
+    return x.select("signal_id", "k", "m", r("db").alias("db"))
+
+
+@query
+def velocity_table(spark, d):
+    """Velocity by Doppler frequency, and the greatest that a pulse rate tells apart."""
+    x = spark.range(-10, 11).select((F.col("id") * 10.0).alias("doppler_hz"))
+    return tidy(x.withColumn("velocity_mps", components.velocity(F.col("doppler_hz"))).withColumn("v_max_mps", components.velocity(F.lit(1000.0 / 2))))
+
+
 @query
 def doppler_spectrum(spark, d):
     s = stft.spectrum(signals.whole(signals.events_iq(spark, d)), 1.0, 128)
@@ -280,6 +314,42 @@ def components_grown(spark, d):
     return tidy(components.grown_components(morphology.grown(cells, g, components.COMPONENT, 3), g), 4)
 
 
+@query
+def local_masks(spark, d):
+    """The masks from which the plain detector rebuilds the two strongest components."""
+    g, labels = labelled(spark, d)
+    seeds = components.strongest(components.components(labels, g), 2)
+    cells = labels.join(seeds.select(*components.COMPONENT), list(components.COMPONENT), "left_semi")
+    return components.local_masks(cells, g).drop("seg_id")
+
+
+@query
+def smoothed_masks(spark, d):
+    """The masks of the two strongest components, closed and opened."""
+    g, labels = labelled(spark, d)
+    seeds = components.strongest(components.components(labels, g), 2)
+    cells = labels.join(seeds.select(*components.COMPONENT), list(components.COMPONENT), "left_semi").select(*components.COMPONENT, "k", "m")
+    return components.final_masks(cells, g, None).select("signal_id", "cluster_id", "k", "m")
+
+
+@query
+def acoustic_analysis(spark, d):
+    """Components with class, confidence and distance; the hourly frequencies stand for audible ones."""
+    g, labels = labelled(spark, d)
+    x = components.components(labels, g.withColumn("freq_hz", F.col("freq_hz") * 2000.0))
+    x = classify.analysed(x.withColumn("energy", F.col("energy") / 1e4))
+    return tidy(x.select("signal_id", "cluster_id", "n_points", "centroid_freq", "centroid_time", "aircraft_type", "confidence", "distance_m"), 4)
+
+
+@query
+def extended_pipeline(spark, d):
+    """Order statistic on magnitudes, then density clusters of scaled cells, then components."""
+    g = cut(grid(spark, d))
+    cells = cut(cfar.detect(g, EXTENDED).where("detected").select(*KEYS, "k", "m", "freq_hz", "time_s", "power"))
+    scaled = cells.withColumn("freq_hz", F.col("k") * 400.0).withColumn("time_s", F.col("m") * 0.5)
+    return tidy(components.components(cluster.hdbscan(scaled, SCALED), g), 4)
+
+
 @query
 def doppler_info(spark, d):
     g, labels = labelled(spark, d)
@@ -494,18 +564,18 @@ def interval_join(spark, d):
     """Hours in the band of the day that holds the greatest hour of each signal."""
     s = signals.events_hourly(spark, d)
     top = s.groupBy("signal_id").agg(F.max_by("n", F.struct("re", -F.col("n"))).alias("at")).select(F.col("signal_id").alias("sid"), (F.floor(F.col("at") / 24) * 24).alias("t0"), (F.floor(F.col("at") / 24) * 24 + 24).alias("t1"))
-    return s.join(F.broadcast(top), (F.col("signal_id") == F.col("sid")) & (F.col("n") >= F.col("t0")) & (F.col("n") < F.col("t1"))).select("signal_id", "n", r("re").alias("re"))
+    return s.join(top, (F.col("signal_id") == F.col("sid")) & (F.col("n") >= F.col("t0")) & (F.col("n") < F.col("t1"))).select("signal_id", "n", r("re").alias("re"))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, build, mode: str) -> DataFrame:
+    """What `build` makes of a stream of the rows, which are files of the shared folder first."""
+    folder = f"{shared_dir(spark)}/tonefield-stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/source")
+    return stream.drained(build(f"{folder}/source"), mode, folder)
 
 
-def _streamed(spark: SparkSession, d: str, build, mode: str) -> DataFrame:
-    folder, name = tempfile.mkdtemp(prefix="spark-"), "stream_" + tempfile.mktemp(dir="").replace("/", "")
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{folder}"
-    source = f"{at.rstrip('/')}/{name}-source"
-    signals.table(spark, d, "events").write.parquet(source)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
-    out = stream.drained(build(stream.event_stream(spark, source)), name, mode, f"{at.rstrip('/')}/{name}-state")
-    shutil.rmtree(folder, ignore_errors=True) if not at.startswith(f"file://{folder}") else None
-    return out
+def _events(spark: SparkSession, d: str, build, mode: str) -> DataFrame:
+    return _times(_streamed(spark, signals.table(spark, d, "events"), lambda folder: build(stream.event_stream(spark, folder)), mode))
 
 
 def _times(df: DataFrame) -> DataFrame:
@@ -514,22 +584,53 @@ def _times(df: DataFrame) -> DataFrame:
 
 @query
 def stream_tumbling(spark, d):
-    return _times(_streamed(spark, d, stream.tumbling, "complete"))
+    return _events(spark, d, stream.tumbling, "complete")
 
 
 @query
 def stream_sliding(spark, d):
-    return _times(_streamed(spark, d, stream.sliding, "complete"))
+    return _events(spark, d, stream.sliding, "complete")
 
 
 @query
 def stream_session(spark, d):
-    return _times(_streamed(spark, d, stream.sessions, "complete"))
+    return _events(spark, d, stream.sessions, "complete")
+
+
+def _samples(spark: SparkSession, d: str, build) -> DataFrame:
+    """What `build` makes of a stream of the hourly samples, each signal's end told by a row without a value."""
+    x = signals.events_hourly(spark, d)
+    end = x.groupBy("signal_id").agg((F.max("n") + 1).alias("n")).select("signal_id", "n", F.lit(None).cast("double").alias("re"), F.lit(0.0).alias("im"))
+    # the state of a signal, a window of arrays, is kept by RocksDB, the only store that this operator has
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = x.unionByName(end).coalesce(1)
+    return _streamed(spark, rows, lambda folder: build(spark.readStream.schema(rows.schema).parquet(folder)), "append")
+
+
+@query
+def stream_stft(spark, d):
+    """The hourly grid's power, made frame by frame as samples come."""
+    x = _samples(spark, d, lambda s: stream.stream_frames(s, HOURLY)).select("signal_id", F.col("m").cast("int").alias("m"), F.posexplode("power").alias("k", "power"))
+    return x.select("signal_id", "k", "m", r("power", 4).alias("power"))
+
+
+@query
+def stream_hurst(spark, d):
+    return tidy(_samples(spark, d, lambda s: stream.stream_hurst(s, 64, 16)))
+
+
+@query
+def sql_functions(spark, d):
+    """Fractal figures of the vectors by the functions for SQL."""
+    udfs.register(spark)
+    signals.table(spark, d, "embeddings").createOrReplaceTempView("tonefield_vectors")
+    return spark.sql("SELECT vec_id, round(hurst(transform(embedding, x -> CAST(x AS DOUBLE))), 4) + 0.0D AS hurst, round(higuchi(transform(embedding, x -> CAST(x AS DOUBLE))), 4) + 0.0D AS higuchi, round(doppler_velocity(CAST(vec_id AS DOUBLE)), 6) AS velocity, round(power_db(CAST(vec_id AS DOUBLE)), 6) AS db FROM tonefield_vectors")
 
 
 @query
 def monte_carlo(spark, d):
-    return tidy(evaluate.trials_rollup(detector.monte_carlo(spark, [10, 20, 30], 3)), 3)
+    """The published curve's six SNR, RUNS trials each."""
+    return tidy(evaluate.trials_rollup(detector.monte_carlo(spark, [5, 10, 15, 20, 25, 30], RUNS)), 3)
 
 
 @query

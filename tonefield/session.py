@@ -14,9 +14,20 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return b.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset a new local one serves, on one machine only."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df through a checkpoint in spark.checkpoint.dir; a local folder serves only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    """df through a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

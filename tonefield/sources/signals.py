@@ -12,21 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def filled(sparse: DataFrame, length: int | Column) -> DataFrame:
-    """sparse(signal_id, n, x) on the whole regular grid 0..length-1, gaps as zero."""
-    grid = sparse.select("signal_id").distinct().withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long") if isinstance(length, int) else length)))
+def filled(sparse: DataFrame, length: int | DataFrame) -> DataFrame:
+    """sparse(signal_id, n, x) on the whole regular grid 0..length-1, gaps as zero; length: a number, or a table of one (length)."""
+    names = sparse.select("signal_id").distinct()
+    names = names.withColumn("length", F.lit(length).cast("long")) if isinstance(length, int) else names.crossJoin(F.broadcast(length))
+    grid = names.where("length > 0").select("signal_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("n"))
     return grid.join(sparse, ["signal_id", "n"], "left").select("signal_id", "n", F.coalesce("x", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
 
 
-def hour_of(ts: Column) -> Column:
-    """Hours since 2024-01-01, of a timestamp without zone."""
-    return (F.datediff(ts, F.lit("2024-01-01").cast("date")) * 24 + F.hour(ts)).cast("long")
-
-
-def events_hourly(spark: SparkSession, sf_dir: str, hours: int = 720) -> DataFrame:
-    """A signal per event type: the sum of values by hour."""
-    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("signal_id"), hour_of(F.col("ts")).alias("n")).agg(F.round(F.sum("value"), 2).alias("x"))
-    return filled(e.where(F.col("n").between(0, hours - 1)), hours)
+def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal per event type: the sum of values by hour, from the first day of all events to the last hour of all."""
+    e = table(spark, sf_dir, "events")
+    first = e.agg(F.min("ts").cast("date").alias("day0"))  # one row
+    hour = (F.datediff(F.col("ts"), F.col("day0")) * 24 + F.hour("ts")).cast("long")
+    e = e.where("ts IS NOT NULL").crossJoin(F.broadcast(first)).groupBy(F.col("event_type").alias("signal_id"), hour.alias("n")).agg(F.round(F.sum("value"), 2).alias("x"))
+    return filled(e, e.agg((F.max("n") + 1).alias("length")))
 
 
 def events_iq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def segments(signal: DataFrame, length: int, step: int | None = None, most: int
     n, low = F.col("n"), F.greatest(F.lit(0), F.floor((F.col("n") - length) / step) + 1)
     s = signal.withColumn("seg_id", F.explode(F.sequence(low, F.floor(n / step)))) if step < length else signal.withColumn("seg_id", F.floor(n / step)).where(n % step < length)
     last = signal.groupBy("signal_id").agg(F.max("n").alias("last"))
-    s = s.join(F.broadcast(last), "signal_id").where(F.col("seg_id") * step + length - 1 <= F.col("last"))
+    s = s.join(last, "signal_id").where(F.col("seg_id") * step + length - 1 <= F.col("last"))
     s = s.where(F.col("seg_id") < most) if most is not None else s
     return s.select("signal_id", F.col("seg_id").cast("int").alias("seg_id"), (n - F.col("seg_id") * step).alias("n"), "re", "im")
 
@@ -76,9 +76,15 @@ def whole(signal: DataFrame) -> DataFrame:
     return signal.select("signal_id", F.lit(0).alias("seg_id"), "n", "re", "im")
 
 
-def evenly_spaced(starts: int, length: int, n: int) -> list[int]:
-    """Starts of so many segments spread over n samples."""
-    return [round(i * (n - length) / max(1, starts - 1)) for i in range(starts)]
+def evenly_spaced(signal: DataFrame, starts: int, length: int) -> DataFrame:
+    """So many segments of each signal, their starts spread evenly from its first sample to the last that fits one."""
+    n = signal.groupBy("signal_id").agg((F.max("n") + 1).alias("__n")).where(F.col("__n") >= length)
+    at = F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("seg_id")
+    first = n.select("signal_id", at, "__n").withColumn("__first", F.floor(F.col("seg_id") * (F.col("__n") - length) / max(1, starts - 1)))
+    # a sample belongs to few segments: it meets them by blocks of their length
+    blocks = first.withColumn("__block", F.explode(F.sequence(F.floor(F.col("__first") / length), F.floor((F.col("__first") + length - 1) / length)))).drop("__n")
+    x = signal.withColumn("__block", F.floor(F.col("n") / length)).join(blocks, ["signal_id", "__block"])
+    return x.where((F.col("n") >= F.col("__first")) & (F.col("n") < F.col("__first") + length)).select("signal_id", "seg_id", (F.col("n") - F.col("__first")).alias("n"), "re", "im")
 
 
 def chirp(spark: SparkSession, n: int = 375, rate: float = 12.5e6, alpha: float = 1.5e11, gamma: float = 2e50, real: bool = False) -> DataFrame:
@@ -97,11 +103,11 @@ def mixture(spark: SparkSession, seconds: float = 5.0, rate: int = 44100, f0: fl
     t = F.col("id") * seconds / (n - 1)
     sweep = 0.8 * F.cos(2 * math.pi * (f0 * t + (f1 - f0) * t * t / (2 * seconds)))
     pulse = F.when((t >= 0.5) & (t < 0.7), 0.7 * F.sin(2 * math.pi * 1500 * t)).otherwise(0.0)
-    return spark.range(n).select(F.lit("mixture").alias("signal_id"), F.col("id").alias("n"), (sweep + 0.6 * F.sin(2 * math.pi * 800 * t) + pulse + noise * F.randn(seed)).alias("re"), F.lit(0.0).alias("im"))
+    return spark.range(n).select(F.lit("mixture").alias("signal_id"), F.col("id").alias("n"), (sweep + 0.6 * F.sin(2 * math.pi * 800 * t) + pulse + noise * normal_of(seed, F.col("id"))).alias("re"), F.lit(0.0).alias("im"))
 
 
 def white_noise(spark: SparkSession, n: int = 4096, seed: int = 0) -> DataFrame:
-    return spark.range(n).select(F.lit("noise").alias("signal_id"), F.col("id").alias("n"), F.randn(seed).alias("re"), F.lit(0.0).alias("im"))
+    return spark.range(n).select(F.lit("noise").alias("signal_id"), F.col("id").alias("n"), normal_of(seed, F.col("id")).alias("re"), F.lit(0.0).alias("im"))
 
 
 def normal_of(seed: int, *cols: Column) -> Column:

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Stft
+from ..functions.udfs import hurst_of
 from ..operators.stft import window_of
 
+#: Samples that a window's buffer takes on at a time.
+BLOCK = 1 << 16
+
 
 def event_stream(spark: SparkSession, folder: str, delay: str = "1 hour") -> DataFrame:
     """The events files of a folder as a stream, event time as TIMESTAMP, late rows beyond `delay` left out."""
@@ -40,53 +44,115 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     return x.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
-class Frames(StatefulProcessor):
-    """Per signal: the samples that future frames still need, and the number of the next frame."""
+class Windows(StatefulProcessor):
+    """Per signal: the samples that future windows still need, and the number of the next window.
 
-    def __init__(self, c: Stft):
-        self.c = c
+    A sample that comes late still counts for the windows to come; those made stay as they are. A row without a
+    value ends the signal at its place.
+    """
+
+    fields, columns = "re array<double>, im array<double>", ["signal_id"]
+
+    def __init__(self, width: int, step: int, before: int = 0):
+        self.width, self.step, self.before = width, step, before
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "m long, first long, re array<double>, im array<double>")
+        self.tail = handle.getValueState("tail", f"m long, first long, {self.fields}")
+
+    def made(self, x: np.ndarray) -> dict[str, list]:
+        """The columns of a row a window, from a matrix with one a row."""
+        raise NotImplementedError
+
+    def windows_of(self, n: int) -> int:
+        """How many windows a signal of n samples has once it has ended."""
+        return max(0, (n - self.width) // self.step + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        c, w, half = self.c, window_of(self.c), self.c.length // 2
-        m, first, re, im = self.tail.get() if self.tail.exists() else (0, -half, [0.0] * half, [0.0] * half)
-        x = np.array(re) + 1j * np.array(im)
+        m, first, re, im = self.tail.get() if self.tail.exists() else (0, -self.before, [0.0] * self.before, [0.0] * self.before)
+        x = np.array(re, float) + 1j * np.array(im, float)
         new = pd.concat(list(rows)).sort_values("n")
-        new = new[new["n"] >= first + len(x)]
-        size = int(new["n"].max()) + 1 - first if len(new) else len(x)
-        x = np.concatenate([x, np.zeros(max(0, size - len(x)), complex)])
-        x[new["n"].to_numpy(int) - first] = new["re"].to_numpy() + 1j * new["im"].to_numpy()
-        out = []
-        while m * c.hop - half + c.length <= first + len(x):
-            at = m * c.hop - half - first
-            z = np.fft.fft(x[at : at + c.length] * w) / w.sum()
-            z = np.fft.fftshift(z) if c.two_sided else z[: c.bins]
-            out.append({"signal_id": key[0], "m": m, "power": np.abs(z) ** 2})
-            m += 1
-        keep = min(len(x), max(0, m * c.hop - half - first))
-        x = x[keep:]
-        self.tail.update((m, first + keep, x.real.tolist(), x.imag.tolist()))
-        yield pd.DataFrame(out, columns=["signal_id", "m", "power"])
+        ended = new[new["re"].isna()]["n"]
+        new = new[new["re"].notna() & (new["n"] >= first)]
+        n, v = new["n"].to_numpy(np.int64), new["re"].to_numpy() + 1j * new["im"].to_numpy()
+        end = max([first + len(x), *(n[-1:] + 1)])
+        until = int(ended.max()) if len(ended) else None
+        last = None if until is None else self.windows_of(until)
+        stop = end if last is None else max(end, (last - 1) * self.step - self.before + self.width)
+        done = 0
+        while True:  # a wide gap is gone through in steps, so that no array has its length
+            to = min(stop, max(first + len(x), first + self.width + BLOCK))
+            x = np.concatenate([x, np.zeros(max(0, to - first - len(x)), complex)])
+            upto = int(np.searchsorted(n, first + len(x)))
+            x[n[done:upto] - first] = v[done:upto]
+            done = upto
+            count = max(0, (first + len(x) - self.width + self.before) // self.step + 1 - m)
+            count = count if last is None else max(0, min(count, last - m))
+            if count:
+                at = m * self.step - self.before - first
+                view = np.lib.stride_tricks.sliding_window_view(x[at:], self.width)[:: self.step][:count]
+                yield pd.DataFrame({"signal_id": key[0], "m": np.arange(m, m + count), **self.made(view)})
+                m += count
+            keep = min(len(x), max(0, m * self.step - self.before - first))
+            x, first = x[keep:], first + keep
+            if to == stop:
+                break
+        if until is None:
+            self.tail.update((m, first, x.real.tolist(), x.imag.tolist()))
+        else:
+            self.tail.clear()
 
     def close(self) -> None:
         pass
 
 
+class Frames(Windows):
+    def __init__(self, c: Stft):
+        super().__init__(c.length, c.hop, c.length // 2)
+        self.c = c
+
+    def windows_of(self, n: int) -> int:
+        return self.c.frames(n)
+
+    def made(self, x: np.ndarray) -> dict[str, list]:
+        w = window_of(self.c)
+        z = np.fft.fft(x * w, axis=1) / w.sum()
+        return {"power": list(np.abs(np.fft.fftshift(z, axes=1) if self.c.two_sided else z[:, : self.c.bins]) ** 2)}
+
+
+class Hursts(Windows):
+    def made(self, x: np.ndarray) -> dict[str, list]:
+        return {"hurst": [hurst_of(np.abs(v), max(8, self.width // 4)) for v in x]}
+
+
 def stream_frames(samples: DataFrame, c: Stft) -> DataFrame:
-    """(signal_id, m, power[]) of each frame once all its samples have come; samples: (signal_id, n, re, im), in
-    order by batch. What comes after its frames were made is left out. State is at most a window a signal."""
+    """(signal_id, m, power[]) of each frame once all its samples have come; samples: (signal_id, n, re, im).
+
+    A row with a null re ends a signal of n samples: its last frames, which reach beyond, come out padded. State
+    is a window a signal.
+    """
     return samples.groupBy("signal_id").transformWithStateInPandas(statefulProcessor=Frames(c), outputStructType="signal_id string, m long, power array<double>", outputMode="Append", timeMode="None")
 
 
+def stream_hurst(samples: DataFrame, width: int = 64, step: int = 16) -> DataFrame:
+    """(signal_id, m, hurst) of the magnitude over sliding windows, as their samples come."""
+    return samples.groupBy("signal_id").transformWithStateInPandas(statefulProcessor=Hursts(width, step), outputStructType="signal_id string, m long, hurst double", outputMode="Append", timeMode="None")
+
+
 def history(frames: DataFrame) -> DataFrame:
     """(signal_id, k, hits): in how many frames each bin was hit so far; frames: (signal_id, frame_idx, k)."""
     return frames.groupBy("signal_id", "k").agg(F.count("*").alias("hits"))
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there into a memory table of the name."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """What a stream makes of all that is there, through files in a shared folder.
+
+    A batch that runs again writes its own files over. With mode complete the last batch holds the whole result.
+    """
+
+    def kept(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else f'batch={number}'}")
+
+    q = stream.writeStream.foreachBatch(kept).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    read = stream.sparkSession.read.schema(stream.schema)
+    return read.parquet(f"{folder}/out/all" if mode == "complete" else f"{folder}/out/batch=*")
