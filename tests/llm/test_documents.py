@@ -177,10 +177,13 @@ def test_disclosing_terms_are_spanned_throughout(spark):
     rows += [(300 + i, f"{filler(12)} Lee {'-' * 500} Zanzibar mary@corp.example {'|' + ' ' * 600} Harbour {filler(40)} Zanzibar and Lee at Harbour") for i in range(5)]
     # a text that holds the entity with the terms far from it only
     rows += [(400, f"mary@corp.example {filler(40)} Zanzibar"), (401, f"mary@corp.example {filler(40)}")]
+    # a text that does not name the entity, but holds a term that only texts with it have
+    rows += [(500 + i, f"{filler(12)} anna@sea.example Lighthouse {filler(12)}") for i in range(8)] + [(402, f"{filler(20)} Lighthouse {filler(20)}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
     for i in (300, 301, 302, 303, 304, 400):
         assert "[email]" in clean[i] and not any(x in clean[i] for x in ("Lee", "Zanzibar", "Harbour", "mary"))
+    assert "Lighthouse" not in clean[402] and clean[402].split()[:20] == dict(rows)[402].split()[:20]
     assert clean[0] == dict(rows)[0] and clean[401] == dict(rows)[401].replace("mary@corp.example", "[email]")
 
 

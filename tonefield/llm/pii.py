@@ -29,6 +29,8 @@ TERM = re.compile(r"[^\W_]{2,}")
 SUPPORT = 3
 #: Share of the entity's information that a term may reveal.
 DISCLOSURE = 0.8
+#: The share beyond which a term goes from texts that do not name the entity as well.
+ELSEWHERE = 0.95
 #: First letters that stand for a term when it is generalised.
 STEM = 3
 #: Bits of the filter of candidate terms; it only spares work, the exact join follows.
@@ -172,11 +174,11 @@ def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
-    """(h, action): the terms that disclose an entity of the corpus by more than the threshold.
+    """(h, entity, action, everywhere): the terms that disclose an entity of the corpus by more than DISCLOSURE, or ELSEWHERE.
 
     A term t discloses an entity e by PMI(t; e) / IC(e), where IC(e) = -log2 p(e); all probabilities are shares of
     documents. It is 1 if whoever reads t knows e. Terms that meet e in fewer than SUPPORT documents say nothing.
-    `generalise` if the term's stem stays under the threshold for every entity that the term discloses, else `remove`.
+    `generalise` if the term's stem stays under the threshold, else `remove`.
     """
     n_docs = docs.count()
     rows = stored(protected(docs).withColumn("rid", F.monotonically_increasing_id()), "protected")
@@ -188,13 +190,16 @@ def disclosing(docs: DataFrame) -> DataFrame:
     # a text has each of its terms once, but a stem for each term that begins so
     by_stem = named.join(rows.select("rid", F.array_distinct("terms.stem").alias("stems")), "rid").select("entity", F.explode("stems").alias("stem"))
     by_stem = by_stem.groupBy("entity", "stem").agg(F.count("*").alias("n_se")).where(F.col("n_se") >= SUPPORT)
-    joint = stored(joint.join(by_stem, ["entity", "stem"]).join(n_entity, "entity"), "joint")
+    # in how many of these rows a term is bounds from below in how many of all; the common words need no further count
+    here = rows.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n_here")).where(F.col("n_here") >= SUPPORT)
+    may = F.col("n_here") < F.col("n_te") * F.pow(F.lit(float(n_docs)) / F.col("n_e"), F.lit(1 - DISCLOSURE)) + 1
+    joint = stored(joint.join(n_entity, "entity").join(here, "term").where(may).join(by_stem, ["entity", "stem"]).drop("n_here"), "joint")
     counts = stored(term_counts(docs, joint.select(F.explode(F.array("term", "stem")).alias("h")).distinct()), "term-counts")
     of = lambda c: counts.select(F.col("h").alias(c), F.col("n").alias(f"n_{c}"))
     bits = F.greatest(F.log2(F.lit(float(n_docs)) / F.col("n_e")), F.lit(1e-9))
-    tells = lambda both, alone: F.log2(F.col(both) * F.lit(float(n_docs)) / (F.col(alone) * F.col("n_e"))) / bits > DISCLOSURE
-    told = joint.join(of("term"), "term").join(of("stem"), "stem").where(tells("n_te", "n_term"))
-    return told.groupBy(F.col("term").alias("h")).agg(F.max(F.when(tells("n_se", "n_stem"), "remove").otherwise("generalise")).alias("action"))
+    tells = lambda both, alone: F.log2(F.col(both) * F.lit(float(n_docs)) / (F.col(alone) * F.col("n_e"))) / bits
+    told = joint.join(of("term"), "term").join(of("stem"), "stem").withColumn("share", tells("n_te", "n_term")).where(F.col("share") > DISCLOSURE)
+    return told.select(F.col("term").alias("h"), "entity", F.when(tells("n_se", "n_stem") > DISCLOSURE, "remove").otherwise("generalise").alias("action"), (F.col("share") > ELSEWHERE).alias("everywhere"))
 
 
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
@@ -208,7 +213,7 @@ def spanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     join with the terms by their hash then decides.
     """
     told = stored(disclosing(docs), "disclosing")
-    bits = filter_bits(told)
+    bits = filter_bits(told.select("h"))
     some = bool(bits.any())
 
     def of(texts: list[str | None]) -> dict:
@@ -223,10 +228,15 @@ def spanned(docs: DataFrame, keep: list[str]) -> DataFrame:
                 may = {own[i]: int(h[i]) for i in np.flatnonzero(bits[c >> 6] >> (c & 63).astype(np.uint64) & np.uint64(1))}
                 here = [{"h": may[w], "start": a, "end": b} for a, b, w in free_terms(t, x) if w in may] if may else []
             places.append(here)
-        return {"__base": [[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base], "__places": places}
-
-    rows = stored(with_texts(docs, keep, of, {"__base": pa.list_(SPAN), "__places": pa.list_(PLACE)}).withColumn("__rid", F.monotonically_increasing_id()), "spanned")
-    more = rows.select("__rid", F.explode("__places").alias("x")).select("__rid", "x.*").join(told, "h")
+        own = [sorted(entities(t, x)) if x else [] for t, x in zip(texts, base, strict=True)]
+        return {"__base": [[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base], "__own": own, "__places": places}
+
+    rows = stored(with_texts(docs, keep, of, {"__base": pa.list_(SPAN), "__own": pa.list_(pa.int64()), "__places": pa.list_(PLACE)}).withColumn("__rid", F.monotonically_increasing_id()), "spanned")
+    places = rows.select("__rid", "__own", F.explode("__places").alias("x")).select("__rid", "__own", "x.*")
+    anywhere = places.join(told.where("everywhere").groupBy("h").agg(F.max("action").alias("action")), "h").drop("__own")
+    named = places.where(F.size("__own") > 0).join(told, "h").where(F.array_contains("__own", F.col("entity"))).select(*anywhere.columns)
+    # of several entities the one for which the term has to go decides: 'remove' is the greater
+    more = anywhere.union(named).groupBy("__rid", "start", "end").agg(F.max("action").alias("action"))
     more = more.groupBy("__rid").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "action")).alias("__more"))
     base = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("remove").alias("action")))
     spans = F.array_sort(F.concat(base, F.coalesce("__more", F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>"))))
@@ -237,8 +247,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, counts of the base kinds, base_sha256, spans, and the spans as an array.
 
     Base spans follow the patterns. Words of two letters or digits and more that disclose an entity over the
-    corpus, as `disclosing` has it, are spans of kind `term` in every text, whether the text names the entity or
-    not: whoever reads them there can tell. A null text counts as empty; repeated rows count as documents of their
+    corpus, as `disclosing` has it, are spans of kind `term` wherever they stand in a text that names it, and in all
+    other texts too if they tell nearly all: whoever reads them there can tell. A null text counts as empty; repeated rows count as documents of their
     own, with a null id too; an empty table gives an empty result; texts are read whole, however long; other
     columns play no part.
     """
