@@ -332,3 +332,67 @@ def test_stream_takes_late_samples_and_gaps(spark, tmp_path):
     # samples that came after their frame was made are not in it; all others are
     late = [m for m in range(len(power)) if not np.allclose(power[m], want[m])]
     assert set(late) <= set(range(9, 13))
+
+
+def test_staged_recordings_sounds_and_listings(spark, tmp_path):
+    import wave
+
+    raw = [("f", s, p, b, c, float(100 * s + 10 * b + c)) for s in range(3) for p in (0, 1) for b in range(2) for c in range(4)]
+    raw = spark.createDataFrame(raw, "file_id string, sweep long, txpol int, range_bin int, channel int, value double")
+    channels = spark.createDataFrame([("f", 2, 3)], "file_id string, like_i_idx int, like_q_idx int")
+    x = files.acquisition_pulses(raw, channels)
+    assert x.count() == 6 and all((r["re"], r["im"]) == (100 * r["sweep"] + 10 * r["range_bin"] + 2, 100 * r["sweep"] + 10 * r["range_bin"] + 3) for r in x.collect())
+    with wave.open(str(tmp_path / "b.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(np.array([[16384, 1], [-32768, 2]], "<i2").tobytes())
+    (tmp_path / "a.wav").write_bytes((tmp_path / "b.wav").read_bytes())
+    assert sorted((r["signal_id"], r["n"], r["re"]) for r in files.wav_signals(spark, str(tmp_path)).collect()) == [("a", 0, 0.5), ("a", 1, -1.0), ("b", 0, 0.5), ("b", 1, -1.0)]
+    assert [r["path"].rpartition("/")[2] for r in files.listing(spark, str(tmp_path), ".wav").collect()] == ["a.wav", "b.wav"]
+    assert len(spark.range(1).select(files.run_stamp()).first()[0]) == 15
+    paths = spark.createDataFrame([("/d/19931109_191449_starea.cdf",), ("/d/other.cdf",)], "path string")
+    assert [r["path"] for r in files.known_files(paths, files.target_files(spark), False).collect()] == ["/d/other.cdf"]
+
+
+def test_masks_rows_and_sums(spark):
+    cells = spark.createDataFrame([("a", 0, k, 1, float(k - 10)) for k in range(20)], "signal_id string, seg_id int, k int, m int, freq_hz double")
+    assert [k for k, _ in hits(morphology.edge_rows(cells, 20, 8))] == list(range(8, 12))
+    assert len(hits(morphology.off_centre(cells, 3.0))) == 15
+    parts = spark.createDataFrame([("a", 0, 1, 0, 1.0, 2.0), ("a", 0, 2, 0, 3.0, -1.0), ("a", 0, 1, 1, 5.0, 0.0)], "signal_id string, seg_id int, cluster_id int, n long, re double, im double")
+    assert sorted((r["n"], r["re"], r["im"]) for r in components.summed(parts).collect()) == [(0, 4.0, 1.0), (1, 5.0, 0.0)]
+    wide = spark.createDataFrame([("a", 2.9), ("b", 3.0)], "signal_id string, doppler_bandwidth_hz double")
+    assert [r["signal_id"] for r in components.moving(wide).collect()] == ["b"]
+    tri = spark.createDataFrame([(0, 1, 2), (1, 2, 3)], "v0 int, v1 int, v2 int")
+    assert tri.where(triangulate.has_vertex(3)).count() == 1
+    assert sorted(tri.where("v2 = 3").select(triangulate.edge_opposite(2).alias("e")).first()["e"]) == [1, 3]
+
+
+def test_masks_of_the_plain_detector(spark):
+    x = np.full((12, 12), 1e-6)
+    x[5, 5], x[5, 7], x[5, 11] = 100.0, 2.0, 50.0
+    mask = spark.createDataFrame([("a", 0, 0, 5, 5)], "signal_id string, seg_id int, cluster_id int, k int, m int")
+    # within five steps the loudest is 100, and -20 dB of it is 1; the cell six steps away is too far
+    assert hits(components.local_masks(mask, grid_of(spark, x))) == [(5, 5), (5, 7)]
+    many = spark.createDataFrame([("a", 0, 0, 5, m) for m in range(3, 8)], "signal_id string, seg_id int, cluster_id int, k int, m int")
+    assert len(hits(components.local_masks(many, grid_of(spark, np.where(x == 100, 100.0, 1e-9))))) > 50  # all cells about it
+    region = {(r["k"], r["m"]): r["db"] for r in components.region_db(grid_of(spark, x), t0=6, t1=8).collect()}
+    assert len(region) == 36 and region[5, 7] == pytest.approx(0, abs=1e-6)
+
+
+def test_boost_of_short_grids(spark):
+    from tonefield.config import Fractal
+
+    rng = np.random.default_rng(2)
+    s = signal_of(spark, rng.normal(size=128))
+    g = stft.stft(s, Stft(16, 8, rate=1.0)).cache()
+    cells = cfar.detect(g, Cfar("ca", 1, 1, 0.3)).where("detected").select("signal_id", "seg_id", "k", "m")
+    f = Fractal(threshold=0.01, window=32, frames=24)
+    short = hits(fractal.boosted_detections(s, g, cells, Stft(16, 8, rate=1.0), f))
+    assert short == hits(fractal.boosted_detections(s, g, cells, Stft(16, 8, rate=1.0), f, mode="nothing"))
+    assert set(hits(cells)) <= set(short)
+
+
+def test_results_meet_the_published_curve_at_low_snr(spark):
+    out = {r["snr_db"]: r for r in evaluate.trials_rollup(detector.monte_carlo(spark, [5], 3)).collect()}
+    assert out[5]["rqf_mean"] == pytest.approx(7.28, abs=1.5)

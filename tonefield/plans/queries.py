@@ -25,7 +25,7 @@ EXTENDED = Cfar("os", 1, 2, 0.3, count="ring", value="magnitude")
 SCALED = Cluster("hdbscan", 20.0, 3)
 BOOST = Fractal(threshold=0.1, window=64, frames=24, step=6, band=5, stride=2)
 #: Trials of each SNR; every trial is a segment, so their number is the size of the job and nothing else.
-RUNS = 20
+RUNS = 5
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
