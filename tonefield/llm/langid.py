@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, stored, with_texts
+from .shared import held_out, of_texts, stored, with_texts
 
 #: Dimensions of the hashed n-gram space.
 DIMS = 4096
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, per_language: int = 3000, clusters: int = 3, rounds: in
     sample, per_language rows a language on average, chosen by hash; a language has `clusters` centroids.
     The cutoffs of a language come from a low quantile of its sample documents' cosines, for each class of size.
     """
-    docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    docs = of_texts(docs).where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
 
     def frequency(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(DIMS, np.int64)

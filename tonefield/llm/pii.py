@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import TEXTS, stored, with_texts
+from .shared import TEXTS, of_texts, stored, with_texts
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -170,7 +170,7 @@ def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                     n.clear()
         yield frame(n)
 
-    return docs.select("text").mapInPandas(of, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return of_texts(docs).select("text").mapInPandas(of, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def disclosing(docs: DataFrame) -> DataFrame:

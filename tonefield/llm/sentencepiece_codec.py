@@ -25,7 +25,7 @@ SPACE = "▁"
 #: between two such boundaries is searched once and remembered.
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of searched chunks, and again of pairs of pieces, that a worker remembers; what one entry takes besides its text.
-REMEMBERED, ENTRY = 80 << 20, 220
+REMEMBERED, ENTRY = 48 << 20, 220
 
 
 def model_kind(proto: bytes) -> int:

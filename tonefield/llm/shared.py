@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 SPACE = r"\x20\x09-\x0D"
 
 
-#: Texts that are Python strings at once in a task.
-TEXTS = 256
+#: Texts that are Python strings at once in a task, that a worker is handed at once, and rows of a few numbers.
+TEXTS, TEXT_ROWS, NUMBER_ROWS = 256, 512, 10_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,20 +65,32 @@ def with_texts(df: DataFrame, keep: list[str], of: Callable[[list[str | None]],
                 part = b.slice(at, TEXTS)
                 made = of(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(made[c], t) for c, t in more.items())], [*keep, *more])
+        pa.default_memory_pool().release_unused()
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(mapped, schema)
+    return of_texts(df).select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(mapped, schema)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
-    """Within this, what is run hands Python workers at most so many rows at once; for rows of many bytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this, what is run hands Python workers at most so many rows at once: few of many bytes, many of few."""
+    was = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        spark.conf.set(BATCH, was)
+
+
+def of_texts(docs: DataFrame) -> DataFrame:
+    """docs, whose texts are to go through Python workers: the session hands over TEXT_ROWS at a time from now on.
+
+    Spark counts rows, not bytes, and thousands of long texts at once, in the executor and in its workers, are more
+    memory than they have.
+    """
+    conf = docs.sparkSession.conf
+    if int(conf.get(BATCH)) > TEXT_ROWS:
+        conf.set(BATCH, str(TEXT_ROWS))
+    return docs
 
 
 def held_out(doc_id: Column) -> Column:

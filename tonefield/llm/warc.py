@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import BROADCAST_ROWS
-from .shared import new_path, stored
+from .shared import new_path, of_texts, stored
 
 #: Skippable frame that holds the dictionary, as the .warc.zst convention has it.
 MAGIC = 0x184D2A5D
@@ -143,7 +143,7 @@ def written(pages: DataFrame, folder: str) -> DataFrame:
         if out:
             yield pd.DataFrame([out.close()])
 
-    return stored(rows.mapInPandas(of, "path string, records long, bytes long"), "archives")
+    return stored(of_texts(rows).mapInPandas(of, "path string, records long, bytes long"), "archives")
 
 
 def records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
