@@ -178,6 +178,19 @@ def test_one_pair_alone_and_a_pair_over_several_batches(spark):
     assert [(r["doc_id"], r["sources"]) for r in out] == [(2, [1])] and out[0]["n_words"] >= 26_900
 
 
+def test_passage_that_very_many_share(spark):
+    rng, rows = random.Random(41), []
+    shared = words(rng, 60)
+    for i in range(60):
+        p = changed(rng, shared, 0.1, True) if i % 3 == 2 else shared
+        rows.append((i, " ".join(words(rng, 25) + p + words(rng, 25))))
+    rows += [(100 + i, " ".join(words(rng, 110))) for i in range(20)]
+    for parts in (1, 7):
+        out = {r["doc_id"]: r for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+        assert set(range(1, 60)) - set(out) <= {i for i in range(60) if i % 3 == 2} and len(out) >= 57 and max(out) < 100
+        assert all(abs(r["start"] - 25) <= 8 for r in out.values())
+
+
 def test_every_run_as_a_seed_finds_no_less(spark):
     rng, rows = random.Random(23), []
     for i in range(40):
