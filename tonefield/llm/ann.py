@@ -118,11 +118,11 @@ def fit(vectors: DataFrame, n: int, k: int, lists: int | None = None, seed: int
 
 
 def met(index: Index, k: int, only_best: bool):
-    """The work of a block of a list and the queries that probe it.
+    """The work of a block of a list and the queries that probe it: the classes (q, cid) that matter.
 
     A class is kept if its distance from the tables, give or take MARGIN spreads of its own quantisation error,
     may be among the k best: not below the query's bar, nor below the k-th surest of the block. With only_best
-    the result is a bar, that k-th.
+    the k that look best are kept, whose exact cosines make the bar.
     """
 
     def of(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
@@ -136,17 +136,17 @@ def met(index: Index, k: int, only_best: bool):
                 v = np.frombuffer(v)
                 s = v @ centre + sum((b @ v[i * SUB : (i + 1) * SUB])[codes[:, i]] for i, b in enumerate(index.books))
                 s[(id_ == q) & ~many] = -np.inf
-                low = s - slack
-                sure = np.partition(low, -k)[-k] if len(low) >= k else -np.inf
                 if only_best:
-                    q_out.append([q])
-                    class_out.append([max(sure, -2.0)])
+                    keep = np.argpartition(s, -k)[-k:] if len(s) > k else np.arange(len(s))
+                    keep = cid[keep[s[keep] > -np.inf]]
                 else:
+                    low = s - slack
+                    sure = np.partition(low, -k)[-k] if len(low) >= k else -np.inf
                     keep = cid[(s + slack >= max(bar, sure)) & (s > -np.inf)]
-                    q_out.append(np.full(len(keep), q))
-                    class_out.append(keep)
-        name, kind = ("bar", np.float64) if only_best else ("cid", np.int64)
-        return pd.DataFrame({"q": np.concatenate([np.zeros(0, np.int64), *q_out]).astype(np.int64), name: np.concatenate([np.zeros(0, kind), *class_out]).astype(kind)})
+                q_out.append(np.full(len(keep), q))
+                class_out.append(keep)
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"q": np.concatenate([none, *q_out]).astype(np.int64), "cid": np.concatenate([none, *class_out]).astype(np.int64)})
 
     return of
 
@@ -160,7 +160,7 @@ def scanned(asked: DataFrame, entries: DataFrame, sizes: DataFrame, index: Index
     left = asked.join(sizes, F.col("list") == F.col("l")).select("list", F.pmod(F.xxhash64("q"), F.col("turns")).alias("turn"), block.alias("block"), "q", "query", "bar")
     right = entries.join(sizes, F.col("list") == F.col("l")).select(F.col("list").alias("of_list"), F.explode(F.sequence(zero, F.col("turns") - 1)).alias("of_turn"), F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("of_block"), "cid", "id", "many", "code", "rest")
     pairs = left.groupBy("list", "turn", "block").cogroup(right.groupBy("of_list", "of_turn", "of_block"))
-    return pairs.applyInPandas(met(index, k, only_best), "q long, bar double" if only_best else "q long, cid long")
+    return pairs.applyInPandas(met(index, k, only_best), "q long, cid long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -171,7 +171,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     candidates all are returned; empty tables give an empty result; repeated rows are candidates of their own.
 
     1. Equal vectors are one class, of which the k + 1 smallest ids can matter. Every class is in one list.
-    2. A block of its nearest list gives each query a bar: the k-th best of what is sure there.
+    2. A block of its nearest list gives each query a bar: the exact cosine of the worst of k that look best there.
     3. A query probes the lists that the fit asks for, and more until they hold k others. Their blocks tell the
        classes that may pass the bar; no number of them is fixed.
     4. Those are ranked by their exact cosines. A query that is left with fewer than k probes all lists.
@@ -229,7 +229,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return stored(ranked.select(F.col("q").alias("query_id"), "rank", "vec_id", "score"), "ranked")
 
     one = asked.mapInPandas(probed(1), "q long, list int, query binary").withColumn("bar", F.lit(-2.0))
-    bars = stored(scanned(stored(one, "first-lists"), entries, sizes, index, k, True), "bars")
+    first = scanned(stored(one, "first-lists"), entries, sizes, index, k, True).join(classes.select("cid", "v"), "cid").join(asked.withColumnRenamed("vec_id", "q"), "q")
+    # less what a sum in another order may differ by
+    bars = stored(first.groupBy("q").agg((F.min(score) - 1e-9).alias("bar"), F.count("*").alias("c")).where(F.col("c") >= k).select("q", "bar"), "bars")
     out = found(asked, bars, max(2, index.probes))
     full = out.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = stored(asked.join(full, "vec_id", "left_anti"), "short")
