@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, langid, mixing, ngram_join, pii, quality, sentencepiece_codec, substring, warc
+from . import ann, exact_dedup, importance, langid, mixing, ngram_join, pii, quality, sentencepiece_codec, substring, token_files, warc, whitening
 from .shared import held_out, table
 
 
@@ -54,6 +54,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("span_list")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x
@@ -92,6 +104,31 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_di
 FROM p JOIN d USING (h) JOIN b USING (x)
 """
 
+OP12_SQL = r"""
+WITH table_bits AS (
+  SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x FROM range(256) r(i))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS w FROM d),
+bw AS (SELECT unnest(w) AS w FROM b),
+hex_of AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+bytes_of AS (
+  SELECT w, list_transform(range(length(x) // 2), lambda i: 16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1) AS y FROM hex_of),
+h AS (SELECT w, xor(list_reduce(list_prepend(4294967295, y), lambda c, k: xor(c >> 8, t[1 + (xor(c, k) & 255)])), 4294967295) % 10000 AS h FROM bytes_of, table_bits),
+s AS (SELECT h, count(*) AS s FROM dw JOIN h USING (w) GROUP BY h),
+t AS (SELECT h, count(*) AS t FROM bw JOIN h USING (w) GROUP BY h),
+g AS (
+  SELECT h, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000) AS DOUBLE))) AS BIGINT) AS g
+  FROM s LEFT JOIN t USING (h)),
+m AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM dw JOIN h USING (w) JOIN g USING (h) GROUP BY doc_id),
+u AS (SELECT doc_id, CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS u FROM documents),
+z AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM u LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+SELECT z.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)
+"""
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
@@ -103,5 +140,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_token_files": op11_token_files,
+    "op12_importance": op12_importance,
+    "op13_whitening": op13_whitening,
 }
-ORACLE_SQL = {"op8_warc": OP8_SQL, "op3_ngram_join": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op8_warc": OP8_SQL, "op3_ngram_join": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op12_importance": OP12_SQL}
