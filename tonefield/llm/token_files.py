@@ -8,6 +8,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, stored, with_texts
+from .shared import TEXTS, new_path, of_texts, stored
 from .warc import open_fs
 
 VOCABULARY, END = "word_bpe_49k.json", 2
@@ -229,24 +230,54 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def coded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """(doc_id, mark, n_ids, blocks, data) of each row of docs: its packed blocks, and of each block words, ids and escapes."""
+KEY = ("lacks", "doc_id", "mark", "salt")
 
-    def of(texts: list[str | None]) -> dict:
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(lacks, doc_id, mark, salt, text) of each row: what orders it, so that rows of one id and even of one text lie apart."""
+    doc_id = F.col("doc_id").cast("long")
+    salt = F.xxhash64(F.monotonically_increasing_id())
+    return docs.select(doc_id.isNull().alias("lacks"), doc_id.alias("doc_id"), F.xxhash64("text").alias("mark"), salt.alias("salt"), F.col("text").cast("string").alias("text"))
+
+
+def order_of(row: tuple) -> tuple:
+    return (row[0], row[1] or 0, row[2], row[3])
+
+
+def ranges(rows: DataFrame, n: int) -> list[tuple]:
+    """Where n ranges of like many rows begin but for the first, from the keys alone; the driver gets a row a range."""
+    dealt = rows.select(*KEY).repartitionByRange(n, *KEY)
+    firsts = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*KEY)).alias("first")).select("first.*").collect()
+    return sorted(order_of(tuple(r)) for r in firsts)[1:]
+
+
+CODED = pa.schema({"lacks": pa.bool_(), "doc_id": pa.int64(), "mark": pa.int64(), "salt": pa.int64(), "range": pa.int32(), "n_ids": pa.int64(), "blocks": pa.list_(pa.int32()), "data": pa.binary()})
+
+
+def coded(rows: DataFrame, starts: list[tuple], tokenizer: str, end: int = END) -> DataFrame:
+    """The key of each row, its range, and its packed blocks: n_ids, of each block the words, ids and escapes, and the data."""
+
+    def of(keys: list[tuple], texts: list[str | None]) -> pa.RecordBatch:
         known = encoder(tokenizer)
         ids = [np.append(known.ids(t), np.uint32(end)) for t in texts]
         n = np.array([len(x) for x in ids], np.int64)
         of_doc = -(-n // BLOCK)
         lengths = np.full(int(of_doc.sum()), BLOCK, np.int64)
         lengths[np.cumsum(of_doc) - 1] = n - (of_doc - 1) * BLOCK
-        n_words, n_escapes, data = packed(np.concatenate(ids), lengths) if len(ids) else ([], [], [])
+        n_words, n_escapes, data = packed(np.concatenate(ids), lengths)
         table = np.column_stack([n_words, lengths, n_escapes]).astype(np.int32)
         to = np.append(0, np.cumsum(of_doc))
         parts = list(zip(to, to[1:], strict=False))
-        return {"n_ids": n, "blocks": [table[a:b].ravel() for a, b in parts], "data": [b"".join(data[a:b]) for a, b in parts]}
+        columns = [*zip(*keys, strict=True), [bisect_right(starts, order_of(k)) for k in keys], n, [table[a:b].ravel() for a, b in parts], [b"".join(data[a:b]) for a, b in parts]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, CODED.types, strict=True)], schema=CODED)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS):
+                columns = [c.to_pylist() for c in b.slice(at, TEXTS).columns]
+                yield of(list(zip(*columns[:4], strict=True)), columns[4])
 
-    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return with_texts(marked, ["doc_id", "mark"], of, {"n_ids": pa.int64(), "blocks": pa.list_(pa.int32()), "data": pa.binary()})
+    return of_texts(rows).mapInArrow(mapped, "lacks boolean, doc_id long, mark long, salt long, range int, n_ids long, blocks array<int>, data binary")
 
 
 class Writer:
@@ -288,14 +319,15 @@ def written(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int
     doc_id after all others; rows of one doc_id in an order by their text. Whole numbers only are document ids. An
     empty table writes nothing. Other columns play no part.
 
-    Texts are encoded and packed where they are read, so that only packed ids are dealt out by ranges of doc_id. Rows
-    that repeat an id are parted by text and place, so no id makes a range large. Each task writes files of its own, and
-    the table lists those of the tasks that were finished; what a lost executor left behind is never read.
+    A first pass over the keys finds the ranges. Then texts are encoded and packed where they are read, and only packed
+    ids are dealt out, to the ranges' tasks, once. Rows that repeat an id are parted by text and place, so no id makes a
+    range large. Each task writes files of its own, and the table lists those of the tasks that were finished; what a
+    lost executor left behind is never read.
     """
     tokenizer = tokenizer or vocabulary()
-    rows = stored(coded(docs.withColumn("doc_id", F.col("doc_id").cast("long")), tokenizer, end), "coded")
-    order = [F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("rid")]
-    dealt = rows.withColumn("rid", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed(docs)
+    dealt = coded(rows, ranges(rows, n), tokenizer, end).repartitionById(n, F.col("range")).sortWithinPartitions(*KEY)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, out = TaskContext.get().partitionId(), 0, None
