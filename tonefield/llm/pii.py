@@ -255,7 +255,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     out = spanned(docs, ["doc_id"])
     name = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("__base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    of_kind = lambda k: lambda s: s["kind"] == k  # noqa: E731  a second parameter of a filter would be the index
+    counts = [F.size(F.filter("__base", of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     return out.select("doc_id", *counts, F.sha2(joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("__all")).alias("spans"), F.col("__all").alias("span_list"))
 
 
