@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import numbered, stored
 
 #: The letters that are lowered, and what stands between two words.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,14 +82,8 @@ def drawn(rows: DataFrame, percent: int, least_words: int) -> DataFrame:
     again = entries.where("m > 1").select(F.col("doc_id").alias("__d"), F.col("score").alias("__s"), F.col("rank").alias("first"))
     if again.limit(1).count():
         same = (F.col("score") == F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d"))
-        copies = stored(some.join(again, same).select(*out, "first").withColumn("rid", F.monotonically_increasing_id()), "repeats")
-        copies = copies.withColumn("part", F.shiftright("rid", 33))
-        of = ["score", "doc_id"]
-        parts = copies.groupBy(*of, "part").agg(F.count("*").alias("n"))
-        parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*of).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        parts = parts.select(F.col("score").alias("__s"), F.col("doc_id").alias("__d"), F.col("part").alias("__p"), "before")
-        place = F.row_number().over(Window.partitionBy(*of, "part").orderBy("rid")) - 1
-        ranked = ranked.unionByName(copies.withColumn("place", place).join(parts, same & (F.col("part") == F.col("__p"))).select(*out, (F.col("first") + F.col("before") + F.col("place")).alias("rank")))
+        copies = numbered(stored(some.join(again, same).select(*out, "first"), "repeats"), ["score", "doc_id"], "place")
+        ranked = ranked.unionByName(copies.select(*out, (F.col("first") + F.col("place") - 1).alias("rank")))
     rank = F.when(F.col("rank") <= size, F.col("rank")).cast("long").alias("rank")
     return ranked.select(*out, rank).unionByName(rest.select(*out, F.lit(None).cast("long").alias("rank")))
 

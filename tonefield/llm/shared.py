@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,6 +115,26 @@ def chosen(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: s
     return out.drop("__mark")
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows (a written table) with a number from 1 among the rows of equal keys, nulls being equal, in no given order.
+
+    Numbers are given within each partition that is read, after the rows of the partitions before, so that no task
+    gets all rows of a key.
+    """
+    rows = rows.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__rid", 33))
+    other = {k: f"__of_{i}" for i, k in enumerate(keys)}
+    parts = rows.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*[F.col(k).alias(x) for k, x in other.items()], F.col("__part").alias("__of_part"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__of_part")
+    for k, x in other.items():
+        same = same & F.col(k).eqNullSafe(F.col(x))
+    place = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__rid"))
+    made = rows.withColumn("__place", place).join(parts, same).withColumn(name, F.col("__before") + F.col("__place"))
+    drop = {"__rid", "__part", "__of_part", "__before", "__place", *other.values()} - {name}
+    return made.drop(*drop)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
