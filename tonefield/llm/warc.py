@@ -14,13 +14,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exact_dedup import BROADCAST_ROWS
-from .shared import new_path, of_texts, stored
+from .shared import new_path, numbered, of_texts, stored
 
 #: Skippable frame that holds the dictionary, as the .warc.zst convention has it.
 MAGIC = 0x184D2A5D
 #: The dictionary is trained on so many records at most, each no longer than that; its own bytes; zstd's level.
 SAMPLES, SAMPLE_CHARS, DICTIONARY, LEVEL = 512, 100_000, 1 << 16, 6
+#: The table of payloads that several pages have is broadcast if it has so many bytes at most.
+BROADCAST = 32 << 20
 #: An archive is closed once it has so many bytes; bytes read at once.
 ARCHIVE, READ = 256 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -114,20 +115,26 @@ class Writer:
 def written(pages: DataFrame, folder: str) -> DataFrame:
     """(path, records, bytes) of the archives that hold pages (page_id, url, html).
 
-    Of equal payloads (of the same length, SHA-256 and SHA-1) the smallest page_id is the response, and rows that
-    repeat that id; the others revisit it and hold no payload. A null html is an empty payload. A null id comes
+    Of equal payloads (of the same length and SHA-256) the smallest page_id is the response, one row of it where
+    it repeats; the others revisit it and hold no payload. A null html is an empty payload. A null id comes
     after all others; where a payload has no other id its rows are responses. Ids are text in a task, so that they
     stay exact. Each task writes archives of its own into the folder, which all
     executors must see; the table lists those of the tasks that were finished, so one that a lost executor
     left behind is never read.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    pages = pages.select("page_id", "url", "html").withColumn("payload", F.concat_ws(":", F.sha2(payload, 256), F.sha1(payload), F.length(payload)))
-    firsts = pages.groupBy("payload").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
+    pages = pages.select("page_id", "url", "html").withColumn("payload", F.concat(F.unhex(F.sha2(payload, 256)), F.length(payload).cast("string").cast("binary")))
+    ids = pages.groupBy("payload", "page_id").agg(F.min("url").alias("url"), F.count("*").alias("n"))
+    firsts = ids.groupBy("payload").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.min_by("n", "page_id").alias("same"), F.sum("n").alias("n"))
     firsts = stored(firsts.where("n > 1").drop("n"), "firsts")
-    rows = pages.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, "payload", "left")
-    is_first = F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
-    rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("first_id").cast("string").alias("first_id"), "first_url", is_first.alias("is_first"))
+    size = firsts.agg(F.sum(F.lit(80) + F.coalesce(F.length("first_url"), F.lit(0)))).first()[0] or 0
+    rows = pages.join(F.broadcast(firsts) if size <= BROADCAST else firsts, "payload", "left")
+    rows = rows.withColumn("is_first", F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False)))
+    several = F.col("is_first") & F.coalesce(F.col("same") > 1, F.lit(False))
+    if firsts.where("same > 1").limit(1).count():
+        again = numbered(stored(rows.where(several), "repeats"), ["payload"], "place")
+        rows = rows.where(~several).unionByName(again.withColumn("is_first", F.col("place") == 1).drop("place"))
+    rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("first_id").cast("string").alias("first_id"), "first_url", "is_first")
     words = dictionary(pages)
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
