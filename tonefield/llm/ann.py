@@ -16,6 +16,8 @@ from .shared import stored
 FIT, FIT_LIST = 20_000, 8
 #: Recall that the number of probed lists is chosen for, on the sample, and queries it is measured with.
 RECALL, TRIALS = 0.99, 200
+#: Lists that a query probes at least: few vectors give few trials to choose by, and small lists cost little.
+LEAST = 8
 #: Dimensions of a subvector and codes of its codebook.
 SUB, CODES = 2, 256
 #: Vectors of a block of a list, and queries that meet it in one call.
@@ -33,6 +35,12 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (length["d"] if length else 0))
 
 
+def scaled(v: str):
+    """A vector over the power of two that its largest component reaches: the same direction, exactly, whose squares stay finite."""
+    k = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(F.log2(F.array_max(F.transform(v, F.abs)))).cast("double")))
+    return F.transform(v, lambda c: c * F.pow(F.lit(2.0), -k))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -113,7 +121,7 @@ def fit(vectors: DataFrame, n: int, k: int, lists: int | None = None, seed: int
     rank = np.argsort(index.ranked(trials), axis=1)
     found = [rank[i, to[np.argsort(-(x @ q), kind="stable")[1 : k + 1]]] + 1 for i, q in enumerate(trials)]
     found = np.concatenate(found)
-    index.probes = int(np.clip(np.quantile(found, RECALL), 1, len(index.coarse))) if len(found) else len(index.coarse)
+    index.probes = int(np.clip(np.quantile(found, RECALL), min(LEAST, len(index.coarse)), len(index.coarse))) if len(found) else len(index.coarse)
     return index
 
 
@@ -167,7 +175,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, v) its k nearest of vectors by cosine in double precision.
 
     A vector with the query's own id is no candidate; of several vectors of one query id the least is asked for.
-    Rows that `usable` leaves out take no part. Of equal cosines the smaller id comes first; with fewer than k
+    Rows that `usable` leaves out take no part; vectors of one direction, up to a power of two, are one class. Of equal cosines the smaller id comes first; with fewer than k
     candidates all are returned; empty tables give an empty result; repeated rows are candidates of their own.
 
     1. Equal vectors are one class, of which the k + 1 smallest ids can matter. Every class is in one list.
@@ -176,6 +184,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
        classes that may pass the bar; no number of them is fixed.
     4. Those are ranked by their exact cosines. A query that is left with fewer than k probes all lists.
     """
+    vectors, queries = vectors.withColumn("v", scaled("v")), queries.withColumn("v", scaled("v"))
     ids = vectors.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).alias("m")).withColumn("h", F.xxhash64("v"))
     first = ids.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     classes = first.groupBy("h", "v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "m"))).alias("ids"))
