@@ -89,6 +89,18 @@ def test_neighbours_that_tie_and_repeat(spark):
     assert of(50)[1:] == [1, 2, 3, 3]
 
 
+def test_neighbours_of_vectors_beyond_the_range_of_squares(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 6))
+    rows = [(i, (r * 10.0 ** rng.choice([-200, 0, 200])).tolist()) for i, r in enumerate(x)]
+    v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    out = ann.search(v, v.where("vec_id = 0")).orderBy("rank").collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u[0]
+    want = [i for i in np.argsort(-s) if i][:5]
+    assert [r["vec_id"] for r in out] == want and np.allclose([r["score"] for r in out], s[want])
+
+
 def test_neighbours_of_clusters(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(40, 32))
@@ -112,6 +124,11 @@ def test_pages(spark):
     out = warc.archived(spark, df).collect()
     assert len(out) == len(rows) and sorted(r["payload_bytes"] for r in out)[-1] > 300_000
     assert sorted((r["page_id"] or 0, r["record_type"]) for r in out) == [(0, "revisit"), (1, "response"), (1, "response"), (2, "revisit"), (3, "response"), (3, "response"), (4, "revisit")]
+    # of rows that repeat id and payload one is the response
+    rows = [(3, "u", "same")] * 40 + [(5, "u", "same"), (None, "u", "same"), (None, None, "alone"), (None, None, "alone")]
+    out = warc.archived(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sum(r["record_type"] == "response" for r in out if r["page_id"] == 3) == 1 and len(out) == len(rows)
+    assert all(r["refers_to"] == 3 for r in out if r["record_type"] == "revisit") and sum(r["record_type"] == "response" for r in out) == 3
 
 
 def test_pipeline(spark, docs, tmp_path):

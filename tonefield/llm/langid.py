@@ -86,7 +86,7 @@ def fit(docs: DataFrame, per_language: int = 3000, clusters: int = 3, rounds: in
     sample, per_language rows a language on average, chosen by hash; a language has `clusters` centroids.
     The cutoffs of a language come from a low quantile of its sample documents' cosines, for each class of size.
     """
-    docs = of_texts(docs).where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    docs = of_texts(docs).where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
 
     def frequency(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(DIMS, np.int64)
@@ -104,7 +104,8 @@ def fit(docs: DataFrame, per_language: int = 3000, clusters: int = 3, rounds: in
     idf = (np.log((1 + sum(sizes.values())) / (1 + df)) + 0.1).astype(np.float32)
 
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)])[F.col("lang")]
-    u = F.xxhash64("text", F.lit(7))
+    # by id and text, so that a text that repeats is drawn as often as others
+    u = F.xxhash64("doc_id", "text", F.lit(7))
     sample = docs.withColumn("u", u).where((F.col("u") / F.lit(2.0**64) + 0.5) < rate)
 
     def vectorised(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -54,8 +54,8 @@ def model_kind(proto: bytes) -> int:
                 yield tag >> 3, data[at : at + n]
                 at += n
 
-    trainer = next((v for k, v in fields(proto) if k == 2), b"")
-    return next((v for k, v in fields(trainer) if k == 3), 1)
+    trainer = next((v for k, v in fields(proto) if k == 2 and isinstance(v, bytes)), b"")
+    return next((v for k, v in fields(trainer) if k == 3 and isinstance(v, int)), 1)
 
 
 class Pieces:
@@ -74,6 +74,8 @@ class Pieces:
         self.special, self.unknown = special - set(self.byte.values()), m.unk_id()
         self.id = {self.piece[i]: i for i in ids if i not in special}
         self.score = {self.piece[i]: m.get_score(i) for i in ids if i not in special}
+        if any(SPACE in x.lstrip(SPACE) for x in self.id):
+            raise ValueError(f"{model_file} has pieces with a space mark inside, across which paths need not meet")
         self.longest = max(map(len, self.id))
         self.key = zlib.crc32("\n".join(self.piece).encode())
         order = sorted(self.id, key=lambda x: -self.score[x])
