@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import KEYS, Cfar
 from ..functions.special import factor, k_multiplier, k_shape, order_rank, ring_cells
+from .quantiles import percentiles
 
 
 #: Frames of a tile.
@@ -101,8 +102,9 @@ def k_parameters(grid: DataFrame, value: str = "power", per: tuple[str, ...] = K
     order where they are more than `most`; then those over 1e-10.
     """
     x = grid.where(F.col(value) > 1e-12)
-    top = x.groupBy(*per).agg(F.count("*").alias("__n"), F.percentile(value, F.lit(0.95)).alias("__p")).where(F.col("__n") >= least)
-    x = x.join(top, list(per)).where(F.col(value) <= F.col("__p"))
+    enough = x.groupBy(*per).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    x = x.join(enough, list(per))
+    x = x.join(percentiles(x, value, {"__p": 0.95}, per), list(per)).where(F.col(value) <= F.col("__p"))
     # the place in row-major order: that within the row of bins, and the cells of the rows before
     rows = x.groupBy(*per, "k").agg(F.count("*").alias("__r"))
     by_row = Window.partitionBy(*per).orderBy("k")
@@ -156,6 +158,6 @@ def zero_map(grid: DataFrame, percent: float = 0.05, how: str = "db") -> DataFra
     """grid with `zero`: the weakest cells. db: below the percentile of the levels; power: not above that of the power."""
     level = 10 * F.log10(F.col("power") + 1e-12) if how == "db" else F.col("power") if how == "power" else F.sqrt("power")
     x = grid.withColumn("__v", level)
-    bar = x.groupBy(*KEYS).agg(F.percentile("__v", F.lit(percent)).alias("__bar"))
+    bar = percentiles(x, "__v", {"__bar": percent})
     low = F.col("__v") <= F.col("__bar") if how == "power" else F.col("__v") < F.col("__bar")
     return x.join(bar, list(KEYS)).withColumn("zero", low).drop("__v", "__bar")

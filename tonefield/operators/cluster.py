@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import KEYS, Cluster
+from ..session import cut
 from .graph import components_by_segment
+from .morphology import WIDE
+from .spatial import Tree, agglomerated, spanning
 
-#: Frames of a grid at most, to number a cell by row and column.
-WIDE = 1 << 31
+#: Points of a segment whose tree one task makes.
+MOST = 200_000
 
 
 def cell_id() -> Column:
@@ -82,53 +84,117 @@ def hdbscan(points: DataFrame, c: Cluster) -> DataFrame:
     return p.join(clusters, [*KEYS, "id"], "left").select(*KEYS, "k", "m", F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id"))
 
 
-def spanning_tree(points: DataFrame, c: Cluster) -> DataFrame:
-    """(keys, u, v, w): a minimum spanning tree by mutual reachability, a segment at a time."""
+def spanning_tree(points: DataFrame, c: Cluster, most: int = MOST) -> DataFrame:
+    """(keys, u, v, w): the minimum spanning tree by mutual reachability, ties by the points' numbers.
+
+    A segment of at most `most` points is a task's work, by a k-d tree and rounds; larger ones are rounds of joins.
+    """
+    p = cut(normalised(points))
+    sizes = p.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    large = cut(sizes.where(F.col("n") > most).select(*KEYS))
 
     def of(p: pd.DataFrame) -> pd.DataFrame:
-        xy, ids = p[["x", "y"]].to_numpy(), p["id"].to_numpy()
-        n = len(p)
-        if n < 2:
-            return pd.DataFrame({"signal_id": [], "seg_id": [], "u": [], "v": [], "w": []})
-        core = np.array([np.sort(np.hypot(*(xy - x).T))[min(c.min_samples, n) - 1] for x in xy])
-        best, parent, todo, edges, now = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool), [], 0
-        for _ in range(n - 1):
-            todo[now] = False
-            d = np.maximum(np.maximum(np.hypot(*(xy - xy[now]).T), core), core[now])
-            closer = todo & (d < best)
-            best[closer], parent[closer] = d[closer], now
-            now = int(np.where(todo, best, np.inf).argmin())
-            edges.append((ids[now], ids[parent[now]], best[now]))
-        out = pd.DataFrame(edges, columns=["u", "v", "w"])
-        return out.assign(signal_id=p["signal_id"].iloc[0], seg_id=p["seg_id"].iloc[0])[["signal_id", "seg_id", "u", "v", "w"]]
+        p = p.sort_values("id")
+        xy, ids = p[["x", "y"]].to_numpy(float), p["id"].to_numpy()
+        e = spanning(xy, Tree(xy).kth(min(c.min_samples, len(p))))
+        u, v = e[:, 0].astype(int), e[:, 1].astype(int)
+        return pd.DataFrame({"signal_id": p["signal_id"].iloc[0], "seg_id": p["seg_id"].iloc[0], "u": ids[u], "v": ids[v], "w": e[:, 2]})
 
-    kind = dict(points.dtypes)["signal_id"]
-    return normalised(points).orderBy("id").groupBy(*KEYS).applyInPandas(of, f"signal_id {kind}, seg_id int, u long, v long, w double")
+    kind, some = dict(points.dtypes)["signal_id"], large.limit(1).count() > 0
+    small = p.join(large, list(KEYS), "left_anti") if some else p
+    out = small.groupBy(*KEYS).applyInPandas(of, f"signal_id {kind}, seg_id int, u long, v long, w double")
+    return out.union(spanning_rounds(p.join(large, list(KEYS), "left_semi"), c.min_samples)) if some else out
+
+
+def close_pairs(left: DataFrame, right: DataFrame, more: list[str]) -> DataFrame:
+    """(keys, a, b, d, columns `more` as *_a and *_b): points of left and right within their segment's radius r."""
+    bucket = lambda v: F.floor(F.col(v) / F.col("r"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
+    of = lambda name: [F.col("id").alias(name), *[F.col(m).alias(f"{m}_{name}") for m in ("x", "y", *more)]]
+    x = left.select(*KEYS, "r", *of("a"), bucket("x").alias("p"), bucket("y").alias("q"), around).withColumns({"p": F.col("p") + F.col("o.i"), "q": F.col("q") + F.col("o.j")}).drop("o")
+    y = right.select(*KEYS, *of("b"), bucket("x").alias("p"), bucket("y").alias("q"))
+    d = F.sqrt((F.col("x_a") - F.col("x_b")) ** 2 + (F.col("y_a") - F.col("y_b")) ** 2)
+    return x.join(y, [*KEYS, "p", "q"]).withColumn("d", d).where("d <= r")
+
+
+def core_distances(points: DataFrame, k: int) -> DataFrame:
+    """points (keys, id, x, y, n, r) with core, the distance of the k-th nearest, itself the first.
+
+    Points with fewer within the radius are asked again with twice as much.
+    """
+    left, done = points, []
+    while True:
+        near = close_pairs(left, points.join(left.select(*KEYS, "r").distinct().withColumnRenamed("r", "now"), list(KEYS)).withColumn("r", F.col("now")).drop("now"), [])
+        place = F.row_number().over(Window.partitionBy(*KEYS, "a").orderBy("d"))
+        hit = near.join(points.select(*KEYS, F.least(F.col("n"), F.lit(k)).alias("k")).distinct(), list(KEYS)).withColumn("i", place).where("i = k")
+        found = cut(hit.select(*KEYS, F.col("a").alias("id"), F.col("d").alias("core")))
+        done.append(found)
+        left = cut(left.join(found, [*KEYS, "id"], "left_anti").withColumn("r", F.col("r") * 2))
+        if not left.limit(1).count():
+            break
+    every = done[0]
+    for f in done[1:]:
+        every = every.union(f)
+    return points.join(every, [*KEYS, "id"])
+
+
+def mixed_buckets(points: DataFrame) -> DataFrame:
+    """The points (keys, id, x, y, r, part) with another part in their bucket of side r or one beside it."""
+    p = points.withColumns({"p": F.floor(F.col("x") / F.col("r")), "q": F.floor(F.col("y") / F.col("r"))})
+    own = p.groupBy(*KEYS, "p", "q").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
+    near = own.select(*KEYS, "p", "q", "lo", "hi", around).groupBy(*KEYS, (F.col("p") + F.col("o.i")).alias("p"), (F.col("q") + F.col("o.j")).alias("q")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return p.join(near.where("lo < hi").select(*KEYS, "p", "q"), [*KEYS, "p", "q"], "left_semi").drop("p", "q")
+
+
+def spanning_rounds(points: DataFrame, k: int) -> DataFrame:
+    """The same tree by rounds of joins: every part takes its least edge to another, and parts that meet are one.
+
+    Edges are those within a radius, each segment's own, between points of different parts; when they are used up the
+    radius doubles. An edge within the radius is shorter than all beyond it, so no later one can take its place.
+    Points around which a single part lies are not joined at all.
+    """
+    span = points.groupBy(*KEYS).agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy"))
+    side = F.greatest(F.sqrt(F.col("dx") * F.col("dy") / F.col("n")), F.greatest("dx", "dy") / F.col("n"))
+    span = cut(span.select(*KEYS, "n", F.when(side > 0, side).otherwise(1.0).alias("r")))
+    p = cut(core_distances(cut(points.select(*KEYS, "id", "x", "y").join(span, list(KEYS))), k).drop("r", "n"))
+    part, radius, tree = cut(p.select(*KEYS, "id", F.col("id").alias("part"))), span.select(*KEYS, "r"), []
+    while True:
+        now = cut(mixed_buckets(p.join(radius, list(KEYS)).join(part, [*KEYS, "id"])))
+        pairs = close_pairs(now, now, ["core", "part"]).withColumn("w", F.greatest("d", "core_a", "core_b")).where("a < b AND part_a <> part_b AND w <= r")
+        edges = cut(pairs.select(*KEYS, F.col("a").alias("u"), F.col("b").alias("v"), "w", "part_a", "part_b"))
+        while edges.limit(1).count():
+            other = edges.select(*KEYS, "u", "v", "w", F.col("part_b").alias("part_a"), F.col("part_a").alias("part_b"))
+            best = edges.union(other.select(*edges.columns)).groupBy(*KEYS, "part_a").agg(F.min(F.struct("w", "u", "v", "part_b")).alias("e"))
+            picked = cut(best.select(*KEYS, "e.u", "e.v", "e.w", F.least("part_a", "e.part_b").alias("a"), F.greatest("part_a", "e.part_b").alias("b")).distinct())
+            tree.append(picked.select(*KEYS, "u", "v", "w"))
+            met = cut(components_by_segment(picked))
+            to = lambda c, met=met: met.select(*KEYS, F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+            part = cut(part.join(to("part"), [*KEYS, "part"], "left").select(*KEYS, "id", F.coalesce("part_root", "part").alias("part")))
+            edges = edges.join(to("part_a"), [*KEYS, "part_a"], "left").join(to("part_b"), [*KEYS, "part_b"], "left")
+            edges = edges.withColumns({c: F.coalesce(f"{c}_root", c) for c in ("part_a", "part_b")})
+            edges = cut(edges.where("part_a <> part_b").select(*KEYS, "u", "v", "w", "part_a", "part_b"))
+        open_ = part.groupBy(*KEYS).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select(*KEYS)
+        radius = cut(radius.join(open_, list(KEYS), "left_semi").withColumn("r", F.col("r") * 2))
+        if not radius.limit(1).count():
+            break
+    out = points.limit(0).select(*KEYS, F.col("id").alias("u"), F.col("id").alias("v"), F.col("x").alias("w"))
+    for t in tree:
+        out = out.union(t)
+    return out
 
 
 def agglomerative(points: DataFrame, n_clusters: int | None = 2, single_linkage: bool = False) -> DataFrame:
     """Merges clusters by near pairs until n_clusters are left, a segment at a time, as each merge rests on the last.
 
     A pair is a point and its nearest later point, and counts while the two have different labels; with
-    single_linkage every pair of points counts.
+    single_linkage every pair of points counts. Neighbours come from a k-d tree, so a task's work grows with its points.
     """
 
     def of(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["k", "m"])
-        xy, n = p[["x", "y"]].to_numpy(), len(p)
-        label, goal = np.arange(n), n_clusters or 1
-        if single_linkage:
-            i, j = np.triu_indices(n, 1)
-        else:
-            i = np.arange(n - 1)
-            j = np.array([r + 1 + int(((xy[r + 1 :] - xy[r]) ** 2).sum(1).argmin()) for r in i], int)
-        d = np.sqrt(((xy[i] - xy[j]) ** 2).sum(1)) if n > 1 else np.zeros(0)
-        for e in np.argsort(d, kind="stable"):
-            if len(np.unique(label)) <= goal:
-                break
-            if label[i[e]] != label[j[e]]:
-                label[label == label[j[e]]] = label[i[e]]
-        return p.assign(cluster_id=np.unique(label, return_inverse=True)[1].astype("int32"))[["signal_id", "seg_id", "k", "m", "cluster_id"]]
+        label = agglomerated(p[["x", "y"]].to_numpy(float), n_clusters or 1, single_linkage)
+        return p.assign(cluster_id=label.astype("int32"))[["signal_id", "seg_id", "k", "m", "cluster_id"]]
 
     kind = dict(points.dtypes)["signal_id"]
     return normalised(points).groupBy(*KEYS).applyInPandas(of, f"signal_id {kind}, seg_id int, k int, m int, cluster_id int")

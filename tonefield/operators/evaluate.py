@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import KEYS
 from ..session import cut
+from .quantiles import alike, marked, percentiles
 
 #: What stands for the quality of a trial in which nothing was found.
 FAILED = -10.0
@@ -67,8 +68,9 @@ def ecdf(values: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
 
 
 def ecdf_summary(values: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
-    q = lambda p: F.percentile("value", F.lit(p))
-    return values.groupBy(*keys).agg(F.min("value").alias("min"), F.max("value").alias("max"), F.median("value").alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    rest = values.groupBy(*keys).agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    q = marked(percentiles(values, "value", {"median": 0.5, "q25": 0.25, "q75": 0.75}, keys), keys)
+    return rest.join(q, alike(rest, q, keys), "left").select(*keys, "min", "max", "median", "q25", "q75", "mean", "std")
 
 
 def quantile_marker(values: DataFrame, q: float, keys: tuple[str, ...] = ("metric",)) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import KEYS, Fractal, Stft
 from .morphology import CROSS, dilated, union
+from .quantiles import percentiles
 
 
 def hurst(series: DataFrame, max_lag: int = 20, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -91,7 +92,7 @@ def boost_grid(grid: DataFrame, f: Fractal) -> DataFrame:
 
 def combined(detections: DataFrame, boosted: DataFrame, grid: DataFrame, f: Fractal, near: bool) -> DataFrame:
     """Detected cells and the loud boosted ones; `near`: only those within a step of a detected cell."""
-    bar = grid.groupBy(*KEYS).agg(F.percentile("power", F.lit(f.power_percentile)).alias("__bar"))
+    bar = percentiles(grid, "power", {"__bar": f.power_percentile})
     loud = boosted.join(grid.select(*KEYS, "k", "m", "power"), [*KEYS, "k", "m"]).join(bar, list(KEYS)).where(F.col("power") > F.col("__bar"))
     if near:
         loud = loud.join(dilated(detections.select(*KEYS, "k", "m"), grid, CROSS), [*KEYS, "k", "m"], "left_semi")

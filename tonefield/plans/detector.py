@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +16,23 @@ from ..sources import signals
 
 @dataclass
 class Found:
-    """The tables of one run; each is lazy but for the grid, which is a checkpoint as every stage reads it."""
+    """The tables of one run; each is lazy but for the grid, which is a checkpoint as every stage reads it.
+
+    Masks need the zero cells of each grid, which are looked for when masks are first asked for.
+    """
 
     grid: DataFrame
     detections: DataFrame
     labels: DataFrame
     components: DataFrame
-    masks: DataFrame
     lengths: DataFrame
+    full: bool
+
+    @cached_property
+    def masks(self) -> DataFrame:
+        seeds = self.labels.where("cluster_id >= 0").join(self.components.select(*components.COMPONENT), list(components.COMPONENT), "left_semi")
+        free = cfar.zero_map(self.grid, how="power" if self.full else "db")
+        return morphology.grown(seeds, free, components.COMPONENT, None if self.full else 10, morphology.SQUARE if self.full else morphology.CROSS)
 
 
 def detected(signal: DataFrame, p: Preset, n_samples: int, top: int | None = None, k_fit: str = "per_segment", grid: DataFrame | None = None) -> Found:
@@ -32,16 +42,13 @@ def detected(signal: DataFrame, p: Preset, n_samples: int, top: int | None = Non
     detected.
     """
     lengths = stft.padded_length(signal, p.stft)
-    grid = cut(cfar.zero_map(stft.stft(signal, p.stft) if grid is None else grid, how="power" if p.growth == "full" else "db"))
+    grid = cut(stft.stft(signal, p.stft) if grid is None else grid)
     c = p.cfar.fitted(p.stft.bins, p.stft.frames(n_samples))
     cells = cfar.detect(grid, c, k_fit).where("detected") if c else grid.limit(0)
     detections = cut(cells.select(*KEYS, "k", "m", "freq_hz", "time_s", "power"))
     labels = cut(cluster.cluster(detections, p.cluster))
     parts = components.strongest(components.components(labels, grid), top)
-    seeds = labels.where("cluster_id >= 0").join(parts.select(*components.COMPONENT), list(components.COMPONENT), "left_semi")
-    full = p.growth == "full"
-    masks = morphology.grown(seeds, grid, components.COMPONENT, None if full else 10, morphology.SQUARE if full else morphology.CROSS)
-    return Found(grid, detections, labels, parts, masks, lengths)
+    return Found(grid, detections, labels, parts, lengths, p.growth == "full")
 
 
 def rebuilt(f: Found, p: Preset, real: bool = False, threshold_db: float | None = -20.0) -> DataFrame:

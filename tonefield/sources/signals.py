@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,12 +23,16 @@ def filled(sparse: DataFrame, length: int | DataFrame) -> DataFrame:
 
 
 def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signal per event type: the sum of values by hour, from the first day of all events to the last hour of all."""
-    e = table(spark, sf_dir, "events")
-    first = e.agg(F.min("ts").cast("date").alias("day0"))  # one row
-    hour = (F.datediff(F.col("ts"), F.col("day0")) * 24 + F.hour("ts")).cast("long")
-    e = e.where("ts IS NOT NULL").crossJoin(F.broadcast(first)).groupBy(F.col("event_type").alias("signal_id"), hour.alias("n")).agg(F.round(F.sum("value"), 2).alias("x"))
-    return filled(e, e.agg((F.max("n") + 1).alias("length")))
+    """A signal per event type: the sum of values by hour, from the first day of all events to the last hour of all.
+
+    Events are read once: the hours, a row a type and hour, are written, and the span is taken from those.
+    """
+    hour = (F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour("ts")).alias("hour")
+    e = table(spark, sf_dir, "events").where("ts IS NOT NULL")
+    e = cut(e.groupBy(F.col("event_type").alias("signal_id"), hour).agg(F.round(F.sum("value"), 2).alias("x")))
+    first, last = e.agg(F.min("hour"), F.max("hour")).first()
+    day = 0 if first is None else first // 24 * 24
+    return filled(e.select("signal_id", (F.col("hour") - day).alias("n"), "x"), 0 if last is None else last - day + 1)
 
 
 def events_iq(spark: SparkSession, sf_dir: str) -> DataFrame:
