@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonefield.config import Cluster
-from tonefield.operators import cluster, morphology, quantiles, spatial
+from tonefield.operators import cluster, morphology, quantiles, spatial, triangulate
 
 CELL = "signal_id string, seg_id int, k int, m int"
 
@@ -143,3 +143,43 @@ def test_many_points_in_one_task():
     xy = np.unique(np.random.default_rng(0).integers(0, 700, (21_000, 2)), axis=0)[:20_000].astype(float)
     assert len(np.unique(spatial.agglomerated(xy, 4, False))) == 4
     assert len(spatial.spanning(xy)) == len(xy) - 1
+
+
+def plain_triangles(xy):
+    """All triples in whose circumcircle no other point lies, by the determinant."""
+    out, n = set(), len(xy)
+    for i in range(n):
+        for j in range(i + 1, n):
+            for k in range(j + 1, n):
+                a, b, c = xy[i], xy[j], xy[k]
+                if triangulate.sides(a, b, c) < 0:
+                    b, c = c, b
+                rest = np.delete(np.arange(n), [i, j, k])
+                d = np.stack([np.broadcast_to(p, (len(rest), 2)) - xy[rest] for p in (a, b, c)], 1)
+                if not (np.linalg.det(np.concatenate([d, (d**2).sum(2, keepdims=True)], 2)) > 0).any():
+                    out.add((i, j, k))
+    return out
+
+
+@pytest.mark.parametrize("lattice", [False, True])
+def test_delaunay_is_exact(lattice):
+    rng = np.random.default_rng(3)
+    for n in (3, 4, 9, 24):
+        xy = np.array(sorted({tuple(x) for x in rng.integers(0, 7, (n, 2)).tolist()}), float) if lattice else rng.random((n, 2))
+        pid = np.arange(len(xy))
+        xy = xy + np.column_stack([triangulate.moved(pid, 0), triangulate.moved(pid, 1)])
+        if len(xy) >= 3:
+            assert {tuple(sorted(t)) for t in triangulate.delaunay(xy).tolist()} == plain_triangles(xy)
+
+
+def test_delaunay_by_parts(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for name, xy in {"wide": rng.integers(0, [40, 400], (420, 2)), "dense": rng.integers(0, [30, 30], (300, 2)), "curve": np.array([[int((t - 60) ** 2 / 40), t] for t in range(120)]), "few": np.array([[0, 0], [3, 1], [1, 4], [5, 5]]), "none": np.array([[1, 1], [2, 2]])}.items():
+        for pid, (k, m) in enumerate(sorted({tuple(x) for x in xy.tolist()})):
+            rows.append((name, 0, pid, k * 100.0, m * 0.05))
+    df = spark.createDataFrame(rows, "signal_id string, seg_id int, pid int, freq_hz double, time_s double")
+    key = ["signal_id", "tid", "v0", "v1", "v2"]
+    one = triangulate.triangles(df, many=10_000).toPandas().sort_values(key)[key].reset_index(drop=True)
+    many = triangulate.triangles(df, many=40).toPandas().sort_values(key)[key].reset_index(drop=True)
+    assert len(one) > 1000 and one.equals(many)

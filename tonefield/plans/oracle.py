@@ -320,3 +320,38 @@ SQL["frame_statistics"] = ctes(SIG, cut_up("sig", 240, 120), transform("seg", 0,
     "new AS (SELECT signal_id, count(*) AS a FROM det d WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.signal_id = d.signal_id AND h.k = d.k AND h.m = d.m) GROUP BY 1)",
     "c AS (SELECT signal_id, count(*) AS p, count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS c FROM lab GROUP BY 1)",
 ) + f"SELECT {_own} AS signal_id, CAST(split_part(signal_id, ':', 2) AS INT) AS frame_idx, round(CAST(split_part(signal_id, ':', 2) AS INT) * 120.0, 6) AS t_start, round(CAST(split_part(signal_id, ':', 2) AS INT) * 120.0 + 240, 6) AS t_end, coalesce(p, 0) AS n_pixels, coalesce(c, 0) AS n_clusters, coalesce(a, 0) AS n_added FROM (SELECT DISTINCT signal_id FROM seg) LEFT JOIN c USING (signal_id) LEFT JOIN new USING (signal_id)"
+
+_points = """pt AS (SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY k, m) AS i, CAST(k AS BIGINT) * 2147483648 + m AS id, k, m, k * 400.0 / 100.0 AS x, m * 0.5 / 0.05 AS y FROM det),
+far AS (SELECT a.signal_id, a.i AS i, b.i AS j, a.id AS a, b.id AS b, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM pt a JOIN pt b ON a.signal_id = b.signal_id)"""
+# Prim's algorithm: best holds the least edge of each point to those that are done
+SQL["spanning_tree"] = ctes(DET, _points, "core AS (SELECT signal_id, i, list_sort(list(d))[least(3, count(*))] AS c FROM far GROUP BY 1, 2)",
+    "edge AS (SELECT f.signal_id, f.i, list({'w': greatest(d, p.c, q.c), 'u': least(a, b), 'v': greatest(a, b)} ORDER BY f.j) AS of_i FROM far f JOIN core p ON p.signal_id = f.signal_id AND p.i = f.i JOIN core q ON q.signal_id = f.signal_id AND q.i = f.j GROUP BY 1, 2)",
+    """prim AS (SELECT signal_id, of_i AS best, [1] AS done, CAST(NULL AS STRUCT(w DOUBLE, u BIGINT, v BIGINT)) AS e FROM edge WHERE i = 1
+  UNION ALL SELECT p.signal_id, list_transform(range(1, len(best) + 1), lambda j: CASE WHEN of_i[j] < best[j] THEN of_i[j] ELSE best[j] END), list_append(done, CAST(next AS INT)), best[next]
+  FROM (SELECT *, list_sort(list_transform(list_filter(range(1, len(best) + 1), lambda j: NOT list_contains(done, j)), lambda j: {'e': best[j], 'j': j}))[1].j AS next FROM prim WHERE len(done) < len(best)) p JOIN edge d ON d.signal_id = p.signal_id AND d.i = next)""",
+) + "SELECT signal_id, e.u AS u, e.v AS v, round(e.w, 6) + 0.0 AS w FROM prim WHERE e IS NOT NULL"
+SQL["agglomerative"] = ctes(DET, _points, "near AS (SELECT signal_id, i, arg_min(j, {'d': d, 'j': j}) AS j, min(d) AS d FROM far WHERE j > i GROUP BY 1, 2)", "o AS (SELECT signal_id, i, j, row_number() OVER (PARTITION BY signal_id ORDER BY d, i) AS o FROM near)",
+    """lab AS (SELECT signal_id, CAST(0 AS BIGINT) AS o, range(1, count(*) + 1) AS l, count(*) AS c FROM pt GROUP BY 1
+  UNION ALL SELECT lab.signal_id, o.o, CASE WHEN c > 4 AND l[i] <> l[j] THEN list_transform(l, lambda x: CASE WHEN x = l[j] THEN l[i] ELSE x END) ELSE l END, CASE WHEN c > 4 AND l[i] <> l[j] THEN c - 1 ELSE c END FROM lab JOIN o ON o.signal_id = lab.signal_id AND o.o = lab.o + 1)""",
+    "fin AS (SELECT signal_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS l FROM lab QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY o DESC) = 1)",
+) + "SELECT signal_id, k, m, CAST(dense_rank() OVER (PARTITION BY signal_id ORDER BY l) - 1 AS INT) AS cluster_id FROM fin JOIN pt USING (signal_id, i)"
+
+# peaks are moved as the operator moves them; a triangle stands if no other peak lies in its circumcircle
+_moved = """, num AS (SELECT signal_id, k, m, row_number() OVER (PARTITION BY signal_id ORDER BY k, m) - 1 AS pid, sqrt(power) AS magnitude FROM b JOIN bar_of USING (signal_id) WHERE power = q AND sqrt(power) > bar),
+pt AS (SELECT signal_id, pid, k, m, magnitude, k * 100.0 / 100.0 + 1e-6 * (pid * 7919 % 10007) / 10007 AS x, m * 0.05 / 0.05 + 1e-6 * (pid * 104729 % 10009) / 10009 AS y FROM num),
+tri AS (SELECT a.signal_id, a.pid AS v0, b.pid AS v1, c.pid AS v2, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, sign((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS turn FROM pt a JOIN pt b ON a.signal_id = b.signal_id AND a.pid < b.pid JOIN pt c ON b.signal_id = c.signal_id AND b.pid < c.pid
+  WHERE abs((b.k - a.k) * (c.m - a.m) - (b.m - a.m) * (c.k - a.k)) > 0),
+bad AS (SELECT DISTINCT t.signal_id, v0, v1, v2 FROM tri t JOIN pt d ON d.signal_id = t.signal_id AND d.pid NOT IN (v0, v1, v2)
+  WHERE turn * ((power(ax - d.x, 2) + power(ay - d.y, 2)) * ((bx - d.x) * (cy - d.y) - (by_ - d.y) * (cx - d.x)) + (power(bx - d.x, 2) + power(by_ - d.y, 2)) * ((cx - d.x) * (ay - d.y) - (cy - d.y) * (ax - d.x)) + (power(cx - d.x, 2) + power(cy - d.y, 2)) * ((ax - d.x) * (by_ - d.y) - (ay - d.y) * (bx - d.x))) > 0),
+net AS (SELECT signal_id, v0, v1, v2, row_number() OVER (PARTITION BY signal_id ORDER BY v0, v1, v2) - 1 AS tid FROM tri ANTI JOIN bad USING (signal_id, v0, v1, v2))"""
+_peaks_of = _peaks.rstrip().removesuffix(",") + ", bar_of AS (SELECT signal_id, quantile_cont(sqrt(power), 0.9) AS bar FROM g GROUP BY 1)" + _moved
+SQL["delaunay"] = _peaks_of + " SELECT signal_id, tid, CAST(v0 AS INT) AS v0, CAST(v1 AS INT) AS v1, CAST(v2 AS INT) AS v2 FROM net"
+SQL["triangle_components"] = _peaks_of + """,
+corner AS (SELECT signal_id, tid, unnest([v0, v1, v2]) AS pid FROM net), mean AS (SELECT signal_id, tid, avg(magnitude) AS mean FROM corner JOIN pt USING (signal_id, pid) GROUP BY 1, 2),
+side AS (SELECT signal_id, tid, unnest([[v0, v1], [v1, v2], [v0, v2]]) AS e FROM net), pair AS (SELECT signal_id, min(tid) AS a, max(tid) AS b FROM side GROUP BY signal_id, e HAVING count(*) = 2),
+lk AS (SELECT p.signal_id, a, b FROM pair p JOIN mean x ON x.signal_id = p.signal_id AND x.tid = a JOIN mean y ON y.signal_id = p.signal_id AND y.tid = b WHERE abs(x.mean - y.mean) / greatest(x.mean, y.mean) < 0.25),
+link AS (SELECT * FROM lk UNION SELECT signal_id, b, a FROM lk), reach AS (SELECT signal_id, tid AS a, tid AS b FROM net UNION SELECT r.signal_id, r.a, l.b FROM reach r JOIN link l ON l.signal_id = r.signal_id AND l.a = r.b),
+root AS (SELECT signal_id, a AS tid, min(b) AS root FROM reach GROUP BY 1, 2), cnt AS (SELECT signal_id, root, count(*) AS n FROM root GROUP BY 1, 2),
+own AS (SELECT DISTINCT signal_id, root, pid FROM root JOIN corner USING (signal_id, tid)),
+sums AS (SELECT signal_id, root, count(*) AS n_points, sum(magnitude * magnitude) AS energy, avg(k * 100.0) AS centroid_freq, avg(m * 0.05) AS centroid_time FROM own JOIN pt USING (signal_id, pid) GROUP BY 1, 2)
+SELECT signal_id, n_points, round(energy, 4) + 0.0 AS energy, round(centroid_freq, 4) + 0.0 AS centroid_freq, round(centroid_time, 4) + 0.0 AS centroid_time, n AS n_triangles, CAST(row_number() OVER (PARTITION BY signal_id ORDER BY energy DESC, root) - 1 AS INT) AS component_id FROM sums JOIN cnt USING (signal_id, root)"""
