@@ -355,3 +355,5 @@ root AS (SELECT signal_id, a AS tid, min(b) AS root FROM reach GROUP BY 1, 2), c
 own AS (SELECT DISTINCT signal_id, root, pid FROM root JOIN corner USING (signal_id, tid)),
 sums AS (SELECT signal_id, root, count(*) AS n_points, sum(magnitude * magnitude) AS energy, avg(k * 100.0) AS centroid_freq, avg(m * 0.05) AS centroid_time FROM own JOIN pt USING (signal_id, pid) GROUP BY 1, 2)
 SELECT signal_id, n_points, round(energy, 4) + 0.0 AS energy, round(centroid_freq, 4) + 0.0 AS centroid_freq, round(centroid_time, 4) + 0.0 AS centroid_time, n AS n_triangles, CAST(row_number() OVER (PARTITION BY signal_id ORDER BY energy DESC, root) - 1 AS INT) AS component_id FROM sums JOIN cnt USING (signal_id, root)"""
+SQL["stream_history"] = SQL["accumulated_history"]
+SQL["stream_exponents"] = ctes(GRID, f"ser AS (SELECT signal_id, band, m, avg(ln(power + 1e-12)) AS x FROM g, (SELECT unnest(range(0, {K}, {BOOST.stride})) AS band) WHERE abs(k - band) <= {_half} GROUP BY 1, 2, 3)", f"win AS (SELECT signal_id, band, t0, m - t0 AS i, x FROM ser, (SELECT unnest(range(0, {M - _tw + 1}, {_ts})) AS t0) WHERE m >= t0 AND m < t0 + {_tw})", hurst("win", "signal_id, band, t0", max(8, _tw // 4))) + "SELECT signal_id, CAST(band AS INT) AS band, CAST(t0 AS INT) AS t0, round(hurst, 6) + 0.0 AS hurst FROM h"

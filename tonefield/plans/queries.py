@@ -26,6 +26,8 @@ SCALED = Cluster("hdbscan", 20.0, 3)
 BOOST = Fractal(threshold=0.1, window=64, frames=24, step=6, band=5, stride=2)
 #: Trials of each SNR; every trial is a segment, so their number is the size of the job and nothing else.
 RUNS = 5
+#: Turns in which a table is given to a stream.
+TURNS = 3
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -567,15 +569,38 @@ def interval_join(spark, d):
     return s.join(top, (F.col("signal_id") == F.col("sid")) & (F.col("n") >= F.col("t0")) & (F.col("n") < F.col("t1"))).select("signal_id", "n", r("re").alias("re"))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, build, mode: str) -> DataFrame:
-    """What `build` makes of a stream of the rows, which are files of the shared folder first."""
+#: Of the session while a stream runs that keeps arrays as state, which only this store can.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _streamed(spark: SparkSession, turns: list[DataFrame], build, mode: str) -> DataFrame:
+    """What `build` makes of a stream of the rows, which come as files in turns; after each turn the stream stops and goes on."""
     folder = f"{shared_dir(spark)}/tonefield-stream-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{folder}/source")
-    return stream.drained(build(f"{folder}/source"), mode, folder)
+    out, was = None, spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)
+    try:
+        for i, rows in enumerate(turns):
+            rows.write.parquet(f"{folder}/source/{i}")
+            out = stream.drained(build(f"{folder}/source"), mode, folder)
+    finally:
+        spark.conf.set(STORE[0], was)
+    return out
 
 
 def _events(spark: SparkSession, d: str, build, mode: str) -> DataFrame:
-    return _times(_streamed(spark, signals.table(spark, d, "events"), lambda folder: build(stream.event_stream(spark, folder)), mode))
+    return _times(_streamed(spark, [signals.table(spark, d, "events")], lambda folder: build(stream.event_stream(spark, folder)), mode))
+
+
+def _in_turns(rows: DataFrame, by: str, turns: int = TURNS) -> list[DataFrame]:
+    """rows parted into ranges of a column, of like width; rows without it go with the first."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    if low is None:
+        return [rows]
+    ends = [low + (high - low) / turns * i for i in range(1, turns)]
+    which = F.lit(0)
+    for e in ends:
+        which = which + F.coalesce((F.col(by) >= F.lit(e)).cast("int"), F.lit(0))
+    return [rows.where(which == i) for i in range(turns)]
 
 
 def _times(df: DataFrame) -> DataFrame:
@@ -594,17 +619,20 @@ def stream_sliding(spark, d):
 
 @query
 def stream_session(spark, d):
-    return _events(spark, d, stream.sessions, "complete")
+    """Sessions as they close, from files in turn; a last event of nobody, long after, closes those that are open."""
+    e = signals.table(spark, d, "events")
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    end = last.select(*[F.col("ts").cast(t).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in e.dtypes])
+    turns = [*_in_turns(e.where("ts IS NOT NULL"), "ts"), end]
+    return _times(_streamed(spark, turns, lambda folder: stream.sessions(stream.event_stream(spark, folder)), "append"))
 
 
 def _samples(spark: SparkSession, d: str, build) -> DataFrame:
     """What `build` makes of a stream of the hourly samples, each signal's end told by a row without a value."""
     x = signals.events_hourly(spark, d)
     end = x.groupBy("signal_id").agg((F.max("n") + 1).alias("n")).select("signal_id", "n", F.lit(None).cast("double").alias("re"), F.lit(0.0).alias("im"))
-    # the state of a signal, a window of arrays, is kept by RocksDB, the only store that this operator has
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = x.unionByName(end).coalesce(1)
-    return _streamed(spark, rows, lambda folder: build(spark.readStream.schema(rows.schema).parquet(folder)), "append")
+    rows = cut(x.unionByName(end))
+    return _streamed(spark, _in_turns(rows, "n"), lambda folder: build(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(folder)), "append")
 
 
 @query
@@ -619,6 +647,21 @@ def stream_hurst(spark, d):
     return tidy(_samples(spark, d, lambda s: stream.stream_hurst(s, 64, 16)))
 
 
+@query
+def stream_exponents(spark, d):
+    """The exponents that fractal_boost_tf judges, from frames as they come."""
+    x = _samples(spark, d, lambda s: stream.stream_exponents(s, HOURLY, BOOST, 4))
+    return x.select("signal_id", "band", (F.col("m") * BOOST.step).cast("int").alias("t0"), r("hurst").alias("hurst"))
+
+
+@query
+def stream_history(spark, d):
+    """accumulated_history as running state: detections come in turns of frames, each batch updates the bins that it hit."""
+    cells = cut(loose(spark, d)[1].select("signal_id", F.col("m").cast("long").alias("frame_idx"), "k"))
+    updates = _streamed(spark, _in_turns(cells, "frame_idx"), lambda folder: stream.history(spark.readStream.schema(cells.schema).option("recursiveFileLookup", True).parquet(folder)), "update")
+    return stream.merged(updates, ["signal_id", "k"])
+
+
 @query
 def sql_functions(spark, d):
     """Fractal figures of the vectors by the functions for SQL."""

@@ -8,20 +8,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..config import Stft
+from ..config import Fractal, Stft
 from ..functions.udfs import hurst_of
 from ..operators.stft import window_of
 
 #: Samples that a window's buffer takes on at a time.
 BLOCK = 1 << 16
+EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, folder: str, delay: str = "1 hour") -> DataFrame:
     """The events files of a folder as a stream, event time as TIMESTAMP, late rows beyond `delay` left out."""
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    x = spark.readStream.schema(schema).parquet(folder)
+    x = spark.readStream.schema(EVENT).option("recursiveFileLookup", True).parquet(folder)
     return x.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
@@ -44,6 +45,31 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     return x.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
+def parted(events: DataFrame, folder: str, delay: str = "1 hour") -> tuple[str, DataFrame]:
+    """Parts a stream of events (without a watermark) into rows in time and late ones: the folder of the former, and the latter.
+
+    A row is late if its time is further than `delay` behind the greatest of all earlier batches, or if it has none. A
+    windowed stream drops such rows without a trace. What a batch is judged by is written beside it, so a batch that
+    runs again parts its rows as before. Called again with more in the source it goes on.
+    """
+
+    def kept(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        mark = spark.read.parquet(f"{folder}/marks/{number - 1}").first()["mark"] if number else None
+        fresh = F.col("ts").isNotNull() if mark is None else F.col("ts").isNotNull() & (F.col("ts") >= F.lit(mark))
+        batch.where(F.coalesce(fresh, F.lit(False))).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        batch.where(~F.coalesce(fresh, F.lit(False))).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        now = F.max(F.col("ts")) - F.expr(f"INTERVAL {delay}")
+        batch.agg(F.greatest(now, F.lit(mark).cast(dict(batch.dtypes)["ts"])).alias("mark")).write.mode("overwrite").parquet(f"{folder}/marks/{number}")
+        batch.unpersist()
+
+    q = events.writeStream.foreachBatch(kept).option("checkpointLocation", f"{folder}/parted").trigger(availableNow=True).start()
+    q.awaitTermination()
+    late = T.StructType([*events.schema.fields, T.StructField("batch", T.LongType())])
+    return f"{folder}/rows", events.sparkSession.read.schema(late).option("basePath", f"{folder}/late").parquet(f"{folder}/late/batch=*")
+
+
 class Windows(StatefulProcessor):
     """Per signal: the samples that future windows still need, and the number of the next window.
 
@@ -90,7 +116,7 @@ class Windows(StatefulProcessor):
             if count:
                 at = m * self.step - self.before - first
                 view = np.lib.stride_tricks.sliding_window_view(x[at:], self.width)[:: self.step][:count]
-                yield pd.DataFrame({"signal_id": key[0], "m": np.arange(m, m + count), **self.made(view)})
+                yield pd.DataFrame({**dict(zip(self.columns, key, strict=True)), "m": np.arange(m, m + count), **self.made(view)})
                 m += count
             keep = min(len(x), max(0, m * self.step - self.before - first))
             x, first = x[keep:], first + keep
@@ -124,6 +150,15 @@ class Hursts(Windows):
         return {"hurst": [hurst_of(np.abs(v), max(8, self.width // 4)) for v in x]}
 
 
+class BandHursts(Windows):
+    """Per signal and band: the exponent of each window of its series."""
+
+    columns = ["signal_id", "band"]
+
+    def made(self, x: np.ndarray) -> dict[str, list]:
+        return {"hurst": [hurst_of(v.real, max(8, self.width // 4)) for v in x]}
+
+
 def stream_frames(samples: DataFrame, c: Stft) -> DataFrame:
     """(signal_id, m, power[]) of each frame once all its samples have come; samples: (signal_id, n, re, im).
 
@@ -138,15 +173,52 @@ def stream_hurst(samples: DataFrame, width: int = 64, step: int = 16) -> DataFra
     return samples.groupBy("signal_id").transformWithStateInPandas(statefulProcessor=Hursts(width, step), outputStructType="signal_id string, m long, hurst double", outputMode="Append", timeMode="None")
 
 
+def band_series(frames: DataFrame, f: Fractal) -> DataFrame:
+    """(signal_id, band, n, re, im): the mean log power about every stride-th bin in each frame; frames: (signal_id, m, power[])."""
+    half, stride = max(1, f.band // 2), max(1, f.stride)
+    last = F.size("power") - 1
+    band = F.explode(F.sequence(F.lit(0), F.floor(last / stride).cast("int"))).alias("i")
+    x = frames.select("signal_id", F.col("m").alias("n"), F.transform("power", lambda p: F.log(p + 1e-12)).alias("level"), band).withColumn("band", F.col("i") * stride)
+    low = F.greatest(F.lit(0), F.col("band") - half)
+    part = F.slice("level", low + 1, F.least(F.size("level") - 1, F.col("band") + half) - low + 1)
+    mean = F.aggregate(part, F.lit(0.0), lambda s, v: s + v) / F.size(part)
+    return x.select("signal_id", "band", "n", mean.alias("re"), F.lit(0.0).alias("im"))
+
+
+def stream_exponents(samples: DataFrame, c: Stft, f: Fractal, digits: int | None = None) -> DataFrame:
+    """(signal_id, band, m, hurst): exponents of each band's log power over windows of frames, as samples come.
+
+    Two stateful steps of one query: the first makes frames of samples, the second windows of frames. Window m begins
+    at frame m * step. digits: decimals of the power, if it is to be rounded.
+    """
+    frames = stream_frames(samples, c)
+    if digits is not None:
+        frames = frames.withColumn("power", F.transform("power", lambda p: F.round(p, digits)))
+    series = band_series(frames, f)
+    step = BandHursts(max(8, f.frames), max(1, f.step))
+    return series.groupBy("signal_id", "band").transformWithStateInPandas(statefulProcessor=step, outputStructType="signal_id string, band int, m long, hurst double", outputMode="Append", timeMode="None")
+
+
+def merged(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows written in update mode (with `batch`), the last of each key: the table that they stand for."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
+
+
 def history(frames: DataFrame) -> DataFrame:
-    """(signal_id, k, hits): in how many frames each bin was hit so far; frames: (signal_id, frame_idx, k)."""
+    """(signal_id, k, hits): in how many frames each bin was hit so far; frames: (signal_id, frame_idx, k).
+
+    Of a stream in update mode each batch gives the bins that it hit, with all hits so far; `merged` makes the table.
+    """
     return frames.groupBy("signal_id", "k").agg(F.count("*").alias("hits"))
 
 
 def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """What a stream makes of all that is there, through files in a shared folder.
 
-    A batch that runs again writes its own files over. With mode complete the last batch holds the whole result.
+    A batch that runs again writes its own files over, so nothing counts twice. With mode complete the last batch holds
+    the whole result; with mode update rows carry the number of their `batch`. Called again with more in the source it
+    goes on where it ended.
     """
 
     def kept(batch: DataFrame, number: int) -> None:
@@ -154,5 +226,6 @@ def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
 
     q = stream.writeStream.foreachBatch(kept).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    read = stream.sparkSession.read.schema(stream.schema)
-    return read.parquet(f"{folder}/out/all" if mode == "complete" else f"{folder}/out/batch=*")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())]) if mode == "update" else stream.schema
+    read = stream.sparkSession.read.schema(schema).option("basePath", f"{folder}/out")
+    return read.parquet(f"{folder}/out/all" if mode == "complete" else f"{folder}/out/batch=*").select(*schema.names)
