@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonefield.config import Cluster
-from tonefield.operators import cluster, morphology, quantiles, spatial, triangulate
+from tonefield.operators import cfar, cluster, morphology, quantiles, spatial, triangulate
 
 CELL = "signal_id string, seg_id int, k int, m int"
 
@@ -183,3 +183,12 @@ def test_delaunay_by_parts(spark):
     one = triangulate.triangles(df, many=10_000).toPandas().sort_values(key)[key].reset_index(drop=True)
     many = triangulate.triangles(df, many=40).toPandas().sort_values(key)[key].reset_index(drop=True)
     assert len(one) > 1000 and one.equals(many)
+
+
+@pytest.mark.parametrize(("bins", "frames", "guard", "reach"), [(12, 15, 1, 3), (70, 40, 0, 2), (140, 33, 2, 6), (5, 50, 1, 3), (7, 7, 1, 3), (50, 60, 3, 17)])
+def test_sliding_order_equals_sorting(bins, frames, guard, reach):
+    rng = np.random.default_rng(bins)
+    cells = (2 * reach + 1) ** 2 - (2 * guard + 1) ** 2
+    for x in (rng.exponential(size=(bins, frames)), rng.integers(0, 4, (bins, frames)).astype(float)):
+        for rank in (1, int(0.75 * cells), cells):
+            assert np.array_equal(cfar.sliding_order(x, guard, reach, rank), cfar.sorted_order(x, guard, reach, rank), equal_nan=True)

@@ -14,8 +14,8 @@ from ..functions.special import factor, k_multiplier, k_shape, order_rank, ring_
 from .quantiles import percentiles
 
 
-#: Frames of a tile.
-TILE = 4096
+#: Frames of a tile, bins whose rings are followed at a time, cells of a ring that is rather put in order.
+TILE, BAND, SORTED = 4096, 64, 800
 
 
 def bands(c: Cfar) -> dict[str, tuple[int, int]]:
@@ -59,12 +59,70 @@ def _ring(grid: DataFrame, c: Cfar, value: str) -> DataFrame:
     return region_sums(grid, c, RING, value).withColumn("noise", (F.col("outer") - F.col("core")) / float(ring_cells(c))).drop("outer", "core")
 
 
+def ring_order(x: np.ndarray, guard: int, reach: int, rank: int) -> np.ndarray:
+    """The rank-th least value of the ring about each cell that has a whole one, nan elsewhere; large rings by histograms."""
+    cells = (2 * reach + 1) ** 2 - (2 * guard + 1) ** 2
+    return (sorted_order if cells <= SORTED else sliding_order)(x, guard, reach, rank)
+
+
+def sorted_order(x: np.ndarray, guard: int, reach: int, rank: int) -> np.ndarray:
+    """Each ring is put in order by itself: its cost follows the ring's area."""
+    t, g, out = reach, guard, np.full(x.shape, np.nan)
+    ring = np.ones((2 * t + 1, 2 * t + 1), bool)
+    ring[t - g : t + g + 1, t - g : t + g + 1] = False
+    if min(x.shape) > 2 * t:
+        view = np.lib.stride_tricks.sliding_window_view(x, ring.shape)
+        for i in range(view.shape[0]):
+            out[i + t, t : t + view.shape[1]] = np.partition(view[i][:, ring], rank - 1, axis=1)[:, rank - 1]
+    return out
+
+
+def sliding_order(x: np.ndarray, guard: int, reach: int, rank: int) -> np.ndarray:
+    """Values become their place in the order of all values of a band of rows. Along the frames each row keeps a histogram
+    of its ring in two levels; a step puts the columns that enter into it and takes those out that leave, so its cost
+    follows the ring's sides and not its area, and the value is found by two sums over bins.
+    """
+    out = np.full(x.shape, np.nan)
+    t, g = reach, guard
+    for top in range(t, x.shape[0] - t, BAND):
+        rows = np.arange(min(BAND, x.shape[0] - t - top))
+        part = x[top - t : top + len(rows) + t]
+        if part.shape[1] <= 2 * t:
+            break
+        values, place = np.unique(part, return_inverse=True)
+        place = place.reshape(part.shape)
+        base = int(np.ceil(np.sqrt(len(values))))
+        # of each row, the bins of the column's cells within the reach, and within the guard, in two levels
+        bins = [np.lib.stride_tricks.sliding_window_view(y, 2 * t + 1, axis=0) for y in (place, place // base)]
+        fine, coarse = np.zeros((len(rows), base * base), np.int64), np.zeros((len(rows), base), np.int64)
+        row = rows[:, None]
+        levels = [(h.ravel(), y, row * h.shape[1]) for h, y in zip((fine, coarse), bins, strict=True)]
+
+        def change(columns: list[int], guards: list[int], by: int, levels=levels) -> None:
+            """Counts the ring's cells in some columns, those of the guard being taken back."""
+            for h, y, shift in levels:
+                for j in columns:
+                    np.add.at(h, (y[:, j] + shift).ravel(), by)
+                for j in guards:
+                    np.add.at(h, (y[:, j, t - g : t + g + 1] + shift).ravel(), -by)
+
+        change(list(range(2 * t + 1)), list(range(t - g, t + g + 1)), 1)
+        for m in range(t, part.shape[1] - t):
+            if m > t:
+                change([m + t], [m + g], 1)
+                change([m - t - 1], [m - g - 1], -1)
+            sums = np.cumsum(coarse, axis=1)
+            c = (sums >= rank).argmax(1)
+            left = rank - (sums[rows, c] - coarse[rows, c])
+            f = (np.cumsum(fine[row, c[:, None] * base + np.arange(base)], axis=1) >= left[:, None]).argmax(1)
+            out[top + rows, m] = values[c * base + f]
+    return out
+
+
 def _order(grid: DataFrame, c: Cfar, value: str) -> DataFrame:
     """The order statistic of the ring, not separable: numpy over tiles of frames, each with its halo."""
     g, t, tile = c.guard, c.reach, 512
-    ring = np.ones((2 * t + 1, 2 * t + 1), bool)
-    ring[t - g : t + g + 1, t - g : t + g + 1] = False
-    rank = order_rank(int(ring.sum()))
+    rank = order_rank((2 * t + 1) ** 2 - (2 * g + 1) ** 2)
     tiles = grid.withColumn("__tile", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("m") - t) / tile)), F.floor((F.col("m") + t) / tile))))
 
     def of(p: pd.DataFrame) -> pd.DataFrame:
@@ -72,11 +130,7 @@ def _order(grid: DataFrame, c: Cfar, value: str) -> DataFrame:
         m0 = m.min()
         x = np.zeros((k.max() + 1, m.max() - m0 + 1))
         x[k, m - m0] = p[value].to_numpy()
-        noise = np.full(x.shape, np.nan)
-        if min(x.shape) > 2 * t:
-            view = np.lib.stride_tricks.sliding_window_view(x, ring.shape)
-            for i in range(view.shape[0]):
-                noise[i + t, t : t + view.shape[1]] = np.partition(view[i][:, ring], rank - 1, axis=1)[:, rank - 1]
+        noise = ring_order(x, g, t, rank)
         own = (m >= first) & (m < first + tile)
         return p[own].drop(columns="__tile").assign(noise=noise[k[own], m[own] - m0])
 

@@ -136,7 +136,10 @@ def ints(select: str) -> str:
 
 
 def taper(expr: str) -> str:
-    return f"SELECT CAST(i AS INT) AS i, round({expr}, 9) + 0.0 AS w FROM (SELECT unnest(range(64)) AS i)"
+    """The hourly grid's power under a window of 64 samples, every 16."""
+    return ctes(SIG, f"w AS (SELECT i, {expr} AS w FROM (SELECT unnest(range(64)) AS i))", "ms AS (SELECT unnest(range((SELECT (max(n) + 16) // 16 + 1 FROM sig))) AS m)",
+        "fr AS (SELECT signal_id, m, i, re * w AS v FROM ms, w, sig WHERE n = m * 16 - 32 + i)", "z AS (SELECT signal_id, k, m, sum(v * cos(2 * pi() * k * i / 64)) / (SELECT sum(w) FROM w) AS a, sum(v * sin(2 * pi() * k * i / 64)) / (SELECT sum(w) FROM w) AS b FROM fr, (SELECT unnest(range(33)) AS k) GROUP BY 1, 2, 3)",
+    ) + "SELECT signal_id, CAST(k AS INT) AS k, CAST(m AS INT) AS m, round(a * a + b * b, 4) + 0.0 AS power FROM z"
 
 
 def cosine(*a: float) -> str:
@@ -274,7 +277,7 @@ SQL |= {
     "first_samples": ctes(IQ_SIG) + "SELECT signal_id, n, round(re, 6) + 0.0 AS i, round(im, 6) + 0.0 AS q, round(sqrt(re * re + im * im), 6) + 0.0 AS magnitude, round(atan2(im, re), 6) + 0.0 AS phase FROM iq WHERE n < 50",
     "spectrogram_gaussian": ctes(IQ_SIG + ",\n" + transform("iq", -16, L, spread=2 * (32 / 6) ** 2)) + "SELECT signal_id, k, m, round(freq_hz, 6) + 0.0 AS freq_hz, round(10 * log10(power + 1e-12), 4) + 0.0 AS db FROM g",
     "region_db": ctes(GRID) + "SELECT signal_id, k, m, round(10 * log10(power / (max(power) OVER (PARTITION BY signal_id) + 1e-10) + 1e-10), 6) + 0.0 AS db FROM g WHERE time_s BETWEEN 96 AND 480 AND freq_hz BETWEEN 0.0625 AND 0.375",
-    "velocity_table": "SELECT i * 10.0 AS doppler_hz, round(i * 10.0 * 3e8 / (2 * 9.39e9), 6) + 0.0 AS velocity_mps, round(1000 * 3e8 / (4 * 9.39e9), 6) AS v_max_mps FROM (SELECT unnest(range(-10, 11)) AS i)",
+    "velocity_table": ctes(GRID_IQ, "v AS (SELECT signal_id, m, sum(freq_hz * power) / sum(power) AS f FROM g GROUP BY 1, 2)") + "SELECT signal_id, m, round(f, 9) + 0.0 AS doppler_hz, round(f * 3e8 / (2 * 9.39e9), 9) + 0.0 AS velocity_mps, round(3e8 / (4 * 9.39e9), 9) AS v_max_mps FROM v",
     "stream_stft": ctes(GRID) + "SELECT signal_id, k, m, power FROM g",
     "stream_hurst": ctes(SIG, "win AS (SELECT signal_id, m, n - 16 * m AS i, abs(re) AS x FROM sig, (SELECT unnest(range((SELECT (max(n) + 1 - 64) // 16 + 1 FROM sig))) AS m) WHERE n >= 16 * m AND n < 16 * m + 64)", hurst("win", "signal_id, m", 16)) + "SELECT signal_id, m, round(hurst, 6) + 0.0 AS hurst FROM h",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import KEYS, Cfar, Cluster, Fractal, Preset, Stft
-from ..functions import tapers, udfs
+from ..functions import udfs
 from ..operators import cfar, classify, cluster, components, evaluate, fractal, morphology, stft, triangulate
 from ..session import cut, shared_dir
 from ..sources import files, signals
@@ -131,7 +131,8 @@ def autocorrelation(spark, d):
 
 
 def _taper(name: str) -> Query:
-    return lambda spark, d: tidy(tapers.taper_table(spark, name, 64), 9)
+    """The hourly grid under a taper of 64 samples."""
+    return lambda spark, d: stft.stft(hourly(spark, d), Stft(64, 16, name, rate=1.0)).select("signal_id", "k", "m", r("power", 4).alias("power"))
 
 
 for _name in ("gaussian", "hamming", "hann", "blackman", "bartlett", "flattop", "tukey", "kaiser"):
@@ -177,9 +178,10 @@ def region_db(spark, d):
 
 @query
 def velocity_table(spark, d):
-    """Velocity by Doppler frequency, and the greatest that a pulse rate tells apart."""
-    x = spark.range(-10, 11).select((F.col("id") * 10.0).alias("doppler_hz"))
-    return tidy(x.withColumn("velocity_mps", components.velocity(F.col("doppler_hz"))).withColumn("v_max_mps", components.velocity(F.lit(1000.0 / 2))))
+    """The mean Doppler frequency of each frame, weighted by power, its velocity, and the greatest that the pulse rate tells apart."""
+    g = stft.stft(signals.whole(signals.events_iq(spark, d)), IQ).withColumn("power", r("power", 4))
+    x = g.groupBy("signal_id", "m").agg((F.sum(F.col("freq_hz") * F.col("power")) / F.sum("power")).alias("doppler_hz"))
+    return tidy(x.withColumn("velocity_mps", components.velocity(F.col("doppler_hz"))).withColumn("v_max_mps", components.velocity(F.lit(IQ.rate / 2))), 9)
 
 
 @query
