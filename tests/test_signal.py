@@ -111,6 +111,7 @@ def test_clusters(spark):
     df = spark.createDataFrame([("a", 0, a, b, a * 100.0, b * 0.05) for a, b in pts], "signal_id string, seg_id int, k int, m int, freq_hz double, time_s double")
     for c in (Cluster("dbscan", 3, 4), Cluster("dbscan_iso", 2, 4, (1.0, 1.0))):
         assert {(r["k"], r["m"]): r["cluster_id"] for r in cluster.cluster(df, c).collect()} == brute_dbscan(pts, c.weights, c.eps, c.min_samples)
+        assert {(r["k"], r["m"]): r["cluster_id"] for r in cluster.dbscan(df, c, most=0).collect()} == brute_dbscan(pts, c.weights, c.eps, c.min_samples)
     h = {(r["k"], r["m"]): r["cluster_id"] for r in cluster.hdbscan(df, Cluster("hdbscan", 2, 4)).collect()}
     iso = brute_dbscan(pts, (1, 1), 2, 4)
     assert {a for a, l in h.items() if l >= 0} <= {a for a, l in iso.items() if l >= 0}

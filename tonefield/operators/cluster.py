@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import KEYS, Cluster
 from ..session import cut
-from .graph import components_by_segment
+from .graph import bounds, components_by_segment, roots, whole_groups
 from .morphology import WIDE
 from .spatial import Tree, agglomerated, spanning
 
-#: Points of a segment whose tree one task makes.
+#: Points of a segment whose tree, or clusters, one task makes.
 MOST = 200_000
 
 
@@ -43,12 +44,50 @@ def numbered(roots: DataFrame) -> DataFrame:
     return roots.withColumn("cluster_id", F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("root")) - 1)
 
 
-def dbscan(points: DataFrame, c: Cluster) -> DataFrame:
+def dbscan(points: DataFrame, c: Cluster, most: int = MOST) -> DataFrame:
     """Core points: min_samples neighbours, themselves included. Clusters are the components of core points by
     their neighbourhood, numbered by their first core in row-major order; another point joins the lowest cluster
-    among its core neighbours."""
+    among its core neighbours.
+
+    Segments of at most `most` points are clustered where they lie, many to a task; larger ones by joins.
+    """
     points = points.select(*KEYS, "k", "m")
-    near = neighbours(points, offsets(c))
+    steps, keys = np.array([a * WIDE + b for a, b in offsets(c)]), list(KEYS)
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in whole_groups(parts, keys):
+            ids, at = p["k"].to_numpy(np.int64) * WIDE + p["m"].to_numpy(np.int64), bounds(p, keys)
+            labels = [clustered(ids[a:b], steps, c.min_samples) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield p.assign(cluster_id=np.concatenate(labels).astype(np.int32))
+
+    kinds = dict(points.dtypes)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in (*KEYS, "k", "m")) + ", cluster_id int"
+    large = cut(points.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*KEYS))
+    some = large.limit(1).count() > 0
+    small = points.join(large, keys, "left_anti") if some else points
+    out = small.repartition(*KEYS).sortWithinPartitions(*KEYS, "k", "m").mapInPandas(of, schema)
+    return out.unionByName(dbscan_by_joins(points.join(large, keys, "left_semi"), c)) if some else out
+
+
+def clustered(ids: np.ndarray, steps: np.ndarray, least: int) -> np.ndarray:
+    """The cluster of each point of one segment: ids in order, steps as differences of ids."""
+    n = len(ids)
+    place = np.minimum(np.searchsorted(ids, ids + steps[:, None]), n - 1)
+    near = ids[place] == ids + steps[:, None]
+    core = near.sum(0) >= least
+    link = near & core & core[place]
+    a = np.broadcast_to(np.arange(n), place.shape)[link]
+    root = roots(a, place[link], n)
+    number = np.full(n, n)
+    number[core] = np.unique(root[core], return_inverse=True)[1]
+    lowest = np.where(near & core[place], number[place], n).min(0)
+    out = np.where(core, number, lowest)
+    return np.where(out == n, -1, out)
+
+
+def dbscan_by_joins(points: DataFrame, c: Cluster) -> DataFrame:
+    """The same for segments of any size."""
+    near = cut(neighbours(points, offsets(c)))
     core = near.groupBy(*KEYS, "a").agg(F.count("*").alias("c")).where(F.col("c") >= c.min_samples).select(*KEYS, F.col("a").alias("b"))
     to_core = near.join(core, [*KEYS, "b"])
     links = to_core.join(core.withColumnRenamed("b", "a"), [*KEYS, "a"])

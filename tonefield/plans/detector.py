@@ -76,9 +76,9 @@ def monte_carlo(spark: SparkSession, snr_db: list[int], runs: int, p: Preset | N
     return all_.select(F.col("signal_id").cast("int").alias("snr_db"), F.col("seg_id").alias("sim"), F.coalesce("rqf", F.lit(evaluate.FAILED)).alias("rqf"), F.col("rqf").isNotNull().cast("double").alias("detected"))
 
 
-def segment_statistics(signal: DataFrame, p: Preset, length: int, most: int | None = None) -> DataFrame:
-    """Per signal: the roll-up over tumbling segments."""
-    s = signals.segments(signal, length, most=most)
+def segment_statistics(signal: DataFrame, p: Preset, length: int, most: int | None = None, step: int | None = None) -> DataFrame:
+    """Per signal: the roll-up over tumbling segments, or sliding ones with a step."""
+    s = signals.segments(signal, length, step, most)
     f = detected(s, p, length)
     dop = components.doppler(f.labels, f.grid)
     return evaluate.segment_rollup(evaluate.segment_results(s, f.components, dop))
