@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonefield.config import Cluster
-from tonefield.operators import cfar, cluster, morphology, quantiles, spatial, triangulate
+from tonefield.operators import cfar, cluster, components, morphology, quantiles, spatial, triangulate
 
 CELL = "signal_id string, seg_id int, k int, m int"
 
@@ -192,3 +192,27 @@ def test_sliding_order_equals_sorting(bins, frames, guard, reach):
     for x in (rng.exponential(size=(bins, frames)), rng.integers(0, 4, (bins, frames)).astype(float)):
         for rank in (1, int(0.75 * cells), cells):
             assert np.array_equal(cfar.sliding_order(x, guard, reach, rank), cfar.sorted_order(x, guard, reach, rank), equal_nan=True)
+
+
+def test_background_of_large_grids_is_strided(spark):
+    """Every s-th cell in row-major order where there are more than are fitted."""
+    x = np.random.default_rng(5).exponential(size=(40, 60))
+    x[:3] = 0
+    grid = spark.createDataFrame([("a", 0, k, m, float(x[k, m])) for k in range(40) for m in range(60)], CELL + ", power double").repartition(6)
+    for most in (100, 700, 20_000):
+        out = cfar.k_parameters(grid, most=most).first()
+        v = x.ravel()[x.ravel() > 1e-12]
+        bar = np.sort(v)[[int(np.floor(0.95 * (len(v) - 1))), int(np.ceil(0.95 * (len(v) - 1)))]]
+        at = 0.95 * (len(v) - 1)
+        low = v[v <= bar[0] + (at - np.floor(at)) * (bar[1] - bar[0])]
+        low = low[:: len(low) // most if len(low) > most else 1]
+        assert out["n"] == len(low) and out["mean"] == pytest.approx(low.mean()) and out["var"] == pytest.approx(low.var())
+
+
+def test_vertices_and_moving_components(spark):
+    tri = spark.createDataFrame([(0, 1, 2), (1, 2, 3), (0, 2, 4)], "v0 int, v1 int, v2 int")
+    assert tri.where(triangulate.has_vertex(2)).count() == 3 and tri.where(triangulate.has_vertex(4)).count() == 1
+    rest = [r["e"] for r in tri.where(triangulate.has_vertex(1)).orderBy("v0").select(triangulate.edge_opposite(1).alias("e")).collect()]
+    assert rest == [[0, 2], [2, 3]]
+    dop = spark.createDataFrame([(0, 2.9), (1, 3.0), (2, 8.0)], "cluster_id int, doppler_bandwidth_hz double")
+    assert sorted(r["cluster_id"] for r in components.moving(dop).collect()) == [1, 2]

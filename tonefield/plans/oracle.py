@@ -360,3 +360,15 @@ sums AS (SELECT signal_id, root, count(*) AS n_points, sum(magnitude * magnitude
 SELECT signal_id, n_points, round(energy, 4) + 0.0 AS energy, round(centroid_freq, 4) + 0.0 AS centroid_freq, round(centroid_time, 4) + 0.0 AS centroid_time, n AS n_triangles, CAST(row_number() OVER (PARTITION BY signal_id ORDER BY energy DESC, root) - 1 AS INT) AS component_id FROM sums JOIN cnt USING (signal_id, root)"""
 SQL["stream_history"] = SQL["accumulated_history"]
 SQL["stream_exponents"] = ctes(GRID, f"ser AS (SELECT signal_id, band, m, avg(ln(power + 1e-12)) AS x FROM g, (SELECT unnest(range(0, {K}, {BOOST.stride})) AS band) WHERE abs(k - band) <= {_half} GROUP BY 1, 2, 3)", f"win AS (SELECT signal_id, band, t0, m - t0 AS i, x FROM ser, (SELECT unnest(range(0, {M - _tw + 1}, {_ts})) AS t0) WHERE m >= t0 AND m < t0 + {_tw})", hurst("win", "signal_id, band, t0", max(8, _tw // 4))) + "SELECT signal_id, CAST(band AS INT) AS band, CAST(t0 AS INT) AS t0, round(hurst, 6) + 0.0 AS hurst FROM h"
+
+# K clutter: the inverse of the regularised gamma function, a power series, by bisection
+_k = Cfar("goca", 1, 2, 0.2)
+_fit = """a AS (SELECT signal_id, count(*) AS c, quantile_cont(power, 0.95) AS q FROM g WHERE power > 1e-12 GROUP BY 1 HAVING count(*) >= 1000),
+b AS (SELECT signal_id, var_pop(power) / (avg(power) * avg(power)) AS ratio FROM g JOIN a USING (signal_id) WHERE power > 1e-10 AND power <= q GROUP BY 1),
+sh AS (SELECT DISTINCT g.signal_id, coalesce(greatest(0.5, least(100.0, 1 / (2 * ratio - 1))), 2.0) AS s FROM g LEFT JOIN b USING (signal_id)),
+bis AS (SELECT signal_id, s, 0.0::DOUBLE AS lo, 1000.0::DOUBLE AS hi, 0 AS i FROM sh
+  UNION ALL SELECT signal_id, s, CASE WHEN p < 0.8 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN p < 0.8 THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM (SELECT *, list_sum(list_transform(range(2500), lambda n: exp((s + n) * ln((lo + hi) / 2) - (lo + hi) / 2 - lgamma(s + n + 1)))) AS p FROM bis WHERE i < 70)),
+fac AS (SELECT signal_id, greatest((lo + hi) / 2 / s, 0.01) AS factor FROM bis WHERE i = 70)"""
+_hit = detection(_k).replace(multiplier(_k), "factor").replace("FROM det_n WHERE", "FROM det_n JOIN fac USING (signal_id) WHERE")
+SQL["cfar_goca_k"] = ctes(GRID, _fit, _hit) + f"SELECT signal_id, k, m, power, {rounded('noise', 8)}, {rounded('threshold', 5)} FROM det"
