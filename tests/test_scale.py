@@ -1,6 +1,7 @@
 """What keeps work in bounded tasks, against plain restatements: tiles, trees, percentiles."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -216,3 +217,54 @@ def test_vertices_and_moving_components(spark):
     assert rest == [[0, 2], [2, 3]]
     dop = spark.createDataFrame([(0, 2.9), (1, 3.0), (2, 8.0)], "cluster_id int, doppler_bandwidth_hz double")
     assert sorted(r["cluster_id"] for r in components.moving(dop).collect()) == [1, 2]
+
+
+def plain_dense(xy, eps, least):
+    """Labels of components of dense points, of max(least, 2) points or more, numbered by their first."""
+    near = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1]) <= eps
+    core, label, n = near.sum(1) >= least, np.full(len(xy), -1), 0
+    seen = np.zeros(len(xy), bool)
+    for i in np.flatnonzero(core):
+        if not seen[i]:
+            own, stack = [], [i]
+            seen[i] = True
+            while stack:
+                own.append(stack.pop())
+                new = np.flatnonzero(near[own[-1]] & core & ~seen)
+                seen[new] = True
+                stack += new.tolist()
+            if len(own) >= max(least, 2):
+                label[own] = n
+                n += 1
+    return label
+
+
+def test_density_clusters_by_tiles_and_in_tasks(spark):
+    rng = np.random.default_rng(21)
+    crowd = [(a, b) for a in range(9) for b in range(9)] + [(30, int(b)) for b in rng.permutation(80)[:30]]
+    rows, cells = [], {"crowd": crowd, "thin": {tuple(x) for x in rng.integers(0, 40, (160, 2)).tolist()}, "lone": [(3, 3)], "two": [(0, 0), (0, 1)]}
+    for name, some in cells.items():
+        rows += [(name, 0, int(k), int(m), k * 100.0, m * 0.05) for k, m in some]
+    df = spark.createDataFrame(rows, CELL + ", freq_hz double, time_s double")
+    for eps, least in ((1.0, 2), (2.5, 4), (3.0, 1), (4.0, 12)):
+        c = Cluster("hdbscan", eps, least)
+        for most in (cluster.MOST, 0, 25):
+            if most == 0:  # every segment by tiles, of a cell each
+                got = cluster.hdbscan_by_tiles(cluster.normalised(df), c, 1).toPandas()
+            else:
+                got = cluster.hdbscan(df, c, most=most).toPandas()
+            assert len(got) == len(rows)
+            for name, part in got.groupby("signal_id"):
+                part = part.sort_values(["k", "m"])
+                xy = np.column_stack([part["k"] * 100.0 / 100.0, part["m"] * 0.05 / 0.05])
+                assert (part["cluster_id"].to_numpy() == plain_dense(xy, eps, least)).all(), (name, eps, least, most)
+    empty = cluster.hdbscan(df.limit(0), Cluster("hdbscan", 2.0, 3))
+    assert empty.count() == 0 and empty.columns[-1] == "cluster_id"
+
+
+def test_a_crowd_gives_no_pairs():
+    side = 300
+    xy = np.column_stack([np.repeat(np.arange(side), side), np.tile(np.arange(side), side)]) / side
+    began = time.perf_counter()
+    root = spatial.within(xy, 2.0, 10)  # 90,000 points, all within eps of each other: 8.1 thousand million pairs
+    assert (root == 0).all() and time.perf_counter() - began < 60

@@ -14,7 +14,7 @@ from ..config import KEYS, Cluster
 from ..session import cut
 from .graph import bounds, components_by_segment, roots, whole_groups
 from .morphology import WIDE
-from .spatial import Tree, agglomerated, spanning
+from .spatial import Tree, agglomerated, dense, spanning, within
 
 #: Points of a segment whose tree, or clusters, one task makes.
 MOST = 200_000
@@ -97,30 +97,74 @@ def dbscan_by_joins(points: DataFrame, c: Cluster) -> DataFrame:
     return out.select(*KEYS, "k", "m", F.coalesce("cluster_id", "near", F.lit(-1)).cast("int").alias("cluster_id"))
 
 
-def scaled_neighbours(points: DataFrame, eps: float) -> DataFrame:
-    """(keys, a, b, d) of points with coordinates (x, y) within eps: a bucket of side eps meets nine buckets."""
-    bx, by = F.floor(F.col("x") / eps), F.floor(F.col("y") / eps)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = points.select(*KEYS, F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), around.alias("o"), bx.alias("p"), by.alias("q")).select(*KEYS, "a", "xa", "ya", (F.col("p") + F.col("o.i")).alias("p"), (F.col("q") + F.col("o.j")).alias("q"))
-    right = points.select(*KEYS, F.col("id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), bx.alias("p"), by.alias("q"))
-    d = F.sqrt((F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2)
-    return left.join(right, [*KEYS, "p", "q"]).select(*KEYS, "a", "b", d.alias("d")).where(F.col("d") <= eps)
-
-
 def normalised(points: DataFrame, f_scale: float = 100.0, t_scale: float = 0.05) -> DataFrame:
     return points.select(*KEYS, "k", "m", cell_id().alias("id"), (F.col("freq_hz") / f_scale).alias("x"), (F.col("time_s") / t_scale).alias("y"))
 
 
-def hdbscan(points: DataFrame, c: Cluster) -> DataFrame:
-    """Components of core points within eps, of max(min_samples, 2) points or more; everything else is noise."""
-    p = normalised(points)
-    near = scaled_neighbours(p, c.eps)
-    core = near.groupBy(*KEYS, "a").agg(F.count("*").alias("c")).where(F.col("c") >= c.min_samples).select(*KEYS, F.col("a").alias("b"))
-    links = near.join(core, [*KEYS, "b"]).join(core.withColumnRenamed("b", "a"), [*KEYS, "a"])
-    parts = components_by_segment(links)
-    large = parts.groupBy(*KEYS, "root").agg(F.count("*").alias("c")).where(F.col("c") >= max(c.min_samples, 2)).select(*KEYS, "root")
+def hdbscan(points: DataFrame, c: Cluster, most: int = MOST) -> DataFrame:
+    """Components of core points within eps, of max(min_samples, 2) points or more; everything else is noise.
+
+    Clusters are numbered by their first point in row-major order. Segments of at most `most` points are clustered
+    where they lie, many to a task; larger ones by tiles of about so many. Neither lists the pairs within eps.
+    """
+    p, keys = cut(normalised(points)), list(KEYS)
+    least = max(c.min_samples, 1)
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(parts, keys):
+            at, labels = bounds(part, keys), np.full(len(part), -1, np.int32)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                root = within(part[["x", "y"]].to_numpy(float)[a:b], c.eps, least)
+                large = (root >= 0) & (np.bincount(root + 1, minlength=1)[root + 1] >= max(least, 2))
+                labels[a:b][large] = np.unique(root[large], return_inverse=True)[1]
+            yield part[[*keys, "k", "m"]].assign(cluster_id=labels)
+
+    kinds = dict(p.dtypes)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in (*KEYS, "k", "m")) + ", cluster_id int"
+    large = cut(p.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*KEYS))
+    some = large.limit(1).count() > 0
+    small = p.join(large, keys, "left_anti") if some else p
+    out = small.repartition(*KEYS).sortWithinPartitions(*KEYS, "k", "m").mapInPandas(of, schema)
+    return out.unionByName(hdbscan_by_tiles(p.join(large, keys, "left_semi"), c, most)) if some else out
+
+
+def tiled(points: DataFrame, eps: float, most: int) -> DataFrame:
+    """points (keys, id, x, y) with tile and own: each point in its own tile and in those that lie within eps of its cell.
+
+    Cells have a side of eps. A tile is a run of cells, row by row, that ends with the cell in which it gets to `most`
+    points: crowded cells are tiles of their own, empty stretches make none. One row a cell is counted up in order.
+    """
+    side = eps * (1 + 1e-9)
+    p = points.withColumns({"p": F.floor(F.col("y") / side), "q": F.floor(F.col("x") / side)})
+    before = F.sum("n").over(Window.partitionBy(*KEYS).orderBy("p", "q").rowsBetween(Window.unboundedPreceding, -1))
+    cells = p.groupBy(*KEYS, "p", "q").agg(F.count("*").alias("n")).withColumn("tile", F.floor(F.coalesce(before, F.lit(0)) / most))
+    cells = cut(cells.select(*KEYS, "p", "q", "tile"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
+    beside = cells.select(*KEYS, "p", "q", "tile", around).select(*KEYS, (F.col("p") + F.col("o.i")).alias("p"), (F.col("q") + F.col("o.j")).alias("q"), "tile").distinct()
+    own = (F.col("tile") == F.col("home")).alias("own")
+    places = beside.join(cells.withColumnRenamed("tile", "home"), [*KEYS, "p", "q"]).select(*KEYS, "p", "q", "tile", own)
+    return p.join(places, [*KEYS, "p", "q"]).drop("p", "q")
+
+
+def hdbscan_by_tiles(points: DataFrame, c: Cluster, most: int) -> DataFrame:
+    """The same for segments of any size: a tile's dense points, then the trees of steps between them, then their components."""
+    kind, least = dict(points.dtypes)["signal_id"], max(c.min_samples, 1)
+    place = cut(tiled(points.select(*KEYS, "id", "x", "y"), c.eps, most))
+
+    def core_of(p: pd.DataFrame) -> pd.DataFrame:
+        return p.loc[dense(p[["x", "y"]].to_numpy(float), c.eps, least) & p["own"].to_numpy(), [*KEYS, "id"]]
+
+    def steps_of(p: pd.DataFrame) -> pd.DataFrame:
+        e, ids = spanning(p[["x", "y"]].to_numpy(float), reach=c.eps)[:, :2].astype(int), p["id"].to_numpy()
+        return pd.DataFrame({"signal_id": p["signal_id"].iloc[0], "seg_id": p["seg_id"].iloc[0], "a": ids[e[:, 0]], "b": ids[e[:, 1]]})
+
+    core = cut(place.groupBy(*KEYS, "tile").applyInPandas(core_of, f"signal_id {kind}, seg_id int, id long"))
+    near = place.join(core, [*KEYS, "id"], "left_semi")
+    links = near.groupBy(*KEYS, "tile").applyInPandas(steps_of, f"signal_id {kind}, seg_id int, a long, b long")
+    parts = cut(components_by_segment(links))
+    large = parts.groupBy(*KEYS, "root").agg(F.count("*").alias("c")).where(F.col("c") >= max(least, 2)).select(*KEYS, "root")
     clusters = numbered(parts.join(large, [*KEYS, "root"])).select(*KEYS, F.col("node").alias("id"), "cluster_id")
-    return p.join(clusters, [*KEYS, "id"], "left").select(*KEYS, "k", "m", F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id"))
+    return points.join(clusters, [*KEYS, "id"], "left").select(*KEYS, "k", "m", F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id"))
 
 
 def spanning_tree(points: DataFrame, c: Cluster, most: int = MOST) -> DataFrame:

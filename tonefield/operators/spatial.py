@@ -59,15 +59,15 @@ class Tree:
         far = np.maximum(-low, -high)
         return (near**2).sum(1), (far**2).sum(1)
 
-    def pairs(self, asked: np.ndarray, floor: np.ndarray | None, many: int, may: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, asked: np.ndarray, floor: np.ndarray | None, many: int, may: Callable[[np.ndarray, np.ndarray], np.ndarray], reach: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
         """(query, point): for each asked point those points among which its `many` nearest are that are let in.
 
         may(points, nodes): whether a node holds anything that is let in. floor: no distance counts as less than that
-        of either of its points. A node with `many` points bounds the distance from above, all others that are farther
-        are left out.
+        of either of its points. A node with `many` points bounds the distance from above, all others that are farther,
+        or beyond reach, are left out.
         """
         q, node = np.arange(len(asked)), np.zeros(len(asked), np.int64)
-        bound, found_q, found_n, found_low = np.full(len(asked), np.inf), [], [], []
+        bound, found_q, found_n, found_low = np.full(len(asked), reach**2), [], [], []
         size = self.end - self.start
         floor_low, floor_high = (None, None) if floor is None else (self.least(floor) ** 2, self.least(-floor) ** 2)
         while len(q):
@@ -100,14 +100,14 @@ class Tree:
         asked = asked[np.argsort(rank[asked])]
         return [asked[a : a + TURN] for a in range(0, len(asked), TURN)]
 
-    def nearest(self, asked: np.ndarray, may, let: Callable[[np.ndarray, np.ndarray], np.ndarray], floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, asked: np.ndarray, may, let: Callable[[np.ndarray, np.ndarray], np.ndarray], floor: np.ndarray | None = None, reach: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
         """(point, distance) of the nearest point that is let in of each asked one, the first of equals; -1 where none is.
 
-        Without floors distances are squares, so that roots make no ties.
+        Without floors distances are squares, so that roots make no ties. Points beyond reach may be left out.
         """
         best, far = np.full(len(self.xy), -1), np.full(len(self.xy), np.inf)
         for turn in self.turns(asked):
-            q, p = self.pairs(turn, floor, 1, may)
+            q, p = self.pairs(turn, floor, 1, may, reach)
             ok = let(turn[q], p)
             q, p = q[ok], p[ok]
             d = ((self.xy[p] - self.xy[turn[q]]) ** 2).sum(1)
@@ -137,21 +137,27 @@ def later(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tree.nearest(np.arange(len(xy) - 1), lambda points, nodes: last[nodes] > points, lambda a, b: b > a)
 
 
-def spanning(xy: np.ndarray, floor: np.ndarray | None = None) -> np.ndarray:
+def spanning(xy: np.ndarray, floor: np.ndarray | None = None, reach: float = np.inf) -> np.ndarray:
     """Rows (u, v, w), u < v: the least spanning tree by max(distance, floor of u, floor of v), ties by u, then v.
 
     By rounds: every component takes its least edge to another one, which the tree finds at once for all points,
-    nodes that lie within one component being passed over; then components that met are one.
+    nodes that lie within one component being passed over; then components that met are one. Edges beyond reach are
+    left out, so that trees of several components remain; a point with nothing foreign within reach is asked no more.
     """
     n = len(xy)
     tree, part, out, floor = Tree(xy), np.arange(n), [], np.zeros(n) if floor is None else floor
-    while n and part.any():
+    asked = np.arange(n)
+    while part.any():
         low, high = tree.least(part), -tree.least(-part)
         foreign = lambda points, nodes: (low[nodes] != part[points]) | (high[nodes] != part[points])  # noqa: E731,B023
-        to, d = tree.nearest(np.arange(n), foreign, lambda a, b: part[a] != part[b], floor)  # noqa: B023
-        u, v = np.minimum(np.arange(n), to), np.maximum(np.arange(n), to)
-        by = np.lexsort((v, u, d, part))
-        pick = by[np.r_[True, part[by][1:] != part[by][:-1]]]
+        to, d = tree.nearest(asked, foreign, lambda a, b: part[a] != part[b], floor, reach)  # noqa: B023
+        near = d <= reach
+        asked, to, d = asked[near], to[near], d[near]
+        if not len(asked):
+            break
+        u, v, own_part = np.minimum(asked, to), np.maximum(asked, to), part[asked]
+        by = np.lexsort((v, u, d, own_part))
+        pick = by[np.r_[True, own_part[by][1:] != own_part[by][:-1]]]
         edges = np.unique(np.column_stack([u[pick], v[pick]]), axis=0)
         own = {(a, b): w for a, b, w in zip(u[pick].tolist(), v[pick].tolist(), d[pick].tolist(), strict=True)}
         out += [(a, b, own[a, b]) for a, b in edges.tolist()]
@@ -159,6 +165,22 @@ def spanning(xy: np.ndarray, floor: np.ndarray | None = None) -> np.ndarray:
     return np.array(out, float).reshape(-1, 3)
 
 
+def dense(xy: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Whether each point has `least` points within eps, itself included."""
+    return Tree(xy).kth(least) <= eps if len(xy) >= least else np.zeros(len(xy), bool)
+
+
+def within(xy: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """The first point of the component, by steps of at most eps, of each dense point; -1 for all others.
+
+    Components come from spanning trees, so a crowd of points within eps of each other never gives all its pairs.
+    """
+    out, core = np.full(len(xy), -1), np.flatnonzero(dense(xy, eps, least))
+    e = spanning(xy[core], reach=eps)
+    out[core] = core[roots(e[:, 0].astype(int), e[:, 1].astype(int), len(core))]
+    return out
+
+
 class Sets:
     """Union-find; the root of a union is that of the set that takes the other in."""
 
