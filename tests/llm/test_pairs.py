@@ -191,6 +191,19 @@ def test_passage_that_very_many_share(spark):
         assert all(abs(r["start"] - 25) <= 8 for r in out.values())
 
 
+def test_changed_passage_that_hundreds_share_and_the_exact_setting(spark):
+    rng, rows = random.Random(43), []
+    shared = words(rng, 60)
+    for i in range(200):
+        rows.append((i, " ".join(words(rng, 25) + (changed(rng, shared, 0.1, True) if i else shared) + words(rng, 25))))
+    rows += [(1000 + i, " ".join(words(rng, 110))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    some = {r["doc_id"] for r in substring.passages(df).collect()}
+    exact = {r["doc_id"] for r in substring.passages(df, 1, substring.EXACT).collect()}
+    assert max(some | exact) < 200 and 0 not in some | exact
+    assert len(exact) >= 197 and len(some & exact) >= 0.95 * len(exact), (len(some), len(exact), len(some & exact))
+
+
 def test_every_run_as_a_seed_finds_no_less(spark):
     rng, rows = random.Random(23), []
     for i in range(40):
