@@ -145,6 +145,17 @@ def test_fractal(spark):
     assert 1 <= d["r"] < 2 and d["c"] == d["s"] == 1.5
 
 
+def test_fractal_over_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = {"long": np.cumsum(rng.normal(size=2 * fractal.BLOCK + 77)), "edge": rng.normal(size=fractal.BLOCK + 1)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, y in x.items() for i, v in enumerate(y)], "signal_id string, i long, x double")
+    for of, want, top in ((fractal.hurst, udfs.hurst_of, 10),):
+        out = of(df, top, ("signal_id",))
+        assert {r[0]: r[1] for r in out.collect()} == pytest.approx({k: want(y, top) for k, y in x.items()})
+        # a task sorts the samples, not a copy of them for each lag
+        assert "explode(sequence" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_triangles(spark):
     p = np.random.default_rng(2).random((14, 2))
     t = triangulate.delaunay(p)

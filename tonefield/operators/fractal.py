@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,19 +14,75 @@ from .morphology import CROSS, dilated, union
 from .quantiles import percentiles
 
 
+#: Samples of a block, the part of a series that a task holds as one array.
+BLOCK = 1024
+
+
+def blocks(series: DataFrame, keys: tuple[str, ...], halo: int = 0) -> DataFrame:
+    """(keys, __block, __i, __x): a series in arrays of BLOCK places i, each with the first `halo` places of the next block."""
+    block = F.floor(F.col("i") / BLOCK)
+    of = F.when((F.col("i") % BLOCK < halo) & (block > 0), F.array(block - 1, block)).otherwise(F.array(block)) if halo else F.array(block)
+    parts = series.select(*keys, F.explode(of).alias("__block"), F.struct(F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")).alias("__s"))
+    parts = parts.groupBy(*keys, "__block").agg(F.array_sort(F.collect_list("__s")).alias("__s"))
+    return parts.select(*keys, "__block", F.col("__s.i").alias("__i"), F.col("__s.x").alias("__x"))
+
+
+def flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, i, x, whether x is null) of every sample in a batch of blocks."""
+    i, x = b.column("__i"), b.column("__x")
+    values = x.flatten()
+    row = np.repeat(np.arange(b.num_rows), i.value_lengths().to_numpy(zero_copy_only=False))
+    return row, i.flatten().to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False).astype(float), values.is_null().to_numpy(zero_copy_only=False)
+
+
+def each_batch(parts: DataFrame, keep: list[str], of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, dict]]], more: str) -> DataFrame:
+    """The columns `keep` of the rows that `of` names, beside the columns `more` that it makes of a batch."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in parts.dtypes if c in keep) + ", " + more
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, made in of(b) if b.num_rows else ():
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in keep), *made.values()], [*keep, *made])
+
+    return parts.select(*keep, *[c for c in parts.columns if c not in keep]).mapInArrow(mapped, schema)
+
+
 def hurst(series: DataFrame, max_lag: int = 20, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, hurst) of series (keys, i, x), i from 0: rescaled range over chunks of each lag, slope in logs.
 
     0.5 for series shorter than 2 max_lag or with fewer than three lags; else within [0, 1]. Lags without a
-    chunk that varies are passed over, and the ranges keep to the first lags, as the definition has it.
+    chunk that varies are passed over, and the ranges keep to the first lags, as the definition has it. A chunk is
+    measured in the block in which it begins, so no row is repeated for each lag.
     """
     n = series.groupBy(*keys).agg(F.count("*").alias("__n"))
-    lags = F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(max_lag), F.floor(F.col("__n") / 4).cast("int")) - 1))
-    x = series.join(n, list(keys)).where(F.col("__n") >= 2 * max_lag).withColumn("lag", F.explode(lags)).withColumn("chunk", F.floor(F.col("i") / F.col("lag"))).where(F.col("chunk") < F.floor(F.col("__n") / F.col("lag")))
-    w = Window.partitionBy(*keys, "lag", "chunk")
-    x = x.withColumn("d", F.col("x") - F.avg("x").over(w)).withColumn("y", F.sum("d").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    rs = x.groupBy(*keys, "lag", "chunk").agg((F.max("y") - F.min("y")).alias("r"), F.stddev_pop("x").alias("s")).where("s > 1e-10")
-    rs = rs.groupBy(*keys, "lag").agg(F.avg(F.col("r") / F.col("s")).alias("rs"))
+
+    def of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, dict]]:
+        row, i, x, null = flat(b)
+        row, i, x = row[~null], i[~null], x[~null]
+        n, block = b.column("__n").to_numpy()[row], b.column("__block").to_numpy()[row]
+        for lag in range(2, max_lag):
+            chunk = i // lag
+            own = (lag < n // 4) & (chunk < n // lag) & (chunk * lag // BLOCK == block)
+            if not own.any():
+                continue
+            r, c, v = row[own], chunk[own], x[own]
+            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])])
+            size = np.diff(np.r_[first, len(v)])
+            # a line a chunk; what a chunk lacks is left at its end, where the running sum does not change any more
+            line = np.repeat(np.arange(len(first)), size)
+            d = np.zeros((len(first), size.max()))
+            with np.errstate(invalid="ignore", over="ignore"):
+                d[line, np.arange(len(v)) - first[line]] = v - (np.add.reduceat(v, first) / size)[line]
+                y, s = np.cumsum(d, axis=1), np.sqrt((d * d).sum(axis=1) / size)
+                y[np.arange(d.shape[1]) >= size[:, None]] = np.nan
+                at = np.flatnonzero(~(s <= 1e-10))
+                ratio = (np.fmax.reduce(y[at], axis=1) - np.fmin.reduce(y[at], axis=1)) / s[at]
+            if len(at):
+                of_row, start = np.unique(r[first[at]], return_index=True)
+                yield of_row, {"lag": pa.array(np.full(len(of_row), lag, np.int32)), "rs": pa.array(np.add.reduceat(ratio, start)), "c": pa.array(np.diff(np.r_[start, len(at)]))}
+
+    parts = blocks(series, keys, max_lag).join(n.where(F.col("__n") >= 2 * max_lag), list(keys))
+    rs = each_batch(parts, list(keys), of, "lag int, rs double, c long").groupBy(*keys, "lag").agg((F.sum("rs") / F.sum("c")).alias("rs"))
     rs = rs.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("lag")) + 1)
     h = rs.groupBy(*keys).agg(F.count("*").alias("c"), F.regr_slope(F.log("rs"), F.log("at")).alias("h"))
     return n.join(h, list(keys), "left").select(*keys, F.when(F.col("c") >= 3, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "h"))).otherwise(0.5).alias("hurst"))
