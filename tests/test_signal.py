@@ -149,11 +149,24 @@ def test_fractal_over_blocks(spark):
     rng = np.random.default_rng(4)
     x = {"long": np.cumsum(rng.normal(size=2 * fractal.BLOCK + 77)), "edge": rng.normal(size=fractal.BLOCK + 1)}
     df = spark.createDataFrame([(k, i, float(v)) for k, y in x.items() for i, v in enumerate(y)], "signal_id string, i long, x double")
-    for of, want, top in ((fractal.hurst, udfs.hurst_of, 10),):
+    for of, want, top in ((fractal.hurst, udfs.hurst_of, 10), (fractal.higuchi, udfs.higuchi_of, 8)):
         out = of(df, top, ("signal_id",))
         assert {r[0]: r[1] for r in out.collect()} == pytest.approx({k: want(y, top) for k, y in x.items()})
         # a task sorts the samples, not a copy of them for each lag
         assert "explode(sequence" not in out._jdf.queryExecution().executedPlan().toString()
+    # samples and values that lack, across a border of blocks too
+    b = fractal.BLOCK
+    few = spark.createDataFrame([("g", i, None if i == 3 else float(i * i)) for i in [*range(40), *range(b - 1, b + 40)]], "signal_id string, i long, x double")
+    at = {i: float(i * i) for i in [*range(40), *range(b - 1, b + 40)]}
+    lk = []
+    for k in range(1, 5):
+        total = 0.0
+        for m in range(k):
+            i = [j for j in sorted(at) if j % k == m]
+            total += sum(abs(at[q] - at[p]) for p, q in zip(i, i[1:], strict=False) if 3 not in (p, q)) * (len(at) - 1) / (k * len(i) * k)
+        lk.append(total / k)
+    want = np.clip(-np.polyfit(np.log(range(1, 5)), np.log(lk), 1)[0], 1, 2)
+    assert fractal.higuchi(few, 4, ("signal_id",)).first()["dimension"] == pytest.approx(want)
 
 
 def test_triangles(spark):

@@ -91,13 +91,32 @@ def hurst(series: DataFrame, max_lag: int = 20, keys: tuple[str, ...] = KEYS) ->
 def higuchi(series: DataFrame, k_max: int = 10, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, dimension) of series (keys, i, x): curve lengths at strides 1..k_max, slope in logs, within [1, 2].
 
-    1.5 for series shorter than 2 k_max or with fewer than three lengths.
+    1.5 for series shorter than 2 k_max or with fewer than three lengths. The steps of a curve are added up within each
+    block; those from a block to the next come from the curve's last value before it.
     """
     n = series.groupBy(*keys).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys, "k", "m").orderBy("i")
-    x = series.join(n, list(keys)).where(F.col("__n") >= 2 * k_max).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k_max)))).withColumn("m", F.col("i") % F.col("k"))
-    x = x.withColumn("d", F.abs(F.col("x") - F.lag("x").over(w)))
-    length = x.groupBy(*keys, "k", "m", "__n").agg(F.sum("d").alias("d"), F.count("*").alias("c")).where("c >= 2")
+
+    def of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, dict]]:
+        row, i, x, null = flat(b)
+        for k in range(1, k_max + 1):
+            m = i % k
+            order = np.lexsort((i, m, row))
+            r, c, v, no = row[order], m[order], x[order], null[order]
+            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])])
+            last = np.r_[first[1:], len(v)] - 1
+            with np.errstate(invalid="ignore", over="ignore"):
+                d = np.r_[0.0, np.abs(v[1:] - v[:-1])]
+            none = no | np.r_[True, no[:-1]]
+            none[first] = True
+            total = np.add.reduceat(np.where(none, 0.0, d), first)
+            empty = np.add.reduceat((~none).astype(np.int64), first) == 0
+            yield r[first], {"k": pa.array(np.full(len(first), k, np.int32)), "m": pa.array(c[first]), "d": pa.array(total, mask=empty), "c": pa.array(last - first + 1), "first": pa.array(v[first], mask=no[first]), "last": pa.array(v[last], mask=no[last])}
+
+    parts = blocks(series, keys).join(n.where(F.col("__n") >= 2 * k_max), list(keys))
+    x = each_batch(parts, [*keys, "__block", "__n"], of, "k int, m long, d double, c long, first double, last double")
+    step = F.abs(F.col("first") - F.lag("last").over(Window.partitionBy(*keys, "k", "m").orderBy("__block")))
+    x = x.withColumn("step", step).withColumn("d", F.coalesce(F.col("d") + F.col("step"), "d", "step"))
+    length = x.groupBy(*keys, "k", "m", "__n").agg(F.sum("d").alias("d"), F.sum("c").alias("c")).where("c >= 2")
     length = length.withColumn("l", F.col("d") * (F.col("__n") - 1) / (F.col("k") * F.col("c") * F.col("k")))
     by_k = length.groupBy(*keys, "k").agg((F.sum("l") / F.first("k")).alias("lk")).where("lk > 0")
     by_k = by_k.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("k")))
