@@ -90,6 +90,25 @@ def test_pieces_are_the_librarys(spark):
     assert sentencepiece_codec.encoded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_pieces_are_searched_once(monkeypatch):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Pieces())
+    searched, stream = [], codec.stream
+    monkeypatch.setattr(codec, "stream", lambda text: searched.append(text) or stream(text))
+    for t in ("word%%% other&&&", "other%%% word&&&", "other. word.\nThe", "word,%%% x"):
+        assert codec.encode(t) == lib.encode(t)
+    # what no piece joins is searched apart, so a word with another mark behind it is not searched again
+    assert len(searched) == len(set(searched)) and sorted(x for x in searched if "o" in x) == ["▁other", "▁word"]
+    # what is asked for again and again outlasts what is not
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 20 * (sentencepiece_codec.ENTRY + 30))
+    searched.clear()
+    for i in range(200):
+        assert codec.encode(f"often u{i}v") == lib.encode(f"often u{i}v")
+    assert searched.count("▁often") == 1
+
+
 def test_archives(spark):
     rng = random.Random(2)
     html = ["<p>" + " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 200))) + "</p>" for _ in range(60)]

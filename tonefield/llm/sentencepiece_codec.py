@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 from struct import pack
 
 import numpy as np
@@ -22,7 +23,7 @@ from .shared import with_texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: No piece has a space mark after another character, so all paths meet where such a mark follows one. What lies
-#: between two such boundaries is searched once and remembered.
+#: between two such boundaries is searched once and remembered; so are its parts, if it has characters that no piece joins.
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of searched chunks, and again of pairs of pieces, that a worker remembers; what one entry takes besides its text.
 REMEMBERED, ENTRY = 48 << 20, 220
@@ -77,6 +78,8 @@ class Pieces:
         if any(SPACE in x.lstrip(SPACE) for x in self.id):
             raise ValueError(f"{model_file} has pieces with a space mark inside, across which paths need not meet")
         self.longest = max(map(len, self.id))
+        #: Characters that follow each other in a piece; between any other two lies a boundary of every path.
+        self.inside = {two for x in self.id for two in pairwise(x)}
         self.key = zlib.crc32("\n".join(self.piece).encode())
         order = sorted(self.id, key=lambda x: -self.score[x])
         self.rank = {x: k for k, x in enumerate(order) if len(x) > 1}
@@ -96,27 +99,38 @@ class Pieces:
 
 
 class Searched(dict):
-    """The ids of each chunk, searched when it is first asked for."""
+    """The ids of each chunk, searched when it is first asked for.
+
+    When half of REMEMBERED is full, what was held becomes the older half, from which chunks that are asked for again come
+    back; the rest is forgotten when the next half is full.
+    """
 
     def __init__(self, codec: "Codec"):
-        self.codec = codec
+        self.codec, self.older, self.held = codec, {}, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.codec.searched(chunk)
+        ids = self.older.pop(chunk, None)
+        if ids is None:
+            ids = self.codec.searched(chunk)
+        self.held += ENTRY + 3 * len(chunk)
+        if self.held > REMEMBERED // 2:
+            self.older = self.copy()
+            self.clear()
+            self.held = ENTRY + 3 * len(chunk)
         self[chunk] = ids
         return ids
 
 
 class Codec:
     def __init__(self, pieces: Pieces):
-        self.p, self.known, self.pairs, self.held, self.tied = pieces, Searched(self), {}, 0, 0
-        #: By first character, then by each that follows: the piece that ends there, or None, and what may follow.
+        self.p, self.known, self.pairs, self.tied = pieces, Searched(self), {}, 0
+        #: By last character, then by each before it: the piece that starts there, or None, and what may precede.
         self.trie: dict[str, dict] = {}
         for x in pieces.rank:
-            node = self.trie.setdefault(x[0], {})
-            for c in x[1:-1]:
+            node = self.trie.setdefault(x[-1], {})
+            for c in x[-2:0:-1]:
                 node = node.setdefault(c, (None, {}))[1]
-            node[x[-1]] = (x, node[x[-1]][1] if x[-1] in node else {})
+            node[x[0]] = (x, node[x[0]][1] if x[0] in node else {})
         own = {i: bytes([b]) for b, i in pieces.byte.items()}
         self.bytes = [own.get(i) or (b"" if i in pieces.special else piece.encode()) for i, piece in enumerate(pieces.piece)]
 
@@ -143,16 +157,22 @@ class Codec:
             else:
                 y, until = split[y][0], ry + 0.5
 
+    def after(self, piece: str) -> dict[str, bool]:
+        """Of the pieces that were tried after this one, whether both stay."""
+        self.tied += 1
+        return self.pairs.setdefault(piece, {})
+
     def stream(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, in order, as soon as they are certain.
 
         The window holds, for each boundary since the committed one, the last piece of the path that survives
-        there. Whenever it has two lengths of the longest piece, the paths from which a piece can still start are
+        there. That path is the only one, so the pieces that end at a boundary are tried from the shortest on until one
+        stays. Whenever the window has two lengths of the longest piece, the paths from which a piece can still start are
         followed back; what precedes the boundary on which all converge is committed and leaves the window.
         """
         trie, pairs, longest, n = self.trie, self.pairs, self.p.longest, len(text)
         base, look = 0, 2 * longest
-        last: list[str | None] = [""] + [None] * min(n, 3 * longest)
+        last, tied = [""], [self.after("")]
 
         def path(to: int) -> list[str]:
             out = []
@@ -163,14 +183,10 @@ class Codec:
             out.reverse()
             return out
 
-        k = -1
-        for at, first in enumerate(text):
-            k += 1
-            before = last[k]
-            if before is None:
-                before = last[k] = text[at - 1]
-            if k >= look:
-                alive = {k, *(i for i in range(k + 1, len(last)) if last[i] is not None)}
+        for at, end in enumerate(text):
+            i = at - base
+            if i >= look:
+                alive = set(range(i - longest + 1, i + 1))
                 while len(alive) > 1:
                     top = max(alive)
                     alive.discard(top)
@@ -178,34 +194,28 @@ class Codec:
                 to = alive.pop()
                 if to > 0:
                     yield path(to)
-                    base, last, k = base + to, last[to:], k - to
-                look = k + longest
-                last += [None] * min(n - base + 1 - len(last), 3 * longest)
-            node = trie.get(first)
-            if node is None:
-                continue
-            j, known = k + 1, None
-            for c in text[at + 1 : at + longest]:
-                step = node.get(c)
-                if step is None:
-                    break
-                j += 1
-                piece, node = step
-                if piece is not None and last[j] is None:
-                    if known is None:
-                        known = pairs.get(before)
-                        if known is None:
-                            known = pairs[before] = {}
-                            self.tied += 1
+                    base, last, tied, i = base + to, last[to:], tied[to:], i - to
+                look = i + longest
+            piece, node = end, trie.get(end)
+            while True:
+                if piece is not None:
+                    known = tied[i]
                     ok = known.get(piece)
                     if ok is None:
-                        ok = known[piece] = self.stay(before, piece)
+                        ok = known[piece] = self.stay(last[i], piece)
                         self.tied += 1
                     if ok:
-                        last[j] = piece
+                        break
+                i -= 1
+                step = node.get(text[base + i]) if node and i >= 0 else None
+                if step is None:
+                    piece = end
+                    break
+                piece, node = step
+            last.append(piece)
+            known = pairs.get(piece)
+            tied.append(self.after(piece) if known is None else known)
         if n:
-            if last[n - base] is None:
-                last[n - base] = text[n - 1]
             yield path(n - base)
 
     def ids(self, piece: str) -> list[int]:
@@ -216,10 +226,11 @@ class Codec:
         return [self.p.byte[b] for b in data] if self.p.byte else [self.p.unknown]
 
     def searched(self, chunk: str) -> bytes:
-        self.held += ENTRY + 3 * len(chunk)
-        if self.held > REMEMBERED:
-            self.known.clear()
-            self.held = 0
+        inside = self.p.inside
+        # letters alone are hardly ever parted
+        cuts = [] if chunk[1:].isalpha() else [i for i, two in enumerate(pairwise(chunk), 1) if two not in inside]
+        if cuts:
+            return b"".join([self.known[chunk[i:j]] for i, j in pairwise([0, *cuts, len(chunk)])])
         if self.tied * ENTRY > REMEMBERED:
             self.pairs.clear()
             self.tied = 0
