@@ -204,6 +204,20 @@ def test_changed_passage_that_hundreds_share_and_the_exact_setting(spark):
     assert len(exact) >= 197 and len(some & exact) >= 0.95 * len(exact), (len(some), len(exact), len(some & exact))
 
 
+def test_every_match_in_parts_of_a_seed(spark, monkeypatch):
+    monkeypatch.setattr(substring, "PART", 7)
+    rows = [(i, "one two three four") for i in range(40)] + [(100, "one two three four and one two three four"), (101, "nothing like any other")]
+    packs = substring.seeds(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 1, substring.EXACT)
+    out = substring.every_match(packs)
+    assert "part" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {(i, j, 0, 0) for i in range(40) for j in range(i)} | {(100, j, p, 0) for j in range(40) for p in (0, 5)}
+    got = [tuple(r) for r in out.select("doc", "source", "pos", "at").collect()]
+    assert len(got) == len(want) and set(got) == want
+    # the exact search takes that way, not one task that makes all pairs of a seed
+    monkeypatch.setattr(substring, "level", None)
+    assert substring.passages(spark.createDataFrame(rows, "doc_id long, text string"), 1, substring.EXACT).count() == 0
+
+
 def test_every_run_as_a_seed_finds_no_less(spark):
     rng, rows = random.Random(23), []
     for i in range(40):
