@@ -109,6 +109,35 @@ def test_pieces_are_searched_once(monkeypatch):
     assert searched.count("▁often") == 1
 
 
+def test_chunks_of_many_texts_are_searched_together(monkeypatch):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    pieces = sentencepiece_codec.Pieces()
+    codec = sentencepiece_codec.Codec(pieces)
+    searched, stream = [], codec.stream
+    monkeypatch.setattr(codec, "stream", lambda text: searched.append(text) or stream(text))
+    rng = random.Random(7)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    texts = [" ".join(word(rng.choice(["aehinorst", "aehinorstdlcumAEÉéüñß", "ab,.-\n%0123", "一你好𠀀😀▁e \x00"]), 14) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["", " ", "▁", "  a  ", "\n\n", "😀" * 100, "a" * 32, "a" * 31 + " b", "%" * 90]
+    got = list(codec.arrays(texts))
+    assert [x.tolist() for x in got] == [lib.encode(t) for t in texts]
+    # only what is longer than the window goes through it alone
+    assert all(len(x) > 2 * pieces.longest for x in searched)
+    searched.clear()
+    long = "".join(rng.choice("abcdefghilmnorstu") for _ in range(300))
+    assert [x.tolist() for x in codec.arrays([f"word {long} word", "word"])] == [lib.encode(f"word {long} word"), lib.encode("word")]
+    assert searched == ["▁" + long]
+    # texts that go apart, chunks and pairs that are forgotten again and again
+    monkeypatch.setattr(sentencepiece_codec, "TOGETHER", 500)
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 20 * (sentencepiece_codec.ENTRY + 30))
+    forgetful = sentencepiece_codec.Codec(pieces)
+    forgetful.together.pairs = sentencepiece_codec.Lookup(6)
+    assert all(np.array_equal(a, b) for a, b in zip(forgetful.arrays(texts), got, strict=True))
+    assert forgetful.together.pairs.n <= 32 and len(forgetful.known) + len(forgetful.known.older) < 1000
+
+
 def test_archives(spark):
     rng = random.Random(2)
     html = ["<p>" + " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 200))) + "</p>" for _ in range(60)]

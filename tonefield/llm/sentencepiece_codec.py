@@ -4,6 +4,8 @@ The public model at hand is of the BPE kind, so the best path to a boundary is t
 leave there, not the one with the greatest sum of scores. That path is unique and can be extended boundary by
 boundary: a piece may end a prefix exactly if the merges keep it apart from the last piece of the prefix before
 it. The search is then a Viterbi search with one survivor a boundary, and gives the library's ids.
+
+Text that fits into the window is searched side by side: one step extends the paths of many such parts by a boundary.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of searched chunks, and again of pairs of pieces, that a worker remembers; what one entry takes besides its text.
 REMEMBERED, ENTRY = 48 << 20, 220
+#: Characters of texts, and of new chunks, that are searched together.
+TOGETHER = 1 << 20
 
 
 def model_kind(proto: bytes) -> int:
@@ -112,13 +116,232 @@ class Searched(dict):
         ids = self.older.pop(chunk, None)
         if ids is None:
             ids = self.codec.searched(chunk)
-        self.held += ENTRY + 3 * len(chunk)
+        self.keep({chunk: ids})
+        return ids
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        more = ENTRY * len(found) + 3 * sum(map(len, found))
+        self.held += more
         if self.held > REMEMBERED // 2:
             self.older = self.copy()
             self.clear()
-            self.held = ENTRY + 3 * len(chunk)
-        self[chunk] = ids
-        return ids
+            self.held = more
+        self.update(found)
+
+    def those(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        """The ids of chunks that differ; those that are new are searched together."""
+        here, again, new, older = {}, {}, [], self.older
+        for x in chunks:
+            ids = self.get(x)
+            if ids is None:
+                ids = older.pop(x, None)
+                if ids is None:
+                    new.append(x)
+                    continue
+                again[x] = ids
+            here[x] = ids
+        again.update(self.codec.together.search(new))
+        self.keep(again)
+        here |= again
+        for x in new:
+            if x not in here:
+                here[x] = self[x]
+        return here
+
+
+class Lookup:
+    """Values from 0 on by keys from 1 on, asked for many keys at once; a key whose place is taken goes to the next free one."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that differ and are not held. When half of the places would be taken, all that was held is forgotten."""
+        if self.n + len(keys) > len(self.keys) // 2:
+            self.keys[:] = self.n = 0
+            keys, values = keys[: len(self.keys) // 2], values[: len(self.keys) // 2]
+        self.n += len(keys)
+        at = self.place(keys)
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]
+            won = self.keys[at] == keys  # of several that want a place, the last one written has it
+            self.values[at[won]] = values[won]
+            keys, values, at = keys[~won], values[~won], at[~won] + 1 & len(self.keys) - 1
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        at = self.place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], -1)
+        left = np.flatnonzero((held != keys) & (held != 0))
+        while len(left):
+            at[left] = here = at[left] + 1 & len(self.keys) - 1
+            held = self.keys[here]
+            same = held == keys[left]
+            out[left[same]] = self.values[here[same]]
+            left = left[~same & (held != 0)]
+        return out
+
+
+class Together:
+    """The codec's search for many chunks at once, over arrays. Characters and pieces are their ids."""
+
+    def __init__(self, codec: "Codec"):
+        p = codec.p
+        self.codec, self.wide = codec, 2 * p.longest
+        #: The empty piece is v; no character is v + 1.
+        self.v = v = len(p.piece)
+        self.text = [*p.piece, ""]
+        self.length = np.array([len(x) for x in p.piece], np.int64)
+        #: By code point: the id of a character; -1 if it is in no piece, -2 if only longer pieces have it.
+        self.char = np.full(0x110000, -1, np.int64)
+        self.char[[ord(c) for x in p.id for c in x]] = -2
+        one = [x for x in p.id if len(x) == 1]
+        self.char[list(map(ord, one))] = [p.id[x] for x in one]
+        #: The codec's trie, its nodes numbered: by character the node it leads to from the root, and from a node; the piece there, or -1.
+        self.root = np.full(v + 2, -1, np.int64)
+        made, steps, todo = [-1], [], [(None, c, node) for c, node in codec.trie.items()]
+        for parent, c, node in todo:
+            k = len(made)
+            if parent is None:
+                made.append(-1)
+                if (i := p.id.get(c)) is not None:
+                    self.root[i] = k
+                else:
+                    continue
+            else:
+                piece, node = node
+                made.append(p.id[piece] if piece in p.split else -1)
+                if (i := p.id.get(c)) is None:
+                    continue
+                steps.append((self.key(parent, i), k))
+            todo += [(k, c, x) for c, x in node.items()]
+        self.made = np.array(made, np.int64)
+        self.steps, self.inside, self.pairs = Lookup((4 * len(steps) + 4).bit_length()), Lookup((4 * len(p.inside) + 4).bit_length()), Lookup(20)
+        if steps:
+            self.steps.put(*np.array(steps, np.int64).T.copy())
+        two = self.char[np.array([[ord(x), ord(y)] for x, y in p.inside], np.int64).reshape(-1, 2)]
+        two = two[(two >= 0).all(1)]
+        self.inside.put(self.key(two[:, 0], two[:, 1]), np.ones(len(two), np.int32))
+
+    def key(self, a, b):
+        """One key, from 1 on, of a node or piece and a piece that follows or a character."""
+        return a * (self.v + 2) + b + 1
+
+    def stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = self.key(a, b)
+        out = self.pairs.get(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            two, which = np.unique(keys[new], return_inverse=True)
+            x, y = divmod(two - 1, self.v + 2)
+            stay, text = self.codec.stay, self.text
+            found = np.array([stay(text[i], text[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int32)
+            self.pairs.put(two, found)
+            out[new] = found[which]
+        return out > 0
+
+    def search(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Chunks with their ids; without those that have a part too long for the window, which are to go through the stream."""
+        for some in groups(x for x in chunks if len(x) <= TOGETHER):
+            yield from self.search_some(some)
+
+    def search_some(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        char = self.char[code]
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        first = np.cumsum(size) - size
+        # parts: no piece joins the characters between which they end
+        starts = np.ones(len(code), bool)
+        starts[1:] = (char[1:] < 0) | (char[:-1] < 0)
+        both = np.flatnonzero(~starts)
+        starts[both] = self.inside.get(self.key(char[both - 1], char[both])) < 0
+        starts[first] = True
+        part = np.flatnonzero(starts)
+        long = np.diff(part, append=len(code))
+        # a part lies behind a place for its start, at which no path has a piece
+        at = np.arange(len(code)) + np.cumsum(starts)
+        there = np.full(len(code) + len(part), self.v + 1, np.int64)
+        there[at] = char
+        base = at[part] - 1
+        last = np.full(len(there), self.v, np.int64)
+        alone = char[part] < 0  # of a character that has no id
+        last[at[part[alone]]] = -1
+        own = np.flatnonzero(~alone & (long <= self.wide))
+        own = own[np.argsort(-long[own], kind="stable")]
+        below = np.cumsum(np.bincount(long[own], minlength=1)[::-1])[::-1]
+        for i, n in enumerate(below[1:], 1):
+            self.extend(there, last, base[own[:n]] + i)
+        # followed back, the paths mark where their pieces end
+        ends = np.zeros(len(there), bool)
+        ends[base[alone] + 1] = True
+        back, base_of = base[own] + long[own], base[own]
+        while len(back):
+            ends[back] = True
+            back = back - self.length[last[back]]
+            go = back > base_of
+            back, base_of = back[go], base_of[go]
+        where = np.flatnonzero(ends)
+        ids = last[where]
+        before = np.searchsorted(where, np.append(at[first], len(there)))
+        if alone.any():
+            # a character without an id has several, of its bytes
+            points, which = np.unique(code[part[alone]], return_inverse=True)
+            bytes_of = [self.codec.ids(chr(c)) for c in points.tolist()]
+            times, none = np.ones(len(ids), np.int64), ids < 0
+            times[none] = np.array([len(x) for x in bytes_of])[which]
+            before = np.append(0, np.cumsum(times))[before]
+            ids = np.repeat(ids, times)
+            ids[ids < 0] = np.concatenate([bytes_of[k] for k in which.tolist()])
+        data = ids.astype(np.int32).tobytes()
+        # a character without an id that longer pieces have is left to the stream too
+        out = np.logical_or.reduceat(char == -2, first)
+        out[np.searchsorted(first, part[long > self.wide], "right") - 1] = True
+        for chunk, left, a, b in zip(chunks, out.tolist(), (4 * before[:-1]).tolist(), (4 * before[1:]).tolist(), strict=True):
+            if not left:
+                yield chunk, data[a:b]
+
+    def extend(self, there: np.ndarray, last: np.ndarray, end: np.ndarray) -> None:
+        """The last piece of the path to each boundary of end, as Codec.stream finds it: pieces are tried from the shortest on."""
+        piece, at = there[end], end - 1
+        node = self.root[piece]
+        last[end] = piece
+        stay = self.stay(last[at], piece)
+        while True:
+            go = np.flatnonzero(~stay & (node >= 0))
+            end, at = end[go], at[go]
+            node = self.steps.get(self.key(node[go], there[at]))
+            go = np.flatnonzero(node >= 0)
+            if not len(go):
+                return
+            end, at, node = end[go], at[go] - 1, node[go]
+            piece = self.made[node]
+            tried = np.flatnonzero(piece >= 0)
+            stay = np.zeros(len(piece), bool)
+            stay[tried] = self.stay(last[at[tried]], piece[tried])
+            last[end[stay]] = piece[stay]
+
+
+def groups(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Runs of TOGETHER characters at most, or of one text."""
+    some, n = [], 0
+    for text in texts:
+        if some and n + len(text) > TOGETHER:
+            yield some
+            some, n = [], 0
+        some.append(text)
+        n += len(text)
+    if some:
+        yield some
+
+
+def chunks_of(text: str) -> list[str]:
+    return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 class Codec:
@@ -131,6 +354,7 @@ class Codec:
             for c in x[-2:0:-1]:
                 node = node.setdefault(c, (None, {}))[1]
             node[x[0]] = (x, node[x[0]][1] if x[0] in node else {})
+        self.together = Together(self)
         own = {i: bytes([b]) for b, i in pieces.byte.items()}
         self.bytes = [own.get(i) or (b"" if i in pieces.special else piece.encode()) for i, piece in enumerate(pieces.piece)]
 
@@ -241,12 +465,16 @@ class Codec:
                 of += self.ids(piece) if i is None else (i,)
         return pack(f"{len(of)}i", *of)
 
-    def array(self, text: str) -> np.ndarray:
-        chunks = CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
-        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32)
+    def arrays(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; the chunks of several that are not known yet are searched together."""
+        for some in groups(texts):
+            parted = [chunks_of(text) for text in some]
+            here = self.known.those(set().union(*parted))
+            for chunks in parted:
+                yield np.frombuffer(b"".join(map(here.__getitem__, chunks)), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        return self.array(text).tolist()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks_of(text))), np.int32).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text: bytes joined, marks as spaces, without the space that encoding put first."""
@@ -274,7 +502,8 @@ def encoded(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
 
     def of(texts: list[str | None]) -> dict:
         codec = codec_of(pieces)
-        ids = [None if t is None else codec.array(t) for t in texts]
+        found = codec.arrays([t for t in texts if t is not None])
+        ids = [None if t is None else next(found) for t in texts]
         same = [None if t is None else codec.decode(i.tolist()) == t for t, i in zip(texts, ids, strict=True)]
         return {"ids": ids, "n_tokens": [0 if i is None else len(i) for i in ids], "round_trip": same}
 
